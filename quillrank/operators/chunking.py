@@ -138,7 +138,7 @@ def limit_parts(text: Column, parts: Column, target: int, overlap: int) -> Colum
         whole = F.array(_piece(part["text"], part["start"], part["start"] + F.length(part["text"])))
 
         def lift(w: Column) -> Column:
-            head = words(w["text"])[0]
+            head = F.get(words(w["text"]), F.lit(0))
 
             def at(found: Column) -> Column:
                 start = F.when(found < 0, part["start"] + w["start"]).otherwise(found)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillrank import constants as K
 from quillrank import scale
 from quillrank.functions import economics
-from quillrank.functions.text import money_values, percent_values
+from quillrank.functions.text import bind, money_values, percent_values
 
 
 def candidate_depth(k: int) -> int:
@@ -108,7 +108,7 @@ def route(pool: DataFrame, routed: Column, when_routed: str, otherwise: str, nam
     variant = F.when(routed, F.lit(when_routed)).otherwise(F.lit(otherwise))
     source = F.filter("retrieved_by", lambda r: r["variant"] == variant)
     entry = F.array(
-        F.struct(F.lit(name).alias("variant"), source[0]["rank"].alias("rank"), F.lit(1.0).alias("score"))
+        F.struct(F.lit(name).alias("variant"), F.get(source, F.lit(0))["rank"].alias("rank"), F.lit(1.0).alias("score"))
     )
     return pool.withColumn(
         "retrieved_by",
@@ -122,25 +122,42 @@ def rewrite_query(query: Column) -> Column:
     A query that states a gross margin with a dollar amount and a percentage is read as a
     service business; every other query is left as it is.
     """
-    dollars, percents = money_values(query), percent_values(query)
-    usable = F.contains(F.lower(query), F.lit("gross margin")) & (F.size(dollars) > 0) & (F.size(percents) > 0)
-    found = economics.diagnose(
-        F.try_element_at(dollars, F.lit(-1)), F.lit(0.0), F.lit(0.0), F.lit(None).cast("double"),
-        F.try_element_at(percents, F.lit(1)), F.lit(True),
-    )
     concepts = F.create_map(*[F.lit(x) for pair in K.REWRITE_CONCEPTS.items() for x in pair])
-    text = F.concat(
-        F.lit("diagnose "), found["constraint"], F.lit(": "),
-        F.coalesce(F.try_element_at(concepts, found["constraint"]), F.lit("")),
-        F.lit(". Reason: "), found["reason"], F.lit(" Success metric: "), found["success_metric"],
-    )
-    done = usable & found["constraint"].isNotNull()
-    return F.struct(
-        F.when(done, text).otherwise(query).alias("query"),
-        F.when(done, found["constraint"]).otherwise(F.lit("unknown")).alias("constraint"),
-        F.when(done, found["reason"]).otherwise(F.lit(K.NO_REWRITE_REASON)).alias("reason"),
+    plain = F.struct(
+        query.alias("query"), F.lit("unknown").alias("constraint"), F.lit(K.NO_REWRITE_REASON).alias("reason")
     )
 
+    def rewritten(found: Column) -> Column:
+        text = F.concat(
+            F.lit("diagnose "), found["constraint"], F.lit(": "),
+            F.coalesce(F.try_element_at(concepts, found["constraint"]), F.lit("")),
+            F.lit(". Reason: "), found["reason"], F.lit(" Success metric: "), found["success_metric"],
+        )
+        return F.when(
+            found["constraint"].isNotNull(),
+            F.struct(text.alias("query"), found["constraint"].alias("constraint"), found["reason"].alias("reason")),
+        ).otherwise(plain)
+
+    def from_facts(facts: Column) -> Column:
+        usable = (F.size(facts["dollars"]) > 0) & (F.size(facts["percents"]) > 0)
+        diagnosis = economics.diagnose(
+            facts["cac"], F.lit(0.0), F.lit(0.0), F.lit(None).cast("double"), facts["margin"], F.lit(True)
+        )
+        return F.when(usable, bind(diagnosis, rewritten)).otherwise(plain)
+
+    def numbers(lists: Column) -> Column:
+        return bind(
+            F.struct(
+                lists["dollars"].alias("dollars"), lists["percents"].alias("percents"),
+                F.try_element_at(lists["dollars"], F.lit(-1)).alias("cac"),
+                F.try_element_at(lists["percents"], F.lit(1)).alias("margin"),
+            ),
+            from_facts,
+        )
+
+    lists = F.struct(money_values(query).alias("dollars"), percent_values(query).alias("percents"))
+    return F.when(F.contains(F.lower(query), F.lit("gross margin")), bind(lists, numbers)).otherwise(plain)
+
 
 def append_retrieval(pool: DataFrame, results: DataFrame, variant: str) -> DataFrame:
     """Add a variant's ranks to the judged pool; pairs without a judgment become error rows."""

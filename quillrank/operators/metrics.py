@@ -132,7 +132,7 @@ def graded_scores(pool: DataFrame, variants: Mapping[str, Sequence[str]], k: int
         judged.select("query_id", "chunk_id", "relevance", "retrieved_by", F.explode(names).alias("v"))
         .withColumn(
             "hit",
-            F.filter("retrieved_by", lambda r: F.array_contains(F.col("v.labels"), r["variant"]))[0],
+            F.get(F.filter("retrieved_by", lambda r: F.array_contains(F.col("v.labels"), r["variant"])), F.lit(0)),
         )
         .where(F.col("hit").isNotNull())
         .select("query_id", "chunk_id", "relevance", F.col("v.name").alias("variant"), F.col("hit.rank").alias("rank"))

@@ -159,9 +159,9 @@ def fold_assignments(latest: DataFrame) -> tuple[DataFrame, DataFrame]:
     bad = latest.where(~known).withColumn("error", F.concat(F.lit("unknown snapshot field path: "), F.col("field")))
     # An assigned value is JSON where it reads as JSON: null words clear, quotes are dropped.
     given = F.col("value")
-    quoted = F.from_json(F.concat(F.lit("["), given, F.lit("]")), "array<string>")[0]
+    quoted = F.from_json(F.concat(F.lit("["), given, F.lit("]")), "array<string>")
     plain = F.when(F.lower(given).isin("none", "null"), F.lit(None)).when(
-        given.rlike(r'^".*"$'), F.coalesce(quoted, given)
+        given.rlike(r'^".*"$'), F.coalesce(F.get(quoted, F.lit(0)), given)
     ).otherwise(given)
     raw = {f: F.max(F.when(F.col("field") == f, plain)).alias(f.replace(".", "__")) for f in FIELDS}
     source = F.struct("source_type", "source", "source_hash")

@@ -72,7 +72,7 @@ def source_event_errors(event: Column) -> Column:
         (_blank(F.try_element_at(request, F.lit("user_turn"))), "user_turn must be non-empty"),
         (F.size(extra) > 0, F.concat(F.lit("unsupported fields: "), F.array_join(extra, ", "))),
         (~F.coalesce(usable, F.lit(False)), "requires non-empty queries list"),
-        (usable & ((F.size(queries) != 1) | (normalize_query(queries[0]) != normalize_query(query))),
+        (usable & ((F.size(queries) != 1) | (normalize_query(F.get(queries, F.lit(0))) != normalize_query(query))),
          "queries must contain exactly the requested query"),
         (chunks.isNull() | (F.size(chunks) == 0), "requires non-empty chunks list"),
         (F.exists(chunks, lambda c: _blank(c["id"])), "chunk requires non-empty id"),

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "quillrank", master: str | None = None, **conf) -> SparkSession:
+def build_session(app: str = "quillrank", master: str | None = None, **conf: str) -> SparkSession:
+    """Session with adaptive execution; extra settings use __ for dots."""
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.files.maxPartitionBytes", "128m")
     )
     if master:
         builder = builder.master(master)
@@ -23,16 +24,25 @@ def build_session(app: str = "quillrank", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; a local one only where none is named."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillrank-ckpt-"))
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder; a local one only where the session names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    local = tempfile.mkdtemp(prefix="quillrank-")
+    spark.sparkContext.setCheckpointDir(local)
+    return local
 
 
-def cut_lineage(df):
-    """Materialise df in the checkpoint folder so that reruns start from files."""
-    ensure_checkpoint_dir(df.sparkSession)
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared folder, so that lost executors do not rerun its past."""
+    spark = df.sparkSession
+    folder = shared_dir(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
