@@ -45,6 +45,10 @@ FIELDS = {
 }
 
 
+def _prefixed(keys: Column, section: str) -> Column:
+    return F.transform(keys, lambda k: F.concat(F.lit(f"{section}."), k))
+
+
 def parse_snapshots(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Parse JSON snapshots; missing sections take defaults, unknown keys are listed.
 
@@ -71,7 +75,7 @@ def parse_snapshots(df: DataFrame, payload: str = "payload") -> DataFrame:
         extra = F.array_except(keys, known)
         # Positions of the money model may carry any name; unknown ones are ignored.
         if name != "money_model":
-            unknown.append(F.transform(extra, lambda k, n=name: F.concat(F.lit(f"{n}."), k)))
+            unknown.append(_prefixed(extra, name))
     return out.withColumn(
         "schema_version", F.coalesce(F.try_element_at("_top", F.lit("schema_version")), F.lit(K.SNAPSHOT_VERSION))
     ).withColumn("unknown_keys", F.flatten(F.array(*unknown))).drop("_top")

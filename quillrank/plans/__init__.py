@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("text", "retrieval", "labels")
+AREAS = ("text", "retrieval", "labels", "business", "traces")
 
 
 def load():
