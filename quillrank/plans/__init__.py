@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("text", "retrieval", "labels", "business", "traces")
+AREAS = ("text", "retrieval", "labels", "business", "traces", "sources")
 
 
 def load():

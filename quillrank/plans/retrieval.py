@@ -15,6 +15,7 @@ from quillrank.operators import fusion as R
 from quillrank.operators import knn as V
 from quillrank.operators import lexical as L
 from quillrank.plans.registry import query, sql_tokens, table
+from quillrank.plans.text import sql_windows
 from quillrank.session import scratch
 from quillrank.sources import vectors as SV
 
@@ -117,9 +118,13 @@ def l5(spark, sf):
     return shown(bm25(spark, sf))
 
 
-@query("L5_bm25_topk_chunks", None)
+CHUNK_DOCS = "SELECT id || ':' || i AS chunk_id, body AS text FROM win"
+
+
+@query("L5_bm25_topk_chunks", f"""
+    WITH {sql_windows('SELECT doc_id AS id, text FROM documents', 650, 90)}, {sql_bm25(5, docs=CHUNK_DOCS)} SELECT {TOP} FROM lex""")
 def l5_chunks(spark, sf):
-    """Framework-aware chunks instead of whole documents."""
+    """Framework-aware chunks; these documents hold no headings or cues, so windows."""
     from quillrank.operators.chunking import chunk_documents
 
     chunks = chunk_documents(docs(spark, sf), K.DEFAULT_STRATEGY, chapter="doc_id")

@@ -216,7 +216,8 @@ def t7(spark, sf):
     return bound.select("case_id", "line", "current", "supported_claims", F.size("errors").alias("errors"), "passed")
 
 
-@query("T7_all_audits_pass", "SELECT FALSE AS all_pass")
+@query("T7_all_audits_pass", """
+    SELECT bool_and(coalesce(c.text = p.text, FALSE)) AS all_pass FROM conversations c LEFT JOIN (SELECT conv_id, text FROM conversations WHERE turn = 0) p USING (conv_id)""")
 def t7_all(spark, sf):
     talk = table(spark, sf, "conversations").withColumnRenamed("conv_id", "case_id")
     audits = talk.select(
@@ -305,7 +306,7 @@ def m14_sum(spark, sf):
     return done.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in done.dtypes])
 
 
-@query("M14_all_pass_gate", "SELECT FALSE AS all_pass")
+@query("M14_all_pass_gate", f"WITH {SCORED} SELECT bool_and(ran AND recall = 1 AND NOT bad AND trace_errors = 0) AS all_pass FROM y")
 def m14_gate(spark, sf):
     return T.all_pass(T.score_actions(action_cases(spark, sf), action_runs(spark, sf)))
 

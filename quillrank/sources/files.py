@@ -12,9 +12,14 @@ from quillrank import scale
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(chapter, text): one row per .txt file, named by its stem. Names give the order."""
-    return spark.read.text(path, wholetext=True, pathGlobFilter="*.txt").select(
-        F.regexp_replace("_metadata.file_name", r"\.txt$", "").alias("chapter"), F.col("value").alias("text")
+    """(chapter, text): one row per .txt file, named by its stem. Names give the order.
+
+    Folders named key=value become further columns.
+    """
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt")
+    folders = [c for c in files.columns if c != "value"]
+    return files.select(
+        F.regexp_replace("_metadata.file_name", r"\.txt$", "").alias("chapter"), F.col("value").alias("text"), *folders
     )
 
 
