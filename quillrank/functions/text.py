@@ -22,7 +22,7 @@ def tokens(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Words between runs of blank space, Unicode spaces included."""
-    return F.filter(F.split(text, K.SPACE_CLASS + "+"), lambda w: w != "")
+    return F.array_remove(F.split(text, K.SPACE_CLASS + "+"), "")
 
 
 def strip(text: Column) -> Column:

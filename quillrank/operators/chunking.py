@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrank import constants as K
+from quillrank import scale
 from quillrank.functions.text import bind, strip, tokens, words
 
 PIECE = "array<struct<text:string,start:int,end:int>>"
@@ -196,8 +197,9 @@ def chunk_documents(
     """
     names = [strategies] if isinstance(strategies, str) else list(strategies)
     body = F.col(text)
+    documents = scale.spread(documents.select(*dict.fromkeys([chapter, *keep, text])))
     if len(names) == 1:
-        found = documents.withColumn("_s", F.lit(names[0])).withColumn("_c", chunk_array(body, names[0]))
+        found, pieces = documents.withColumn("_s", F.lit(names[0])), chunk_array(body, names[0])
     else:
         options = F.array(
             *[F.struct(F.lit(n).alias("s"), chunk_array(body, n).alias("c")) for n in names]
@@ -205,9 +207,10 @@ def chunk_documents(
         found = documents.withColumn("_o", F.explode(options)).select(
             "*", F.col("_o.s").alias("_s"), F.col("_o.c").alias("_c")
         )
+        pieces = F.col("_c")
     exploded = found.select(
         F.col("_s").alias("strategy"), F.col(chapter).alias("chapter"), *keep,
-        F.posexplode("_c").alias("chunk_index", "_p"),
+        F.posexplode(pieces).alias("chunk_index", "_p"),
     )
     return exploded.select(
         "strategy", "chapter", *keep, "chunk_index",
@@ -269,7 +272,9 @@ def chunk_statistics(chunks: DataFrame, text: str = "text") -> DataFrame:
     """Per strategy: count, mean, 95th percentile, longest, and chunks over 1000 tokens."""
     from quillrank.operators.quantiles import quantiles
 
-    sized = chunks.select("strategy", F.size(tokens(F.col(text))).alias("n_tokens"))
+    sized = chunks.select("strategy", F.size(tokens(F.col(text))).alias("n_tokens")).where(
+        F.col("n_tokens").isNotNull()
+    )
     # Token counts repeat, so everything below works on the counts of each distinct size.
     sizes = sized.groupBy("strategy", "n_tokens").agg(F.count("*").alias("_times"))
     summary = sizes.groupBy("strategy").agg(

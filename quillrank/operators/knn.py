@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -201,6 +203,11 @@ def best_per_chunk(
 TOKEN = re.compile(K.TOKEN_PATTERN)
 
 
+@lru_cache(maxsize=200_000)
+def _token_hash(token: str) -> int:
+    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
+
+
 class HashingProvider:
     """Deterministic stand-in for an embedding model: token counts in hashed buckets."""
 
@@ -211,8 +218,8 @@ class HashingProvider:
     def embed_texts(self, texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), self.dimensions))
         for row, text in enumerate(texts):
-            for token in TOKEN.findall(text.lower()):
-                out[row, int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dimensions] += 1.0
+            for token, times in Counter(TOKEN.findall(text.lower())).items():
+                out[row, _token_hash(token) % self.dimensions] += times
         return out.tolist()
 
 
@@ -241,7 +248,7 @@ def embed(
             frame[out] = vectors
             yield frame
 
-    return df.mapInPandas(run, schema)
+    return scale.spread(df).mapInPandas(run, schema)
 
 
 def embedding_usage(

@@ -32,7 +32,10 @@ def _occurrences(chunks: DataFrame, chunk_id: str, text: str, marker: bool, keep
     found = chunks.select(
         F.col(chunk_id).alias("chunk_id"), *keep, tokens(F.col(text)).alias("_t")
     ).withColumn("chunk_len", F.size("_t"))
-    listed = F.concat(F.array(F.lit(MARKER)), F.col("_t")) if marker else F.col("_t")
+    # Exploding an expression, not a column, keeps Spark from adding a filter on the
+    # array's size, which would tokenize every text once more.
+    none = F.array().cast("array<string>")
+    listed = F.concat(F.array(F.lit(MARKER)) if marker else none, F.col("_t"))
     rows = found.select("chunk_id", "chunk_len", *keep, F.explode(listed).alias("term"))
     return rows.where(F.col("term").isNotNull())
 
@@ -40,7 +43,7 @@ def _occurrences(chunks: DataFrame, chunk_id: str, text: str, marker: bool, keep
 def postings(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
     """(chunk_id, chunk_len, term, tf) for every term of every chunk."""
     return (
-        _occurrences(chunks, chunk_id, text, False, ())
+        _occurrences(scale.spread(chunks.select(chunk_id, text), chunk_id), chunk_id, text, False, ())
         .groupBy("chunk_id", "chunk_len", "term")
         .agg(F.count("*").alias("tf"))
     )

@@ -85,9 +85,10 @@ def quantiles(
         holds = holds | ((rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_in_bin")))
     bins = bins.where(holds).select(*keys, "_b", "_before", "_total")
 
-    # Null keys must meet their own bin, hence the null-safe join.
+    # Null keys must meet their own bin. A null-safe join also adds no filter below the
+    # counts, so that both uses of them read one exchange.
     left, right = counted.alias("l"), bins.alias("r")
-    condition = F.col("l._b") == F.col("r._b")
+    condition = F.col("l._b").eqNullSafe(F.col("r._b"))
     for key in keys:
         condition = condition & F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
     inside = left.join(right, condition).select("l.*", "r._before", "r._total")

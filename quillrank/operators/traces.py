@@ -545,66 +545,63 @@ REL_TOL, ABS_TOL = 1e-6, 1e-9
 
 def _greedy(group: pd.DataFrame) -> pd.DataFrame:
     """Ordered one-to-one matching of counted values within tolerance."""
-    expected = group[group.side == "e"].sort_values("first")
-    actual = group[group.side == "a"].sort_values("first")
-    left = {i: r.n for i, r in actual.iterrows()}
+    expected = group[group.e > 0].sort_values("e_first")
+    actual = group[group.a > 0].sort_values("a_first")
+    left = dict(zip(actual.value, actual.a, strict=True))
     matched = 0
     for row in expected.itertuples():
-        need = row.n
-        for i, other in actual.iterrows():
-            bound = max(REL_TOL * max(abs(row.value), abs(other.value)), ABS_TOL)
-            if need and left[i] and abs(row.value - other.value) <= bound:
-                taken = min(need, left[i])
-                need, left[i], matched = need - taken, left[i] - taken, matched + taken
-    head = group.iloc[0]
-    return pd.DataFrame([{"case_id": head.case_id, "metric": head.metric, "inputs_key": head.inputs_key, "matched": matched}])
+        need = row.e
+        for value in left:
+            bound = max(REL_TOL * max(abs(row.value), abs(value)), ABS_TOL)
+            if need and left[value] and abs(row.value - value) <= bound:
+                taken = min(need, left[value])
+                need, left[value], matched = need - taken, left[value] - taken, matched + taken
+    head = group.iloc[[0]][["case_id", "metric", "inputs"]]
+    return head.assign(expected=int(group.e.sum()), actual=int(group.a.sum()), matched=int(matched))
 
 
 def match_calculations(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """(case_id, metric, inputs_key, expected, actual, matched): one-to-one within tolerance.
+    """(case_id, metric, inputs, expected, actual, matched): one-to-one within tolerance.
 
-    expected/actual: case_id, position, metric, inputs map<string,double>, value. Rows are
-    counted by value before anything is matched. A key whose values all agree within
-    tolerance matches by counts alone. Otherwise its values are cut at gaps above the
-    tolerance; a piece that still spans more than the tolerance is matched in order.
+    expected/actual: case_id, position, metric, inputs map<string,double>, value. Inputs
+    come back as entries sorted by name. Rows are counted by value first. The values of a
+    key are then cut at gaps above the tolerance; a piece within the tolerance matches by
+    counts alone, and only a longer chain of close values is matched in order.
     """
-    def counted(df: DataFrame, side: str) -> DataFrame:
-        canonical = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("inputs"))))
-        return df.select("case_id", "metric", canonical.alias("inputs_key"), F.col("value").cast("double").alias("value"), "position").groupBy(
-            "case_id", "metric", "inputs_key", "value"
-        ).agg(F.count("*").alias("n"), F.min("position").cast("long").alias("first"), F.lit(side).alias("side"))
-
-    keys = ["case_id", "metric", "inputs_key"]
-    rows = counted(expected, "e").unionByName(counted(actual, "a"))
-    e_n = F.sum(F.when((F.col("side") == "e"), F.col("n")).otherwise(0))
-    a_n = F.sum(F.when((F.col("side") == "a"), F.col("n")).otherwise(0))
-    totals = rows.groupBy(*keys).agg(
-        e_n.alias("expected"), a_n.alias("actual"), F.min("value").alias("_lo"), F.max("value").alias("_hi"),
-        F.count(F.when(F.col("value").isNull(), 1)).alias("_nulls"),
-    )
-    close = economics.is_close(F.col("_lo"), F.col("_hi"), REL_TOL, ABS_TOL) & (F.col("_nulls") == 0)
-    totals = totals.withColumn("_plain", F.coalesce(close, F.lit(False)))
-    mixed = rows.where(F.col("value").isNotNull()).join(totals.where(~F.col("_plain")).select(*keys), keys, "left_semi")
-    by_value = Window.partitionBy(*keys).orderBy("value")
-    previous = F.lag("value").over(by_value)
-    cut = mixed.withColumn(
-        "_new", F.when(economics.is_close(F.col("value"), previous, REL_TOL, ABS_TOL), 0).otherwise(1)
-    ).withColumn("_piece", F.sum("_new").over(by_value.rangeBetween(Window.unboundedPreceding, 0)))
-    pieces = cut.groupBy(*keys, "_piece").agg(
-        e_n.alias("e"), a_n.alias("a"), F.min("value").alias("_lo"), F.max("value").alias("_hi")
-    ).withColumn("_tight", economics.is_close(F.col("_lo"), F.col("_hi"), REL_TOL, ABS_TOL))
-    tight = pieces.where(F.col("_tight")).select(*keys, F.least("e", "a").alias("matched"))
-    loose = (
-        cut.join(pieces.where(~F.col("_tight")).select(*keys, "_piece"), [*keys, "_piece"], "left_semi")
-        .groupBy(*keys, "_piece").applyInPandas(
-            lambda g: _greedy(g),
-            f"case_id {rows.schema['case_id'].dataType.simpleString()}, metric string, inputs_key string, matched long",
+    def tagged(df: DataFrame, side: str) -> DataFrame:
+        return df.select(
+            "case_id", "metric", F.array_sort(F.map_entries("inputs")).alias("inputs"),
+            F.col("value").cast("double").alias("value"), F.col("position").cast("long").alias("position"),
+            F.lit(side == "e").alias("is_e"),
         )
+
+    keys = ["case_id", "metric", "inputs"]
+    own = F.col("is_e")
+    counted = tagged(expected, "e").unionByName(tagged(actual, "a")).groupBy(*keys, "value").agg(
+        F.count(F.when(own, 1)).alias("e"), F.count(F.when(~own, 1)).alias("a"),
+        F.min(F.when(own, F.col("position"))).alias("e_first"), F.min(F.when(~own, F.col("position"))).alias("a_first"),
     )
-    parts = tight.unionByName(loose).groupBy(*keys).agg(F.sum("matched").alias("_m"))
-    return totals.join(parts, keys, "left").select(
-        *keys, "expected", "actual",
-        F.when(F.col("_plain"), F.least("expected", "actual")).otherwise(F.coalesce("_m", F.lit(0))).alias("matched"),
+    by_value = Window.partitionBy(*keys).orderBy("value")
+    close = economics.is_close(F.col("value"), F.lag("value").over(by_value), REL_TOL, ABS_TOL)
+    cut = counted.withColumn("_new", F.when(close, 0).otherwise(1)).withColumn(
+        "_piece", F.sum("_new").over(by_value.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    whole = Window.partitionBy(*keys, "_piece")
+    tight = economics.is_close(F.min("value").over(whole), F.max("value").over(whole), REL_TOL, ABS_TOL)
+    # A null value matches nothing and forms a piece of its own.
+    cut = cut.withColumn("_tight", F.coalesce(tight, F.lit(True)))
+    known = F.col("value").isNotNull()
+    pieces = cut.where(F.col("_tight")).groupBy(*keys, "_piece").agg(
+        F.sum("e").alias("expected"), F.sum("a").alias("actual"),
+        F.least(F.sum(F.when(known, F.col("e")).otherwise(0)), F.sum(F.when(known, F.col("a")).otherwise(0))).alias("matched"),
+    )
+    kinds = {f.name: f.dataType.simpleString() for f in counted.schema.fields}
+    loose = cut.where(~F.col("_tight")).groupBy(*keys, "_piece").applyInPandas(
+        lambda g: _greedy(g),
+        ", ".join(f"{k} {kinds[k]}" for k in keys) + ", expected long, actual long, matched long",
+    )
+    return pieces.drop("_piece").unionByName(loose).groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in ("expected", "actual", "matched")]
     )
 
 
