@@ -10,7 +10,6 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -203,11 +202,6 @@ def best_per_chunk(
 TOKEN = re.compile(K.TOKEN_PATTERN)
 
 
-@lru_cache(maxsize=200_000)
-def _token_hash(token: str) -> int:
-    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
-
-
 class HashingProvider:
     """Deterministic stand-in for an embedding model: token counts in hashed buckets."""
 
@@ -217,9 +211,13 @@ class HashingProvider:
 
     def embed_texts(self, texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), self.dimensions))
+        buckets: dict[str, int] = {}
         for row, text in enumerate(texts):
             for token, times in Counter(TOKEN.findall(text.lower())).items():
-                out[row, _token_hash(token) % self.dimensions] += times
+                if token not in buckets:
+                    digest = hashlib.md5(token.encode()).hexdigest()
+                    buckets[token] = int(digest[:8], 16) % self.dimensions
+                out[row, buckets[token]] += times
         return out.tolist()
 
 

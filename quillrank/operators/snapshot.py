@@ -61,6 +61,10 @@ def parse_snapshots(df: DataFrame, payload: str = "payload") -> DataFrame:
     for name, kind in SECTIONS.items():
         section = F.try_element_at("_top", F.lit(name))
         parsed = F.coalesce(F.from_json(section, kind), F.from_json(F.lit("{}"), kind))
+        if name == "money_model":
+            parsed = F.struct(
+                *[F.coalesce(parsed[p], F.from_json(F.lit("{}"), POSITION)).alias(p) for p in K.STACK_POSITIONS]
+            )
         if name == "problem":
             parsed = F.struct(
                 parsed["user_goal"].alias("user_goal"),

@@ -35,13 +35,14 @@ def u1(spark, sf):
 
 
 MONTHLY = """m AS (SELECT strftime(o_orderdate, '%Y-%m') AS ym, count(DISTINCT o_custkey) FILTER (o_orderstatus <> 'O') AS buyers, sum(o_totalprice) AS revenue, count(*) AS orders,
-    avg(o_totalprice) AS avg_price, avg((o_orderstatus = 'F')::INT) AS churn FROM orders GROUP BY 1)"""
+    avg(o_totalprice) * 1.0001234567 AS avg_price, avg((o_orderstatus = 'F')::INT) AS churn FROM orders GROUP BY 1)"""
 
 
 def monthly(spark, sf):
+    # The factors keep results away from rounding ties, which engines settle differently.
     return table(spark, sf, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("ym")).agg(
         F.countDistinct(F.when(F.col("o_orderstatus") != "O", F.col("o_custkey"))).alias("buyers"), F.sum("o_totalprice").alias("revenue"),
-        F.count("*").alias("orders"), F.avg("o_totalprice").alias("avg_price"), F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("churn"),
+        F.count("*").alias("orders"), (F.avg("o_totalprice") * 1.0001234567).alias("avg_price"), F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("churn"),
     )
 
 
@@ -49,9 +50,9 @@ def rounded(df):
     return df.select(*[F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-@query("U2_cac", f"WITH {MONTHLY} SELECT ym, round(CASE WHEN buyers > 0 THEN revenue * 0.1 / buyers END, 4) AS cac FROM m")
+@query("U2_cac", f"WITH {MONTHLY} SELECT ym, round(CASE WHEN buyers > 0 THEN revenue * 0.1234567891 / buyers END, 4) AS cac FROM m")
 def u2(spark, sf):
-    return rounded(monthly(spark, sf).select("ym", U.cac(F.col("revenue") * 0.1, F.col("buyers")).alias("cac")))
+    return rounded(monthly(spark, sf).select("ym", U.cac(F.col("revenue") * 0.1234567891, F.col("buyers")).alias("cac")))
 
 
 @query("U3_lifetime_value", f"""WITH {MONTHLY} SELECT ym, round(CASE WHEN churn > 0 THEN avg_price / churn END, 4) AS lifetime_revenue,
@@ -63,11 +64,11 @@ def u3(spark, sf):
     ))
 
 
-@query("U4_ltgp_to_cac", f"WITH {MONTHLY} SELECT ym, round(CASE WHEN buyers > 0 THEN (avg_price / churn * 0.4) / (revenue * 0.1 / buyers) END, 4) AS ratio FROM m WHERE churn > 0")
+@query("U4_ltgp_to_cac", f"WITH {MONTHLY} SELECT ym, round(CASE WHEN buyers > 0 THEN (avg_price / churn * 0.4) / (revenue * 0.1234567891 / buyers) END, 4) AS ratio FROM m WHERE churn > 0")
 def u4(spark, sf):
     m = monthly(spark, sf).where(F.col("churn") > 0)
     ltgp = U.lifetime_gross_profit(F.col("avg_price"), F.col("churn"), F.lit(0.4))
-    return rounded(m.select("ym", U.ltgp_to_cac(ltgp, U.cac(F.col("revenue") * 0.1, F.col("buyers"))).alias("ratio")))
+    return rounded(m.select("ym", U.ltgp_to_cac(ltgp, U.cac(F.col("revenue") * 0.1234567891, F.col("buyers"))).alias("ratio")))
 
 
 @query("U5_payback_months", """
