@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrank import constants as K
-from quillrank import scale
 from quillrank.functions.text import bind, strip, tokens, words
 
 PIECE = "array<struct<text:string,start:int,end:int>>"
@@ -197,7 +196,6 @@ def chunk_documents(
     """
     names = [strategies] if isinstance(strategies, str) else list(strategies)
     body = F.col(text)
-    documents = scale.spread(documents.select(*dict.fromkeys([chapter, *keep, text])))
     if len(names) == 1:
         found, pieces = documents.withColumn("_s", F.lit(names[0])), chunk_array(body, names[0])
     else:

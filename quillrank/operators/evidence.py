@@ -110,11 +110,13 @@ def phrases_in(texts: DataFrame, phrases: DataFrame, key: str, text: str, phrase
     Texts and phrases meet on the phrase's first characters, then the whole phrase is
     checked, so no text is compared with every phrase.
     """
-    lengths = F.least(F.length(phrase), F.lit(GRAM))
+    lengths = F.least(F.length(phrase), F.lit(GRAM)).cast("int")
     heads = phrases.where(F.length(phrase) > 0).select(
         F.col(phrase).alias("_phrase"), lengths.alias("_g"), F.substring(F.col(phrase), F.lit(1), lengths).alias("_gram")
     ).distinct()
-    grams = texts.select(key, F.col(text).alias("_text"), F.explode(F.array(*[F.lit(g) for g in range(1, GRAM + 1)])).alias("_g"))
+    # Texts are cut only to the lengths that some phrase starts with, at most GRAM of them.
+    lengths_used = heads.agg(F.collect_set("_g").alias("g")).scalar()
+    grams = texts.select(key, F.col(text).alias("_text"), F.explode(F.concat(lengths_used, F.array().cast("array<int>"))).alias("_g"))
     grams = grams.where(F.length("_text") >= F.col("_g")).select(
         key, "_text", "_g",
         F.explode(

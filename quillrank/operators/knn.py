@@ -20,7 +20,8 @@ from quillrank import constants as K
 from quillrank import scale
 
 MAX_DRIVER_QUERIES = 4096
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 8192
+SCORES_AT_ONCE = 4_000_000
 TIE_DIGITS = 9
 HIT = "query_id {q}, namespace string, vector_id {v}, score double"
 
@@ -45,8 +46,9 @@ def _match(queries: pd.DataFrame, unit_queries: np.ndarray, vectors: pd.DataFram
     """Best k rows of one block of vectors for every query in the same namespace."""
     if len(vectors) and len(queries) and len(vectors["values"].iloc[0]) != unit_queries.shape[1]:
         raise ValueError("vectors differ in length")
-    out = []
-    # One code per namespace; a null namespace is a namespace of its own.
+    columns = ["query_id", "namespace", "vector_id", "score"]
+    best = pd.DataFrame(columns=columns)
+    # A null namespace is a namespace of its own.
     q_space = queries["namespace"].where(queries["namespace"].notna(), None)
     v_space = vectors["namespace"].where(vectors["namespace"].notna(), None)
     for space in q_space.unique():
@@ -54,25 +56,24 @@ def _match(queries: pd.DataFrame, unit_queries: np.ndarray, vectors: pd.DataFram
         v_at = np.flatnonzero([s == space for s in v_space])
         if not len(v_at):
             continue
-        scores = unit_queries[q_at] @ _unit(list(vectors["values"].iloc[v_at])).T
-        rounded = scores.round(TIE_DIGITS)
-        ids = vectors["vector_id"].to_numpy()[v_at]
-        # Everything at or above the k-th score is kept here; ties are settled below.
-        if len(v_at) > k:
-            floor = np.partition(rounded, len(v_at) - k, axis=1)[:, len(v_at) - k]
-        else:
-            floor = np.full(len(q_at), -np.inf)
-        qi, vi = np.nonzero((rounded >= floor[:, None]) & (scores > 0))
-        out.append(
-            pd.DataFrame(
+        rows = max(k, SCORES_AT_ONCE // len(q_at))
+        for part in (v_at[i : i + rows] for i in range(0, len(v_at), rows)):
+            scores = unit_queries[q_at] @ _unit(list(vectors["values"].iloc[part])).T
+            rounded = scores.round(TIE_DIGITS)
+            # Everything at or above the k-th score is kept here; ties are settled below.
+            if len(part) > k:
+                floor = np.partition(rounded, len(part) - k, axis=1)[:, len(part) - k]
+            else:
+                floor = np.full(len(q_at), -np.inf)
+            qi, vi = np.nonzero((rounded >= floor[:, None]) & (scores > 0))
+            found = pd.DataFrame(
                 {
-                    "query_id": queries["query_id"].to_numpy()[q_at][qi],
-                    "namespace": space, "vector_id": ids[vi], "score": scores[qi, vi],
+                    "query_id": queries["query_id"].to_numpy()[q_at][qi], "namespace": space,
+                    "vector_id": vectors["vector_id"].to_numpy()[part][vi], "score": scores[qi, vi],
                 }
             )
-        )
-    columns = ["query_id", "namespace", "vector_id", "score"]
-    return _best(pd.concat(out), k)[columns] if out else pd.DataFrame(columns=columns)
+            best = _best(pd.concat([best, found]) if len(best) else found, k)[columns]
+    return best
 
 
 def _with_namespace(df: DataFrame, namespace: str | None) -> DataFrame:
@@ -170,8 +171,7 @@ def merge_namespaces(hits: DataFrame, namespaces: DataFrame, k: int) -> DataFram
     sized = joined.join(sizes, "query_id").withColumn("_limit", F.greatest(F.lit(k), F.col("_n") * k))
     order = [scale.score_key("score", TIE_DIGITS), F.col("position"), F.col("_r")]
     return (
-        scale.top_k(sized, ["query_id"], order, 1 << 30)
-        .where(F.col("rank") <= F.col("_limit"))
+        scale.top_n(sized, ["query_id"], order, F.col("_limit"), "vector_id")
         .select("query_id", "namespace", "vector_id", "score", "rank")
     )
 
@@ -246,7 +246,7 @@ def embed(
             frame[out] = vectors
             yield frame
 
-    return scale.spread(df).mapInPandas(run, schema)
+    return df.mapInPandas(run, schema)
 
 
 def embedding_usage(

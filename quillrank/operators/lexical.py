@@ -43,7 +43,7 @@ def _occurrences(chunks: DataFrame, chunk_id: str, text: str, marker: bool, keep
 def postings(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
     """(chunk_id, chunk_len, term, tf) for every term of every chunk."""
     return (
-        _occurrences(scale.spread(chunks.select(chunk_id, text), chunk_id), chunk_id, text, False, ())
+        _occurrences(chunks, chunk_id, text, False, ())
         .groupBy("chunk_id", "chunk_len", "term")
         .agg(F.count("*").alias("tf"))
     )
@@ -64,8 +64,7 @@ def index_rows(
     never by term: a test on the grouping column would be pushed below the exchange and
     keep Spark from reusing it for the statistics.
     """
-    needed = chunks.select(*dict.fromkeys([chunk_id, text, *keep]))
-    rows = _occurrences(scale.spread(needed, chunk_id), chunk_id, text, True, keep)
+    rows = _occurrences(chunks, chunk_id, text, True, keep)
     if vocabulary is not None:
         marker = vocabulary.sparkSession.range(1).select(F.lit(MARKER).alias("term"))
         marked = vocabulary.select("term").unionByName(marker)

@@ -479,8 +479,10 @@ def match_events(cases: DataFrame, events: DataFrame) -> DataFrame:
     """
     size = cases.select("case_id", F.size("expected").alias("_n"))
     candidates = event_candidates(cases, events)
-    order = Window.partitionBy("case_id", "position").orderBy(F.col("score").desc(), F.col("event_index").asc())
-    best = candidates.withColumn("_r", F.row_number().over(order)).join(size, "case_id").where(F.col("_r") <= F.col("_n"))
+    order = [F.col("score").desc(), F.col("event_index").asc()]
+    best = scale.top_n(
+        candidates.join(size, "case_id"), ["case_id", "position"], order, F.col("_n"), "event_index", rank="_r"
+    )
     fields = ("position", "_r", "event_index", "recall", "contract", "turn_match", "executed", "has_chunks")
     gathered = best.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("c"))
     total = events.groupBy("case_id").agg(F.count("*").alias("actual_count"))

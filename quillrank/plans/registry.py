@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillrank import scale
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -22,8 +24,15 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+# Tables with long texts or vectors, and the columns that number their rows.
+HEAVY = {
+    "documents": ("doc_id",), "pages": ("page_id",), "conversations": ("conv_id", "turn"), "embeddings": ("vec_id",),
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return scale.spread(rows, *HEAVY[name]) if name in HEAVY else rows
 
 
 # Pieces of oracle SQL.

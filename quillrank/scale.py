@@ -12,8 +12,12 @@ SALTS = 32
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when df holds at most `rows` rows; reads no more than rows + 1 of them."""
-    return df.limit(rows + 1).count() <= rows
+    """True when df holds at most `rows` rows.
+
+    Spark reads partitions one after the other and stops once it has seen one row too many,
+    so a large table is not scanned for this.
+    """
+    return len(df.select(F.lit(1)).take(rows + 1)) <= rows
 
 
 def join_small_or_salted(
@@ -55,15 +59,36 @@ def top_k(
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
+def top_n(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    n: Column,
+    spread_by: str,
+    rank: str = "rank",
+    salts: int = SALTS,
+) -> DataFrame:
+    """Best n rows per key where n is a column; a frequent key is first cut in `salts` parts."""
+    part = df.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    inner = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    cut = part.withColumn(rank, F.row_number().over(inner)).where(F.col(rank) <= n).drop("_salt", rank)
+    outer = Window.partitionBy(*keys).orderBy(*order)
+    return cut.withColumn(rank, F.row_number().over(outer)).where(F.col(rank) <= n)
+
+
 def score_key(score: str | Column, digits: int = 9) -> Column:
     """Rounded score for ordering, so that summation order cannot decide a tie."""
     col = F.col(score) if isinstance(score, str) else score
     return F.round(col, digits).desc()
 
 
-def spread(df: DataFrame, *by: str) -> DataFrame:
-    """Repartition an input with fewer splits than cores; leave larger inputs as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * cores:
-        return df
-    return df.repartition(cores, *by)
+def spread(table: DataFrame, *by: str) -> DataFrame:
+    """Repartition a table that was read in fewer splits than there are cores.
+
+    Only for tables as read: on a derived frame the count of partitions could run its
+    shuffles. Larger tables, which have many splits, are left as they are.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() >= 2 * cores:
+        return table
+    return table.repartition(cores, *by)
