@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillrank import constants as K
+from quillrank.functions.text import bind
 
 INFINITY = float("inf")
 
@@ -100,69 +101,101 @@ def diagnose(
     """
     first = F.coalesce(first_30, F.lit(0.0))
     monthly = F.coalesce(recurring, F.lit(0.0))
-    ratio = ltgp_to_cac(lifetime_gp, cac_value)
-    level = cfa_level(cac_value, first)
-    payback = payback_months(cac_value, first, monthly)
-    outcome = (
-        F.when(~(cac_value > 0) | cac_value.isNull(), F.lit(None).cast("string"))
-        .when(ratio < 1, "burning")
-        .when(ratio < 3, "below_floor")
-        .when(F.coalesce(service, F.lit(False)) & (margin < 0.8), "thin_service_margin")
-        .when(level == 1, "level_1")
-        .when(payback > 6, "slow_payback")
-        .when(level == 2, "level_2")
-        .otherwise("level_3")
+    measures = F.struct(
+        cac_value.cast("double").alias("cac"), margin.cast("double").alias("margin"),
+        F.coalesce(service, F.lit(False)).alias("service"),
+        ltgp_to_cac(lifetime_gp, cac_value).alias("ratio"), cfa_level(cac_value, first).alias("level"),
+        payback_months(cac_value, first, monthly).alias("payback"),
     )
-    reasons = {
-        "burning": F.format_string("LTGP/CAC is %.2f:1, so each acquired customer burns gross profit.", ratio),
-        "below_floor": F.format_string("LTGP/CAC is %.2f:1, below the 3:1 viability floor.", ratio),
-        "thin_service_margin": F.format_string(
-            "Service gross margin is %.0f%%, below the 80%% rule of thumb.", margin * 100
-        ),
-        "level_1": F.lit(
-            "First-30-day gross profit does not cover CAC, so the model cannot finance "
-            "acquisition inside the first month."
-        ),
-        "slow_payback": F.when(
-            payback == INFINITY,
-            F.lit("Payback is inf months, so cash recycles too slowly even if lifetime economics work."),
-        ).otherwise(
-            F.format_string(
-                "Payback is %.1f months, so cash recycles too slowly even if lifetime economics work.", payback
-            )
-        ),
-        "level_2": F.lit(
-            "The model covers CAC in 30 days but does not yet produce 2x CAC in "
-            "first-30-day gross profit."
-        ),
-        "level_3": F.lit(
-            "First-30-day gross profit is at least 2x CAC, so acquisition is client-financed at Level 3."
-        ),
-    }
 
-    def pick(values: dict[str, Column]) -> Column:
-        out = None
-        for name, col in values.items():
-            out = F.when(outcome == name, col) if out is None else out.when(outcome == name, col)
-        return out
-
-    reached = outcome.isin("level_1", "slow_payback", "level_2", "level_3")
-    table = K.DIAGNOSES
-    return F.struct(
-        pick({n: F.lit(v[0]) for n, v in table.items()}).alias("constraint"),
-        pick({n: F.lit(v[1]) for n, v in table.items()}).alias("tree"),
-        pick({n: F.array(*[F.lit(s) for s in v[2]]) for n, v in table.items()}).alias("sections"),
-        pick(reasons).alias("reason"),
-        pick({n: F.lit(v[3]) for n, v in table.items()}).alias("success_metric"),
-        F.round(ratio, 2).alias("ltgp_to_cac"),
-        F.when(reached, level).alias("cfa_level"),
-        F.when(
-            reached,
-            F.when(payback == INFINITY, F.lit("inf")).otherwise(F.round(payback, 2).cast("string")),
-        ).alias("payback"),
-        F.when(outcome.isNull(), F.lit("diagnose requires economics.cac above zero")).alias("error"),
+    def decide(m: Column) -> Column:
+        return (
+            F.when(~F.coalesce(m["cac"] > 0, F.lit(False)), F.lit(None).cast("string"))
+            .when(m["ratio"] < 1, "burning")
+            .when(m["ratio"] < 3, "below_floor")
+            .when(m["service"] & (m["margin"] < 0.8), "thin_service_margin")
+            .when(m["level"] == 1, "level_1")
+            .when(m["payback"] > 6, "slow_payback")
+            .when(m["level"] == 2, "level_2")
+            .otherwise("level_3")
+        )
+
+    def explain(m: Column, outcome: Column) -> Column:
+        months = F.when(m["payback"] == INFINITY, F.lit("inf")).otherwise(F.format_string("%.1f", m["payback"]))
+        return (
+            F.when(
+                outcome == "burning",
+                F.format_string("LTGP/CAC is %.2f:1, so each acquired customer burns gross profit.", m["ratio"]),
+            )
+            .when(
+                outcome == "below_floor",
+                F.format_string("LTGP/CAC is %.2f:1, below the 3:1 viability floor.", m["ratio"]),
+            )
+            .when(
+                outcome == "thin_service_margin",
+                F.format_string("Service gross margin is %.0f%%, below the 80%% rule of thumb.", m["margin"] * 100),
+            )
+            .when(
+                outcome == "level_1",
+                F.lit(
+                    "First-30-day gross profit does not cover CAC, so the model cannot finance "
+                    "acquisition inside the first month."
+                ),
+            )
+            .when(
+                outcome == "slow_payback",
+                F.concat(
+                    F.lit("Payback is "), months,
+                    F.lit(" months, so cash recycles too slowly even if lifetime economics work."),
+                ),
+            )
+            .when(
+                outcome == "level_2",
+                F.lit(
+                    "The model covers CAC in 30 days but does not yet produce 2x CAC in "
+                    "first-30-day gross profit."
+                ),
+            )
+            .when(
+                outcome == "level_3",
+                F.lit(
+                    "First-30-day gross profit is at least 2x CAC, so acquisition is "
+                    "client-financed at Level 3."
+                ),
+            )
+        )
+
+    table = F.create_map(
+        *[
+            x for name, (constraint, tree, sections, success) in K.DIAGNOSES.items()
+            for x in (
+                F.lit(name),
+                F.struct(
+                    F.lit(constraint).alias("constraint"), F.lit(tree).alias("tree"),
+                    F.array(*[F.lit(s) for s in sections]).alias("sections"), F.lit(success).alias("success_metric"),
+                ),
+            )
+        ]
     )
 
+    def build(x: Column) -> Column:
+        m, outcome, text = x["m"], x["outcome"], x["text"]
+        reached = outcome.isin("level_1", "slow_payback", "level_2", "level_3")
+        shown = F.when(m["payback"] == INFINITY, F.lit("inf")).otherwise(F.round(m["payback"], 2).cast("string"))
+        return F.struct(
+            text["constraint"].alias("constraint"), text["tree"].alias("tree"), text["sections"].alias("sections"),
+            explain(m, outcome).alias("reason"), text["success_metric"].alias("success_metric"),
+            F.round(m["ratio"], 2).alias("ltgp_to_cac"), F.when(reached, m["level"]).alias("cfa_level"),
+            F.when(reached, shown).alias("payback"),
+            F.when(outcome.isNull(), F.lit("diagnose requires economics.cac above zero")).alias("error"),
+        )
+
+    def look_up(x: Column) -> Column:
+        text = F.try_element_at(table, F.coalesce(x["outcome"], F.lit("")))
+        return bind(F.struct(x["m"].alias("m"), x["outcome"].alias("outcome"), text.alias("text")), build)
+
+    return bind(measures, lambda m: bind(F.struct(m.alias("m"), decide(m).alias("outcome")), look_up))
+
 
 def is_close(a: Column, b: Column, rel: float, abs_tol: float = 1e-9) -> Column:
     bound = F.greatest(F.lit(rel) * F.greatest(F.abs(a), F.abs(b)), F.lit(abs_tol))

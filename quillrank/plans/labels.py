@@ -20,6 +20,7 @@ from quillrank.operators.quantiles import quantiles
 from quillrank.plans.registry import query, sql_tokens, sql_words, table
 from quillrank.plans.retrieval import bench, bm25, dense, docs, sql_bm25, sql_dense
 from quillrank.plans.text import _sql_numbers
+from quillrank.session import stored
 
 
 def labels(spark, sf):
@@ -49,7 +50,9 @@ ALT = sql_bm25(5, k1=0.4, b=0.3, name="alt")
            CASE WHEN toxic = 1 THEN 'model_comparison' WHEN quality IS NOT NULL THEN 'semantic_adjudication' ELSE 'span_transfer' END AS label_source
     FROM lex JOIN documents d ON d.doc_id = chunk_id LEFT JOIN labels l ON l.doc_id = chunk_id""")
 def j1(spark, sf):
-    pairs = bm25(spark, sf, 10).select(F.lit("bm25").alias("strategy"), F.col("query_id").alias("case_id"), "chunk_id", "rank")
+    pairs = stored(
+        bm25(spark, sf, 10).select(F.lit("bm25").alias("strategy"), F.col("query_id").alias("case_id"), "chunk_id", "rank"), "pairs"
+    )
     judged = pairs.join(labels(spark, sf), "chunk_id")
     moved = pairs.join(docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), (F.col("lang") == "en").alias("useful")), "chunk_id")
     done = J.adjudicate(
@@ -144,7 +147,7 @@ def j5(spark, sf):
     def pairs(df):
         return df.select(F.col("query_id").alias("case_id"), "chunk_id")
 
-    other = pairs(alt(spark, sf))
+    other = stored(pairs(alt(spark, sf)), "pairs")
     reviewed = other.join(labels(spark, sf), "chunk_id").withColumn("useful", F.col("quality") == 1)
     old = other.join(docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), (F.col("lang") == "en").alias("useful")), "chunk_id")
     return J.audit_novel(J.novel_pairs(pairs(bm25(spark, sf)), other, reviewed, old))
@@ -239,8 +242,8 @@ def case_rows(spark, sf):
         F.count(F.when(F.col("quality") == 1, 1)).alias("useful_count"), F.sum("n").alias("words"),
     )
     timed = table(spark, sf, "events").select(F.col("event_id").alias("query_id"), F.col("value").alias("latency_ms"))
-    return rows.join(timed, "query_id").withColumn(
-        "error", F.when(F.col("query_id") % 4 == 0, "cli_timeout")
+    return stored(
+        rows.join(timed, "query_id").withColumn("error", F.when(F.col("query_id") % 4 == 0, "cli_timeout")), "cases"
     )
 
 
@@ -294,7 +297,8 @@ def judged_pool(spark, sf):
         rows = part.select(F.lit(name).alias("variant"), "query_id", "chunk_id", "rank", "score")
         found = rows if found is None else found.unionByName(rows)
     grades = labels(spark, sf).select("chunk_id", (F.col("quality") + F.col("toxic")).alias("relevance"))
-    return M.build_pool(found).join(grades, "chunk_id", "left")
+    # A judged pool is an artifact of its own: it is kept, then labelled and scored.
+    return stored(M.build_pool(found).join(grades, "chunk_id", "left"), "pool")
 
 
 POOL = f"""{sql_bm25(10)}, {sql_bm25(10, k1=0.4, b=0.3, name='alt')},
@@ -402,7 +406,7 @@ COVERAGE = f"""{sql_bm25(5)},
 
 def coverage(spark, sf):
     d = docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("chapter"), "text")
-    found = bm25(spark, sf).join(d.select("chunk_id", "chapter"), "chunk_id")
+    found = stored(bm25(spark, sf).join(d.select("chunk_id", "chapter"), "chunk_id"), "found")
     return E.term_coverage(found, d.select("chunk_id", "text"), evidence_cases(spark, sf))
 
 
@@ -601,7 +605,7 @@ def m21(spark, sf):
     fr AS (SELECT variant, query_id, min(rank) FILTER (source = 'src' || (query_id % 20)) AS first_rank FROM every JOIN documents ON doc_id = chunk_id GROUP BY ALL)
     SELECT variant, {HITS} FROM fr GROUP BY variant""")
 def m22(spark, sf):
-    lex, den = bm25(spark, sf, 20), dense(spark, sf, 20)
+    lex, den = stored(bm25(spark, sf, 20), "lexical"), stored(dense(spark, sf, 20), "dense")
     parts = {"bm25": lex, "bm25-flat": alt(spark, sf, 20), "dense": den, "hybrid": R.fuse(R.stack(lex, den), 20)}
     rows = None
     for name, part in parts.items():
@@ -622,7 +626,9 @@ def m22(spark, sf):
     FROM cs LEFT JOIN r USING (case_id)""")
 def m23(spark, sf):
     info = docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), F.array("lang", "source").alias("subjects"))
-    found = bm25(spark, sf, 10).join(info, "chunk_id").select(F.col("query_id").alias("case_id"), "chunk_id", "rank", "subjects")
+    found = stored(
+        bm25(spark, sf, 10).join(info, "chunk_id").select(F.col("query_id").alias("case_id"), "chunk_id", "rank", "subjects"), "found"
+    )
     good = found.join(labels(spark, sf).where(F.col("quality") == 1), "chunk_id").groupBy("case_id").agg(F.collect_list("chunk_id").alias("useful"))
     none = F.array().cast("array<bigint>")
     spaces = F.array(F.array().cast("array<string>"), F.array(F.lit("a"), F.lit("a"), F.lit("b")))
@@ -708,7 +714,7 @@ def o2(spark, sf):
     SELECT *, 'both' AS side FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT *, 'first' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
     UNION ALL SELECT *, 'second' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
 def o3(spark, sf):
-    a, b = (d.select("query_id", "chunk_id") for d in (bm25(spark, sf), alt(spark, sf)))
+    a, b = (stored(d.select("query_id", "chunk_id"), "pairs") for d in (bm25(spark, sf), alt(spark, sf)))
     sides = (("both", a.intersect(b)), ("first", a.exceptAll(b)), ("second", b.exceptAll(a)))
     out = None
     for name, df in sides:

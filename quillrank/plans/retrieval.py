@@ -16,7 +16,7 @@ from quillrank.operators import knn as V
 from quillrank.operators import lexical as L
 from quillrank.plans.registry import query, sql_tokens, table
 from quillrank.plans.text import sql_windows
-from quillrank.session import scratch
+from quillrank.session import scratch, stored
 from quillrank.sources import vectors as SV
 
 DIMS = 32
@@ -407,7 +407,7 @@ def sql_fused(order: str, k: int) -> str:
 
 
 def lists(spark, sf):
-    return R.stack(bm25(spark, sf, 25), dense(spark, sf, 25))
+    return stored(R.stack(bm25(spark, sf, 25), dense(spark, sf, 25)), "lists")
 
 
 @query("F1_hybrid_rrf", f"{sql_fused('s, r', 5)} SELECT {TOP} FROM top")
@@ -446,8 +446,10 @@ def variants(spark, sf):
 
 def variant_results(spark, sf):
     found = L.search(docs(spark, sf), variants(spark, sf), 5, chunk_id="doc_id")
-    return found.select(
-        F.floor(F.col("query_id") / 10).alias("case_id"), "chunk_id", "rank", (F.col("query_id") % 10).alias("source")
+    return stored(
+        found.select(
+            F.floor(F.col("query_id") / 10).alias("case_id"), "chunk_id", "rank", (F.col("query_id") % 10).alias("source")
+        ), "lists",
     )
 
 
