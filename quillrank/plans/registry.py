@@ -24,15 +24,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-# Tables with long texts or vectors, and the columns that number their rows.
-HEAVY = {
-    "documents": ("doc_id",), "pages": ("page_id",), "conversations": ("conv_id", "turn"), "embeddings": ("vec_id",),
-}
+# Tables with long texts or vectors, whose rows are worth spreading over all cores.
+HEAVY = ("documents", "pages", "conversations", "embeddings")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return scale.spread(rows, *HEAVY[name]) if name in HEAVY else rows
+    return scale.spread(rows) if name in HEAVY else rows
 
 
 # Pieces of oracle SQL.

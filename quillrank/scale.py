@@ -82,13 +82,15 @@ def score_key(score: str | Column, digits: int = 9) -> Column:
     return F.round(col, digits).desc()
 
 
-def spread(table: DataFrame, *by: str) -> DataFrame:
+def spread(table: DataFrame) -> DataFrame:
     """Repartition a table that was read in fewer splits than there are cores.
 
     Only for tables as read: on a derived frame the count of partitions could run its
-    shuffles. Larger tables, which have many splits, are left as they are.
+    shuffles. Larger tables, which have many splits, are left as they are. Rows are dealt
+    round-robin: hashing them by a key would make Spark drop later exchanges on that key,
+    which branches of one query share.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
     if table.rdd.getNumPartitions() >= 2 * cores:
         return table
-    return table.repartition(cores, *by)
+    return table.repartition(cores)
