@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillrank import constants as K
 from quillrank import scale
-from quillrank.functions.text import content_tokens, normalize_numbers, strip, token_text, tokens
+from quillrank.functions.text import bind, content_tokens, normalize_numbers, strip, token_text, tokens
 
 
 def term_coverage(results: DataFrame, texts: DataFrame, cases: DataFrame) -> DataFrame:
@@ -104,6 +104,14 @@ def chapters_with_all_tokens(terms: DataFrame, documents: DataFrame) -> DataFram
 GRAM = 4
 
 
+def _grams(chars: Column, size: Column) -> Column:
+    """Distinct runs of `size` neighbouring characters."""
+    runs = F.transform(
+        F.sequence(F.lit(1), F.size(chars) - size + 1), lambda i: F.array_join(F.slice(chars, i, size), "")
+    )
+    return F.array_distinct(runs)
+
+
 def phrases_in(texts: DataFrame, phrases: DataFrame, key: str, text: str, phrase: str) -> DataFrame:
     """Pairs (key, phrase) where the phrase occurs anywhere in the text, also inside words.
 
@@ -119,14 +127,7 @@ def phrases_in(texts: DataFrame, phrases: DataFrame, key: str, text: str, phrase
     grams = texts.select(key, F.col(text).alias("_text"), F.explode(F.concat(lengths_used, F.array().cast("array<int>"))).alias("_g"))
     grams = grams.where(F.length("_text") >= F.col("_g")).select(
         key, "_text", "_g",
-        F.explode(
-            F.array_distinct(
-                F.transform(
-                    F.sequence(F.lit(1), F.length("_text") - F.col("_g") + 1),
-                    lambda i: F.substring(F.col("_text"), i, F.col("_g")),
-                )
-            )
-        ).alias("_gram"),
+        F.explode(bind(F.split("_text", ""), lambda chars: _grams(chars, F.col("_g")))).alias("_gram"),
     )
     met = scale.join_small_or_salted(grams, heads, ["_g", "_gram"], key)
     return met.where(F.contains("_text", F.col("_phrase"))).select(key, F.col("_phrase").alias("phrase")).distinct()
