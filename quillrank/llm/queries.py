@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.llm import licenses, neardup, packing, sharding
+from quillrank.llm import covertree, licenses, neardup, packing, sharding
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.scan(read(spark, sf_dir, "documents")))
 
 
+def op4_cover_tree_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(read(spark, sf_dir, "documents")))
 
@@ -37,5 +41,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_license_scan, op7_packing, op8_sharding)}
+QUERIES = {f.__name__: f for f in (
+    op1_minhash_near_dedup, op3_license_scan, op4_cover_tree_near_dedup, op7_packing, op8_sharding,
+)}
 ORACLES: dict[str, str] = {}
