@@ -1,21 +1,46 @@
-"""Corpus pipeline: documents in, packed sequences out. Each stage is written before the next reads it."""
+"""Corpus pipeline: documents in, packed sequences out. Each stage is written before the next reads it.
+
+Stages: drop documents of low quality, drop toxic ones, keep one document of each group of near
+duplicates, pack what is left. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillrank.llm import packing
+from quillrank.llm import neardup, packing, quality, toxicity
 from quillrank.session import scratch
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    scored = quality.classify(docs)
+    return scored.where(F.col("quality_score") >= quality.THRESHOLD).select(docs.columns)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the toxicity threshold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.score(docs, labels)
+    return scored.where(F.col("toxicity") < toxicity.THRESHOLD).select(docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of each group of near duplicates (five words, 0.8)."""
+    return neardup.representatives(docs)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of power-of-two lengths from the documents that are left."""
     return packing.digest(packing.pack(docs))
 
 
-STAGES = [("packing", packed)]
+STAGES = [
+    ("quality classifier", good_quality), ("toxicity", not_toxic), ("near-dedup", one_of_each), ("packing", packed),
+]
 
-# Classifier and tokenizer are no SQL; tests compare the stages with brute force.
+# Classifiers and tokenizer are no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

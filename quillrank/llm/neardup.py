@@ -241,15 +241,11 @@ def _region_links(members: DataFrame, sets: DataFrame, roots: DataFrame, percent
     return rows.mapInArrow(run, "low long, high long")
 
 
-def near_duplicates(
-    docs: DataFrame,
-    *,
-    k: int = 5,
-    percent: int = 80,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """Per row of `docs`: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
+def _resolved(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash, n, set_key), and sets (set_key, source, component_id, first) with words.
+
+    `source` is the smallest document of a set, `first` the smallest of the whole component.
+    """
     rows = stored(signatures(docs, k, id_col, text_col), "signatures")
     # One node per distinct set; the ids are written, so that later steps see the same ones.
     nodes = stored(
@@ -271,14 +267,51 @@ def near_duplicates(
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     tied = (
-        nodes.select("node", "set_key", "least_id").join(roots, "node", "left")
-        .select("set_key", F.coalesce("root", "node").alias("root"), "least_id")
+        nodes.select("node", "set_key", "source", "least_id").join(roots, "node", "left")
+        .withColumn("root", F.coalesce("root", "node"))
     )
-    least = tied.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    tied = tied.join(least, "root").select("set_key", "component_id")
-    return rows.select("doc_id", "n", "set_key").join(tied, "set_key", "left").select(
+    least = tied.groupBy("root").agg(F.min("least_id").alias("component_id"), F.min("source").alias("first"))
+    return rows.select("doc_id", "text_hash", "n", "set_key"), tied.join(least, "root").select(
+        "set_key", "source", "component_id", "first"
+    )
+
+
+def near_duplicates(
+    docs: DataFrame,
+    *,
+    k: int = 5,
+    percent: int = 80,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """Per row of `docs`: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
+    rows, sets = _resolved(docs, k, percent, id_col, text_col)
+    return rows.join(sets.select("set_key", "component_id"), "set_key", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(False)).alias("kept"),
     )
+
+
+def representatives(
+    docs: DataFrame,
+    *,
+    k: int = 5,
+    percent: int = 80,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """`docs` with one row of each component, that of the smallest doc_id; all rows without words stay."""
+    _, sets = _resolved(docs, k, percent, id_col, text_col)
+    # A null doc_id may share a key with 0 only where the texts are equal, that is, in one component.
+    first = sets.select(
+        F.coalesce("first.doc_id", F.lit(0)).cast("long").alias("__id"), F.col("first.text_hash").alias("__hash")
+    ).distinct()
+    text = F.col(text_col).cast("string")
+    worded = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.where(worded).withColumns(
+        {"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "__hash": F.xxhash64(text)}
+    )
+    kept = keyed.join(first, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"])
+    return kept.select(docs.columns).unionByName(docs.where(~worded))

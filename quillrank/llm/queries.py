@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.llm import covertree, licenses, neardup, packing, sharding
+from quillrank.llm import covertree, licenses, neardup, packing, quality, sharding, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +24,16 @@ def op4_cover_tree_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.classify(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select(
+        "doc_id",
+        F.col("quality_score").alias("score"),
+        F.col("quality_posterior").alias("posterior"),
+        (F.col("quality_score") >= quality.THRESHOLD).cast("int").alias("quality"),
+    )
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(read(spark, sf_dir, "documents")))
 
@@ -41,7 +51,18 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, read(spark, sf_dir, "labels")).select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_minhash_near_dedup, op3_license_scan, op4_cover_tree_near_dedup, op7_packing, op8_sharding,
+    op1_minhash_near_dedup, op3_license_scan, op4_cover_tree_near_dedup, op5_quality_classifier,
+    op7_packing, op8_sharding, op9_toxicity,
 )}
 ORACLES: dict[str, str] = {}
