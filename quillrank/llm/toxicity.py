@@ -251,7 +251,7 @@ class Index:
         votes = np.array([self.vote(v, k, i)[0] for i, v in enumerate(kept)])
         order = np.argsort(votes, kind="stable")
         pools: list[list[float]] = []  # sum of votes, toxic, rows
-        for part in np.array_split(order, min(BINS, max(1, len(kept) // 20))) if len(kept) else []:
+        for part in np.array_split(order, min(BINS, max(1, len(kept) // 6))) if len(kept) else []:
             pools.append([votes[part].sum(), self.toxic[part].sum(), len(part)])
             while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
                 last = pools.pop()
