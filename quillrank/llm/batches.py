@@ -16,17 +16,19 @@ WORD_TABLE = bytes(
 )
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: int | str = 0) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches whose column `text` has about SLICE_BYTES at most (one row at least)."""
+def slices(
+    batches: Iterator[pa.RecordBatch], text: int | str = 0, size: int = SLICE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose column `text` has about `size` bytes at most (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        each = max(1, SLICE_BYTES * batch.num_rows // max(1, batch.column(text).nbytes))
+        each = max(1, size * batch.num_rows // max(1, batch.column(text).nbytes))
         start = 0
         while start < batch.num_rows:
             part = batch.slice(start, each)
             lengths = pc.binary_length(part.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
-            rows = max(1, int((lengths.cumsum() <= 2 * SLICE_BYTES).sum()))
+            rows = max(1, int((lengths.cumsum() <= 2 * size).sum()))
             yield part.slice(0, rows)
             start += min(rows, part.num_rows)
 

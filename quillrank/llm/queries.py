@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.llm import covertree, licenses, neardup, packing, quality, sharding, toxicity
+from quillrank.llm import covertree, licenses, mixing, neardup, packing, quality, segmentation, sharding, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score(read(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(read(spark, sf_dir, "documents")))
 
@@ -61,8 +65,19 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_sampled_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return segmentation.decode(segmentation.encode(docs)).select(
+        "doc_id",
+        (F.octet_length("piece_ids") / 4).cast("long").alias("n_pieces"),
+        F.crc32("piece_ids").alias("piece_ids_crc32"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
+    )
+
+
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op3_license_scan, op4_cover_tree_near_dedup, op5_quality_classifier,
-    op7_packing, op8_sharding, op9_toxicity,
+    op6_context_mixing, op7_packing, op8_sharding, op9_toxicity, op10_sampled_segmentation,
 )}
 ORACLES: dict[str, str] = {}
