@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.llm import covertree, licenses, mixing, neardup, packing, quality, segmentation, sharding, toxicity
+from quillrank.llm import covertree, fingerprints, licenses, mixing, neardup, packing, quality, segmentation, sharding, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op2_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(fingerprints.fingerprint(read(spark, sf_dir, "documents")))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.scan(read(spark, sf_dir, "documents")))
 
@@ -77,7 +81,7 @@ def op10_sampled_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_minhash_near_dedup, op3_license_scan, op4_cover_tree_near_dedup, op5_quality_classifier,
+    op1_minhash_near_dedup, op2_imatch_fingerprints, op3_license_scan, op4_cover_tree_near_dedup, op5_quality_classifier,
     op6_context_mixing, op7_packing, op8_sharding, op9_toxicity, op10_sampled_segmentation,
 )}
 ORACLES: dict[str, str] = {}
