@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 BUCKET_BITS = 18
 LOW, HIGH = 0.002, 0.25
-CHAINS, HALVINGS = 4, 6
+CHAINS, HALVINGS = 4, 10
 BLOCK_ROWS = 1024
 MAX_BLOCKS = 1 << 15
 
