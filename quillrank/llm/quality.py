@@ -7,8 +7,8 @@ each labeller's chance of each vote on junk and on clean texts, without any give
 posterior of a text's votes is its training label.
 
 A linear scorer on hashed features (shapes of words, pairs of them, and steps of the
-labellers' measures) is fitted to posteriors of a bounded sample, at most TRAIN_DOCS documents
-in order of a hash of their text. Then every text is scored in one pass; nothing but the counts
+labellers' measures) is fitted to posteriors of a bounded sample, at most TRAIN_DOCS texts in
+order of a hash. Then every text is scored in one pass; nothing but the counts
 of votes is shuffled.
 
 Null and empty texts score 0. Texts that no labeller votes on follow the scorer alone. Equal
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillrank.llm import batches
+from quillrank.llm.sampling import sample_texts
 
 TRAIN_DOCS = 8_000
 BUCKETS = 1 << 14
@@ -197,8 +198,7 @@ def fit(docs: DataFrame, text_col: str = "text", limit: int = TRAIN_DOCS) -> tup
             )
 
     text = _text(docs, text_col)
-    sample = text.orderBy(F.xxhash64("text"), "text").limit(limit)
-    rows = sample.mapInArrow(run, "at array<long>, x array<double>, junk double").collect()
+    rows = sample_texts(text, limit).mapInArrow(run, "at array<long>, x array<double>, junk double").collect()
     vectors = [(np.array(r["at"], np.int64), np.array(r["x"])) for r in rows]
     return share, chance, fit_scorer(vectors, 1 - np.array([r.junk for r in rows]))
 
