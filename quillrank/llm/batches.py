@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Rows with long texts are taken in slices of about this many bytes, whatever a batch holds.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 # Upper case to lower case for A-Z; everything outside letters and digits of ASCII to a space.
 WORD_TABLE = bytes(

@@ -38,7 +38,7 @@ BUCKETS = 1 << 14
 EPOCHS = 30
 ROUNDS = 100
 THRESHOLD = 0.5
-MEMO = 200_000
+MEMO = 50_000
 LABELLERS = ("symbols", "capitals", "repeats", "separators", "sentences", "variety", "lines")
 # Measures at which a labeller votes junk (first) or clean (second); between them it abstains.
 RULES = {

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
 CHUNK = 1 << 13
 
 

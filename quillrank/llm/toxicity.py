@@ -46,7 +46,7 @@ PREFIXES = range(4, 9)  # bytes of a word's beginning
 LEVELS = (2, 4)  # counts of a beginning that are terms of their own
 BINS = 12
 THRESHOLD = 0.7
-MEMO = 100_000
+MEMO_WORDS, MEMO_VECTORS = 50_000, 5_000  # what a task remembers at most
 
 
 def held_out(doc_id: Column) -> Column:
@@ -82,7 +82,7 @@ class Terms:
 
     def _parts(self, word: bytes) -> tuple[bool, tuple[bytes, ...]]:
         if word not in self.memo:
-            if len(self.memo) >= MEMO:
+            if len(self.memo) >= MEMO_WORDS:
                 self.memo.clear()
             begins = (word[:n] for n in PREFIXES if n < len(word))
             self.memo[word] = (
@@ -115,7 +115,8 @@ def _evidence(rows: DataFrame, known: frozenset[bytes] | None = None) -> DataFra
         import xxhash
 
         of = Terms(known).of
-        for part in batches.slices(parts, 1):
+        # A text has some thousand terms, so few texts at a time.
+        for part in batches.slices(parts, 1, 512 << 10):
             terms, groups = [], []
             for text in batches.byte_texts(part.column(1)):
                 own = [b"", *of(text)]
@@ -309,7 +310,7 @@ def score(
             for text in batches.byte_texts(part.column(at)):
                 vector = index.vector(text, terms)
                 if vector not in memo:
-                    if len(memo) >= MEMO:
+                    if len(memo) >= MEMO_VECTORS:
                         memo.clear()
                     value, ids, cosines = index.score(vector, k)
                     best = np.lexsort((ids, -cosines))[:evidence]
