@@ -94,7 +94,7 @@ def chapters_with_all_tokens(terms: DataFrame, documents: DataFrame) -> DataFram
     held = documents.select(
         "chapter", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")
     )
-    met = scale.join_small_or_salted(held, parts, ["token"], "chapter")
+    met = scale.join_sized(held, parts, ["token"])
     full = met.groupBy("term", "chapter", "_need").agg(F.count("*").alias("_got")).where(
         F.col("_got") == F.col("_need")
     )
@@ -129,7 +129,7 @@ def phrases_in(texts: DataFrame, phrases: DataFrame, key: str, text: str, phrase
         key, "_text", "_g",
         F.explode(bind(F.split("_text", ""), lambda chars: _grams(chars, F.col("_g")))).alias("_gram"),
     )
-    met = scale.join_small_or_salted(grams, heads, ["_g", "_gram"], key)
+    met = scale.join_sized(grams, heads, ["_g", "_gram"])
     return met.where(F.contains("_text", F.col("_phrase"))).select(key, F.col("_phrase").alias("phrase")).distinct()
 
 
@@ -145,7 +145,7 @@ def query_realism(queries: DataFrame, chapters: DataFrame) -> DataFrame:
     parts = names.select("chapter", F.size("_t").alias("_n"), F.explode("_t").alias("token"))
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("token"))
     overlap = (
-        scale.join_small_or_salted(asked, parts, ["token"], "query_id")
+        scale.join_sized(asked, parts, ["token"])
         .groupBy("query_id", "chapter", "_n").agg((F.count("*") / F.col("_n")).alias("overlap"))
     )
     best = overlap.groupBy("query_id").agg(

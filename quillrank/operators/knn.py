@@ -19,11 +19,9 @@ from pyspark.sql import functions as F
 from quillrank import constants as K
 from quillrank import scale
 
-MAX_DRIVER_QUERIES = 4096
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 4096
 SCORES_AT_ONCE = 4_000_000
 TIE_DIGITS = 9
-HIT = "query_id {q}, namespace string, vector_id {v}, score double"
 
 
 def _unit(rows: Sequence) -> np.ndarray:
@@ -35,45 +33,56 @@ def _unit(rows: Sequence) -> np.ndarray:
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
 
-def _best(block: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Best k rows per query and namespace, ties by vector id."""
-    keyed = block.assign(_s=-block["score"].round(TIE_DIGITS)).sort_values(["_s", "vector_id"])
-    kept = keyed.groupby(["query_id", "namespace"], dropna=False, sort=False).head(k)
-    return kept.drop(columns="_s")
+def _blocks(df: DataFrame, row_id: str, prefix: str) -> DataFrame:
+    """Blocks of at most BLOCK_ROWS unit vectors of one namespace, gathered where the rows are."""
+    kind = df.schema[row_id].dataType.simpleString()
 
-
-def _match(queries: pd.DataFrame, unit_queries: np.ndarray, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Best k rows of one block of vectors for every query in the same namespace."""
-    if len(vectors) and len(queries) and len(vectors["values"].iloc[0]) != unit_queries.shape[1]:
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            # A null namespace is a namespace of its own.
+            codes, spaces = pd.factorize(frame["namespace"], use_na_sentinel=False)
+            order = np.argsort(codes, kind="stable")
+            cuts = np.flatnonzero(np.diff(codes[order])) + 1
+            for rows in np.split(order, cuts) if len(order) else []:
+                space = spaces[codes[rows[0]]]
+                for part in (rows[i : i + BLOCK_ROWS] for i in range(0, len(rows), BLOCK_ROWS)):
+                    unit = _unit(list(frame["values"].iloc[part]))
+                    yield pd.DataFrame(
+                        {
+                            f"{prefix}_space": [None if pd.isna(space) else space],
+                            f"{prefix}_ids": [frame[row_id].to_numpy()[part].tolist()],
+                            f"{prefix}_dim": [unit.shape[1]], f"{prefix}_block": [unit.tobytes()],
+                        }
+                    )
+
+    schema = f"{prefix}_space string, {prefix}_ids array<{kind}>, {prefix}_dim int, {prefix}_block binary"
+    return df.select(row_id, "namespace", "values").mapInPandas(run, schema)
+
+
+def _best_of(pair) -> pd.DataFrame:
+    """Best rows of one block of vectors for each query of one block; ties at the last place are kept."""
+    if pair.v_dim != pair.q_dim:
         raise ValueError("vectors differ in length")
-    columns = ["query_id", "namespace", "vector_id", "score"]
-    best = pd.DataFrame(columns=columns)
-    # A null namespace is a namespace of its own.
-    q_space = queries["namespace"].where(queries["namespace"].notna(), None)
-    v_space = vectors["namespace"].where(vectors["namespace"].notna(), None)
-    for space in q_space.unique():
-        q_at = np.flatnonzero([s == space for s in q_space])
-        v_at = np.flatnonzero([s == space for s in v_space])
-        if not len(v_at):
-            continue
-        rows = max(k, SCORES_AT_ONCE // len(q_at))
-        for part in (v_at[i : i + rows] for i in range(0, len(v_at), rows)):
-            scores = unit_queries[q_at] @ _unit(list(vectors["values"].iloc[part])).T
-            rounded = scores.round(TIE_DIGITS)
-            # Everything at or above the k-th score is kept here; ties are settled below.
-            if len(part) > k:
-                floor = np.partition(rounded, len(part) - k, axis=1)[:, len(part) - k]
-            else:
-                floor = np.full(len(q_at), -np.inf)
-            qi, vi = np.nonzero((rounded >= floor[:, None]) & (scores > 0))
-            found = pd.DataFrame(
-                {
-                    "query_id": queries["query_id"].to_numpy()[q_at][qi], "namespace": space,
-                    "vector_id": vectors["vector_id"].to_numpy()[part][vi], "score": scores[qi, vi],
-                }
-            )
-            best = _best(pd.concat([best, found]) if len(best) else found, k)[columns]
-    return best
+    vectors = np.frombuffer(pair.v_block).reshape(-1, pair.v_dim)
+    queries = np.frombuffer(pair.q_block).reshape(-1, pair.q_dim)
+    found = []
+    step = max(1, SCORES_AT_ONCE // max(1, len(vectors)))
+    for at in range(0, len(queries), step):
+        scores = queries[at : at + step] @ vectors.T
+        rounded = scores.round(TIE_DIGITS)
+        if len(vectors) > pair.k:
+            floor = np.partition(rounded, len(vectors) - pair.k, axis=1)[:, len(vectors) - pair.k]
+        else:
+            floor = np.full(len(scores), -np.inf)
+        q, v = np.nonzero((rounded >= floor[:, None]) & (scores > 0))
+        found.append((q + at, v, scores[q, v]))
+    q, v, score = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pd.DataFrame(
+        {
+            "query_id": pd.Series(pair.q_ids)[q].to_numpy(), "namespace": pair.v_space,
+            "vector_id": pd.Series(pair.v_ids)[v].to_numpy(), "score": score,
+        }
+    )
 
 
 def _with_namespace(df: DataFrame, namespace: str | None) -> DataFrame:
@@ -91,14 +100,19 @@ def nearest(
     query_values: str = "values",
     namespace: str | None = None,
     query_namespace: str | None = None,
-    max_driver_queries: int = MAX_DRIVER_QUERIES,
+    broadcast: bool = True,
 ) -> DataFrame:
     """Top k per query and namespace with score > 0: query_id, namespace, vector_id, score, rank.
 
     A query sees only vectors of its own namespace; without namespace columns both sides
     use the null namespace. Filter `vectors` first for metadata conditions, so that they
-    reach the scan. Up to `max_driver_queries` queries travel to the tasks with the code;
-    larger query tables are matched block against block through a shuffle.
+    reach the scan.
+
+    Both sides become blocks in the tasks that read them, and blocks of one namespace are
+    joined: one plan for any number of queries. The query blocks are broadcast when the
+    optimizer's byte estimate allows it, and then no vector moves; else blocks are shuffled by
+    namespace, and a hot namespace is split. A block pair costs far more arithmetic than
+    transport, and only the best k rows per query leave it.
     """
     v = _with_namespace(vectors, namespace).select(
         F.col(vector_id).alias("vector_id"), "namespace", F.col(values).cast("array<double>").alias("values")
@@ -106,54 +120,25 @@ def nearest(
     q = _with_namespace(queries, query_namespace).select(
         F.col(query_id).alias("query_id"), "namespace", F.col(query_values).cast("array<double>").alias("values")
     )
-    schema = HIT.format(
-        q=q.schema["query_id"].dataType.simpleString(), v=v.schema["vector_id"].dataType.simpleString()
-    )
-    few = q.limit(max_driver_queries + 1).toPandas()
-    if len(few) <= max_driver_queries:
-        hits = _nearest_small(v, few, k, schema)
-    else:
-        hits = _nearest_blocks(v, q, k, schema)
-    order = [scale.score_key("score", TIE_DIGITS), F.col("vector_id").asc()]
-    return scale.top_k(hits, ["query_id", "namespace"], order, k)
-
-
-def _nearest_small(vectors: DataFrame, queries: pd.DataFrame, k: int, schema: str) -> DataFrame:
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not len(queries):
-            return
-        unit_queries = _unit(list(queries["values"]))
-        best: pd.DataFrame | None = None
-        for batch in batches:
-            found = _match(queries, unit_queries, batch, k)
-            best = found if best is None or not len(best) else _best(pd.concat([best, found]), k)
-        if best is not None and len(best):
-            yield best
-
-    return vectors.mapInPandas(run, schema)
-
-
-def _nearest_blocks(vectors: DataFrame, queries: DataFrame, k: int, schema: str) -> DataFrame:
-    """Every vector block meets every query block in one task of bounded size."""
-    v_blocks = max(1, -(-vectors.count() // BLOCK_ROWS))
-    q_blocks = max(1, -(-queries.count() // BLOCK_ROWS))
-
-    def every(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = vectors.withColumn("vb", F.pmod(F.xxhash64("vector_id"), F.lit(v_blocks)).cast("int")).withColumn(
-        "qb", every(q_blocks)
-    )
-    right = queries.withColumn("qb", F.pmod(F.xxhash64("query_id", "namespace"), F.lit(q_blocks)).cast("int")).withColumn(
-        "vb", every(v_blocks)
+    left, right = _blocks(v, "vector_id", "v"), _blocks(q, "query_id", "q")
+    if broadcast and scale.estimated_bytes(queries) <= scale.broadcast_bytes(queries):
+        right = F.broadcast(right)
+    elif not broadcast:
+        right = right.hint("merge")
+    pairs = left.join(right, F.col("v_space").eqNullSafe(F.col("q_space"))).withColumn("k", F.lit(k))
+    schema = (
+        f"query_id {q.schema['query_id'].dataType.simpleString()}, namespace string, "
+        f"vector_id {v.schema['vector_id'].dataType.simpleString()}, score double"
     )
 
-    def run(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(v):
-            return pd.DataFrame(columns=["query_id", "namespace", "vector_id", "score"])
-        return _match(q, _unit(list(q["values"])), v, k)
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for pair in frame.itertuples(index=False):
+                yield _best_of(pair)
 
-    return left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(run, schema)
+    hits = pairs.mapInPandas(run, schema)
+    order = [scale.score_key("score", TIE_DIGITS), F.col("vector_id").asc()]
+    return scale.top_k(hits, ["query_id", "namespace"], order, k)
 
 
 def merge_namespaces(hits: DataFrame, namespaces: DataFrame, k: int) -> DataFrame:

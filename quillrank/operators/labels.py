@@ -11,15 +11,26 @@ from quillrank import constants as K
 from quillrank.functions.text import bind, tokens
 
 
+def last_rows(rows: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
+    """The last row of each key, by `order` or else as the rows stand; null keys are keys."""
+    at = F.col(order) if order else F.monotonically_increasing_id()
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.withColumn("_seq", at).groupBy(*keys).agg(F.max_by(F.struct(*rest), "_seq").alias("_r")).select(
+        *[F.col(c) if c in keys else F.col("_r")[c].alias(c) for c in rows.columns]
+    )
+
+
 def adjudicate(results: DataFrame, transferred: DataFrame, by_strategy: DataFrame, by_case: DataFrame) -> DataFrame:
     """Final label per result and where it came from.
 
     Priority: by_case (case_id, chunk_id, useful), then by_strategy (strategy, case_id,
-    chunk_id, useful), then transferred (strategy, case_id, chunk_id, useful), else false.
+    chunk_id, useful), then transferred (strategy, case_id, chunk_id, useful), else false. Of
+    a key that a table repeats, the last row counts.
     """
-    first = by_case.select("case_id", "chunk_id", F.col("useful").alias("_a"))
-    second = by_strategy.select("strategy", "case_id", "chunk_id", F.col("useful").alias("_b"))
-    third = transferred.select("strategy", "case_id", "chunk_id", F.col("useful").alias("_c"))
+    pair, placed = ["case_id", "chunk_id"], ["strategy", "case_id", "chunk_id"]
+    first = last_rows(by_case.select(*pair, F.col("useful").alias("_a")), pair)
+    second = last_rows(by_strategy.select(*placed, F.col("useful").alias("_b")), placed)
+    third = last_rows(transferred.select(*placed, F.col("useful").alias("_c")), placed)
     joined = (
         results.join(first, ["case_id", "chunk_id"], "left")
         .join(second, ["strategy", "case_id", "chunk_id"], "left")
@@ -192,11 +203,12 @@ def novel_pairs(base: DataFrame, other: DataFrame, reviewed: DataFrame, old_labe
     """Pairs only `other` returned, with their review state and what the review corrected.
 
     base/other: case_id, chunk_id. reviewed: + useful. old_labels: + useful (absent = false).
+    Of a pair that a table of labels repeats, the last row counts.
     """
     keys = ["case_id", "chunk_id"]
     novel = other.select(*keys).distinct().join(base.select(*keys), keys, "left_anti")
-    new = reviewed.select(*keys, F.col("useful").alias("_new"))
-    old = old_labels.select(*keys, F.col("useful").alias("_old"))
+    new = last_rows(reviewed.select(*keys, F.col("useful").alias("_new")), keys)
+    old = last_rows(old_labels.select(*keys, F.col("useful").alias("_old")), keys)
     joined = novel.join(new, keys, "left").join(old, keys, "left")
     was = F.coalesce("_old", F.lit(False))
     return joined.select(
@@ -219,25 +231,44 @@ def audit_novel(pairs: DataFrame) -> DataFrame:
 
 
 def compare_conditions(rows: DataFrame, first: str, second: str) -> DataFrame:
-    """Per case: rank delta, changed flag, same ranking, and which side lacks the case.
+    """Per case: both first useful ranks and useful counts, their delta, whether the lists differ.
 
-    rows: condition, case_id, first_rank (nullable), returned (array, ranked).
+    rows: condition, case_id, first_rank (nullable), useful_count, returned (array, ranked).
+    A case that one side lacks is named in missing_in.
     """
     def side(name: str, tag: str) -> DataFrame:
         return rows.where(F.col("condition") == name).select(
-            "case_id", F.col("first_rank").alias(f"{tag}_rank"), F.col("returned").alias(f"{tag}_ids"),
-            F.lit(True).alias(f"{tag}_there"),
+            "case_id", F.col("first_rank").alias(f"{tag}_rank"), F.col("useful_count").alias(f"{tag}_useful"),
+            F.col("returned").alias(f"{tag}_ids"), F.lit(True).alias(f"{tag}_there"),
         )
 
     both = side(first, "a").join(side(second, "b"), "case_id", "full")
     return both.select(
-        "case_id", "a_rank", "b_rank", (F.col("b_rank") - F.col("a_rank")).alias("delta"),
-        (~F.col("a_rank").eqNullSafe(F.col("b_rank"))).alias("changed"),
-        F.coalesce(F.col("a_ids") == F.col("b_ids"), F.lit(False)).alias("same_ranking"),
+        "case_id", "a_rank", "a_useful", "b_rank", "b_useful", (F.col("b_useful") - F.col("a_useful")).alias("delta"),
+        (~F.col("a_ids").eqNullSafe(F.col("b_ids"))).alias("changed"),
         F.when(F.col("a_there").isNull(), first).when(F.col("b_there").isNull(), second).alias("missing_in"),
     )
 
 
+def compare_latencies(rows: DataFrame, before: str, after: str, selected: str) -> DataFrame:
+    """Per case of all three conditions: latencies, whether before and after return the same list,
+    and the useful count of the selected condition.
+
+    rows: condition, case_id, latency_ms, useful_count, returned (array, ranked).
+    """
+    def side(name: str, tag: str) -> DataFrame:
+        return rows.where(F.col("condition") == name).select(
+            "case_id", F.col("latency_ms").alias(f"{tag}_ms"), F.col("returned").alias(f"{tag}_ids"),
+            F.col("useful_count").alias(f"{tag}_useful"),
+        )
+
+    joined = side(before, "before").join(side(after, "after"), "case_id").join(side(selected, "selected"), "case_id")
+    return joined.select(
+        "case_id", "before_ms", "after_ms", (F.col("before_ids").eqNullSafe(F.col("after_ids"))).alias("same"),
+        "selected_ms", "selected_useful",
+    )
+
+
 def condition_matrix(cases: DataFrame, generations: DataFrame, conditions: Sequence[tuple[str, str]],
                      backends: Sequence[str]) -> DataFrame:
     """Cases x (method, model) x backend with the frozen query, or an error row.
@@ -306,9 +337,13 @@ def concat_cases(*tables: DataFrame) -> DataFrame:
     return out
 
 
-def upsert(base: DataFrame, newer: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Union in which a row of `newer` replaces the row of `base` with the same key."""
-    return newer.unionByName(base.join(newer.select(*keys), list(keys), "left_anti"))
+def upsert(base: DataFrame, newer: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
+    """One row per key: the last of `newer`, else the last of `base`; null keys are keys."""
+    def placed(df: DataFrame, side: int) -> DataFrame:
+        at = F.col(order) if order else F.monotonically_increasing_id()
+        return df.withColumn("_pos", at).withColumn("_at", F.struct(F.lit(side).alias("side"), "_pos")).drop("_pos")
+
+    return last_rows(placed(newer, 1).unionByName(placed(base, 0)), keys, "_at").drop("_at")
 
 
 def routing_errors(routed: DataFrame, expected: DataFrame, key: str = "query_id") -> DataFrame:

@@ -1,6 +1,6 @@
 """BM25 search for whole tables of queries.
 
-Every text row is scanned once. Each chunk also emits one marker row with an empty term,
+Every text row is scanned once and counts its own terms. Each chunk also emits one marker row with an empty term,
 so that the number of chunks and their mean length come from the same rows as the term
 statistics.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillrank import constants as K
 from quillrank import scale
-from quillrank.functions.text import tokens
+from quillrank.functions.text import bind, tokens
 
 MARKER = ""
 
@@ -28,25 +28,42 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "que
     )
 
 
-def _occurrences(chunks: DataFrame, chunk_id: str, text: str, marker: bool, keep: Sequence[str]) -> DataFrame:
+def term_counts(text: Column) -> Column:
+    """Distinct terms of a text with their counts, from runs of equal neighbours in the sorted tokens."""
+    def runs(s: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, F.greatest(i - 1, F.lit(0))))
+        )
+        counted = bind(
+            starts,
+            lambda at: F.zip_with(
+                at, F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(s))),
+                lambda a, b: F.struct(F.get(s, a).alias("term"), (b - a).cast("long").alias("tf")),
+            ),
+        )
+        return F.when(F.size(s) > 0, counted).otherwise(F.array().cast(COUNTED))
+
+    return bind(F.sort_array(tokens(text)), runs)
+
+
+COUNTED = "array<struct<term:string,tf:bigint>>"
+
+
+def _term_rows(chunks: DataFrame, chunk_id: str, text: str, marker: bool, keep: Sequence[str]) -> DataFrame:
+    """(chunk_id, chunk_len, keep, term, tf), counted inside the row; the marker has an empty term and tf 0."""
+    # A null text has no terms.
     found = chunks.select(
-        F.col(chunk_id).alias("chunk_id"), *keep, tokens(F.col(text)).alias("_t")
-    ).withColumn("chunk_len", F.size("_t"))
-    # Exploding an expression, not a column, keeps Spark from adding a filter on the
-    # array's size, which would tokenize every text once more.
-    none = F.array().cast("array<string>")
-    listed = F.concat(F.array(F.lit(MARKER)) if marker else none, F.col("_t"))
-    rows = found.select("chunk_id", "chunk_len", *keep, F.explode(listed).alias("term"))
-    return rows.where(F.col("term").isNotNull())
+        F.col(chunk_id).alias("chunk_id"), *keep,
+        F.coalesce(term_counts(F.col(text)), F.array().cast(COUNTED)).alias("_t"),
+    ).withColumn("chunk_len", F.aggregate("_t", F.lit(0).cast("long"), lambda a, t: a + t["tf"]).cast("int"))
+    mark = F.array(F.struct(F.lit(MARKER).alias("term"), F.lit(0).cast("long").alias("tf")))
+    listed = F.concat(mark if marker else F.array().cast(COUNTED), F.col("_t"))
+    return found.select("chunk_id", "chunk_len", *keep, F.inline(listed))
 
 
 def postings(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(chunk_id, chunk_len, term, tf) for every term of every chunk."""
-    return (
-        _occurrences(chunks, chunk_id, text, False, ())
-        .groupBy("chunk_id", "chunk_len", "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    """(chunk_id, chunk_len, term, tf) for every term of every chunk, without a shuffle."""
+    return _term_rows(chunks, chunk_id, text, False, ())
 
 
 def index_rows(
@@ -58,22 +75,18 @@ def index_rows(
 ) -> DataFrame:
     """Postings plus one marker row (empty term, tf 0) per chunk, placed by chunk.
 
-    With a vocabulary (column `term`) other terms are dropped before anything is
-    shuffled. The result is partitioned by chunk_id, and grouping by chunk and term, or
-    later by chunk and query, needs no further exchange. Readers tell marker rows by tf,
-    never by term: a test on the grouping column would be pushed below the exchange and
-    keep Spark from reusing it for the statistics.
+    Terms are counted inside the row, and with a vocabulary (column `term`) other terms are
+    dropped before anything is shuffled, so only distinct terms that a query uses move, once.
+    The result is partitioned by chunk_id; grouping by chunk and query needs no further
+    exchange. Readers tell marker rows by tf, never by term: a test on the term would be pushed
+    below the exchange and keep Spark from reusing it for the statistics.
     """
-    rows = _occurrences(chunks, chunk_id, text, True, keep)
+    rows = _term_rows(chunks, chunk_id, text, True, keep)
     if vocabulary is not None:
         marker = vocabulary.sparkSession.range(1).select(F.lit(MARKER).alias("term"))
-        marked = vocabulary.select("term").unionByName(marker)
-        rows = scale.join_small_or_salted(rows, marked, ["term"], "chunk_id", how="left_semi")
-    return (
-        rows.repartition("chunk_id")
-        .groupBy("chunk_id", "chunk_len", *keep, "term")
-        .agg(F.count(F.nullif("term", F.lit(MARKER))).alias("tf"))
-    )
+        marked = vocabulary.select("term").distinct().unionByName(marker)
+        rows = scale.join_sized(rows, marked, ["term"], how="left_semi", bound=vocabulary)
+    return rows.repartition("chunk_id")
 
 
 def term_statistics(index: DataFrame) -> DataFrame:
@@ -111,9 +124,7 @@ def score(
         "query_id", "term", "avg_len",
         (F.col("weight") * idf(F.col("n_chunks"), F.col("df"))).alias("boost"),
     )
-    hits = scale.join_small_or_salted(
-        index.where(F.col("tf") > 0), weighted, ["term"], "chunk_id", bound=terms
-    )
+    hits = scale.join_sized(index.where(F.col("tf") > 0), weighted, ["term"], bound=terms)
     part = F.col("boost") * saturation(F.col("tf"), F.col("chunk_len"), F.col("avg_len"), k1, b)
     return hits.groupBy("chunk_id", *keep, "query_id").agg(F.sum(part).alias("score"))
 
@@ -146,7 +157,7 @@ def search(
         wanted = queries.select(
             F.col(query_id).alias("query_id"), F.col(query_subjects).alias("_wanted")
         )
-        scored = scale.join_small_or_salted(scored, wanted, ["query_id"], "chunk_id").where(
+        scored = scale.join_sized(scored, wanted, ["query_id"]).where(
             F.col("_wanted").isNull()
             | (F.size("_wanted") == 0)
             | F.arrays_overlap(F.col(subjects), F.col("_wanted"))

@@ -454,7 +454,7 @@ def event_candidates(cases: DataFrame, events: DataFrame) -> DataFrame:
         ).alias("executed"),
         F.coalesce("has_chunks", F.lit(False)).alias("has_chunks"),
     )
-    met = scale.join_small_or_salted(named, wanted, ["case_id"], "event_index")
+    met = scale.join_sized(named, wanted, ["case_id"])
     hits = F.size(
         F.filter("e.concepts", lambda g: F.exists(g, lambda a: F.contains(F.col("_q"), normalize_text(a))))
     )
@@ -546,20 +546,19 @@ REL_TOL, ABS_TOL = 1e-6, 1e-9
 
 
 def _greedy(group: pd.DataFrame) -> pd.DataFrame:
-    """Ordered one-to-one matching of counted values within tolerance."""
-    expected = group[group.e > 0].sort_values("e_first")
-    actual = group[group.a > 0].sort_values("a_first")
-    left = dict(zip(actual.value, actual.a, strict=True))
+    """Each expected value in order takes the first unused recorded value within tolerance."""
+    group = group.sort_values("position", kind="stable")
+    left = group.value[~group.is_e].tolist()
     matched = 0
-    for row in expected.itertuples():
-        need = row.e
-        for value in left:
-            bound = max(REL_TOL * max(abs(row.value), abs(value)), ABS_TOL)
-            if need and left[value] and abs(row.value - value) <= bound:
-                taken = min(need, left[value])
-                need, left[value], matched = need - taken, left[value] - taken, matched + taken
+    for want in group.value[group.is_e]:
+        for at, value in enumerate(left):
+            if abs(want - value) <= max(REL_TOL * max(abs(want), abs(value)), ABS_TOL):
+                del left[at]
+                matched += 1
+                break
+    n = int(group.is_e.sum())
     head = group.iloc[[0]][["case_id", "metric", "inputs"]]
-    return head.assign(expected=int(group.e.sum()), actual=int(group.a.sum()), matched=int(matched))
+    return head.assign(expected=n, actual=len(group) - n, matched=matched)
 
 
 def match_calculations(expected: DataFrame, actual: DataFrame) -> DataFrame:
@@ -568,7 +567,8 @@ def match_calculations(expected: DataFrame, actual: DataFrame) -> DataFrame:
     expected/actual: case_id, position, metric, inputs map<string,double>, value. Inputs
     come back as entries sorted by name. Rows are counted by value first. The values of a
     key are then cut at gaps above the tolerance; a piece within the tolerance matches by
-    counts alone, and only a longer chain of close values is matched in order.
+    counts alone. Only the rows of a longer chain of close values, in which the order decides,
+    are brought together and matched in order.
     """
     def tagged(df: DataFrame, side: str) -> DataFrame:
         return df.select(
@@ -579,9 +579,9 @@ def match_calculations(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
     keys = ["case_id", "metric", "inputs"]
     own = F.col("is_e")
-    counted = tagged(expected, "e").unionByName(tagged(actual, "a")).groupBy(*keys, "value").agg(
-        F.count(F.when(own, 1)).alias("e"), F.count(F.when(~own, 1)).alias("a"),
-        F.min(F.when(own, F.col("position"))).alias("e_first"), F.min(F.when(~own, F.col("position"))).alias("a_first"),
+    rows = tagged(expected, "e").unionByName(tagged(actual, "a"))
+    counted = rows.groupBy(*keys, "value").agg(
+        F.count(F.when(own, 1)).alias("e"), F.count(F.when(~own, 1)).alias("a")
     )
     by_value = Window.partitionBy(*keys).orderBy("value")
     close = economics.is_close(F.col("value"), F.lag("value").over(by_value), REL_TOL, ABS_TOL)
@@ -598,7 +598,9 @@ def match_calculations(expected: DataFrame, actual: DataFrame) -> DataFrame:
         F.least(F.sum(F.when(known, F.col("e")).otherwise(0)), F.sum(F.when(known, F.col("a")).otherwise(0))).alias("matched"),
     )
     kinds = {f.name: f.dataType.simpleString() for f in counted.schema.fields}
-    loose = cut.where(~F.col("_tight")).groupBy(*keys, "_piece").applyInPandas(
+    chains = cut.where(~F.col("_tight")).select(*[F.col(k).alias(f"_{k}") for k in (*keys, "value")], "_piece")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*keys, "value")]
+    loose = rows.join(chains, same).groupBy(*keys, "_piece").applyInPandas(
         lambda g: _greedy(g),
         ", ".join(f"{k} {kinds[k]}" for k in keys) + ", expected long, actual long, matched long",
     )
@@ -613,9 +615,14 @@ def score_calculations(cases: DataFrame, runs: DataFrame, expected: DataFrame, a
     cases: case_id, expected_actions, forbidden_actions. runs: case_id, actions.
     """
     matched = match_calculations(expected, actual).where(F.col("expected") > F.col("matched"))
-    # One entry per metric: counts stand in for repeated reasons.
+    # One reason for each expected event that is not matched, by metric.
     missing = matched.groupBy("case_id", "metric").agg(F.sum(F.col("expected") - F.col("matched")).alias("n")).groupBy("case_id").agg(
-        F.sort_array(F.collect_list(F.concat(F.lit("missing_calculation_event:"), F.col("metric"), F.lit("x"), F.col("n").cast("string")))).alias("_lost")
+        F.sort_array(F.collect_list(F.struct("metric", "n"))).alias("_l")
+    ).select(
+        "case_id",
+        F.flatten(
+            F.transform("_l", lambda m: F.array_repeat(F.concat(F.lit("missing_calculation_event:"), m["metric"]), m["n"].cast("int")))
+        ).alias("_lost"),
     )
     n_expected = expected.groupBy("case_id").agg(F.count("*").alias("_e"))
     n_actual = actual.groupBy("case_id").agg(F.count("*").alias("_a"))

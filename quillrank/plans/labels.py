@@ -153,25 +153,43 @@ def j5(spark, sf):
     return J.audit_novel(J.novel_pairs(pairs(bm25(spark, sf)), other, reviewed, old))
 
 
+SIDES = f"""
+    {sql_bm25(5)}, {ALT},
+    a AS (SELECT query_id, min(rank) FILTER (quality = 1) AS r, count(*) FILTER (quality = 1) AS u, list(chunk_id ORDER BY rank) AS ids FROM lex LEFT JOIN labels ON doc_id = chunk_id GROUP BY 1),
+    b AS (SELECT query_id, min(rank) FILTER (quality = 1) AS r, count(*) FILTER (quality = 1) AS u, list(chunk_id ORDER BY rank) AS ids FROM alt LEFT JOIN labels ON doc_id = chunk_id WHERE query_id % 10 <> 3 GROUP BY 1)"""
+
+
+def condition_rows(spark, sf, df, name):
+    ranked = df.join(labels(spark, sf), "chunk_id", "left").groupBy("query_id").agg(
+        F.min(F.when(F.col("quality") == 1, F.col("rank"))).alias("first_rank"),
+        F.count(F.when(F.col("quality") == 1, 1)).alias("useful_count"),
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))), lambda r: r["chunk_id"]).alias("returned"),
+    )
+    return ranked.select(F.lit(name).alias("condition"), F.col("query_id").alias("case_id"), "first_rank", "useful_count", "returned")
+
+
 @query("J6_paired_conditions", f"""
-    WITH {sql_bm25(5)}, {ALT},
-    a AS (SELECT query_id, min(rank) FILTER (quality = 1) AS r, list(chunk_id ORDER BY rank) AS ids FROM lex LEFT JOIN labels ON doc_id = chunk_id GROUP BY 1),
-    b AS (SELECT query_id, min(rank) FILTER (quality = 1) AS r, list(chunk_id ORDER BY rank) AS ids FROM alt LEFT JOIN labels ON doc_id = chunk_id WHERE query_id % 10 <> 3 GROUP BY 1)
-    SELECT coalesce(a.query_id, b.query_id) AS case_id, a.r::INTEGER AS a_rank, b.r::INTEGER AS b_rank, (b.r - a.r)::INTEGER AS delta,
-           a.r IS DISTINCT FROM b.r AS changed, coalesce(a.ids = b.ids, FALSE) AS same_ranking,
+    WITH {SIDES}
+    SELECT coalesce(a.query_id, b.query_id) AS case_id, a.r::INTEGER AS a_rank, a.u::BIGINT AS a_useful, b.r::INTEGER AS b_rank, b.u::BIGINT AS b_useful,
+           (b.u - a.u)::BIGINT AS delta, a.ids IS DISTINCT FROM b.ids AS changed,
            CASE WHEN a.query_id IS NULL THEN 'base' WHEN b.query_id IS NULL THEN 'alt' END AS missing_in
     FROM a FULL JOIN b ON a.query_id = b.query_id""")
 def j6(spark, sf):
-    def rows(df, name):
-        ranked = df.join(labels(spark, sf), "chunk_id", "left").groupBy("query_id").agg(
-            F.min(F.when(F.col("quality") == 1, F.col("rank"))).alias("first_rank"),
-            F.transform(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))), lambda r: r["chunk_id"]).alias("returned"),
-        )
-        return ranked.select(F.lit(name).alias("condition"), F.col("query_id").alias("case_id"), "first_rank", "returned")
-
     # One case in ten has no result under the second condition.
-    second = rows(alt(spark, sf), "alt").where(F.col("case_id") % 10 != 3)
-    return J.compare_conditions(rows(bm25(spark, sf), "base").unionByName(second), "base", "alt")
+    second = condition_rows(spark, sf, alt(spark, sf), "alt").where(F.col("case_id") % 10 != 3)
+    return J.compare_conditions(condition_rows(spark, sf, bm25(spark, sf), "base").unionByName(second), "base", "alt")
+
+
+@query("J6_latency_conditions", f"""
+    WITH {SIDES}
+    SELECT a.query_id AS case_id, (a.query_id % 50)::DOUBLE AS before_ms, (a.query_id % 20)::DOUBLE AS after_ms, a.ids = b.ids AS same,
+           (a.query_id % 30)::DOUBLE AS selected_ms, b.u::BIGINT AS selected_useful FROM a JOIN b ON a.query_id = b.query_id""")
+def j6_latency(spark, sf):
+    base, other = condition_rows(spark, sf, bm25(spark, sf), "before"), condition_rows(spark, sf, alt(spark, sf), "after")
+    other = other.where(F.col("case_id") % 10 != 3)
+    sides = [(base, "before", 50), (other, "after", 20), (other, "selected", 30)]
+    rows = [df.withColumn("condition", F.lit(n)).withColumn("latency_ms", (F.col("case_id") % m).cast("double")) for df, n, m in sides]
+    return J.compare_latencies(J.concat_cases(*rows), "before", "after", "selected")
 
 
 @query("J8_condition_matrix", """
@@ -702,11 +720,14 @@ def o1(spark, sf):
 
 
 @query("O2_upsert_pools", """
-    WITH n AS (SELECT doc_id, 9 AS quality FROM documents WHERE n_chars < 500)
-    SELECT * FROM n UNION ALL SELECT doc_id, quality FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM n)""")
+    WITH n AS (SELECT doc_id // 3 AS doc_id, n_chars AS quality FROM documents WHERE n_chars < 900), b AS (SELECT doc_id // 2 AS doc_id, doc_id AS quality FROM labels),
+    nk AS (SELECT doc_id, max(quality) AS quality FROM n GROUP BY 1), bk AS (SELECT doc_id, max(quality) AS quality FROM b GROUP BY 1)
+    SELECT * FROM nk UNION ALL SELECT doc_id, quality FROM bk WHERE doc_id NOT IN (SELECT doc_id FROM nk)""")
 def o2(spark, sf):
-    newer = docs(spark, sf).where(F.col("n_chars") < 500).select("doc_id", F.lit(9).alias("quality"))
-    return J.upsert(table(spark, sf, "labels").select("doc_id", "quality"), newer, ["doc_id"])
+    """Keys repeat on both sides; the last row by quality wins."""
+    newer = docs(spark, sf).where(F.col("n_chars") < 900).select(F.floor(F.col("doc_id") / 3).alias("doc_id"), F.col("n_chars").alias("quality"))
+    base = table(spark, sf, "labels").select(F.floor(F.col("doc_id") / 2).alias("doc_id"), F.col("doc_id").alias("quality"))
+    return J.upsert(base, newer, ["doc_id"], order="quality")
 
 
 @query("O3_pair_sets", f"""

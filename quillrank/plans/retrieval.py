@@ -219,8 +219,8 @@ def v2_all(spark, sf):
 
 @query("V2_knn_block_join", f"WITH {whole_space(sql_knn(5, 'TRUE'))} SELECT {KNN_OUT} FROM knn")
 def v2_blocks(spark, sf):
-    """The path for query tables that are too large to send with the code."""
-    return out_knn(V.nearest(vectors(spark, sf), centroids(spark, sf), 5, max_driver_queries=0))
+    """The join for query tables whose blocks are too large to broadcast."""
+    return out_knn(V.nearest(vectors(spark, sf), centroids(spark, sf), 5, broadcast=False))
 
 
 @query("V3_metadata_filter", f"WITH {whole_space(sql_knn(5, 'TRUE', '(label IN (1, 3, 5) OR label % 2 = 0) AND label <> 4'))} SELECT {KNN_OUT} FROM knn")

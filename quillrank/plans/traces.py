@@ -423,10 +423,13 @@ def j10(spark, sf):
 
 @query("J10_calculation_scoring", f"""
     WITH {CALCS}, s AS (SELECT s_suppkey AS k, s_suppkey % 9 <> 0 AS ran FROM supplier),
-    lost AS (SELECT case_id, metric FROM m WHERE en > mt GROUP BY ALL), ls AS (SELECT case_id, count(*) AS n FROM lost GROUP BY 1),
+    lost AS (SELECT case_id, metric, sum(en - mt) AS n FROM m WHERE en > mt GROUP BY ALL),
+    ls AS (SELECT case_id, string_agg(repeat('missing_calculation_event:' || metric || ',', n::INT), '' ORDER BY metric) AS t FROM lost GROUP BY 1),
     any_a AS (SELECT DISTINCT case_id FROM b WHERE l_tax > 0.02), any_e AS (SELECT DISTINCT case_id FROM b WHERE l_discount > 0.01)
-    SELECT k AS case_id, CASE WHEN NOT ran THEN 'missing_run' WHEN r = 0 THEN 'pass' ELSE 'fail' END AS status, CASE WHEN ran THEN r ELSE 1 END::INTEGER AS reasons FROM (
-      SELECT k, ran, (k % 2 <> 0)::INT + (k % 3 = 0)::INT + coalesce(ls.n, 0) + (ae.case_id IS NULL AND aa.case_id IS NOT NULL)::INT + (k % 2 = 0 AND aa.case_id IS NULL)::INT AS r
+    SELECT k AS case_id, CASE WHEN NOT ran THEN 'missing_run' WHEN r = '' THEN 'pass' ELSE 'fail' END AS status, CASE WHEN ran THEN rtrim(r, ',') ELSE 'missing_run' END AS reasons FROM (
+      SELECT k, ran, CASE WHEN k % 2 <> 0 THEN 'missing_action:calculate,' ELSE '' END || CASE WHEN k % 3 = 0 THEN 'forbidden_action:guess,' ELSE '' END || coalesce(ls.t, '')
+             || CASE WHEN ae.case_id IS NULL AND aa.case_id IS NOT NULL THEN 'unexpected_calculation_event,' ELSE '' END
+             || CASE WHEN k % 2 = 0 AND aa.case_id IS NULL THEN 'calculate_without_calculation_events,' ELSE '' END AS r
       FROM s LEFT JOIN ls ON ls.case_id = k LEFT JOIN any_a aa ON aa.case_id = k LEFT JOIN any_e ae ON ae.case_id = k)""")
 def j10_score(spark, sf):
     k = F.col("s_suppkey")
@@ -435,7 +438,7 @@ def j10_score(spark, sf):
         k.alias("case_id"), F.concat(F.when(k % 2 == 0, strings("calculate")).otherwise(none()), F.when(k % 3 == 0, strings("guess")).otherwise(none())).alias("actions")
     )
     done = T.score_calculations(cases_, runs, *calculations(spark, sf))
-    return done.select("case_id", "status", F.size("failure_reasons").alias("reasons"))
+    return done.select("case_id", "status", F.array_join("failure_reasons", ",").alias("reasons"))
 
 
 @query("J11_evidence_packet", f"""

@@ -7,44 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
-SALTS = 32
+SPREAD_BYTES = 256 << 20
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when df holds at most `rows` rows.
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's size; nothing runs for it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
-    Spark reads partitions one after the other and stops once it has seen one row too many,
-    so a large table is not scanned for this.
-    """
-    return len(df.select(F.lit(1)).take(rows + 1)) <= rows
 
+def broadcast_bytes(df: DataFrame) -> int:
+    """The session's limit for broadcasts."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(limit)
 
-def join_small_or_salted(
-    big: DataFrame,
-    small: DataFrame,
-    on: Sequence[str],
-    spread_by: str,
-    *,
-    how: str = "inner",
-    rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
-    bound: DataFrame | None = None,
+
+def join_sized(
+    big: DataFrame, small: DataFrame, on: Sequence[str], *, how: str = "inner", bound: DataFrame | None = None
 ) -> DataFrame:
-    """Join `small` onto `big`, whose key values may be very uneven.
+    """Join a table that is usually small onto one that is usually large and uneven.
 
-    Below the row bound `small` is broadcast. Above it both sides are shuffled with a
-    salt taken from `spread_by`, so that one frequent key is shared by `salts` tasks.
-    Each row of `big` meets every matching row of `small` exactly once either way. `bound`
-    is a cheaper table that has at least as many rows as `small`, to be counted instead.
+    `small` is broadcast when the estimate of its bytes, or of `bound` (a table of as many rows
+    at least, for which there is a better estimate), is within the session's limit. Else the
+    join is left to the optimizer, and adaptive execution splits partitions of hot keys.
     """
-    if is_small(small if bound is None else bound, rows):
-        return big.join(F.broadcast(small), list(on), how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    copies = small.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    if estimated_bytes(small if bound is None else bound) <= broadcast_bytes(small):
+        small = F.broadcast(small)
+    return big.join(small, list(on), how)
 
 
 def top_k(
@@ -66,9 +54,9 @@ def top_n(
     n: Column,
     spread_by: str,
     rank: str = "rank",
-    salts: int = SALTS,
 ) -> DataFrame:
-    """Best n rows per key where n is a column; a frequent key is first cut in `salts` parts."""
+    """Best n rows per key where n is a column; a frequent key is first cut in as many parts as a shuffle has."""
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = df.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     inner = Window.partitionBy(*keys, "_salt").orderBy(*order)
     cut = part.withColumn(rank, F.row_number().over(inner)).where(F.col(rank) <= n).drop("_salt", rank)
@@ -83,14 +71,14 @@ def score_key(score: str | Column, digits: int = 9) -> Column:
 
 
 def spread(table: DataFrame) -> DataFrame:
-    """Repartition a table that was read in fewer splits than there are cores.
+    """Deal out a table of up to SPREAD_BYTES that was read in fewer splits than there are cores.
 
     Only for tables as read: on a derived frame the count of partitions could run its
-    shuffles. Larger tables, which have many splits, are left as they are. Rows are dealt
-    round-robin: hashing them by a key would make Spark drop later exchanges on that key,
+    shuffles. Larger tables are left as they are, so no large table is moved for this. Rows are
+    dealt round-robin: hashing them by a key would make Spark drop later exchanges on that key,
     which branches of one query share.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    if table.rdd.getNumPartitions() >= 2 * cores:
+    if estimated_bytes(table) > SPREAD_BYTES or table.rdd.getNumPartitions() >= 2 * cores:
         return table
     return table.repartition(cores)

@@ -25,12 +25,16 @@ def build_session(app: str = "quillrank", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where the session names none."""
+    """The cluster's shared folder. Only a session on one machine may go without naming one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+    # All tasks of a local session run in this process's machine.
     local = tempfile.mkdtemp(prefix="quillrank-")
-    spark.sparkContext.setCheckpointDir(local)
+    spark.conf.set("spark.checkpoint.dir", local)
     return local
 
 
@@ -44,12 +48,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder, so that lost executors do not rerun its past."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()

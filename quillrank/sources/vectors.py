@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from quillrank.operators.labels import upsert
 
-NO_NAMESPACE = "__default__"
-
-
 def subject_namespaces(subjects: Column, prefix: str) -> Column:
     return F.array_distinct(F.transform(subjects, lambda s: F.concat(F.lit(prefix + "-"), s)))
 
@@ -28,28 +25,32 @@ def last_records(records: DataFrame, order: str = "seq") -> DataFrame:
 
 
 def upsert_vectors(table: DataFrame, records: DataFrame, order: str = "seq") -> DataFrame:
-    """Table after a batch of writes. Only keys of stored vectors are compared."""
-    def keyed(df: DataFrame) -> DataFrame:
-        return df.withColumn("_ns", F.coalesce("namespace", F.lit(NO_NAMESPACE)))
-
+    """Table after a batch of writes."""
     new = last_records(records, order)
     if order not in table.columns:
         new = new.drop(order)
-    return upsert(keyed(table), keyed(new).select(*table.columns, "_ns"), ["_ns", "id"]).drop("_ns")
+    return upsert(table, new.select(*table.columns), ["namespace", "id"])
+
+
+def _folder(namespace: Column) -> Column:
+    """Folder name of a namespace. The letter keeps names like 01 texts and sets the default apart."""
+    return F.coalesce(F.concat(F.lit("n"), namespace), F.lit("default"))
 
 
 def write_vectors(vectors: DataFrame, path: str) -> None:
-    """Partitioned by namespace, so that a query reads only the namespaces it names."""
-    vectors.withColumn("namespace", F.coalesce("namespace", F.lit(NO_NAMESPACE))).write.mode("overwrite").partitionBy(
-        "namespace"
-    ).parquet(path)
+    """One folder per namespace, so that a query reads only the namespaces it names.
+
+    Rows are gathered by namespace into files of even size; a large namespace has several.
+    """
+    placed = vectors.withColumn("space", _folder(F.col("namespace"))).drop("namespace")
+    placed.hint("rebalance", "space").write.mode("overwrite").partitionBy("space").parquet(path)
 
 
 def read_vectors(spark, path: str, namespaces: list[str | None] | None = None) -> DataFrame:
     rows = spark.read.parquet(path)
     if namespaces is not None:
-        rows = rows.where(F.col("namespace").isin([n or NO_NAMESPACE for n in namespaces]))
-    return rows.withColumn("namespace", F.nullif(F.col("namespace"), F.lit(NO_NAMESPACE)))
+        rows = rows.where(F.col("space").isin(["default" if n is None else f"n{n}" for n in namespaces]))
+    return rows.withColumn("namespace", F.when(F.col("space") != "default", F.substring("space", 2, 1 << 20))).drop("space")
 
 
 def cache_key(embedding_id: Column, text: Column) -> Column:
@@ -57,9 +58,9 @@ def cache_key(embedding_id: Column, text: Column) -> Column:
 
 
 def lookup(texts: DataFrame, cache: DataFrame, embedding_id: str, text: str = "text") -> DataFrame:
-    """Texts with their key, `hit`, and the cached vector or null."""
+    """Texts with their key, `hit`, and the cached vector or null. A key may be in the cache repeatedly."""
     keyed = texts.withColumn("key", cache_key(F.lit(embedding_id), F.col(text)))
-    known = cache.select("key", F.col("embedding").alias("values"))
+    known = cache.groupBy("key").agg(F.first("embedding").alias("values"))
     return keyed.join(known, "key", "left").withColumn("hit", F.col("values").isNotNull())
 
 

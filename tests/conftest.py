@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -21,6 +22,7 @@ def spark():
 
     session = build_session(
         "tests", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="run-"),
         spark__driver__memory="8g",
     )
     session.sparkContext.setLogLevel("ERROR")

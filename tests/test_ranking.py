@@ -14,6 +14,7 @@ from quillrank import scale
 from quillrank.functions import vectors as VX
 from quillrank.operators import fusion as R
 from quillrank.operators import knn as V
+from quillrank.operators import labels as J
 from quillrank.operators import lexical as L
 from quillrank.operators.quantiles import quantiles
 from quillrank.sources import vectors as SV
@@ -57,11 +58,19 @@ def frames(spark, corpus):
     return spark.createDataFrame(docs, "chunk_id int, text string"), spark.createDataFrame(queries, "query_id int, query string")
 
 
-@pytest.mark.parametrize("rows", [scale.BROADCAST_ROWS, 0])
-def test_bm25_matches_brute_force_on_both_join_paths(spark, corpus, monkeypatch, rows):
-    """With a row bound of 0 nothing counts as small, so every join is salted."""
-    plain = scale.join_small_or_salted
-    monkeypatch.setattr(scale, "join_small_or_salted", lambda *a, **k: plain(*a, **{**k, "rows": rows, "salts": 4}))
+@pytest.fixture(params=["broadcast", "shuffled"])
+def joins(spark, request, monkeypatch):
+    """Both ways of a sized join."""
+    if request.param == "shuffled":
+        monkeypatch.setattr(scale, "broadcast_bytes", lambda df: -1)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    yield request.param
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_bm25_matches_brute_force_on_both_join_paths(spark, corpus, joins):
     docs, queries = frames(spark, corpus)
     got = {}
     for r in L.search(docs, queries, 5).orderBy("query_id", "rank").collect():
@@ -72,13 +81,20 @@ def test_bm25_matches_brute_force_on_both_join_paths(spark, corpus, monkeypatch,
         assert [s for _, s in got.get(q, [])] == pytest.approx([s for _, s in want])
 
 
-def test_salted_join_keeps_every_pair_once(spark):
+def test_sized_join_keeps_every_pair_once(spark, joins):
     big = spark.range(3000).select(F.col("id"), F.when(F.col("id") < 1000, 0).otherwise(F.col("id") % 50).alias("k"))
     small = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    wide = scale.join_small_or_salted(big, small, ["k"], "id", rows=10, salts=8)
+    wide = scale.join_sized(big, small, ["k"])
     assert wide.count() == 3000
     assert wide.where(F.col("v") != F.col("k") * 2).count() == 0
-    assert scale.join_small_or_salted(big, small.where("k < 3"), ["k"], "id", how="left_semi", rows=1).count() == big.where("k < 3").count()
+    assert scale.join_sized(big, small.where("k < 3"), ["k"], how="left_semi").count() == big.where("k < 3").count()
+
+
+def test_term_counts_move_nothing(spark):
+    docs = spark.createDataFrame([(1, "b a b"), (2, ""), (3, None), (4, "a")], "chunk_id int, text string")
+    found = L.postings(docs)
+    assert sorted((r.chunk_id, r.chunk_len, r.term, r.tf) for r in found.collect()) == [(1, 3, "a", 1), (1, 3, "b", 2), (4, 1, "a", 1)]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
 
 
 def test_index_exchange_is_shared_by_statistics_and_scores(spark, corpus):
@@ -119,8 +135,8 @@ def test_vector_ids_round_trip(spark):
     assert (r.v, r.c, r.d) == ("heading-aware:text-embedding-3-small:payback-period:1", "payback-period:1", "bare:1")
 
 
-@pytest.mark.parametrize("max_driver_queries", [4096, 0])
-def test_nearest_matches_brute_force(spark, max_driver_queries, monkeypatch):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_nearest_matches_brute_force(spark, broadcast, monkeypatch):
     monkeypatch.setattr(V, "BLOCK_ROWS", 20)
     rng = np.random.default_rng(5)
     v = rng.normal(size=(90, 6)).round(1)
@@ -131,7 +147,7 @@ def test_nearest_matches_brute_force(spark, max_driver_queries, monkeypatch):
     vectors = spark.createDataFrame([(i, v[i].tolist(), spaces[i % 3]) for i in range(90)], "vector_id int, values array<double>, ns string")
     queries = spark.createDataFrame([(i, q[i].tolist(), spaces[i % 3]) for i in range(45)], "query_id int, values array<double>, ns string")
     got = {}
-    found = V.nearest(vectors, queries, 4, namespace="ns", query_namespace="ns", max_driver_queries=max_driver_queries)
+    found = V.nearest(vectors, queries, 4, namespace="ns", query_namespace="ns", broadcast=broadcast)
     for r in found.orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vector_id)
     for i in range(45):
@@ -240,6 +256,33 @@ def test_embedding_cache_counts(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
+def test_repeated_keys_take_the_last_row(spark):
+    base = spark.createDataFrame([(1, "x"), (1, "y"), (3, "k"), (None, "n")], "k int, v string").coalesce(1)
+    newer = spark.createDataFrame([(2, "p"), (2, "q"), (None, "m")], "k int, v string").coalesce(1)
+    assert {(r.k, r.v) for r in J.upsert(base, newer, ["k"]).collect()} == {(1, "y"), (2, "q"), (3, "k"), (None, "m")}
+    results = spark.createDataFrame([("s", 1, 1)], "strategy string, case_id int, chunk_id int")
+    labels = spark.createDataFrame([("s", 1, 1, True), ("s", 1, 1, False)], "strategy string, case_id int, chunk_id int, useful boolean").coalesce(1)
+    done = J.adjudicate(results, labels, labels, labels.where("false").drop("strategy")).collect()
+    assert [(r.useful, r.label_source) for r in done] == [(False, "semantic_adjudication")]
+    novel = J.novel_pairs(results.where("false"), results, labels, labels).collect()
+    assert [(r.reviewed, r.false_negative_fixed, r.false_positive_fixed) for r in novel] == [(True, False, False)]
+
+
+def test_cache_with_a_repeated_key(spark):
+    texts = spark.createDataFrame([(1, "a"), (2, "b")], "id int, text string")
+    cache = texts.where("id = 1").select(SV.cache_key(F.lit("e"), F.col("text")).alias("key"), F.array(F.lit(1.0)).alias("embedding"))
+    found = SV.lookup(texts, cache.unionByName(cache), "e").orderBy("id").collect()
+    assert [(r.id, r.hit) for r in found] == [(1, True), (2, False)]
+
+
+def test_namespaces_keep_their_names(spark, tmp_path):
+    names = [None, "default", "__default__", "01", "1"]
+    rows = spark.createDataFrame([(str(i), [1.0], n) for i, n in enumerate(names)], "id string, values array<double>, namespace string")
+    SV.write_vectors(rows, str(tmp_path / "v"))
+    assert sorted((r.id, str(r.namespace)) for r in SV.read_vectors(spark, str(tmp_path / "v")).collect()) == [(str(i), str(n)) for i, n in enumerate(names)]
+    assert [r.id for r in SV.read_vectors(spark, str(tmp_path / "v"), ["01", None]).orderBy("id").collect()] == ["0", "3"]
+
+
 def test_upsert_last_write_wins(spark):
     old = spark.createDataFrame([("a", [1.0], None, 0), ("a", [1.0], "n", 0)], "id string, values array<double>, namespace string, seq int")
     new = spark.createDataFrame([("a", [2.0], None, 1), ("a", [3.0], None, 2), ("b", [4.0], None, 1)], old.schema)

@@ -240,10 +240,21 @@ def test_calculation_matching_against_a_direct_walk(spark):
     got = T.match_calculations(spark.createDataFrame(expected, kind), spark.createDataFrame(actual, kind))
     rows = got.groupBy("case_id").agg(F.sum("expected").alias("e"), F.sum("actual").alias("a"), F.sum("matched").alias("m")).collect()
     seen = {r.case_id: (r.e, r.a, r.m) for r in rows}
-    # Repeated values are matched by count, so only chains may differ from a walk in order.
-    assert {c: v[:2] for c, v in seen.items()} == {c: v[:2] for c, v in want.items() if v[0] + v[1]}
-    off = {c: (seen[c], want[c]) for c in seen if seen[c] != want[c]}
-    assert not off, off
+    assert seen == {c: v for c, v in want.items() if v[0] + v[1]}
+
+
+def test_interleaved_repeats_are_matched_in_order(spark):
+    kind = "case_id int, position int, metric string, inputs map<string,double>, value double"
+    expected = [(1, i, "cac", {"a": 1.0}, v) for i, v in enumerate([1.0000004, 1.0000004, 1.0000016])]
+    actual = [(1, i, "cac", {"a": 1.0}, v) for i, v in enumerate([1.0, 1.0000008, 1.0])]
+    frames = [spark.createDataFrame(rows, kind) for rows in (expected, actual)]
+    r = T.match_calculations(*frames).first()
+    assert (r.expected, r.actual, r.matched) == (3, 3, 2)
+    cases = spark.createDataFrame([(1, [], []), (2, [], [])], "case_id int, expected_actions array<string>, forbidden_actions array<string>")
+    runs = spark.createDataFrame([(1, ["calculate"]), (2, [])], "case_id int, actions array<string>")
+    twice = spark.createDataFrame([*expected, (2, 0, "cac", {"a": 1.0}, 5.0), (2, 1, "cac", {"a": 2.0}, 5.0)], kind)
+    got = {r.case_id: r.failure_reasons for r in T.score_calculations(cases, runs, twice, frames[1]).collect()}
+    assert got == {1: ["missing_calculation_event:cac"], 2: ["missing_calculation_event:cac"] * 2}
 
 
 # --- metrics ---------------------------------------------------------------
