@@ -123,46 +123,13 @@ def diagnose(
     def explain(m: Column, outcome: Column) -> Column:
         months = F.when(m["payback"] == INFINITY, F.lit("inf")).otherwise(F.format_string("%.1f", m["payback"]))
         return (
-            F.when(
-                outcome == "burning",
-                F.format_string("LTGP/CAC is %.2f:1, so each acquired customer burns gross profit.", m["ratio"]),
-            )
-            .when(
-                outcome == "below_floor",
-                F.format_string("LTGP/CAC is %.2f:1, below the 3:1 viability floor.", m["ratio"]),
-            )
-            .when(
-                outcome == "thin_service_margin",
-                F.format_string("Service gross margin is %.0f%%, below the 80%% rule of thumb.", m["margin"] * 100),
-            )
-            .when(
-                outcome == "level_1",
-                F.lit(
-                    "First-30-day gross profit does not cover CAC, so the model cannot finance "
-                    "acquisition inside the first month."
-                ),
-            )
-            .when(
-                outcome == "slow_payback",
-                F.concat(
-                    F.lit("Payback is "), months,
-                    F.lit(" months, so cash recycles too slowly even if lifetime economics work."),
-                ),
-            )
-            .when(
-                outcome == "level_2",
-                F.lit(
-                    "The model covers CAC in 30 days but does not yet produce 2x CAC in "
-                    "first-30-day gross profit."
-                ),
-            )
-            .when(
-                outcome == "level_3",
-                F.lit(
-                    "First-30-day gross profit is at least 2x CAC, so acquisition is "
-                    "client-financed at Level 3."
-                ),
-            )
+            F.when(outcome == "burning", F.format_string(K.REASON_BURNING, m["ratio"]))
+            .when(outcome == "below_floor", F.format_string(K.REASON_BELOW_FLOOR, m["ratio"]))
+            .when(outcome == "thin_service_margin", F.format_string(K.REASON_THIN_MARGIN, m["margin"] * 100))
+            .when(outcome == "level_1", F.lit(K.REASON_LEVEL_1))
+            .when(outcome == "slow_payback", F.format_string(K.REASON_SLOW_PAYBACK, months))
+            .when(outcome == "level_2", F.lit(K.REASON_LEVEL_2))
+            .when(outcome == "level_3", F.lit(K.REASON_LEVEL_3))
         )
 
     table = F.create_map(

@@ -96,21 +96,21 @@ def query_error(query: Column) -> Column:
 
 def tokens_used(log: Column) -> Column:
     """Token count a run log reports, null when it reports none."""
-    raw = F.regexp_extract(log, rf"(?i)tokens used{K.SPACE_CLASS}+([0-9,]+)", 1)
+    raw = F.regexp_extract(log, K.TOKENS_USED, 1)
     return F.try_to_number(F.nullif(F.replace(raw, F.lit(","), F.lit("")), F.lit("")), F.lit("9" * 18)).cast("long")
 
 
 def log_flags(log: Column, own_root: Column, run_root: Column) -> Column:
     """Sorted signs that a run saw its answer key or left its own folder."""
     outside = F.exists(
-        F.regexp_extract_all(log, F.lit(r"(?m)\sin\s+(/[^\n]+)$"), F.lit(1)),
+        F.regexp_extract_all(log, F.lit(K.COMMAND_FOLDER), F.lit(1)),
         lambda path: ~F.startswith(F.concat(strip(path), F.lit("/")), F.concat(run_root, F.lit("/"))),
     )
     scrubbed = F.replace(log, run_root, F.lit(""))
     checks = [
         (F.rlike(log, F.lit(K.LEAK_WORDS)), "evaluation_artifact_reference"),
         (F.contains(log, own_root), "original_repo_reference"),
-        (F.rlike(scrubbed, F.lit("/(?:private/)?tmp/")), "temp_path_outside_trial_runtime"),
+        (F.rlike(scrubbed, F.lit(K.TEMP_PATH)), "temp_path_outside_trial_runtime"),
         (F.rlike(log, F.lit(K.TOOL_LINE)), "unexpected_tool_call"),
         (outside, "command_outside_trial_runtime"),
         (F.coalesce(log, F.lit("")) == "", "missing_command_transcript"),

@@ -18,6 +18,25 @@ def _find(text: Column, needle: Column, start: Column) -> Column:
     return F.call_function("locate", needle, text, start + 1) - 1
 
 
+BLOCK = 1 << 14
+
+
+def _text_blocks(text: Column) -> Column:
+    """The text with its length and cut into blocks of BLOCK characters, to be searched by position."""
+    return F.struct(
+        text.alias("text"), F.length(text).alias("size"),
+        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("blocks"),
+    )
+
+
+def _find_near(at: Column, needle: Column, start: Column) -> Column:
+    """As _find, on _text_blocks: looks in the block of `start` and the next before the whole text."""
+    block = F.floor(start / BLOCK).cast("int")
+    here = F.concat(F.coalesce(F.get(at["blocks"], block), F.lit("")), F.coalesce(F.get(at["blocks"], block + 1), F.lit("")))
+    near = F.call_function("locate", needle, here, start - block * BLOCK + 1)
+    return bind(near, lambda n: F.when(n > 0, block * BLOCK + n - 1).otherwise(_find(at["text"], needle, start)))
+
+
 def _piece(text: Column, start: Column, end: Column) -> Column:
     return F.struct(
         text.alias("text"), start.cast("int").alias("start"), end.cast("int").alias("end")
@@ -51,23 +70,23 @@ def fixed_windows(text: Column, target: int, overlap: int) -> Column:
     window's offset, also inside a longer word; the end uses the joined text's length.
     """
 
-    def place(ws: Column) -> Column:
+    def place(ws: Column, whole: Column) -> Column:
         start = F.struct(F.lit(0).alias("cursor"), F.array().cast(PIECE).alias("out"))
 
         def step(acc: Column, w: Column) -> Column:
             def add(found: Column) -> Column:
                 at = F.greatest(found, F.lit(0))
-                end = F.least(F.length(text), at + F.length(w["text"]))
+                end = F.least(whole["size"], at + F.length(w["text"]))
                 return F.struct(
                     F.greatest(acc["cursor"], at).cast("int").alias("cursor"),
                     F.concat(acc["out"], F.array(_piece(w["text"], at, end))).alias("out"),
                 )
 
-            return bind(_find(text, w["head"], acc["cursor"]), add)
+            return bind(_find_near(whole, w["head"], acc["cursor"]), add)
 
         return F.aggregate(ws, start, step, lambda acc: acc["out"])
 
-    return bind(window_texts(text, target, overlap), place)
+    return bind(_text_blocks(text), lambda whole: bind(window_texts(text, target, overlap), lambda ws: place(ws, whole)))
 
 
 def heading_parts(text: Column) -> Column:
@@ -134,7 +153,7 @@ def boundary_parts(text: Column) -> Column:
 def limit_parts(text: Column, parts: Column, target: int, overlap: int) -> Column:
     """Re-window parts with more than 1.3 x target tokens; offsets lifted to the whole text."""
 
-    def one(part: Column) -> Column:
+    def one(part: Column, source: Column) -> Column:
         whole = F.array(_piece(part["text"], part["start"], part["start"] + F.length(part["text"])))
 
         def lift(w: Column) -> Column:
@@ -145,12 +164,12 @@ def limit_parts(text: Column, parts: Column, target: int, overlap: int) -> Colum
                 size = F.least(F.length(w["text"]), w["end"] - w["start"])
                 return _piece(w["text"], start, start + size)
 
-            return bind(_find(text, head, part["start"] + w["start"]), at)
+            return bind(_find_near(source, head, part["start"] + w["start"]), at)
 
         long = F.size(tokens(part["text"])) > target * K.OVERSIZE_FACTOR
         return F.when(long, F.transform(fixed_windows(part["text"], target, overlap), lift)).otherwise(whole)
 
-    return F.flatten(F.transform(parts, one))
+    return bind(_text_blocks(text), lambda source: F.flatten(F.transform(parts, lambda part: one(part, source))))
 
 
 def chunk_array(text: Column, strategy: str) -> Column:

@@ -104,11 +104,31 @@ def exact_labels(candidates: DataFrame, useful: DataFrame, keys: Sequence[str] =
     )
 
 
+SPAN_REACH = 2000
+
+
 def token_span(source: Column, needle: Column, estimated: Column) -> Column:
     """struct(start, end) of the needle's token run nearest the estimate, null if absent.
 
-    Tokens are matched as one blank-separated string, so both neighbours of the estimate
-    are found by a plain substring search instead of a scan over positions.
+    A run that starts within SPAN_REACH tokens of the estimate is nearer than any other, so the
+    whole source is searched only where there is none.
+    """
+    def shifted(first: Column) -> Column:
+        part = F.slice(source, first + 1, F.lit(2 * SPAN_REACH) + F.size(needle) + 1)
+        return bind(
+            _span_in(part, needle, F.greatest(estimated, F.lit(0)) - first),
+            lambda s: F.when(s.isNotNull(), F.struct((s["start"] + first).alias("start"), (s["end"] + first).alias("end"))),
+        )
+
+    near = bind(F.greatest(F.least(estimated, F.size(source)) - SPAN_REACH, F.lit(0)), shifted)
+    return bind(near, lambda s: F.when(s.isNotNull(), s).otherwise(_span_in(source, needle, estimated)))
+
+
+def _span_in(source: Column, needle: Column, estimated: Column) -> Column:
+    """token_span over all of `source`.
+
+    Tokens are matched as one blank-separated string, so both neighbours of the estimate are
+    found by a plain substring search instead of a scan over positions.
     """
     def padded(t: Column) -> Column:
         return F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" "))

@@ -58,7 +58,7 @@ def test_words_split_like_python(spark):
 
 def boundary_walk(text):
     starts = [0]
-    for m in re.finditer(r"(?i)(?=(?:\n\n|\. )(?:So )?(?:" + "|".join(K.CUE_PHRASES) + "))", text):
+    for m in re.finditer(K.BOUNDARY_PATTERN, text):
         if m.start() - starts[-1] > K.BOUNDARY_MIN_GAP:
             starts.append(m.start())
     out = []
@@ -146,3 +146,19 @@ def test_prune_keeps_zero_and_false(spark):
     kind = T.StructType.fromDDL("a boolean, b double, c double, d string, e array<string>, f struct<g: string>")
     row = spark.createDataFrame([((False, 0.0, None, "", ["", "x"], (None,)),)], T.StructType([T.StructField("s", kind)]))
     assert row.select(F.to_json(X.prune_empty(F.col("s"), kind))).first()[0] == '{"a":false,"b":0.0,"e":["x"]}'
+
+
+def test_blocks_and_reach_change_no_result(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(["a", "ab", "b", "cab", "long" * 9, "x-y"], k=rng.randrange(0, 400))) for _ in range(30)]
+    rows = spark.createDataFrame([(t, t.split()[5:8], rng.randrange(-2, 420)) for t in texts], "text string, needle array<string>, at int").cache()
+
+    def found():
+        windows = C.fixed_windows(F.col("text"), 20, 5)
+        span = J.token_span(F.split("text", " "), F.col("needle"), F.col("at"))
+        return sorted(map(str, rows.select("text", windows.alias("w"), span.alias("s")).collect()))
+
+    wide = found()
+    monkeypatch.setattr(C, "BLOCK", 16)
+    monkeypatch.setattr(J, "SPAN_REACH", 3)
+    assert found() == wide
