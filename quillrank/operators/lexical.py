@@ -167,31 +167,32 @@ def search(
     return ranked.select("query_id", "chunk_id", "score", "rank")
 
 
-def write_index(index: DataFrame, path: str, buckets: int = 64, salts: int = 4) -> None:
-    """Store index rows by term bucket, so that a query reads only its own buckets.
+def write_index(index: DataFrame, path: str, buckets: int = 64) -> None:
+    """Store index rows by term bucket, so that a search reads only its own buckets.
 
-    The marker rows go to bucket -1. A frequent term is shared by `salts` writers.
+    The marker rows go to bucket -1. Buckets are written in files of even size: adaptive
+    execution merges small buckets and splits those with a frequent term. Choose more buckets for
+    more terms; the count is kept beside the rows.
     """
     bucket = F.when(F.col("tf") == 0, -1).otherwise(F.pmod(F.hash("term"), F.lit(buckets)))
-    (
-        index.withColumn("bucket", bucket)
-        .repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)))
-        .write.mode("overwrite").partitionBy("bucket").parquet(path)
-    )
-
-
-def read_index(spark, path: str, vocabulary: Sequence[str] | None = None, buckets: int = 64) -> DataFrame:
-    """Stored index rows; a list of terms prunes the buckets that are read."""
-    rows = spark.read.parquet(path)
-    if vocabulary is not None:
-        literals = F.array(*[F.lit(t) for t in vocabulary])
-        bucket_of = spark.range(1).select(
-            F.explode(F.transform(literals, lambda t: F.pmod(F.hash(t), F.lit(buckets)))).alias("bucket")
-        ).unionByName(spark.range(1).select(F.lit(-1).alias("bucket"))).distinct()
-        rows = rows.join(F.broadcast(bucket_of), "bucket", "left_semi").where(
-            F.col("term").isin(list(vocabulary) + [MARKER])
-        )
-    return rows.drop("bucket")
+    placed = index.withColumn("bucket", bucket).hint("rebalance", "bucket")
+    placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows")
+    index.sparkSession.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/layout")
+
+
+def read_index(spark, path: str, terms: DataFrame | None = None) -> DataFrame:
+    """Stored index rows; with a table of terms only their buckets are read, and only their rows kept."""
+    rows = spark.read.parquet(f"{path}/rows")
+    if terms is None:
+        return rows.drop("bucket")
+    buckets = spark.read.parquet(f"{path}/layout").first().buckets
+    bucket = F.pmod(F.hash("term"), F.lit(buckets))
+    asked = terms.select("term").distinct()
+    # At most one number per bucket reaches the driver, and the scan lists only these folders.
+    wanted = [r.bucket for r in asked.select(bucket.alias("bucket")).distinct().collect()]
+    pruned = rows.where(F.col("bucket").isin([-1, *wanted]))
+    marked = asked.unionByName(spark.range(1).select(F.lit(MARKER).alias("term")))
+    return scale.join_sized(pruned, marked, ["term"], how="left_semi", bound=terms).drop("bucket")
 
 
 def smoke(results: DataFrame, expected: DataFrame, k: int = 5) -> DataFrame:

@@ -114,6 +114,29 @@ def u7(spark, sf):
     return done.select("event_id", kind.alias("kind"), F.round("r.value", 6).alias("value"), F.col("r.error").alias("error"))
 
 
+@query("U7_ltgp_and_level", """
+    WITH e AS (SELECT *, json_extract(props, '$.k')::INT AS k FROM events)
+    SELECT event_id,
+      round(CASE event_type WHEN 'click' THEN CASE WHEN k % 4 > 0 THEN value * 0.5 / (k % 4) END
+            WHEN 'view' THEN CASE WHEN k % 6 > 0 THEN CASE WHEN value >= 2 * (k % 6) THEN 3 WHEN value >= k % 6 THEN 2 ELSE 1 END END END, 6) AS value,
+      CASE event_type WHEN 'click' THEN CASE WHEN k % 4 <= 0 THEN 'monthly_churn_rate must be greater than zero' END
+            WHEN 'view' THEN CASE WHEN k % 6 <= 0 THEN 'acquisition_cost must be greater than zero' END ELSE 'missing input: gross_margin' END AS error FROM e""")
+def u7_more(spark, sf):
+    kind, v = F.col("event_type"), F.col("value")
+    k = F.get_json_object("props", "$.k").cast("int").cast("double")
+
+    def pairs(**named):
+        return F.create_map(*[x for n, c in named.items() for x in (F.lit(n), c)])
+
+    inputs = (
+        F.when(kind == "click", pairs(monthly_price=v, monthly_churn_rate=k % 4, gross_margin=F.lit(0.5)))
+        .when(kind == "view", pairs(cac=k % 6, first_30_day_gp=v)).otherwise(pairs(monthly_price=v, monthly_churn_rate=F.lit(1.0)))
+    )
+    metric = F.when(kind == "view", "cfa-level").otherwise("ltgp")
+    done = table(spark, sf, "events").withColumn("r", U.calculate(metric, inputs))
+    return done.select("event_id", F.round("r.value", 6).alias("value"), F.col("r.error").alias("error"))
+
+
 @query("U8_constraint_diagnosis", """
     WITH e AS (SELECT o_orderkey, o_totalprice * 0.05 AS cac, c_acctbal * 4 AS f30, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE 900.0 END AS rec,
                       CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' THEN c_acctbal * 9 END AS lt, (c_acctbal + 2000) / 12000 AS mg, c_mktsegment = 'HOUSEHOLD' AS svc
@@ -351,3 +374,14 @@ def x10(spark, sf):
     FROM ({FACTS}) JOIN part USING (p_partkey)""")
 def x17(spark, sf):
     return facts(spark, sf).select("p_partkey", F.md5(X.prompt_text("Write one query.", F.col("p_name"), F.col("js"))).alias("prompt_md5"))
+
+
+@query("X17_prompt_with_guide", f"""
+    SELECT p_partkey, md5('Write one query.' || chr(10) || chr(10) || '## Current user question' || chr(10) || chr(10) || p_name || chr(10) || chr(10) || '## Saved business facts' || chr(10) || chr(10) || '```json' || chr(10) || js || chr(10) || '```'
+      || chr(10) || chr(10) || 'Use the guide.' || chr(10) || chr(10) || '## Corpus guide' || chr(10) || chr(10) || '```json' || chr(10) || '["' || p_name || '"]' || chr(10) || '```' || chr(10)) AS prompt_md5
+    FROM ({FACTS}) JOIN part USING (p_partkey)""")
+def x17_guide(spark, sf):
+    guide = F.concat(F.lit('["'), F.col("p_name"), F.lit('"]'))
+    return facts(spark, sf).select(
+        "p_partkey", F.md5(X.prompt_text("Write one query.", F.col("p_name"), F.col("js"), guide, "Use the guide.")).alias("prompt_md5")
+    )

@@ -80,17 +80,29 @@ def sql_spans(target, step):
 
 
 @query("J2_span_label_transfer", f"""
-    WITH a AS ({sql_spans(300, 250)}), b AS (SELECT x.* FROM ({sql_spans(512, 432)}) x JOIN labels USING (doc_id) WHERE quality = 1 AND i % 2 = 0),
+    WITH a AS ({sql_spans(300, 250)}), b AS (SELECT x.* FROM ({sql_spans(512, 432)}) x JOIN labels USING (doc_id) WHERE quality = 1),
     p AS (SELECT a.doc_id, a.i, least(a.e, b.e) - greatest(a.s, b.s) AS o, least(a.e - a.s, b.e - b.s) AS sh FROM a JOIN b ON a.doc_id = b.doc_id AND least(a.e, b.e) > greatest(a.s, b.s)),
     g AS (SELECT doc_id, i, count(*) AS m, bool_or(o >= 20 AND round(o::DOUBLE / greatest(1, sh), 4) >= 0.15) AS u FROM p GROUP BY ALL)
     SELECT a.doc_id, a.i::INTEGER AS chunk_index, coalesce(u, FALSE) AS useful, coalesce(m, 0)::BIGINT AS matches FROM a LEFT JOIN g USING (doc_id, i)""")
 def j2(spark, sf):
     good = labels(spark, sf).where(F.col("quality") == 1).select(F.col("chunk_id").alias("chapter"))
-    known = spans(spark, sf, 512, 432).where(F.col("id") % 2 == 0).join(good, "chapter", "left_semi")
+    known = spans(spark, sf, 512, 432).join(good, "chapter", "left_semi")
     done = J.transfer_labels(spans(spark, sf, 300, 250), known, ("chapter",))
     return done.select(F.col("chapter").alias("doc_id"), F.col("id").alias("chunk_index"), "useful", "matches")
 
 
+@query("J2_exact_labels", f"""
+    WITH a AS ({sql_spans(300, 250)})
+    SELECT a.doc_id, a.i::INTEGER AS chunk_index, coalesce(quality = 1, FALSE) AS useful FROM a LEFT JOIN labels USING (doc_id)""")
+def j2_exact(spark, sf):
+    """Labelled chunks of the same strategy, met by id; a labelled chunk may be named twice."""
+    good = labels(spark, sf).where(F.col("quality") == 1).select(F.col("chunk_id").alias("chapter"))
+    all_spans = spans(spark, sf, 300, 250)
+    useful = all_spans.join(good, "chapter", "left_semi")
+    done = J.exact_labels(all_spans, useful.unionByName(useful), ("chapter",))
+    return done.select(F.col("chapter").alias("doc_id"), F.col("id").alias("chunk_index"), "useful")
+
+
 @query("J3_token_span_location", f"""
     WITH w AS (SELECT doc_id, {sql_words('text')} AS w FROM documents),
     x AS (SELECT doc_id, w, unnest(range(0, greatest(ceil((len(w) - 300) / 250.0)::BIGINT, 0) + 1)) AS i FROM w WHERE len(w) > 0),
@@ -606,6 +618,17 @@ def m20_model(spark, sf):
     WITH c AS (SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN 'dev' WHEN 1 THEN 'regression' ELSE 'holdout' END AS split, max(turn) AS t FROM conversations GROUP BY 1)
     SELECT split, count(*)::BIGINT AS total, count(*) FILTER (t > 3)::BIGINT AS scored, count(*) = count(*) FILTER (t > 3) AS complete FROM c GROUP BY 1""")
 def m21(spark, sf):
+    return split_rows(spark, sf)
+
+
+@query("M21_dev_regression_gate", """
+    WITH c AS (SELECT conv_id, max(turn) AS t FROM conversations GROUP BY 1)
+    SELECT coalesce(bool_and(t > 3) FILTER (conv_id % 3 < 2), TRUE) AS complete FROM c""")
+def m21_gate(spark, sf):
+    return M.dev_regression_complete(split_rows(spark, sf))
+
+
+def split_rows(spark, sf):
     c = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("case_id")).agg(F.max("turn").alias("t"))
     third = F.col("case_id") % 3
     split = F.when(third == 0, "dev").when(third == 1, "regression").otherwise("holdout")

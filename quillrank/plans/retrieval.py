@@ -134,12 +134,20 @@ def l5_chunks(spark, sf):
 @query("L5_bm25_from_stored_index", f"WITH {sql_bm25(5)} SELECT {TOP} FROM lex")
 def l5_stored(spark, sf):
     """The whole index is written once by term bucket, then queried."""
-    from quillrank import scale
+    return l5_search(spark, sf, l5_build(spark, sf))
+
 
+def l5_build(spark, sf):
     path = scratch(spark, "index")
     L.write_index(L.index_rows(docs(spark, sf), "doc_id"), path)
+    return path
+
+
+def l5_search(spark, sf, path):
+    from quillrank import scale
+
     terms = L.query_terms(bench(spark, sf))
-    scored = L.score(L.read_index(spark, path), terms).where(F.col("score") > 0)
+    scored = L.score(L.read_index(spark, path, terms), terms).where(F.col("score") > 0)
     return shown(scale.top_k(scored, ["query_id"], [scale.score_key("score"), F.col("chunk_id").asc()], 5))
 
 

@@ -57,6 +57,21 @@ def s3(spark, sf):
     return SF.last_by_path(runs)
 
 
+@query("S3_run_artifacts", """
+    WITH r AS (SELECT s_suppkey AS case_id, n, s_acctbal + n AS score FROM supplier, (VALUES (1), (2)) v(n) WHERE (s_suppkey + n) % 7 <> 0)
+    SELECT case_id, arg_max(score, n) AS score FROM r GROUP BY 1""")
+def s3_files(spark, sf):
+    """Two runs per supplier, each a file in a folder of its own; one in seven is cut off."""
+    path, k, n = scratch(spark, "runs"), F.col("s_suppkey"), F.col("n")
+    runs = table(spark, sf, "supplier").withColumn("n", F.explode(F.array(F.lit(1), F.lit(2))))
+    body = F.to_json(F.struct(k.alias("case_id"), (F.col("s_acctbal") + n).alias("score")))
+    runs.select(
+        n.alias("run"), k.alias("case"), F.when((k + n) % 7 == 0, F.substring(body, 1, 12)).otherwise(body).alias("value")
+    ).write.partitionBy("run", "case").text(path)
+    schema = spark.createDataFrame([], "case_id long, score double").schema
+    return SF.read_runs(spark, path, schema, name="*.txt").select("case_id", "score")
+
+
 @query("S5_turn_log_newest", """
     SELECT user_id AS business, event_id::VARCHAR AS turn_id, row_number() OVER (PARTITION BY user_id ORDER BY strftime(ts, '%Y-%m-%dT%H:%M:%SZ') DESC, lpad(event_id::VARCHAR, 12, '0') DESC)::INTEGER AS newest FROM events QUALIFY newest <= 3""")
 def s5(spark, sf):
@@ -107,6 +122,21 @@ def s11(spark, sf):
     return back.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+@query("S11_summary_sink", """
+    SELECT count(*)::BIGINT AS n, round(sum(o_totalprice), 2) AS total FROM orders""")
+def s11_summary(spark, sf):
+    path = scratch(spark, "summary")
+    o = table(spark, sf, "orders").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    SF.write_summary(o, path)
+    return spark.read.schema("n long, total double").json(path)
+
+
+@query("B1_case_limit", "SELECT doc_id AS case_id FROM documents ORDER BY doc_id DESC LIMIT 50")
+def b1_limit(spark, sf):
+    cases = table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), (-F.col("doc_id")).alias("line_number"))
+    return SF.select_cases(cases, limit=50)[0].select("case_id")
+
+
 @query("B1_case_selection", """
     SELECT 'chosen' AS kind, doc_id AS case_id FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)
     UNION ALL SELECT 'unknown', vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)""")

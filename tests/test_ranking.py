@@ -108,6 +108,18 @@ def test_index_exchange_is_shared_by_statistics_and_scores(spark, corpus):
     assert "BroadcastNestedLoopJoin" not in plan
 
 
+def test_stored_index_reads_only_the_buckets_asked_for(spark, corpus, tmp_path):
+    docs, queries = frames(spark, corpus)
+    L.write_index(L.index_rows(docs), str(tmp_path / "index"), buckets=16)
+    terms = L.query_terms(queries.where("query_id < 2"))
+    found = L.read_index(spark, str(tmp_path / "index"), terms)
+    assert "PartitionFilters: [bucket" in found._jdf.queryExecution().executedPlan().toString()
+    kept = {r.term for r in terms.collect()} | {L.MARKER}
+    whole = L.read_index(spark, str(tmp_path / "index"))
+    rows = [[(r.chunk_id, r.chunk_len, r.term, r.tf) for r in df.collect()] for df in (found, whole)]
+    assert sorted(rows[0]) == sorted(r for r in rows[1] if r[2] in kept)
+
+
 def test_subject_filter_keeps_corpus_statistics(spark):
     docs = spark.createDataFrame([("a", "pay back", ["x"]), ("b", "pay", ["y"]), ("c", "other", ["x", "y"])], "chunk_id string, text string, subjects array<string>")
     queries = spark.createDataFrame([(1, "pay", ["x"]), (2, "pay", [])], "query_id int, query string, wanted array<string>")
