@@ -259,6 +259,14 @@ def per_run_rates(runs: DataFrame) -> DataFrame:
     return runs.groupBy("tier", "suite", "run_id").agg(_share(F.col("passed")).alias("rate"))
 
 
+def repeated_run_means(runs: DataFrame, measures: Sequence[str]) -> DataFrame:
+    """Per tier and suite: the mean over runs of each run's mean of the measures (nulls left out)."""
+    per_run = runs.groupBy("tier", "suite", "run_id").agg(*[F.avg(F.col(m).cast("double")).alias(m) for m in measures])
+    return per_run.groupBy("tier", "suite").agg(
+        F.count("*").alias("runs"), *[F.avg(m).alias(f"mean_{m}") for m in measures]
+    )
+
+
 def failure_modes(rows: DataFrame, reasons: str = "failure_reasons", by: Sequence[str] = ()) -> DataFrame:
     return rows.select(*by, F.explode(reasons).alias("reason")).groupBy(*by, "reason").agg(
         F.count("*").alias("cases")

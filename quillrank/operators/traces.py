@@ -253,6 +253,91 @@ def validate_source_cases(cases: DataFrame) -> DataFrame:
     ).drop("is_duplicate")
 
 
+def missing_fields(fields: Column, required: Sequence[str]) -> Column:
+    """Message that names the required fields absent from `fields` (array of names), or null."""
+    absent = F.array_sort(F.array_except(_listed(required), F.coalesce(fields, _empty())))
+    return F.when(F.size(absent) > 0, F.concat(F.lit("missing fields: "), F.array_join(absent, ", ")))
+
+
+def validate_answer_cases(cases: DataFrame, fixtures: DataFrame) -> DataFrame:
+    """cases: case_id, line, answer_category, user_turn, snapshot_fixture_path and the optional
+    local_docs_fixture_path, prior_sessions_fixture_path. fixtures: path (files that exist)."""
+    known = fixtures.select("path").distinct()
+    rows = duplicates(cases, "case_id", "line")
+    optional = ("local_docs_fixture_path", "prior_sessions_fixture_path")
+    for name in ("snapshot_fixture_path", *optional):
+        there = known.select(F.col("path").alias(name), F.lit(True).alias(f"_{name}"))
+        rows = rows.join(there, name, "left")
+
+    def lost(name: str) -> Column:
+        return F.col(f"_{name}").isNull()
+
+    checks: list[tuple[Column, str | Column]] = [
+        (F.col("is_duplicate"), "case_id values must be unique"),
+        (~F.coalesce(F.col("answer_category").isin(list(K.ANSWER_CATEGORIES)), F.lit(False)), "invalid answer_category"),
+        (F.coalesce("user_turn", F.lit("")) == "", "missing user_turn"),
+        (lost("snapshot_fixture_path"), "missing snapshot fixture"),
+    ]
+    checks += [((F.coalesce(n, F.lit("")) != "") & lost(n), f"missing {n}") for n in optional]
+    return rows.withColumn("errors", _problems(*checks)).select(*cases.columns, "errors")
+
+
+def validate_need_cases(cases: DataFrame) -> DataFrame:
+    """Source-need cases: case_id, line, fields (names that the record has), expected_search,
+    need struct<intent, subjects, focus_terms>, acceptable_intents, focus_aliases map<string,array<string>>."""
+    need, intents, aliases = F.col("need"), F.col("acceptable_intents"), F.col("focus_aliases")
+    asked = F.coalesce("expected_search", F.lit(False))
+    at = "expected_source_need"
+
+    def unknown(values: Column, known: Sequence[str], text: str) -> tuple[Column, Column]:
+        extra = F.array_except(values, _listed(known))
+        return asked & (F.size(extra) > 0), F.concat(F.lit(text), F.array_join(F.array_sort(extra), ", "))
+
+    def blank(values: Column) -> Column:
+        return F.coalesce(F.size(values), F.lit(0)) <= 0
+
+    has = asked & need.isNotNull()
+    named = need["intent"].isin(list(K.NEED_INTENTS))
+    stray = F.array_except(F.map_keys(aliases), F.coalesce(need["focus_terms"], _empty()))
+    own = _problems(
+        (missing_fields(F.col("fields"), K.NEED_CASE_FIELDS).isNotNull(), missing_fields(F.col("fields"), K.NEED_CASE_FIELDS)),
+        (F.col("is_duplicate"), "duplicate case_id"),
+        (F.col("expected_search").isNull(), "expected_search must be boolean"),
+        (asked & need.isNull(), f"{at} must be an object or null"),
+        (has & ~F.coalesce(named, F.lit(False)), F.concat(F.lit(f"{at}.intent is invalid: "), F.coalesce(need["intent"], F.lit("None")))),
+        (has & blank(need["subjects"]), f"{at}.subjects must be a non-empty list"),
+        unknown(need["subjects"], K.SUBJECTS, f"{at}.subjects unknown values: "),
+        (has & blank(need["focus_terms"]), f"{at}.focus_terms must be a non-empty list"),
+        (has & F.exists(need["focus_terms"], _blank), f"{at}.focus_terms must contain non-empty strings"),
+        (asked & intents.isNotNull() & blank(intents), "acceptable_intents must be a non-empty list when present"),
+        unknown(intents, K.NEED_INTENTS, "acceptable_intents unknown values: "),
+        (has & named & (F.size(intents) > 0) & ~F.array_contains(intents, need["intent"]),
+         f"acceptable_intents must include {at}.intent"),
+        (asked & (F.size(stray) > 0),
+         F.concat(F.lit("focus_aliases keys must be expected focus terms: "), F.array_join(F.array_sort(stray), ", "))),
+    )
+    per_term = F.flatten(
+        F.transform(
+            F.array_sort(F.map_entries(aliases)),
+            lambda e: F.transform(
+                _problems(
+                    (blank(e["value"]), " must be a non-empty list"),
+                    (F.exists(e["value"], _blank), " must contain non-empty strings"),
+                ),
+                lambda m: F.concat(F.lit("focus_aliases."), e["key"], m),
+            ),
+        )
+    )
+    # Of the fields that only belong to a searching case, the first that is there.
+    idle = F.when(~asked, F.array_compact(F.array(
+        F.when(need.isNotNull(), f"{at} must be null when expected_search is false")
+        .when(intents.isNotNull(), "acceptable_intents must be omitted when expected_search is false")
+        .when(aliases.isNotNull(), "focus_aliases must be omitted when expected_search is false")
+    )))
+    errors = F.concat(own, F.when(asked, F.coalesce(per_term, _empty())).otherwise(_empty()), F.coalesce(idle, _empty()))
+    return duplicates(cases, "case_id", "line").withColumn("errors", errors).drop("is_duplicate")
+
+
 def run_errors(fields: Column, workflow_steps: Column, actions: Column, required: Sequence[str], leaking: Sequence[str]) -> Column:
     """Errors of one run artifact.
 

@@ -557,6 +557,28 @@ def m17_runs(spark, sf):
     return rounded(M.per_run_rates(tier_runs(spark, sf)))
 
 
+@query("M17_mean_rates", f"""
+    WITH r AS (SELECT event_type AS tier, CASE WHEN user_id % 2 = 0 THEN 'tool_use' ELSE 'source_need' END AS suite, k % 3 AS run_id,
+                      avg(value) AS recall, avg((k % 4 = 0)::INT) AS false_search FROM {EV} GROUP BY ALL)
+    SELECT tier, suite, count(*)::BIGINT AS runs, round(avg(recall), 6) AS mean_recall, round(avg(false_search), 6) AS mean_false_search FROM r GROUP BY ALL""")
+def m17_means(spark, sf):
+    k = F.col("k")
+    runs = events(spark, sf).select(
+        F.col("event_type").alias("tier"), F.when(F.col("user_id") % 2 == 0, "tool_use").otherwise("source_need").alias("suite"),
+        (k % 3).alias("run_id"), F.col("value").alias("recall"), (k % 4 == 0).alias("false_search"),
+    )
+    return rounded(M.repeated_run_means(runs, ["recall", "false_search"]))
+
+
+@query("M17_failure_modes_by_run", f"""
+    SELECT event_type AS tier, k % 3 AS run_id, reason, count(*)::BIGINT AS cases FROM (
+      SELECT event_type, k, unnest(CASE WHEN k % 2 = 0 THEN ['even'] ELSE [] END || CASE WHEN value > 20 THEN ['slow'] ELSE [] END) AS reason FROM {EV}) GROUP BY ALL""")
+def m17_modes(spark, sf):
+    reasons = F.array_compact(F.array(F.when(F.col("k") % 2 == 0, "even"), F.when(F.col("value") > 20, "slow")))
+    rows = events(spark, sf).select(F.col("event_type").alias("tier"), (F.col("k") % 3).alias("run_id"), reasons.alias("failure_reasons"))
+    return M.failure_modes(rows, by=["tier", "run_id"])
+
+
 @query("M18_failure_modes", f"""
     SELECT reason, count(*)::BIGINT AS cases FROM (SELECT unnest(CASE WHEN k % 2 = 0 THEN ['even'] ELSE [] END || CASE WHEN value > 20 THEN ['slow'] ELSE [] END || CASE WHEN event_type = 'error' THEN ['failed'] ELSE [] END) AS reason FROM {EV}) GROUP BY 1""")
 def m18(spark, sf):

@@ -170,6 +170,51 @@ def t5_source(spark, sf):
     return exploded(T.validate_source_cases(cases(spark, sf)))
 
 
+@query("T5_answer_case_rules", f"""
+    SELECT event_id AS line, unnest(list_filter([CASE WHEN event_id % 2 = 1 THEN 'case_id values must be unique' END, CASE WHEN k % 4 = 0 THEN 'invalid answer_category' END, CASE WHEN k % 6 = 0 THEN 'missing user_turn' END,
+      CASE WHEN k % 5 = 0 OR k % 7 NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey < 4) THEN 'missing snapshot fixture' END, CASE WHEN k % 9 = 0 THEN 'missing local_docs_fixture_path' END], lambda r: r IS NOT NULL)) AS error FROM {EV}""")
+def t5_answer(spark, sf):
+    k = F.col("k")
+    rows = events(spark, sf).select(
+        F.floor(F.col("event_id") / 2).alias("case_id"), F.col("event_id").alias("line"),
+        F.when(k % 4 == 0, "other").otherwise("calculation").alias("answer_category"), F.when(k % 6 == 0, "").otherwise("what now").alias("user_turn"),
+        F.when(k % 5 != 0, F.concat(F.lit("f"), (k % 7).cast("string"))).alias("snapshot_fixture_path"),
+        F.when(k % 9 == 0, "nowhere").when(k % 2 == 0, "").alias("local_docs_fixture_path"), F.lit("f1").alias("prior_sessions_fixture_path"),
+    )
+    files = table(spark, sf, "nation").where("n_nationkey < 4").select(F.concat(F.lit("f"), F.col("n_nationkey").cast("string")).alias("path"))
+    return exploded(T.validate_answer_cases(rows, files))
+
+
+@query("T5_need_case_rules", f"""
+    SELECT event_id AS line, unnest(list_filter([CASE WHEN k % 8 = 0 THEN 'missing fields: ambiguity, split' END, CASE WHEN event_id % 2 = 1 THEN 'duplicate case_id' END, CASE WHEN k % 4 = 3 THEN 'expected_search must be boolean' END,
+      CASE WHEN k % 4 = 0 AND k % 5 = 0 THEN 'expected_source_need must be an object or null' END,
+      CASE WHEN k % 4 = 0 AND k % 5 <> 0 AND k % 3 = 0 THEN 'expected_source_need.intent is invalid: guess' END,
+      CASE WHEN k % 4 = 0 AND k % 5 <> 0 AND k % 7 = 0 THEN 'expected_source_need.subjects unknown values: cooking, sailing' END,
+      CASE WHEN k % 4 = 0 AND k % 5 <> 0 AND k % 6 = 0 THEN 'expected_source_need.focus_terms must be a non-empty list' END,
+      CASE WHEN k % 4 = 0 AND k % 9 = 0 THEN 'acceptable_intents unknown values: guess' END,
+      CASE WHEN k % 4 = 0 AND k % 5 <> 0 AND k % 3 <> 0 THEN 'acceptable_intents must include expected_source_need.intent' END,
+      CASE WHEN k % 4 = 0 AND (k % 5 = 0 OR k % 6 = 0) THEN 'focus_aliases keys must be expected focus terms: cac' END,
+      CASE WHEN k % 4 = 0 AND k % 10 = 0 THEN 'focus_aliases.cac must contain non-empty strings' END,
+      CASE WHEN k % 4 <> 0 AND k % 5 <> 0 THEN 'expected_source_need must be null when expected_search is false'
+           WHEN k % 4 <> 0 THEN 'acceptable_intents must be omitted when expected_search is false' END], lambda r: r IS NOT NULL)) AS error FROM {EV}""")
+def t5_need(spark, sf):
+    k = F.col("k")
+    fields = strings(*T.K.NEED_CASE_FIELDS)
+    need = F.struct(
+        F.when(k % 3 == 0, "guess").otherwise("teaching_evidence").alias("intent"),
+        F.when(k % 7 == 0, strings("sailing", "offers", "cooking")).otherwise(strings("offers")).alias("subjects"),
+        F.when(k % 6 == 0, none()).otherwise(strings("cac")).alias("focus_terms"),
+    )
+    rows = events(spark, sf).select(
+        F.floor(F.col("event_id") / 2).alias("case_id"), F.col("event_id").alias("line"),
+        F.when(k % 8 == 0, F.array_except(fields, strings("split", "ambiguity"))).otherwise(fields).alias("fields"),
+        F.when(k % 4 == 0, True).when(k % 4 != 3, False).alias("expected_search"), F.when(k % 5 != 0, need).alias("need"),
+        F.when(k % 9 == 0, strings("diagnostic_evidence", "guess")).otherwise(strings("diagnostic_evidence")).alias("acceptable_intents"),
+        F.create_map(F.lit("cac"), F.when(k % 10 == 0, strings(" ")).otherwise(strings("cost"))).alias("focus_aliases"),
+    )
+    return exploded(T.validate_need_cases(rows))
+
+
 @query("T6_run_artifact", f"""
     SELECT event_id, unnest(list_filter([CASE WHEN k % 5 = 0 THEN 'missing field: split' END, CASE WHEN k % 7 = 0 THEN 'run artifact must not contain expected-label fields' END, CASE WHEN k % 3 = 0 THEN 'workflow_steps[1]: cli_command missing exit_code' END,
       CASE WHEN k % 4 = 0 THEN 'actual_actions must contain at least one action' END, CASE WHEN k % 4 <> 0 AND k % 6 = 1 THEN 'actual_actions[1]: index must equal 0' END,
