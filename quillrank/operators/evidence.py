@@ -53,26 +53,29 @@ def audit_terms(cases: DataFrame, documents: DataFrame) -> DataFrame:
     """Per (case, term): absent from the expected chapters, chapters that hold it, generic.
 
     cases: query_id, expected (array of chapters), terms (array). documents: chapter, text.
-    A case names few chapters, so joining their token texts stays small.
+    Each chapter is tested where it is read. A term may also cross from one chapter to the next,
+    so of a chapter only its ends, as long as the case's longest term, are joined in order.
     """
-    wanted = cases.select("query_id", F.posexplode("expected").alias("_at", "chapter"))
-    # Only documents that some case expects are read into the joined texts.
-    parts = (
-        documents.join(wanted, "chapter")
-        .select("query_id", F.struct("_at", token_text(F.col("text")).alias("t")).alias("p"))
-        .groupBy("query_id").agg(
-            F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["t"]), " ").alias("_body")
-        )
+    needles = F.transform("terms", token_text)
+    longest = F.coalesce(F.array_max(F.transform(needles, F.length)), F.lit(0))
+    wanted = cases.select("query_id", "terms", longest.alias("_l"), F.posexplode("expected").alias("_at", "chapter"))
+    # Only documents that some case expects are read.
+    found = documents.join(wanted, "chapter").withColumn("_t", token_text(F.col("text")))
+    held = F.filter("terms", lambda t: (token_text(t) != "") & F.contains(F.col("_t"), token_text(t)))
+    ends = F.when(F.length("_t") <= 2 * F.col("_l"), F.col("_t")).otherwise(
+        F.concat(F.left("_t", F.col("_l")), F.lit("\x00"), F.right("_t", F.col("_l")))
+    )
+    parts = found.select("query_id", held.alias("_held"), F.struct("_at", ends.alias("t")).alias("p")).groupBy("query_id").agg(
+        F.array_distinct(F.flatten(F.collect_list("_held"))).alias("_held"),
+        F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["t"]), " ").alias("_ends"),
     )
     asked = cases.select("query_id", F.explode("terms").alias("term"))
     needle = token_text(F.col("term"))
+    crosses = (needle != "") & F.contains(F.coalesce("_ends", F.lit("")), needle)
+    inside = F.coalesce(F.array_contains("_held", F.col("term")), F.lit(False))
     absent = (
-        cases.join(parts, "query_id", "left")
-        .select("query_id", F.explode("terms").alias("term"), F.coalesce("_body", F.lit("")).alias("_body"))
-        .select(
-            "query_id", "term",
-            (~((needle != "") & F.contains(F.col("_body"), needle))).alias("absent"),
-        )
+        cases.join(parts, "query_id", "left").select("query_id", F.explode("terms").alias("term"), "_held", "_ends")
+        .select("query_id", "term", (~(inside | crosses)).alias("absent"))
     )
     counts = chapters_with_all_tokens(asked.select("term").distinct(), documents)
     listed = F.array(*[F.lit(t) for t in K.GENERIC_TERMS])
@@ -125,12 +128,14 @@ def phrases_in(texts: DataFrame, phrases: DataFrame, key: str, text: str, phrase
     # Texts are cut only to the lengths that some phrase starts with, at most GRAM of them.
     lengths_used = heads.agg(F.collect_set("_g").alias("g")).scalar()
     grams = texts.select(key, F.col(text).alias("_text"), F.explode(F.concat(lengths_used, F.array().cast("array<int>"))).alias("_g"))
+    # A gram carries the key only; the text is fetched again for candidates.
     grams = grams.where(F.length("_text") >= F.col("_g")).select(
-        key, "_text", "_g",
+        key, "_g",
         F.explode(bind(F.split("_text", ""), lambda chars: _grams(chars, F.col("_g")))).alias("_gram"),
     )
-    met = scale.join_sized(grams, heads, ["_g", "_gram"])
-    return met.where(F.contains("_text", F.col("_phrase"))).select(key, F.col("_phrase").alias("phrase")).distinct()
+    met = scale.join_sized(grams, heads, ["_g", "_gram"]).select(key, "_phrase").distinct()
+    checked = met.join(texts.select(key, F.col(text).alias("_text")), key)
+    return checked.where(F.contains("_text", F.col("_phrase"))).select(key, F.col("_phrase").alias("phrase")).distinct()
 
 
 def query_realism(queries: DataFrame, chapters: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrank import constants as K
@@ -315,10 +315,10 @@ def agreement(labels: DataFrame, first: str, second: str) -> DataFrame:
     counts = labels.where(F.col(first).isNotNull() & F.col(second).isNotNull()).groupBy(
         F.col(first).alias("label_a"), F.col(second).alias("label_b")
     ).agg(F.count("*").alias("pairs"))
-    everything = Window.partitionBy()  # a label pair per row: at most a few rows
     same = F.when(F.col("label_a") == F.col("label_b"), F.col("pairs")).otherwise(0)
-    return counts.withColumn("total", F.sum("pairs").over(everything)).withColumn(
-        "agreement", F.sum(same).over(everything) / F.col("total")
+    sums = counts.agg(F.struct(F.sum("pairs").alias("n"), F.sum(same).alias("same")).alias("s")).scalar()
+    return counts.withColumn("_s", sums).select(
+        "label_a", "label_b", "pairs", F.col("_s.n").alias("total"), (F.col("_s.same") / F.col("_s.n")).alias("agreement")
     )
 
 

@@ -182,7 +182,9 @@ def build_pool(results: DataFrame) -> DataFrame:
 
 
 def blinded(pool: DataFrame) -> DataFrame:
-    return pool.orderBy("query_id", "order_key")
+    """The pool with each row's position in its query's blinded order, from 1."""
+    order = Window.partitionBy("query_id").orderBy("order_key", "chunk_id")
+    return pool.withColumn("position", F.row_number().over(order))
 
 
 def provenance_counts(labels: DataFrame) -> DataFrame:

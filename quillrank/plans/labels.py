@@ -374,10 +374,7 @@ def m5(spark, sf):
     WITH {BLIND} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY sha256(query_id || ':' || chunk_id))::INTEGER AS position
     FROM (SELECT DISTINCT query_id, chunk_id FROM hitlist)""")
 def w6(spark, sf):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("query_id").orderBy("order_key")
-    return M.blinded(judged_pool(spark, sf)).select("query_id", "chunk_id", F.row_number().over(order).alias("position"))
+    return M.blinded(judged_pool(spark, sf)).select("query_id", "chunk_id", "position")
 
 
 @query("M6_M7_M8_percentiles", """

@@ -395,3 +395,16 @@ def test_snapshot_queries_parse_every_row(spark):
         pytest.skip("driver tables are not here")
     rows = named(spark, "/root/testdata/sf0.001")
     assert rows.where(F.col("business").isNull()).count() == 0
+
+
+def test_terms_within_and_across_expected_chapters(spark):
+    rng = random.Random(12)
+    docs = [(f"c{i}", " ".join(rng.choices("ab cd e".split(), k=rng.choice([0, 1, 2, 30])))) for i in range(12)]
+    body = dict(docs)
+    cases = [(q, rng.sample(sorted(body), 3), [" ".join(rng.choices("ab cd e d".split(), k=rng.randrange(1, 7))) for _ in range(4)]) for q in range(40)]
+    got = E.audit_terms(
+        spark.createDataFrame(cases, "query_id int, expected array<string>, terms array<string>"),
+        spark.createDataFrame(docs, "chapter string, text string"),
+    ).collect()
+    want = {(q, t): t not in " ".join(body[c] for c in expected) for q, expected, terms in cases for t in terms}
+    assert {(r.query_id, r.term): r.absent for r in got} == want
