@@ -270,7 +270,9 @@ class Index:
 
 def fit(docs: DataFrame, labels: DataFrame, *, limit: int = MAX_EXAMPLES, k: int = NEIGHBOURS) -> tuple[Index, list[int]]:
     """Index and the doc_ids of its examples. At most `limit` sparse vectors reach the driver."""
-    sample = stored(examples(docs, labels, limit), "toxicity-examples")
+    # The sort leaves the sample in one partition; deal it out, so that its terms are found in parallel.
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    sample = stored(examples(docs, labels, limit).repartition(cores), "toxicity-examples")
     words = vocabulary(sample)
     n, held = document_counts(docs, words)
     index = Index(words, np.log((n + 1) / (np.array(held, np.float64) + 1)) + 1)
