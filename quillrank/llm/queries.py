@@ -84,4 +84,25 @@ QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_imatch_fingerprints, op3_license_scan, op4_cover_tree_near_dedup, op5_quality_classifier,
     op6_context_mixing, op7_packing, op8_sharding, op9_toxicity, op10_sampled_segmentation,
 )}
-ORACLES: dict[str, str] = {}
+# The components of linked pairs (a, b), both ways round, over all ids.
+COMPONENTS = """
+    reach AS (SELECT id AS node, id AS root FROM ids UNION SELECT p.b, reach.root FROM reach JOIN p ON p.a = reach.node),
+    found AS (SELECT node, min(root) AS component_id FROM reach GROUP BY 1)"""
+
+ORACLES = {
+    "op1_minhash_near_dedup": f"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                                            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+        ids AS (SELECT id FROM s), u AS (SELECT id, len(s) AS n, unnest(s) AS x FROM s),
+        p AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.x = b.x AND a.id <> b.id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+              GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))), {COMPONENTS}
+        SELECT id AS doc_id, len(s)::BIGINT AS n_shingles, component_id, id = component_id AS kept FROM s JOIN found ON node = id""",
+    "op4_cover_tree_near_dedup": f"""
+        WITH RECURSIVE ids AS (SELECT vec_id AS id FROM embeddings),
+        v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+        ok AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98), {COMPONENTS}
+        SELECT node AS vec_id, (SELECT count(*) FROM p WHERE p.a = node)::BIGINT AS n_links, component_id, node = component_id AS kept FROM found""",
+}
