@@ -6,9 +6,10 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
+from quillrank import plans
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = plans.load()
 
 pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="driver tables are not here")
 
@@ -27,3 +28,8 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_entry_names_all_queries():
+    assert QUERIES.keys() <= entry.queries().keys()
+    assert ORACLES.keys() <= entry.oracle_sql().keys()
