@@ -186,8 +186,23 @@ def duplicates(rows: DataFrame, key: str, position: str) -> DataFrame:
     return rows.join(first, key, "left").withColumn("is_duplicate", F.col(position) > F.col("_first")).drop("_first")
 
 
+def missing_fields(fields: Column, required: Sequence[str]) -> Column:
+    """Message that names the required fields absent from `fields` (array of names), or null."""
+    absent = F.array_sort(F.array_except(_listed(required), F.coalesce(fields, _empty())))
+    return F.when(F.size(absent) > 0, F.concat(F.lit("missing fields: "), F.array_join(absent, ", ")))
+
+
+def _required(cases: DataFrame, required: Sequence[str]) -> list[tuple[Column, str | Column]]:
+    """Check of the required fields, where the cases carry the names of their fields."""
+    if "fields" not in cases.columns:
+        return []
+    message = missing_fields(F.col("fields"), required)
+    return [(message.isNotNull(), message)]
+
+
 def validate_action_cases(cases: DataFrame) -> DataFrame:
-    """cases: case_id, line, required/allowed/forbidden_actions, expected_first_action, search_allowed."""
+    """cases: case_id, line, required/allowed/forbidden_actions, expected_first_action, search_allowed, and
+    fields (names that the record has; without this column none is required)."""
     req, alw, fbd = (F.col(f"{n}_actions") for n in ("required", "allowed", "forbidden"))
 
     def joined(a: Column) -> Column:
@@ -196,7 +211,7 @@ def validate_action_cases(cases: DataFrame) -> DataFrame:
     def both(a: Column, b: Column) -> Column:
         return F.array_intersect(a, b)
 
-    checks: list[tuple[Column, str | Column]] = [(F.col("is_duplicate"), "duplicate case_id")]
+    checks = _required(cases, K.ACTION_CASE_FIELDS) + [(F.col("is_duplicate"), "duplicate case_id")]
     for name, col in (("required", req), ("allowed", alw), ("forbidden", fbd)):
         extra = F.array_except(col, _listed(K.CASE_ACTIONS))
         checks += [
@@ -233,7 +248,7 @@ def validate_gate_cases(cases: DataFrame) -> DataFrame:
 
 
 def validate_source_cases(cases: DataFrame) -> DataFrame:
-    """cases: case_id, line, expected_source_events array<struct<job, concepts array<array>>>."""
+    """cases: case_id, line, expected_source_events array<struct<job, concepts array<array>>>, and fields as above."""
     events = F.col("expected_source_events")
 
     def of_event(event: Column) -> Column:
@@ -246,19 +261,14 @@ def validate_source_cases(cases: DataFrame) -> DataFrame:
 
     per_event = F.flatten(F.transform(events, lambda e, i: _numbered(of_event(e), "expected_source_events", i)))
     own = _problems(
-        (F.col("is_duplicate"), "duplicate case_id"), (events.isNull(), "expected_source_events must be a list")
+        *_required(cases, K.SOURCE_CASE_FIELDS),
+        (F.col("is_duplicate"), "duplicate case_id"), (events.isNull(), "expected_source_events must be a list"),
     )
     return duplicates(cases, "case_id", "line").withColumn(
         "errors", F.concat(own, F.coalesce(per_event, _empty()))
     ).drop("is_duplicate")
 
 
-def missing_fields(fields: Column, required: Sequence[str]) -> Column:
-    """Message that names the required fields absent from `fields` (array of names), or null."""
-    absent = F.array_sort(F.array_except(_listed(required), F.coalesce(fields, _empty())))
-    return F.when(F.size(absent) > 0, F.concat(F.lit("missing fields: "), F.array_join(absent, ", ")))
-
-
 def validate_answer_cases(cases: DataFrame, fixtures: DataFrame) -> DataFrame:
     """cases: case_id, line, answer_category, user_turn, snapshot_fixture_path and the optional
     local_docs_fixture_path, prior_sessions_fixture_path. fixtures: path (files that exist)."""

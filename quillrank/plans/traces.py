@@ -138,6 +138,8 @@ def cases(spark, sf):
         F.when(k % 17 == 0, F.lit(None)).otherwise(
             F.array(F.struct(F.when(k % 19 == 0, " ").otherwise("job").alias("job"), F.when(k % 23 == 0, none("array<array<string>>")).otherwise(F.array(strings("upsell"), F.when(k % 29 == 0, none()).otherwise(strings("gross profit")))).alias("concepts")))
         ).alias("expected_source_events"),
+        F.when(k % 8 == 0, F.array_except(strings(*T.K.ACTION_CASE_FIELDS, *T.K.SOURCE_CASE_FIELDS), strings("user_turn", "ambiguity")))
+        .otherwise(strings(*T.K.ACTION_CASE_FIELDS, *T.K.SOURCE_CASE_FIELDS)).alias("fields"),
     )
 
 
@@ -146,7 +148,7 @@ def exploded(df):
 
 
 @query("T5_action_case_rules", f"""
-    SELECT event_id AS line, unnest(list_filter([CASE WHEN event_id % 2 = 1 THEN 'duplicate case_id' END, CASE WHEN k % 5 = 1 THEN 'unknown required_actions: dance' END, CASE WHEN k % 11 = 0 THEN 'allowed_actions must be a list' END,
+    SELECT event_id AS line, unnest(list_filter([CASE WHEN k % 8 = 0 THEN 'missing fields: ambiguity, user_turn' END, CASE WHEN event_id % 2 = 1 THEN 'duplicate case_id' END, CASE WHEN k % 5 = 1 THEN 'unknown required_actions: dance' END, CASE WHEN k % 11 = 0 THEN 'allowed_actions must be a list' END,
       CASE WHEN k % 13 = 0 THEN 'unknown expected_first_action' END,
       CASE WHEN k % 5 = 0 AND k % 3 = 0 THEN 'both required and forbidden: search_source_material' WHEN k % 5 <> 1 AND k % 3 = 1 THEN 'both required and forbidden: calculate' END,
       CASE WHEN k % 11 <> 0 AND k % 3 = 1 THEN 'both allowed and forbidden: calculate' END, CASE WHEN k % 4 <> 0 AND k % 5 = 0 THEN 'search is required but not allowed' END,
@@ -163,7 +165,7 @@ def t5_gate(spark, sf):
 
 
 @query("T5_source_case_rules", f"""
-    SELECT event_id AS line, unnest(list_filter([CASE WHEN event_id % 2 = 1 THEN 'duplicate case_id' END, CASE WHEN k % 17 = 0 THEN 'expected_source_events must be a list' END,
+    SELECT event_id AS line, unnest(list_filter([CASE WHEN k % 8 = 0 THEN 'missing fields: ambiguity, user_turn' END, CASE WHEN event_id % 2 = 1 THEN 'duplicate case_id' END, CASE WHEN k % 17 = 0 THEN 'expected_source_events must be a list' END,
       CASE WHEN k % 17 <> 0 AND k % 19 = 0 THEN 'expected_source_events[1]: job must be a non-empty string' END, CASE WHEN k % 17 <> 0 AND k % 23 = 0 THEN 'expected_source_events[1]: required_query_concepts must be a non-empty list' END,
       CASE WHEN k % 17 <> 0 AND k % 23 <> 0 AND k % 29 = 0 THEN 'expected_source_events[1]: required_query_concepts must contain non-empty alternatives' END], lambda r: r IS NOT NULL)) AS error FROM {EV}""")
 def t5_source(spark, sf):
