@@ -118,12 +118,14 @@ def _neighbour_links(sets: DataFrame, percent: int) -> DataFrame:
     turned = F.concat(
         F.substring("signature", F.col("from") + 1, F.lit(width)), F.substring("signature", F.lit(1), F.col("from"))
     )
+    # Ranges are cut by a label's beginning, which keeps the sampled keys small.
     order = ["from", "label", "node"]
     rows = (
         sets.select(trees.alias("from"), "node", "signature", "shingles")
         .select("from", turned.alias("label"), "node", "shingles")
     )
-    sort = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranges = ["from", F.substring("label", 1, 12), "node"]
+    sort = rows.repartitionByRange(*ranges).sortWithinPartitions(*order)
     least = (percent / 100 - SLACK) * SIGNATURE
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
