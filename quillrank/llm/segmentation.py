@@ -40,6 +40,7 @@ LONG = 48  # characters; longer segments are summed one by one, in memory that g
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 GOLDEN = 0x9E3779B97F4A7C15
 SLOTS = 20
+SLICE = 1 << 20  # bytes of text, or of ids, that are worked on at once: their arrays take some forty times as much
 BYTE_WEIGHT = 0.5  # of the weight of the last piece, for each byte
 
 
@@ -252,7 +253,7 @@ def encode(
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(path, alpha)
-        for part in batches.slices(parts, at):
+        for part in batches.slices(parts, at, SLICE):
             found = [SEGMENT.findall(" " + t) if t else [] for t in part.column(at).to_pylist()]
             sizes = np.array([len(f) for f in found])
             keys = part.column(key).to_numpy().astype(np.uint64)
@@ -277,7 +278,7 @@ def decode(rows: DataFrame, *, vocabulary: str | None = None) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = Pieces(path).raw
-        for part in batches.slices(parts, at):
+        for part in batches.slices(parts, at, SLICE):
             texts = [
                 b"".join(map(raw.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))[1:]
                 for ids in part.column(at).to_pylist()
