@@ -2,14 +2,16 @@
 
 Templates are short licence statements and the base phrases. For every word of the templates
 the number of documents that hold it is counted over the whole table, which gives its inverse
-document frequency. A file is looked up by its rarest licence words: each has postings
-(template, position); an occurrence at place p of a word that stands at position q of a
-template proposes that the template starts at p - q. Proposals are kept where the words fit by
-relative position, and a template counts only when its mandatory phrase stands at its place.
+document frequency. Each template is looked up by the rarest word of its mandatory phrase: an
+occurrence at place p of that word, which stands at position q of the template, proposes that
+the template starts at p - q. A template counts only when its mandatory phrase stands at its
+place and enough of its words fit by relative position. As no template counts without its
+phrase, and no phrase stands without its rarest word, a lookup misses nothing, however many
+licence words a file has.
 
-Base phrases are mandatory as a whole, so their places are found exactly: the rarest word of
-each phrase is always looked up. The index has as many words as the templates, not as the
-texts, and travels with the tasks; the scan shuffles nothing but the counts of these words.
+Base phrases are mandatory as a whole, so their places are found exactly. The index has at most
+as many words as templates, and travels with the tasks; the scan shuffles nothing but the counts
+of licence words.
 
 Null texts count as empty: no words, no labels, score 0, null first and last word. Repeated
 rows are scanned once each; a null doc_id stays null; an empty table gives no rows.
@@ -20,7 +22,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,7 +52,6 @@ TEMPLATES = (
      "source and binary forms"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose", "modify and or distribute"),
 )
-RARE_WORDS = 8  # of a file's licence words, the rarest that are looked up beside those of the base phrases
 FIT = 0.6  # share of a template's words that must stand at their places
 
 SCHEMA = (
@@ -61,18 +62,13 @@ SCHEMA = (
 
 @dataclass(frozen=True)
 class Index:
-    """Templates as word tuples, postings of each word, and what must hold for a match."""
+    """Templates as word tuples (base phrases first), postings of the words looked up, and what must hold for a match."""
 
     idf: dict[bytes, float]
-    postings: dict[bytes, list[tuple[int, int]]]
+    postings: dict[bytes, list[tuple[int, int]]]  # rarest word of each mandatory phrase: template, position
     words: list[tuple[bytes, ...]]
     labels: list[str]
     phrases: list[tuple[int, tuple[bytes, ...]]]  # offset in the template, words
-    anchors: dict[bytes, list[int]] = field(default_factory=dict)  # rarest word of each base phrase
-
-    @property
-    def n_base(self) -> int:
-        return sum(map(len, self.anchors.values()))
 
 
 def vocabulary() -> list[str]:
@@ -109,34 +105,24 @@ def build_index(n_docs: int, held: dict[bytes, int]) -> Index:
         m = tuple(must.encode().split())
         phrases.append((next(i for i in range(len(template)) if template[i : i + len(m)] == m), m))
     postings = defaultdict(list)
-    for t, template in enumerate(words):
-        for q, w in enumerate(template):
-            postings[w].append((t, q))
-    anchors = defaultdict(list)
-    for t in range(len(BASE)):
-        anchors[min(words[t], key=lambda w: (-idf[w], w))].append(t)
-    return Index(idf, dict(postings), words, [label for label, _, _ in texts], phrases, dict(anchors))
+    for t, (offset, must) in enumerate(phrases):
+        i = min(range(len(must)), key=lambda i: (-idf[must[i]], must[i], i))
+        postings[must[i]].append((t, offset + i))
+    return Index(idf, dict(postings), words, [label for label, _, _ in texts], phrases)
 
 
 def scan_words(index: Index, words: list[bytes]) -> tuple[list[tuple[str, int]], list[tuple[str, int, float]]]:
     """Places of base phrases (label, start), and licence statements (label, start, fit)."""
-    present = index.idf.keys() & set(words)
-    rare = sorted(present, key=lambda w: (-index.idf[w], w))[:RARE_WORDS]
-    look = set(rare) | (index.anchors.keys() & present)
-    if not look:
+    if index.postings.keys().isdisjoint(words):
         return [], []
-    proposed: dict[tuple[int, int], float] = defaultdict(float)
-    for p, w in enumerate(words):
-        if w in look:
-            for t, q in index.postings[w]:
-                proposed[t, p - q] += index.idf[w]
+    proposed = {(t, p - q) for p, w in enumerate(words) if w in index.postings for t, q in index.postings[w]}
     places, found = [], []
     for t, start in sorted(proposed, key=lambda x: (x[1], x[0])):
         template, (offset, must) = index.words[t], index.phrases[t]
         at = start + offset
         if at < 0 or tuple(words[at : at + len(must)]) != must:
             continue
-        if t < index.n_base:
+        if t < len(BASE):
             places.append((index.labels[t], start))
             continue
         weight = sum(index.idf[w] for w in template)

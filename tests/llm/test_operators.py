@@ -166,6 +166,27 @@ def test_licenses(spark):
     assert all(r.score > 0.9 for r in found[3:7]) and found[7].score == 0
 
 
+def test_licenses_of_a_text_with_all_statements(spark):
+    # However many licence words a text has, each statement is found where its phrase and enough words stand.
+    joined = " and a free copy of the source for any person: ".join(t for _, t, _ in licenses.TEMPLATES)
+    texts = [joined, *(t for _, t, _ in licenses.TEMPLATES), prose(1), joined.replace("under", "by")]
+    rows = table(spark, texts)
+    index = licenses.build_index(*licenses.word_counts(rows))
+    for text, r in zip(texts, licenses.scan(rows).orderBy("doc_id").collect(), strict=True):
+        words, expected = batches.plain_words(text.encode()), []
+        for label, statement, must in licenses.TEMPLATES:
+            own, must = statement.encode().split(), must.encode().split()
+            offset = next(i for i in range(len(own)) if own[i : i + len(must)] == must)
+            for start in range(-len(own), len(words)):
+                fits = [w for i, w in enumerate(own) if 0 <= start + i < len(words) and words[start + i] == w]
+                fit = sum(index.idf[w] for w in fits) / sum(index.idf[w] for w in own)
+                if start + offset >= 0 and words[start + offset :][: len(must)] == must and fit >= licenses.FIT:
+                    expected.append((label, max(start, 0), pytest.approx(fit)))
+        assert sorted((x.label, x.start, x.fit) for x in r.found) == sorted(expected, key=lambda x: x[:2])
+    found = licenses.summary(licenses.scan(rows)).where("doc_id = 0").first()
+    assert set(found.labels.split(",")) >= {label for label, _, _ in licenses.TEMPLATES}
+
+
 def test_cover_tree(spark, monkeypatch):
     monkeypatch.setattr(covertree, "CHUNK", 40)
     rng = np.random.default_rng(2)
