@@ -1,23 +1,27 @@
 """Toxicity (operator 9): nearest labelled examples by exact TF-IDF cosine.
 
 Examples are labelled texts of rows that may be learnt from, at most MAX_EXAMPLES of them, taken
-in order of a hash of doc_id (the documented bound of the labelled sample). Terms are words, beginnings of words
-(so that inflected forms meet), and beginnings that occur at least twice or four times. The
-vocabulary is the terms that occur in toxic examples significantly and many times more often
-than in the others; evidence is counted over groups of like texts (by one minimum hash), so
-that many copies of one text do not make its words look toxic. Document frequencies are counted
-over all documents.
-
-Each example is a TF-IDF vector of length one in a block-max inverted index: example ids are cut
-in blocks, and every posting list knows its largest weight in each block. A text's bound for a
-block is the sum of these weights; blocks are read by falling bound until no block can reach the
-k-th best cosine. All examples at or above the k-th best cosine vote, ties included, weighted by
-the inverse of their distance. Votes are calibrated on the examples themselves, each left out
-of its own vote. Index and examples are bounded, so they travel with the tasks; the scan of the
-documents shuffles nothing.
-
-Labels, lang, source and doc_id of a text are never inputs of its score. Texts without any term
-of the vocabulary, also null and empty ones, get the rate of toxic examples among such examples.
+in order of a hash of doc_id (the documented bound of the labelled sample). Terms are all words of
+the examples, and those beginnings of words (so that inflected forms meet), and beginnings that
+occur at least twice or four times, that occur in toxic examples significantly and many times more
+often than in the others. Document frequencies are counted over all documents. No word is dropped
+by its evidence: a term weighs its TF-IDF times a factor of at least one, which rises with the
+evidence (z) that it tells toxic examples from others. Evidence is counted over groups of like
+texts (by several minimum hashes together), so that many copies of one text do not make its words
+look toxic.
+
+Each example is a vector of length one in a block-max inverted index: example ids are cut in
+blocks. The most frequent terms have a row of weights each and know its largest weight in each
+block, all others have posting lists, which are summed first. A text's bound for a block is the
+best sum there and the largest weights of its frequent terms; blocks are read by falling bound
+for a batch of texts, each text only where it can reach its k-th best cosine. What comes near
+that is summed anew in double precision. All examples at or above the k-th best cosine vote, ties
+included, weighted by the inverse of their distance. Votes are calibrated on the examples
+themselves, each left out of its own vote. Index and examples are bounded, so they travel with
+the tasks; the scan of the documents shuffles nothing.
+
+Labels, lang, source and doc_id of a text are never inputs of its score. Texts without any word
+of the examples, also null and empty ones, get the rate of toxic examples among such examples.
 Repeated rows are scored alike, a null doc_id counts as held out, repeated labels of a doc_id
 are toxic when any is. Without toxic or other examples all scores are the smoothed rate. An
 empty table gives no rows.
@@ -25,8 +29,11 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections import Counter, defaultdict
+import pickle
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +47,13 @@ from quillrank.session import stored
 
 MAX_EXAMPLES = 12_000
 NEIGHBOURS = 15
-BLOCK = 64
-MIN_Z, MIN_RATIO, MIN_GROUPS, MIN_SHARE = 3.0, 8.0, 4, 0.01  # evidence that a term needs
+BLOCK = 512
+FREQUENT, FREQUENT_SHARE = 512, 1 / 32  # terms with a row of weights, and the share of examples they have at least
+MARGIN = 1e-4  # of single precision
+BATCH = 64
+GROUP_HASHES = 3
+BUILT = {"blocks", "starts", "terms", "values", "row", "rows", "largest", "list_ids", "list_values", "list_sizes", "list_starts"}
+MIN_Z, MIN_RATIO, MIN_GROUPS, MIN_SHARE = 3.0, 8.0, 4, 0.01  # evidence that a beginning needs
 PREFIXES = range(4, 9)  # bytes of a word's beginning
 LEVELS = (2, 4)  # counts of a beginning that are terms of their own
 BINS = 12
@@ -78,49 +90,49 @@ class Terms:
     def __init__(self, known: frozenset[bytes] | None = None) -> None:
         self.known = known
         self.begins = None if known is None else {t[t.index(b"^") + 1 :] for t in known if b"^" in t}
-        self.memo: dict[bytes, tuple[bool, tuple[bytes, ...]]] = {}
+        self.heads = None if known is None else {b[: PREFIXES[0]] for b in self.begins}
+        self.memo: dict[bytes, tuple[bytes, ...]] = {}
 
-    def _parts(self, word: bytes) -> tuple[bool, tuple[bytes, ...]]:
+    def _parts(self, word: bytes) -> tuple[bytes, ...]:
         if word not in self.memo:
             if len(self.memo) >= MEMO_WORDS:
                 self.memo.clear()
             begins = (word[:n] for n in PREFIXES if n < len(word))
-            self.memo[word] = (
-                self.known is None or word in self.known,
-                tuple(b for b in begins if self.begins is None or b in self.begins),
-            )
+            self.memo[word] = tuple(b for b in begins if self.begins is None or b in self.begins)
         return self.memo[word]
 
     def of(self, text: bytes) -> dict[bytes, int]:
-        found: dict[bytes, int] = {}
-        begins: Counter[bytes] = Counter()
-        for word, n in Counter(batches.plain_words(text)).items():
-            own, parts = self._parts(word)
-            if own:
-                found[word] = n
-            for b in parts:
-                begins[b] += n
+        words, begins = Counter(batches.plain_words(text)), Counter()
+        known, heads = self.known, self.heads
+        found = dict(words) if known is None else {w: n for w, n in words.items() if w in known}
+        for word in words if heads is None else [w for w in words if w[: PREFIXES[0]] in heads]:
+            for b in self._parts(word):
+                begins[b] += words[word]
         for b, n in begins.items():
-            found[b"^" + b] = n
-            for level in LEVELS:
-                if n >= level:
-                    found[b"%d^%s" % (level, b)] = 1
-        return found if self.known is None else {t: n for t, n in found.items() if t in self.known}
+            own = [(b"^" + b, n), *((b"%d^%s" % (level, b), 1) for level in LEVELS if n >= level)]
+            found.update((t, m) for t, m in own if known is None or t in known)
+        return found
+
+
+def _group(words: set[bytes]) -> int:
+    """Texts of the same minimum hashes are one group."""
+    import xxhash
+
+    least = [min((xxhash.xxh3_64_intdigest(w, seed) for w in words), default=0) for seed in range(GROUP_HASHES)]
+    return xxhash.xxh3_64_intdigest(b"".join(h.to_bytes(8, "little") for h in least)) >> 1
 
 
 def _evidence(rows: DataFrame, known: frozenset[bytes] | None = None) -> DataFrame:
     """Distinct (term, group) of the examples; the empty term stands for the group itself."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         of = Terms(known).of
         # A text has some thousand terms, so few texts at a time.
         for part in batches.slices(parts, 1, 512 << 10):
             terms, groups = [], []
             for text in batches.byte_texts(part.column(1)):
                 own = [b"", *of(text)]
-                group = min(map(xxhash.xxh3_64_intdigest, set(batches.plain_words(text))), default=0) >> 1
+                group = _group(set(batches.plain_words(text)))
                 terms += own
                 groups += [group] * len(own)
             yield pa.record_batch([pa.array(terms, pa.binary()), pa.array(groups, pa.int64())], names=["term", "group"])
@@ -137,33 +149,61 @@ def _groups_with(rows: DataFrame, known: frozenset[bytes] | None, least: Column
     return {bytes(r.term): r.n for r in counts.collect()}
 
 
-def vocabulary(sample: DataFrame) -> list[bytes]:
-    """Terms whose groups of examples are toxic far more often than others, strongest first."""
+def _z(a, n1: int, b, n0: int):
+    """Evidence of terms in a of n1 toxic and b of n0 other groups: z and the log of the odds ratio."""
+    x, y = a + 0.5, b + 0.5
+    rest_x, rest_y = np.maximum(0, n1 - a) + 0.5, np.maximum(0, n0 - b) + 0.5
+    odds = np.log(x / rest_x) - np.log(y / rest_y)
+    return odds / np.sqrt(1 / x + 1 / rest_x + 1 / y + 1 / rest_y), odds
+
+
+def beginnings(sample: DataFrame) -> set[bytes]:
+    """Beginnings whose groups of examples are toxic far more often than others."""
     least = F.greatest(F.lit(MIN_GROUPS), MIN_SHARE * F.col("all"))
     toxic = _groups_with(sample.where("toxic = 1"), None, least)
     n1 = toxic.pop(b"", 0)
+    toxic = {t: n for t, n in toxic.items() if b"^" in t}
     if not toxic:
-        return []
+        return set()
     other = _groups_with(sample.where("toxic = 0"), frozenset(toxic), None)
     n0 = other.pop(b"", 0)
-    strong = {}
-    for term, a in toxic.items():
-        x, y = a + 0.5, other.get(term, 0) + 0.5
-        rest_x, rest_y = max(0, n1 - a) + 0.5, max(0, n0 - other.get(term, 0)) + 0.5
-        odds = math.log(x / rest_x) - math.log(y / rest_y)
-        z = odds / math.sqrt(1 / x + 1 / rest_x + 1 / y + 1 / rest_y)
-        if z >= MIN_Z and odds >= math.log(MIN_RATIO):
-            strong[term] = z
-    return sorted(strong, key=lambda t: (-strong[t], t))
+    found = {t: _z(a, n1, other.get(t, 0), n0) for t, a in toxic.items()}
+    return {t for t, (z, odds) in found.items() if z >= MIN_Z and odds >= math.log(MIN_RATIO)}
+
+
+def vocabulary(sample: DataFrame) -> list[bytes]:
+    """All words of the examples, and their strong beginnings."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[bytes] = set()
+        for part in batches.slices(parts, 1):
+            found.update(*map(batches.plain_words, batches.byte_texts(part.column(1))))
+        yield pa.record_batch([pa.array(list(found), pa.binary())], names=["term"])
+
+    words = sample.mapInArrow(run, "term binary").distinct().toArrow()["term"].to_pylist()
+    return sorted({*words, *beginnings(sample)})
+
+
+def factors(vectors: list[np.ndarray], toxic: list[int], groups: list[int], n_terms: int) -> np.ndarray:
+    """Of each term at least one, and more the more its groups of examples are toxic rather than others."""
+    held, n = [np.zeros(n_terms), np.zeros(n_terms)], [0, 0]
+    for y in (0, 1):
+        own = [i for i, t in enumerate(toxic) if t == y]
+        names, group = np.unique(np.array([groups[i] for i in own], np.int64), return_inverse=True)
+        n[y] = len(names)
+        terms = np.concatenate([np.zeros(0, np.int64), *(vectors[i][:, 0] for i in own)])
+        pairs = np.unique(terms * max(1, n[y]) + np.repeat(group, [len(vectors[i]) for i in own]))
+        held[y] += np.bincount(pairs // max(1, n[y]), minlength=n_terms)
+    return (1 + np.maximum(0, _z(held[1], n[1], held[0], n[0])[0] - 1)) ** 2
 
 
 def document_counts(docs: DataFrame, words: list[bytes]) -> tuple[int, list[int]]:
     """Documents, and documents with each of the words, over the whole table."""
-    known = frozenset(words)
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(words))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
-        of = Terms(known).of
+        of = Terms(shared.value).of
         for part in batches.slices(parts):
             for text in batches.byte_texts(part.column(0)):
                 held[b""] += 1
@@ -173,83 +213,132 @@ def document_counts(docs: DataFrame, words: list[bytes]) -> tuple[int, list[int]
         )
 
     rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term binary, n long")
-    found = {bytes(r.term): r.n for r in rows.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    sums = rows.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = dict(zip(sums["term"].to_pylist(), sums["n"].to_pylist(), strict=True))
     return found.get(b"", 0), [found.get(w, 0) for w in words]
 
 
+def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All places of the spans, one span after the other."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+
+
 class Index:
     """Block-max inverted index of unit vectors, with the labels of the examples."""
 
     def __init__(self, words: list[bytes], idf: np.ndarray) -> None:
         self.number = {w: i for i, w in enumerate(words)}
-        self.idf = idf
+        self.idf = idf  # times the factor of the evidence
 
-    def vector(self, text: bytes, terms: Terms) -> tuple[tuple[int, int], ...]:
-        """Term numbers with their counts, by number."""
-        return tuple(sorted((self.number[t], n) for t, n in terms.of(text).items()))
+    def vector(self, text: bytes, terms: Terms) -> np.ndarray:
+        """Rows of term number and count, by number."""
+        found = sorted((self.number[t], n) for t, n in terms.of(text).items())
+        return np.array(found, np.int32).reshape(-1, 2)
 
-    def weights(self, vector: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array([t for t, _ in vector])
-        w = (1 + np.log([n for _, n in vector])) * self.idf[terms]
+    def weights(self, vector: np.ndarray | tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
+        terms, counts = np.asarray(vector, np.int64).reshape(-1, 2).T
+        w = (1 + np.log(counts)) * self.idf[terms]
         return terms, w / math.sqrt(w @ w)
 
-    def fill(self, vectors: list[tuple], toxic: list[int]) -> None:
-        kept = [(v, y) for v, y in zip(vectors, toxic, strict=True) if v]
-        empty = [y for v, y in zip(vectors, toxic, strict=True) if not v]
+    def __getstate__(self) -> bytes:
+        """What the rest is built from, packed, so that little travels and is written."""
+        own = {k: v for k, v in self.__dict__.items() if k not in BUILT}
+        return zlib.compress(pickle.dumps(own | {"number": list(self.number)}), 1)
+
+    def __setstate__(self, state: bytes) -> None:
+        self.__dict__ = pickle.loads(zlib.decompress(state))
+        self.number = {w: i for i, w in enumerate(self.number)}
+        if hasattr(self, "pairs"):
+            self._build()
+
+    def fill(self, vectors: list, toxic: list[int]) -> None:
+        kept = [(np.asarray(v, np.int32).reshape(-1, 2), y) for v, y in zip(vectors, toxic, strict=True) if len(v)]
+        empty = [y for v, y in zip(vectors, toxic, strict=True) if not len(v)]
         self.rate = (sum(toxic) + 0.5) / (len(toxic) + 1)
         self.empty_score = (sum(empty) + self.rate) / (len(empty) + 1)
         self.toxic = np.array([y for _, y in kept], np.float64)
-        self.blocks = -(-len(kept) // BLOCK)
-        lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        for i, (v, _) in enumerate(kept):
-            terms, w = self.weights(v)
-            for t, x in zip(terms.tolist(), w.tolist(), strict=True):
-                lists[t].append((i, x))
-        self.lists, self.largest = {}, np.zeros((len(self.number), self.blocks))
-        for t, postings in lists.items():
-            ids, w = np.array([i for i, _ in postings]), np.array([x for _, x in postings])
-            np.maximum.at(self.largest[t], ids // BLOCK, w)
-            self.lists[t] = ids, w, np.searchsorted(ids, np.arange(self.blocks + 1) * BLOCK)
-
-    def nearest(self, vector: tuple, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """All examples at or above the k-th largest cosine (and above 0), and their cosines."""
-        terms, w = self.weights(vector)
-        bounds = w @ self.largest[terms]
-        ids, cosines, least = [], [], 0.0
-        found = np.zeros(0)
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or bounds[b] < least - 1e-9:
-                break
-            scores = np.zeros(BLOCK)
-            for t, x in zip(terms.tolist(), w.tolist(), strict=True):
-                if t in self.lists:
-                    own, weight, cut = self.lists[t]
-                    part = slice(cut[b], cut[b + 1])
-                    scores[own[part] - b * BLOCK] += x * weight[part]
-            if b == without // BLOCK and without >= 0:
-                scores[without - b * BLOCK] = 0.0
-            hit = np.flatnonzero((scores > 0) & (scores >= least - 1e-9))
-            ids.append(hit + b * BLOCK), cosines.append(scores[hit])
-            found = np.concatenate([found, scores[hit]])
-            if len(found) >= k:
-                found = -np.sort(-found)[:k]
-                least = found[-1]
-        if not ids:
-            return np.zeros(0, np.int64), np.zeros(0)
-        ids, cosines = np.concatenate(ids), np.concatenate(cosines)
-        top = cosines >= least - 1e-9
-        return ids[top], cosines[top]
-
-    def vote(self, vector: tuple, k: int, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+        self.sizes = np.array([len(v) for v, _ in kept], np.int64)
+        self.pairs = np.concatenate([np.zeros((0, 2), np.int32), *(v for v, _ in kept)])
+        self._build()
+
+    def _build(self) -> None:
+        """Block-max lists of the examples' vectors."""
+        n, n_terms = len(self.sizes), len(self.number)
+        self.blocks = -(-n // BLOCK)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.terms = np.ascontiguousarray(self.pairs[:, 0])
+        self.values = np.concatenate([
+            np.zeros(0), *(self.weights(self.pairs[a : a + m])[1] for a, m in zip(self.starts, self.sizes, strict=True))
+        ])
+        of = np.repeat(np.arange(n, dtype=np.int32), self.sizes)
+        lengths = np.bincount(self.terms, minlength=n_terms)
+        frequent = np.argsort(-lengths, kind="stable")[:FREQUENT]
+        frequent = frequent[lengths[frequent] >= max(1, FREQUENT_SHARE * n)]
+        self.row = np.full(n_terms, -1, np.int32)
+        self.row[frequent] = np.arange(len(frequent))
+        self.rows = np.zeros((len(frequent), self.blocks * BLOCK), np.float32)
+        often = self.row[self.terms] >= 0
+        self.rows[self.row[self.terms[often]], of[often]] = self.values[often]
+        self.largest = self.rows.reshape(len(frequent), self.blocks, BLOCK).max(axis=2, initial=0)
+        order = np.flatnonzero(~often)[np.argsort(self.terms[~often], kind="stable")]
+        self.list_ids, self.list_values = of[order], self.values[order].astype(np.float32)
+        self.list_sizes = np.where(self.row >= 0, 0, lengths)
+        self.list_starts = np.cumsum(self.list_sizes) - self.list_sizes
+
+    def nearest_of(self, vectors: list, k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each vector all examples at or above the k-th largest cosine (and above 0), and their cosines."""
+        weighted, width = [self.weights(v) for v in vectors], self.blocks * BLOCK
+        apart = np.full(len(vectors), -1) if without is None else np.asarray(without)
+        frequent = np.zeros((len(vectors), len(self.rows)), np.float32)
+        rest = np.zeros((len(vectors), width), np.float32)
+        for i, (terms, w) in enumerate(weighted):
+            row = self.row[terms]
+            frequent[i, row[row >= 0]] = w[row >= 0]
+            sizes = self.list_sizes[terms]
+            at = _spans(self.list_starts[terms], sizes)
+            rest[i] = np.bincount(self.list_ids[at], np.repeat(w, sizes) * self.list_values[at], width)
+        bounds = frequent @ self.largest + rest.reshape(len(vectors), self.blocks, BLOCK).max(axis=2, initial=0)
+        best = np.zeros((len(vectors), k), np.float32)
+        scores = np.zeros((len(vectors), width), np.float32)
+        for b in np.argsort(-bounds.sum(axis=0), kind="stable"):
+            who = np.flatnonzero((bounds[:, b] > 0) & (bounds[:, b] >= best.min(axis=1) - MARGIN))
+            if not len(who):
+                continue
+            block = slice(b * BLOCK, (b + 1) * BLOCK)
+            part = frequent[who] @ self.rows[:, block] + rest[who, block]
+            out = np.flatnonzero((apart[who] >= 0) & (apart[who] // BLOCK == b))
+            part[out, apart[who[out]] % BLOCK] = 0
+            scores[who, block] = part
+            best[who] = -np.partition(-np.concatenate([best[who], part], axis=1), k - 1, axis=1)[:, :k]
+        found, query = [], np.zeros(len(self.number))
+        for i, (terms, w) in enumerate(weighted):
+            ids = np.flatnonzero((scores[i] > 0) & (scores[i] >= best[i].min() - MARGIN))
+            query[terms] = w
+            sizes = self.sizes[ids]
+            at = _spans(self.starts[ids], sizes)
+            cosines = np.bincount(np.repeat(np.arange(len(ids)), sizes), query[self.terms[at]] * self.values[at], len(ids))
+            query[terms] = 0
+            if len(ids) > k:
+                top = cosines >= -np.partition(-cosines, k - 1)[k - 1] - 1e-9
+                ids, cosines = ids[top], cosines[top]
+            found.append((ids, cosines))
+        return found
+
+    def nearest(self, vector, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        return self.nearest_of([vector], k, [without])[0]
+
+    def vote(self, ids: np.ndarray, cosines: np.ndarray) -> float:
         """Share of toxic neighbours, weighted by inverse distance, pulled to the rate by one vote."""
-        ids, cosines = self.nearest(vector, k, without)
         weight = 1 / (np.sqrt(np.maximum(2 - 2 * cosines, 0)) + 0.1)
-        return float((weight @ self.toxic[ids] + self.rate) / (weight.sum() + 1)), ids, cosines
+        return float((weight @ self.toxic[ids] + self.rate) / (weight.sum() + 1))
 
-    def calibrate(self, vectors: list[tuple], k: int) -> None:
+    def calibrate(self, vectors: list, k: int) -> None:
         """Rising steps from votes to observed rates, by pooling bins of left-out examples."""
-        kept = [v for v in vectors if v]
-        votes = np.array([self.vote(v, k, i)[0] for i, v in enumerate(kept)])
+        kept = [v for v in vectors if len(v)]
+        votes = np.array([
+            self.vote(*near) for i in range(0, len(kept), BATCH)
+            for near in self.nearest_of(kept[i : i + BATCH], k, list(range(i, min(i + BATCH, len(kept)))))
+        ])
         order = np.argsort(votes, kind="stable")
         pools: list[list[float]] = []  # sum of votes, toxic, rows
         for part in np.array_split(order, min(BINS, max(1, len(kept) // 6))) if len(kept) else []:
@@ -261,11 +350,14 @@ class Index:
         rates = [(y + self.rate) / (n + 1) for _, y, n in pools]
         self.rates = np.array([min([self.empty_score, *rates]), *rates, max([self.empty_score, *rates])])
 
-    def score(self, vector: tuple, k: int) -> tuple[float, np.ndarray, np.ndarray]:
-        if not vector or not len(self.toxic):
-            return self.empty_score, np.zeros(0, np.int64), np.zeros(0)
-        vote, ids, cosines = self.vote(vector, k)
-        return float(np.interp(vote, self.at, self.rates)), ids, cosines
+    def score(self, vectors: list, k: int) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        found = [(self.empty_score, np.zeros(0, np.int64), np.zeros(0)) for _ in vectors]
+        some = [i for i, v in enumerate(vectors) if len(v) and len(self.toxic)]
+        for i in range(0, len(some), BATCH):
+            part = some[i : i + BATCH]
+            for j, (ids, cosines) in zip(part, self.nearest_of([vectors[j] for j in part], k), strict=True):
+                found[j] = float(np.interp(self.vote(ids, cosines), self.at, self.rates)), ids, cosines
+        return found
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, limit: int = MAX_EXAMPLES, k: int = NEIGHBOURS) -> tuple[Index, list[int]]:
@@ -275,24 +367,27 @@ def fit(docs: DataFrame, labels: DataFrame, *, limit: int = MAX_EXAMPLES, k: int
     sample = stored(examples(docs, labels, limit).repartition(cores), "toxicity-examples")
     words = vocabulary(sample)
     n, held = document_counts(docs, words)
-    index = Index(words, np.log((n + 1) / (np.array(held, np.float64) + 1)) + 1)
+    index = Index(words, (np.log((n + 1) / (np.array(held, np.float64) + 1)) + 1))
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(frozenset(words))
+        index = shared.value
+        terms = Terms(frozenset(index.number))
         for part in batches.slices(parts, 1):
             vectors = [index.vector(t, terms) for t in batches.byte_texts(part.column(1))]
             yield pa.record_batch(
-                [part.column(0), pa.array([[t for t, _ in v] for v in vectors], pa.list_(pa.int32())),
-                 pa.array([[c for _, c in v] for v in vectors], pa.list_(pa.int32())), part.column(2)],
-                names=["doc_id", "terms", "counts", "toxic"],
+                [part.column(0), pa.array([v.astype("<i4").tobytes() for v in vectors], pa.binary()), part.column(2),
+                 pa.array([_group(set(batches.plain_words(t))) for t in batches.byte_texts(part.column(1))], pa.int64())],
+                names=["doc_id", "vector", "toxic", "group"],
             )
 
-    rows = sample.mapInArrow(run, "doc_id long, terms array<int>, counts array<int>, toxic int").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.terms, r.counts))
-    vectors = [tuple(zip(r.terms, r.counts, strict=True)) for r in rows]
+    rows = sample.mapInArrow(run, "doc_id long, vector binary, toxic int, group long").collect()
+    rows.sort(key=lambda r: (r.doc_id, r.vector))
+    vectors = [np.frombuffer(r.vector, "<i4").reshape(-1, 2) for r in rows]
+    index.idf = index.idf * factors(vectors, [r.toxic for r in rows], [r.group for r in rows], len(words))
     index.fill(vectors, [r.toxic for r in rows])
     index.calibrate(vectors, k)
-    return index, [r.doc_id for r, v in zip(rows, vectors, strict=True) if v]
+    return index, [r.doc_id for r, v in zip(rows, vectors, strict=True) if len(v)]
 
 
 def score(
@@ -304,24 +399,24 @@ def score(
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
     at = docs.columns.index("text")
 
+    shared = docs.sparkSession.sparkContext.broadcast((index, names))
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[tuple, tuple] = {}
+        memo: dict[bytes, tuple] = {}
+        index, names = shared.value
         terms = Terms(frozenset(index.number))
         for part in batches.slices(parts, at):
-            scores, found = [], []
-            for text in batches.byte_texts(part.column(at)):
-                vector = index.vector(text, terms)
-                if vector not in memo:
-                    if len(memo) >= MEMO_VECTORS:
-                        memo.clear()
-                    value, ids, cosines = index.score(vector, k)
-                    best = np.lexsort((ids, -cosines))[:evidence]
-                    memo[vector] = value, [
-                        {"doc_id": names[ids[i]], "cosine": float(cosines[i]), "toxic": int(index.toxic[ids[i]])}
-                        for i in best
-                    ]
-                value, near = memo[vector]
-                scores.append(value), found.append(near)
+            vectors = [index.vector(text, terms) for text in batches.byte_texts(part.column(at))]
+            keys = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in vectors]
+            if len(memo) >= MEMO_VECTORS:
+                memo.clear()
+            new = {key: v for key, v in zip(keys, vectors, strict=True) if key not in memo}
+            for key, (value, ids, cosines) in zip(new, index.score(list(new.values()), k), strict=True):
+                best = np.lexsort((ids, -cosines))[:evidence]
+                memo[key] = value, [
+                    {"doc_id": names[ids[i]], "cosine": float(cosines[i]), "toxic": int(index.toxic[ids[i]])} for i in best
+                ]
+            scores, found = [memo[key][0] for key in keys], [memo[key][1] for key in keys]
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, pa.array(scores, pa.float64()), pa.array(found, kind)],
                 names=[*part.schema.names, "toxicity", "evidence"],

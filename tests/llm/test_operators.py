@@ -354,6 +354,22 @@ def test_toxicity_on_held_out_rows(spark):
     assert again == {r.doc_id: r.toxicity for r in found}
 
 
+def test_toxicity_compares_all_words(spark):
+    # Subjects are toxic or not by words that no keyword test passes: each is in few examples.
+    subjects = [[f"subject{s}x{j}" for j in range(12)] for s in range(60)]
+    texts = [" ".join([*subjects[i % 60][i % 5 : i % 5 + 6], "and the"]) for i in range(600)]
+    rows = table(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 60 < 20)) for i in range(600)], "doc_id long, toxic int")
+    for r in toxicity.score(rows, labels).where(toxicity.held_out(F.col("doc_id"))).collect():
+        assert r.evidence and r.evidence[0].doc_id % 60 == r.doc_id % 60
+        assert (r.toxicity >= toxicity.THRESHOLD) == (r.doc_id % 60 < 20)
+
+
+def test_unlike_texts_are_groups_of_their_own():
+    groups = {toxicity._group({b"the", b"and", f"w{i}".encode(), f"v{i}".encode()}) for i in range(100)}
+    assert len(groups) > 50
+
+
 def test_segmentation_round_trip(spark):
     texts = [prose(i, 30) for i in range(20)] + ["", None, " ", "  a▁ b\n\nc", "日本 語 é é\x00", "x" * 200, "\t \U0001f600"]
     rows = table(spark, texts)
