@@ -20,6 +20,9 @@ COLUMNS = {
     "op8_": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
     "op9_": "doc_id bigint, held_out boolean, score double, predicted int",
     "op10_": "doc_id bigint, lossless boolean",
+    "op11_": "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string",
+    "op12_": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
+    "op13_": "item_id bigint, rank int, doc_id bigint, score bigint",
 }
 pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="driver tables are not here")
 
