@@ -7,16 +7,21 @@ statistics.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank import constants as K
 from quillrank import scale
 from quillrank.functions.text import bind, tokens
+from quillrank.operators import maxscore
+from quillrank.session import stored
 
 MARKER = ""
+# Postings per part of a stored index.
+PART_POSTINGS = 200_000
 
 
 def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "query") -> DataFrame:
@@ -149,50 +154,164 @@ def search(
     queries) a chunk is kept when the arrays overlap, or when the query names none;
     statistics stay those of the whole corpus. Ties follow `order`, else chunk_id.
     """
+    found = search_variants(
+        chunks, queries, {"": (k1, b)}, k, chunk_id, text, query_id, query, subjects, query_subjects, order
+    )
+    return found.drop("variant")
+
+
+def search_variants(
+    chunks: DataFrame,
+    queries: DataFrame,
+    variants: Mapping[str, tuple[float, float]],
+    k: int = 5,
+    chunk_id: str = "chunk_id",
+    text: str = "text",
+    query_id: str = "query_id",
+    query: str = "query",
+    subjects: str | None = None,
+    query_subjects: str | None = None,
+    order: str | None = None,
+) -> DataFrame:
+    """`search` for several (k1, b), by name: (variant, query_id, chunk_id, score, rank). Texts are read once."""
     terms = query_terms(queries, query_id, query)
+    vocabulary = numbered(terms)
     keep = [c for c in dict.fromkeys([subjects, order]) if c and c != chunk_id]
-    index = index_rows(chunks, chunk_id, text, vocabulary=terms, keep=keep)
-    scored = score(index, terms, k1, b, keep).where(F.col("score") > 0)
+    rows = profiles(chunks, vocabulary, chunk_id, text, keep)
+    asked = terms.join(vocabulary, "term").select("query_id", "tid", "weight")
+    wanted = None
     if subjects and query_subjects:
-        wanted = queries.select(
-            F.col(query_id).alias("query_id"), F.col(query_subjects).alias("_wanted")
-        )
-        scored = scale.join_sized(scored, wanted, ["query_id"]).where(
-            F.col("_wanted").isNull()
-            | (F.size("_wanted") == 0)
-            | F.arrays_overlap(F.col(subjects), F.col("_wanted"))
-        )
-    tie = F.col("chunk_id") if order is None or order == chunk_id else F.col(order)
-    ranked = scale.top_k(scored, ["query_id"], [scale.score_key("score"), tie.asc()], k)
-    return ranked.select("query_id", "chunk_id", "score", "rank")
+        wanted = queries.select(F.col(query_id).alias("query_id"), F.col(query_subjects).alias("wanted"))
+    tie = "chunk_id" if order is None or order == chunk_id else order
+    done = [
+        best(rows, asked, k, k1, b, subjects, wanted, tie).select(F.lit(name).alias("variant"), "*")
+        for name, (k1, b) in variants.items()
+    ]
+    return functools.reduce(DataFrame.unionByName, done)
+
+
+def numbered(terms: DataFrame) -> DataFrame:
+    """(term, tid): the distinct terms of the queries with numbers; written, so that numbers stay."""
+    return stored(terms.select("term").distinct().withColumn("tid", F.monotonically_increasing_id()), "vocabulary")
+
+
+def profiles(
+    chunks: DataFrame, vocabulary: DataFrame, chunk_id: str = "chunk_id", text: str = "text", keep: Sequence[str] = ()
+) -> DataFrame:
+    """One row per chunk: row, chunk_id, keep, chunk_len, tids, tfs; written once, for several uses.
+
+    tids are the numbers of the vocabulary's terms that the chunk holds. Terms are counted in the
+    row, and only those of the vocabulary are shuffled.
+    """
+    spark = chunks.sparkSession
+    marked = vocabulary.unionByName(spark.range(1).select(F.lit(MARKER).alias("term"), F.lit(-1).cast("long").alias("tid")))
+    whole = chunks.select("*", F.monotonically_increasing_id().alias("row"))
+    rows = _term_rows(whole, chunk_id, text, True, ["row", *keep])
+    rows = scale.join_sized(rows, marked, ["term"], bound=vocabulary)
+    return gathered(rows, keep)
+
+
+def gathered(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Profiles from (row, chunk_id, keep, chunk_len, tid, tf); a tid of -1 only keeps its chunk in the table."""
+    found = rows.groupBy("row", "chunk_id", *keep, "chunk_len").agg(
+        F.sort_array(F.collect_list(F.when(F.col("tid") >= 0, F.struct("tid", "tf")))).alias("found")
+    )
+    return stored(
+        found.select(
+            "row", "chunk_id", *keep, "chunk_len", F.col("found.tid").alias("tids"), F.col("found.tf").alias("tfs")
+        ),
+        "profiles",
+    )
+
 
+def best(
+    rows: DataFrame,
+    asked: DataFrame,
+    k: int = 5,
+    k1: float = K.BM25_K1,
+    b: float = K.BM25_B,
+    subjects: str | None = None,
+    wanted: DataFrame | None = None,
+    tie: str = "chunk_id",
+    corpus: DataFrame | None = None,
+) -> DataFrame:
+    """Top k per query from profiles and (query_id, tid, weight); blocks of chunks that cannot reach them are not summed.
+
+    `corpus` (chunk_len) has all chunks where `rows` leaves out those without an asked term.
+    """
+    corpus = (rows if corpus is None else corpus).agg(F.struct(F.count("*").alias("n"), F.avg("chunk_len").alias("avg_len")).alias("c")).scalar()
+    stats = rows.select(F.explode("tids").alias("tid")).groupBy("tid").agg(F.count("*").alias("df"))
+    boost = F.col("weight") * idf(F.col("c.n"), F.col("df"))
+    lists = scale.join_sized(asked, stats, ["tid"], bound=asked).withColumn("c", corpus).groupBy("query_id").agg(
+        F.collect_list(F.struct("tid", boost.alias("weight"))).alias("terms")
+    )
+    if wanted is None:
+        lists = lists.withColumn("wanted", F.lit(None).cast("array<string>"))
+    else:
+        lists = lists.join(wanted, "query_id")
+    lists = stored(lists.withColumn("query", F.monotonically_increasing_id()), "asked")
+    worth = F.transform("tfs", lambda tf: saturation(tf, F.col("chunk_len"), F.col("c.avg_len"), k1, b))
+    held = rows.withColumn("c", corpus).select(
+        "row", F.col(tie).alias("tie"), "tids", worth.alias("worth"), *([F.col(subjects).alias("subjects")] if subjects else [])
+    )
+    found = maxscore.best_rows(held, lists.select("query", "terms", "wanted"), k)
+    # At most k rows per query and task are left.
+    named = found.join(rows.select("row", "chunk_id", F.col(tie).alias("tie")), "row")
+    ranked = scale.top_k(named, ["query"], [scale.score_key("score"), F.col("tie").asc()], k)
+    return scale.join_sized(ranked, lists.select("query", "query_id"), ["query"]).select("query_id", "chunk_id", "score", "rank")
+
+
+def write_index(
+    chunks: DataFrame, path: str, chunk_id: str = "chunk_id", text: str = "text", part_postings: int = PART_POSTINGS
+) -> None:
+    """Store an index of the chunks: `postings` by part, `chunks` and `layout`.
+
+    Terms are hashed into as many parts as the postings need, of about `part_postings` each. Inside a
+    part rows are sorted by term. Choose `part_postings` so that folders stay below some ten thousands.
+    """
+    spark = chunks.sparkSession
+    whole = chunks.select("*", F.monotonically_increasing_id().alias("row"))
+    rows = stored(_term_rows(whole, chunk_id, text, True, ["row"]), "index-rows")
+    rows.where("tf = 0").select("row", "chunk_id", "chunk_len").write.mode("overwrite").parquet(f"{path}/chunks")
+    counted = rows.where("tf > 0")
+    layout = spark.range(1).select(F.lit(max(1, -(-counted.count() // part_postings))).alias("parts"))
+    layout.write.mode("overwrite").parquet(f"{path}/layout")
+    placed = counted.withColumn("part", _part(spark, path)).hint("rebalance", "part").sortWithinPartitions("part", "term")
+    placed.write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
 
-def write_index(index: DataFrame, path: str, buckets: int = 64) -> None:
-    """Store index rows by term bucket, so that a search reads only its own buckets.
 
-    The marker rows go to bucket -1. Buckets are written in files of even size: adaptive
-    execution merges small buckets and splits those with a frequent term. Choose more buckets for
-    more terms; the count is kept beside the rows.
+def _part(spark: SparkSession, path: str) -> Column:
+    parts = spark.read.parquet(f"{path}/layout").select(F.max("parts")).scalar()
+    return F.pmod(F.xxhash64("term"), parts).cast("int")
+
+
+def read_index(spark: SparkSession, path: str, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored postings of the terms, with numbers tid, and those numbers (term, part, tid).
+
+    Parts are pruned while the query runs (dynamic pruning), so only the folders of asked terms
+    are listed and read; nothing is collected for it.
     """
-    bucket = F.when(F.col("tf") == 0, -1).otherwise(F.pmod(F.hash("term"), F.lit(buckets)))
-    placed = index.withColumn("bucket", bucket).hint("rebalance", "bucket")
-    placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows")
-    index.sparkSession.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/layout")
-
-
-def read_index(spark, path: str, terms: DataFrame | None = None) -> DataFrame:
-    """Stored index rows; with a table of terms only their buckets are read, and only their rows kept."""
-    rows = spark.read.parquet(f"{path}/rows")
-    if terms is None:
-        return rows.drop("bucket")
-    buckets = spark.read.parquet(f"{path}/layout").first().buckets
-    bucket = F.pmod(F.hash("term"), F.lit(buckets))
-    asked = terms.select("term").distinct()
-    # At most one number per bucket reaches the driver, and the scan lists only these folders.
-    wanted = [r.bucket for r in asked.select(bucket.alias("bucket")).distinct().collect()]
-    pruned = rows.where(F.col("bucket").isin([-1, *wanted]))
-    marked = asked.unionByName(spark.range(1).select(F.lit(MARKER).alias("term")))
-    return scale.join_sized(pruned, marked, ["term"], how="left_semi", bound=terms).drop("bucket")
+    numbers = numbered(terms).withColumn("part", _part(spark, path))
+    # Pruning needs a condition on the side that prunes; no term is empty.
+    few = numbers.where(F.length("term") > 0)
+    return scale.join_sized(spark.read.parquet(f"{path}/postings"), few, ["part", "term"], bound=terms), numbers
+
+
+def search_index(
+    spark: SparkSession,
+    path: str,
+    queries: DataFrame,
+    k: int = 5,
+    query_id: str = "query_id",
+    query: str = "query",
+    k1: float = K.BM25_K1,
+    b: float = K.BM25_B,
+) -> DataFrame:
+    """`search` in a stored index: (query_id, chunk_id, score, rank)."""
+    terms = query_terms(queries, query_id, query)
+    found, numbers = read_index(spark, path, terms)
+    asked = terms.join(numbers, "term").select("query_id", "tid", "weight")
+    return best(gathered(found), asked, k, k1, b, corpus=spark.read.parquet(f"{path}/chunks"))
 
 
 def smoke(results: DataFrame, expected: DataFrame, k: int = 5) -> DataFrame:

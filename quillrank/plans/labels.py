@@ -15,6 +15,7 @@ from quillrank.operators import chunking as C
 from quillrank.operators import evidence as E
 from quillrank.operators import fusion as R
 from quillrank.operators import labels as J
+from quillrank.operators import lexical as L
 from quillrank.operators import metrics as M
 from quillrank.operators.quantiles import quantiles
 from quillrank.plans.registry import query, sql_tokens, sql_words, table
@@ -322,10 +323,11 @@ def m3(spark, sf):
 
 
 def judged_pool(spark, sf):
-    found = None
-    for name, part in (("bm25", bm25(spark, sf, 10)), ("alt", bm25(spark, sf, 10, k1=0.4, b=0.3))):
-        rows = part.select(F.lit(name).alias("variant"), "query_id", "chunk_id", "rank", "score")
-        found = rows if found is None else found.unionByName(rows)
+    # Both parameter pairs score one pass over the texts.
+    pairs = {"bm25": (K.BM25_K1, K.BM25_B), "alt": (0.4, 0.3)}
+    found = L.search_variants(docs(spark, sf), bench(spark, sf), pairs, 10, chunk_id="doc_id").select(
+        "variant", "query_id", "chunk_id", "rank", "score"
+    )
     grades = labels(spark, sf).select("chunk_id", (F.col("quality") + F.col("toxic")).alias("relevance"))
     # A judged pool is an artifact of its own: it is kept, then labelled and scored.
     return stored(M.build_pool(found).join(grades, "chunk_id", "left"), "pool")

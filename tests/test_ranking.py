@@ -16,6 +16,7 @@ from quillrank.operators import fusion as R
 from quillrank.operators import knn as V
 from quillrank.operators import labels as J
 from quillrank.operators import lexical as L
+from quillrank.operators import maxscore
 from quillrank.operators.quantiles import quantiles
 from quillrank.sources import vectors as SV
 
@@ -97,27 +98,72 @@ def test_term_counts_move_nothing(spark):
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
 
 
-def test_index_exchange_is_shared_by_statistics_and_scores(spark, corpus):
+def test_texts_are_read_once_for_two_parameter_pairs(spark, corpus):
     docs, queries = frames(spark, corpus)
-    found = L.search(docs, queries, 5)
-    found.collect()
+    pairs = {"a": (1.5, 0.75), "b": (0.4, 0.3)}
+    found = L.search_variants(docs, queries, pairs, 5)
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "ReusedExchange" in plan
-    assert "WindowGroupLimit" in plan
-    assert "CartesianProduct" not in plan
-    assert "BroadcastNestedLoopJoin" not in plan
+    assert "regexp_extract_all" not in plan
+    rows = sorted((r.variant, r.query_id, r.rank, r.chunk_id, round(r.score, 9)) for r in found.collect())
+    apart = [
+        (name, r.query_id, r.rank, r.chunk_id, round(r.score, 9))
+        for name, (k1, b) in pairs.items() for r in L.search(docs, queries, 5, k1=k1, b=b).collect()
+    ]
+    assert rows == sorted(apart)
 
 
-def test_stored_index_reads_only_the_buckets_asked_for(spark, corpus, tmp_path):
+def test_stored_index_reads_only_the_parts_asked_for(spark, corpus, tmp_path):
     docs, queries = frames(spark, corpus)
-    L.write_index(L.index_rows(docs), str(tmp_path / "index"), buckets=16)
-    terms = L.query_terms(queries.where("query_id < 2"))
-    found = L.read_index(spark, str(tmp_path / "index"), terms)
-    assert "PartitionFilters: [bucket" in found._jdf.queryExecution().executedPlan().toString()
-    kept = {r.term for r in terms.collect()} | {L.MARKER}
-    whole = L.read_index(spark, str(tmp_path / "index"))
-    rows = [[(r.chunk_id, r.chunk_len, r.term, r.tf) for r in df.collect()] for df in (found, whole)]
-    assert sorted(rows[0]) == sorted(r for r in rows[1] if r[2] in kept)
+    path = str(tmp_path / "index")
+    L.write_index(docs, path, part_postings=40)
+    few = queries.where("query_id < 2")
+    terms = L.query_terms(few)
+    found, numbers = L.read_index(spark, path, terms)
+    rows = found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    kept = {r.term for r in terms.collect()}
+    whole = L.postings(docs).where(F.col("term").isin(list(kept))).collect()
+    assert sorted((r.chunk_id, r.chunk_len, r.term, r.tf) for r in rows) == sorted((r.chunk_id, r.chunk_len, r.term, r.tf) for r in whole)
+    parts = spark.read.parquet(f"{path}/postings").select("part").distinct().count()
+    assert numbers.select("part").distinct().count() < parts
+    for asked in (queries, few):
+        stored = [tuple(r) for r in L.search_index(spark, path, asked, 5).collect()]
+        direct = [tuple(r) for r in L.search(docs, asked, 5).collect()]
+        assert [(q, c, k) for q, c, _, k in sorted(stored)] == [(q, c, k) for q, c, _, k in sorted(direct)]
+        assert [s for _, _, s, _ in sorted(stored)] == pytest.approx([s for _, _, s, _ in sorted(direct)])
+
+
+def test_bounds_leave_blocks_out_and_lose_nothing():
+    rng = random.Random(8)
+    k, rows, weights = 3, 900, 40
+    terms = [[(rng.randrange(weights * 3), rng.random()) for _ in range(8)] for _ in range(25)] + [[], [(5, 1.0)]]
+    wanted = [rng.choice([None, [], ["x"], ["x", "z"]]) for _ in terms]
+    # Rows of equal contents tie; some rows hold no term.
+    contents = [{rng.randrange(weights): 1 + rng.random() * (10 if i < 40 else 1) for _ in range(rng.randrange(6))} for i in range(rows)]
+    contents[100:160] = [contents[3]] * 60
+    subjects = [rng.choice([None, ["x"], ["y", "z"]]) for _ in range(rows)]
+    best = maxscore.Best(terms, wanted, k)
+    for start in range(0, rows, 300):
+        part = range(start, start + 300)
+        places = [(i - start, t, w) for i in part for t, w in contents[i].items()]
+        row, tid, worth = (np.array(c) for c in zip(*places, strict=True))
+        best.take(row, tid, worth, list(part), [-i for i in part], [subjects[i] for i in part])
+    assert best.scored < 0.6 * best.blocks
+    for q, own in enumerate(terms):
+        scores = []
+        for i in range(rows):
+            score = sum(w * contents[i].get(t, 0) for t, w in own)
+            if score > 0 and (not wanted[q] or set(wanted[q]) & set(subjects[i] or [])):
+                scores.append((-round(score, 9), -i))
+        assert [(e[0], e[2]) for e in best.best[q]] == sorted(scores)[:k]
+
+
+def test_queries_in_several_parts(spark, corpus, monkeypatch):
+    docs, queries = frames(spark, corpus)
+    whole = sorted((r.query_id, r.rank, r.chunk_id) for r in L.search(docs, queries, 5).collect())
+    monkeypatch.setattr(maxscore, "QUERY_TERMS", 3)
+    assert sorted((r.query_id, r.rank, r.chunk_id) for r in L.search(docs, queries, 5).collect()) == whole
 
 
 def test_subject_filter_keeps_corpus_statistics(spark):
