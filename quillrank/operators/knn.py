@@ -1,7 +1,7 @@
 """Exact nearest neighbours by cosine, for whole tables of queries.
 
-Scores are computed as small matrix products inside tasks, and only the best k rows per
-query leave a task, so no table of query-vector pairs ever exists.
+Scores are computed as small matrix products inside tasks, for the clusters that a bound does not rule
+out, and only the best k rows per query leave a block pair, so no table of query-vector pairs ever exists.
 """
 
 from __future__ import annotations
@@ -9,80 +9,125 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quillrank import constants as K
 from quillrank import scale
 
 BLOCK_ROWS = 4096
-SCORES_AT_ONCE = 4_000_000
+# Vectors around one centre, inside a block.
+CLUSTER_ROWS = 64
 TIE_DIGITS = 9
 
 
-def _unit(rows: Sequence) -> np.ndarray:
-    lengths = {len(r) for r in rows}
+def _unit(values: pa.Array) -> np.ndarray:
+    """Unit vectors of an array of lists; zero vectors stay."""
+    if not len(values):
+        return np.zeros((0, 0))
+    lengths = np.unique(np.diff(values.offsets.to_numpy()))
     if len(lengths) > 1:
         raise ValueError("vectors differ in length")
-    m = np.array([np.asarray(r, dtype=np.float64) for r in rows])
+    m = values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), lengths[0]).astype(np.float64)
     norms = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
 
-def _blocks(df: DataFrame, row_id: str, prefix: str) -> DataFrame:
+def clustered(unit: np.ndarray, rows: int = CLUSTER_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, sizes, centres, reach): rows around pivots, and the smallest cosine of a row with its centre."""
+    pivots = unit[:: max(1, rows)]
+    near = (unit @ pivots.T).argmax(axis=1)
+    order = np.argsort(near, kind="stable")
+    sizes = np.unique(near, return_counts=True)[1]
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(int)
+    sums = np.add.reduceat(unit[order], starts, axis=0)
+    norms = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+    centres = np.divide(sums, norms, out=np.zeros_like(sums), where=norms > 0)
+    cosines = (unit[order] * np.repeat(centres, sizes, axis=0)).sum(axis=1)
+    # Zero vectors score 0 with everything and bound nothing.
+    cosines[~unit[order].any(axis=1)] = 1
+    return order, sizes, centres, np.minimum.reduceat(cosines, starts)
+
+
+def _blocks(df: DataFrame, row_id: str, prefix: str, cluster: bool) -> DataFrame:
     """Blocks of at most BLOCK_ROWS unit vectors of one namespace, gathered where the rows are."""
     kind = df.schema[row_id].dataType.simpleString()
+    schema = f"{prefix}_space string, {prefix}_ids array<{kind}>, {prefix}_dim int, {prefix}_block binary"
+    if cluster:
+        schema += f", {prefix}_sizes array<int>, {prefix}_centres binary, {prefix}_reach array<double>"
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             # A null namespace is a namespace of its own.
-            codes, spaces = pd.factorize(frame["namespace"], use_na_sentinel=False)
+            spaces = batch.column(1).dictionary_encode(null_encoding="encode")
+            codes = spaces.indices.to_numpy(zero_copy_only=False)
             order = np.argsort(codes, kind="stable")
             cuts = np.flatnonzero(np.diff(codes[order])) + 1
             for rows in np.split(order, cuts) if len(order) else []:
-                space = spaces[codes[rows[0]]]
-                for part in (rows[i : i + BLOCK_ROWS] for i in range(0, len(rows), BLOCK_ROWS)):
-                    unit = _unit(list(frame["values"].iloc[part]))
-                    yield pd.DataFrame(
-                        {
-                            f"{prefix}_space": [None if pd.isna(space) else space],
-                            f"{prefix}_ids": [frame[row_id].to_numpy()[part].tolist()],
-                            f"{prefix}_dim": [unit.shape[1]], f"{prefix}_block": [unit.tobytes()],
-                        }
+                for start in range(0, len(rows), BLOCK_ROWS):
+                    part = batch.take(pa.array(rows[start : start + BLOCK_ROWS]))
+                    unit, ids, more = _unit(part.column(2)), part.column(0), []
+                    if cluster:
+                        own, sizes, centres, reach = clustered(unit)
+                        unit, ids = unit[own], ids.take(pa.array(own))
+                        more = [[sizes.tolist()], [centres.tobytes()], [reach.tolist()]]
+                    block = [[part.column(1)[0].as_py()], [ids.to_pylist()], [unit.shape[1]], [unit.tobytes()], *more]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, type=f.type) for c, f in zip(block, target, strict=True)], schema=target
                     )
 
-    schema = f"{prefix}_space string, {prefix}_ids array<{kind}>, {prefix}_dim int, {prefix}_block binary"
-    return df.select(row_id, "namespace", "values").mapInPandas(run, schema)
-
-
-def _best_of(pair) -> pd.DataFrame:
-    """Best rows of one block of vectors for each query of one block; ties at the last place are kept."""
-    if pair.v_dim != pair.q_dim:
-        raise ValueError("vectors differ in length")
-    vectors = np.frombuffer(pair.v_block).reshape(-1, pair.v_dim)
-    queries = np.frombuffer(pair.q_block).reshape(-1, pair.q_dim)
-    found = []
-    step = max(1, SCORES_AT_ONCE // max(1, len(vectors)))
-    for at in range(0, len(queries), step):
-        scores = queries[at : at + step] @ vectors.T
-        rounded = scores.round(TIE_DIGITS)
-        if len(vectors) > pair.k:
-            floor = np.partition(rounded, len(vectors) - pair.k, axis=1)[:, len(vectors) - pair.k]
-        else:
-            floor = np.full(len(scores), -np.inf)
-        q, v = np.nonzero((rounded >= floor[:, None]) & (scores > 0))
-        found.append((q + at, v, scores[q, v]))
-    q, v, score = (np.concatenate(x) for x in zip(*found, strict=True))
-    return pd.DataFrame(
-        {
-            "query_id": pd.Series(pair.q_ids)[q].to_numpy(), "namespace": pair.v_space,
-            "vector_id": pd.Series(pair.v_ids)[v].to_numpy(), "score": score,
-        }
-    )
+    target = to_arrow_schema(StructType.fromDDL(schema))
+    return df.select(row_id, "namespace", "values").mapInArrow(run, schema)
+
+
+class _Search:
+    """Best k vectors of each query, over the blocks that one task sees."""
+
+    def __init__(self, k: int) -> None:
+        self.k = k
+        # The best k rounded scores so far of each query of a block, by the block's place.
+        self.best: dict[tuple, np.ndarray] = {}
+        self.clusters = self.scored = 0
+
+    def take(self, pair: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, vector, score) that can be among the best; ties at the last place are kept."""
+        if pair["v_dim"] != pair["q_dim"]:
+            raise ValueError("vectors differ in length")
+        dim = pair["v_dim"]
+        vectors, queries = (np.frombuffer(pair[f"{p}_block"]).reshape(-1, dim) for p in "vq")
+        centres = np.frombuffer(pair["v_centres"]).reshape(-1, dim)
+        ends = np.cumsum(pair["v_sizes"])
+        # The nearest that a vector of a cluster can be: the angle to the centre less the cluster's widest.
+        angle = np.arccos(np.clip(queries @ centres.T, -1, 1)) - np.arccos(np.clip(pair["v_reach"], -1, 1))
+        bounds = np.cos(np.clip(angle, 0, np.pi)) + 1e-8
+        best = self.best.setdefault((pair["v_space"], pair["q_at"]), np.zeros((len(queries), self.k)))
+        self.clusters += bounds.size
+        found = []
+        for c in np.argsort(-bounds.max(axis=0), kind="stable"):
+            floor = best[:, 0]
+            alive = np.flatnonzero((bounds[:, c] >= floor) & (bounds[:, c] > 0))
+            if not len(alive):
+                continue
+            self.scored += len(alive)
+            start = ends[c] - pair["v_sizes"][c]
+            scores = queries[alive] @ vectors[start : ends[c]].T
+            rounded = scores.round(TIE_DIGITS)
+            q, v = np.nonzero((rounded >= floor[alive, None]) & (scores > 0))
+            found.append((alive[q], v + start, scores[q, v], rounded[q, v]))
+            both = np.concatenate([best[alive], np.maximum(rounded, 0)], axis=1)
+            best[alive] = np.sort(np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k :], axis=1)
+        if not found:
+            return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        q, v, score, rounded = (np.concatenate(x) for x in zip(*found, strict=True))
+        kept = rounded >= best[q, 0]
+        return q[kept], v[kept], score[kept]
 
 
 def _with_namespace(df: DataFrame, namespace: str | None) -> DataFrame:
@@ -112,7 +157,9 @@ def nearest(
     joined: one plan for any number of queries. The query blocks are broadcast when the
     optimizer's byte estimate allows it, and then no vector moves; else blocks are shuffled by
     namespace, and a hot namespace is split. A block pair costs far more arithmetic than
-    transport, and only the best k rows per query leave it.
+    transport, and only the best k rows per query leave it. Inside a block vectors lie in clusters with a
+    centre and a radius; the most promising come first, and a cluster is left out for every query whose
+    k-th best score in the task it cannot reach.
     """
     v = _with_namespace(vectors, namespace).select(
         F.col(vector_id).alias("vector_id"), "namespace", F.col(values).cast("array<double>").alias("values")
@@ -120,23 +167,32 @@ def nearest(
     q = _with_namespace(queries, query_namespace).select(
         F.col(query_id).alias("query_id"), "namespace", F.col(query_values).cast("array<double>").alias("values")
     )
-    left, right = _blocks(v, "vector_id", "v"), _blocks(q, "query_id", "q")
+    left, right = _blocks(v, "vector_id", "v", True), _blocks(q, "query_id", "q", False)
+    right = right.withColumn("q_at", F.monotonically_increasing_id())
     if broadcast and scale.estimated_bytes(queries) <= scale.broadcast_bytes(queries):
         right = F.broadcast(right)
     elif not broadcast:
         right = right.hint("merge")
-    pairs = left.join(right, F.col("v_space").eqNullSafe(F.col("q_space"))).withColumn("k", F.lit(k))
+    pairs = left.join(right, F.col("v_space").eqNullSafe(F.col("q_space"))).drop("q_space")
     schema = (
         f"query_id {q.schema['query_id'].dataType.simpleString()}, namespace string, "
         f"vector_id {v.schema['vector_id'].dataType.simpleString()}, score double"
     )
-
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for pair in frame.itertuples(index=False):
-                yield _best_of(pair)
-
-    hits = pairs.mapInPandas(run, schema)
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = _Search(k)
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                pair = {n: row.column(n)[0].as_py() for n in row.schema.names if not n.endswith("_ids")}
+                found_q, found_v, score = search.take(pair)
+                ids = [row.column(f"{p}_ids").flatten().take(pa.array(x)) for p, x in (("q", found_q), ("v", found_v))]
+                space = pa.array([pair["v_space"]] * len(score), pa.string())
+                columns = [ids[0], space, ids[1], pa.array(score, pa.float64())]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+
+    hits = pairs.mapInArrow(run, schema)
     order = [scale.score_key("score", TIE_DIGITS), F.col("vector_id").asc()]
     return scale.top_k(hits, ["query_id", "namespace"], order, k)
 

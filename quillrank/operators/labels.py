@@ -11,31 +11,40 @@ from quillrank import constants as K
 from quillrank.functions.text import bind, tokens
 
 
-def last_rows(rows: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
-    """The last row of each key, by `order` or else as the rows stand; null keys are keys."""
-    at = F.col(order) if order else F.monotonically_increasing_id()
+def last_rows(rows: DataFrame, keys: Sequence[str], order: str | Column) -> DataFrame:
+    """The last row of each key by `order`, such as the line numbers of a file; null keys are keys."""
+    at = F.col(order) if isinstance(order, str) else order
     rest = [c for c in rows.columns if c not in keys]
     return rows.withColumn("_seq", at).groupBy(*keys).agg(F.max_by(F.struct(*rest), "_seq").alias("_r")).select(
         *[F.col(c) if c in keys else F.col("_r")[c].alias(c) for c in rows.columns]
     )
 
 
-def adjudicate(results: DataFrame, transferred: DataFrame, by_strategy: DataFrame, by_case: DataFrame) -> DataFrame:
+def _last_label(labels: DataFrame, keys: Sequence[str], order: str, name: str) -> DataFrame:
+    """(keys, name): the label of the last row of each key."""
+    return last_rows(labels.select(*keys, F.col("useful").alias(name), F.col(order).alias("_line")), keys, "_line").drop("_line")
+
+
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on keys where null meets null."""
+    named = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    met = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(named, met, "left").drop(*[f"_r_{k}" for k in keys])
+
+
+def adjudicate(
+    results: DataFrame, transferred: DataFrame, by_strategy: DataFrame, by_case: DataFrame, order: str = "line_number"
+) -> DataFrame:
     """Final label per result and where it came from.
 
     Priority: by_case (case_id, chunk_id, useful), then by_strategy (strategy, case_id,
     chunk_id, useful), then transferred (strategy, case_id, chunk_id, useful), else false. Of
-    a key that a table repeats, the last row counts.
+    a key that a table repeats, the last row by its column `order` counts; null keys are keys.
     """
     pair, placed = ["case_id", "chunk_id"], ["strategy", "case_id", "chunk_id"]
-    first = last_rows(by_case.select(*pair, F.col("useful").alias("_a")), pair)
-    second = last_rows(by_strategy.select(*placed, F.col("useful").alias("_b")), placed)
-    third = last_rows(transferred.select(*placed, F.col("useful").alias("_c")), placed)
-    joined = (
-        results.join(first, ["case_id", "chunk_id"], "left")
-        .join(second, ["strategy", "case_id", "chunk_id"], "left")
-        .join(third, ["strategy", "case_id", "chunk_id"], "left")
-    )
+    joined = _join_null_safe(results, _last_label(by_case, pair, order, "_a"), pair)
+    joined = _join_null_safe(joined, _last_label(by_strategy, placed, order, "_b"), placed)
+    joined = _join_null_safe(joined, _last_label(transferred, placed, order, "_c"), placed)
     return joined.withColumn("useful", F.coalesce("_a", "_b", "_c", F.lit(False))).withColumn(
         "label_source",
         F.when(F.col("_a").isNotNull(), "model_comparison").when(
@@ -219,17 +228,18 @@ def support_coverage(support: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def novel_pairs(base: DataFrame, other: DataFrame, reviewed: DataFrame, old_labels: DataFrame) -> DataFrame:
+def novel_pairs(
+    base: DataFrame, other: DataFrame, reviewed: DataFrame, old_labels: DataFrame, order: str = "line_number"
+) -> DataFrame:
     """Pairs only `other` returned, with their review state and what the review corrected.
 
     base/other: case_id, chunk_id. reviewed: + useful. old_labels: + useful (absent = false).
-    Of a pair that a table of labels repeats, the last row counts.
+    Of a pair that a table of labels repeats, the last row by its column `order` counts.
     """
     keys = ["case_id", "chunk_id"]
     novel = other.select(*keys).distinct().join(base.select(*keys), keys, "left_anti")
-    new = last_rows(reviewed.select(*keys, F.col("useful").alias("_new")), keys)
-    old = last_rows(old_labels.select(*keys, F.col("useful").alias("_old")), keys)
-    joined = novel.join(new, keys, "left").join(old, keys, "left")
+    joined = _join_null_safe(novel, _last_label(reviewed, keys, order, "_new"), keys)
+    joined = _join_null_safe(joined, _last_label(old_labels, keys, order, "_old"), keys)
     was = F.coalesce("_old", F.lit(False))
     return joined.select(
         *keys, F.col("_new").isNotNull().alias("reviewed"),
@@ -357,10 +367,10 @@ def concat_cases(*tables: DataFrame) -> DataFrame:
     return out
 
 
-def upsert(base: DataFrame, newer: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
-    """One row per key: the last of `newer`, else the last of `base`; null keys are keys."""
+def upsert(base: DataFrame, newer: DataFrame, keys: Sequence[str], order: str | Column) -> DataFrame:
+    """One row per key: the last of `newer` by `order`, else the last of `base`; null keys are keys."""
     def placed(df: DataFrame, side: int) -> DataFrame:
-        at = F.col(order) if order else F.monotonically_increasing_id()
+        at = F.col(order) if isinstance(order, str) else order
         return df.withColumn("_pos", at).withColumn("_at", F.struct(F.lit(side).alias("side"), "_pos")).drop("_pos")
 
     return last_rows(placed(newer, 1).unionByName(placed(base, 0)), keys, "_at").drop("_at")

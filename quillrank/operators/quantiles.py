@@ -1,7 +1,9 @@
 """Exact percentiles that never gather one group's values in one task.
 
-Values are first counted, then placed in fine bins whose totals are accumulated per
-group. Only the bins that hold a wanted rank are sorted.
+Values are first counted, then placed in bins by their logarithm, whose totals are accumulated per
+group. A bin that holds a wanted rank and more than MOST distinct values is split by value into
+SPLITS equal bins, and so on; only small bins are sorted. Each split takes ten bits off the range,
+so values of a narrow range, such as times, take one or two rounds more.
 """
 
 from __future__ import annotations
@@ -11,7 +13,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillrank.session import stored
+
 BINS_PER_LOG_UNIT = 2000.0
+# Distinct values of a bin that are sorted, and bins that a larger one is split into.
+MOST = 4096
+SPLITS = 1024
 
 Spec = tuple[str, float]
 
@@ -68,32 +75,40 @@ def quantiles(
     """
     keys = list(keys)
     weight = F.sum(times) if times else F.count("*")
-    counted = (
+    value_bin = _bin(F.col("_v"))
+    left = stored(
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(weight.alias("_n"))
-        .withColumn("_b", _bin(F.col("_v")))
-    )
-    bins = counted.groupBy(*keys, "_b").agg(F.sum("_n").alias("_in_bin"))
-    upto = Window.partitionBy(*keys).orderBy("_b")
-    bins = bins.withColumn("_before", F.sum("_in_bin").over(upto) - F.col("_in_bin")).withColumn(
-        "_total", F.sum("_in_bin").over(Window.partitionBy(*keys))
+        .select(*keys, "_v", "_n", value_bin.alias("_b"), F.lit(0).cast("long").alias("_before")),
+        "counted-values",
     )
-    wanted = [rank for spec in specs.values() for rank in _ranks(spec, F.col("_total"))]
-    holds = F.lit(False)
-    for rank in wanted:
-        holds = holds | ((rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_in_bin")))
-    bins = bins.where(holds).select(*keys, "_b", "_before", "_total")
-
-    # Null keys must meet their own bin. A null-safe join also adds no filter below the
-    # counts, so that both uses of them read one exchange.
-    left, right = counted.alias("l"), bins.alias("r")
-    condition = F.col("l._b").eqNullSafe(F.col("r._b"))
-    for key in keys:
-        condition = condition & F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
-    inside = left.join(right, condition).select("l.*", "r._before", "r._total")
-    order = Window.partitionBy(*keys, "_b").orderBy("_v")
-    inside = inside.withColumn("_last", F.col("_before") + F.sum("_n").over(order)).withColumn(
+    totals = left.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    while True:
+        # At most SPLITS bins of one group follow each other here, but for the first time.
+        bins = left.groupBy(*keys, "_before", "_b").agg(
+            F.sum("_n").alias("_in_bin"), F.count("*").alias("_distinct"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
+        )
+        upto = Window.partitionBy(*keys, "_before").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        bins = bins.withColumn("_start", F.col("_before") + F.coalesce(F.sum("_in_bin").over(upto), F.lit(0)))
+        bins = _meet(bins, totals, keys)
+        holds = F.lit(False)
+        for rank in [rank for spec in specs.values() for rank in _ranks(spec, F.col("_total"))]:
+            holds = holds | ((rank >= F.col("_start")) & (rank < F.col("_start") + F.col("_in_bin")))
+        bins = stored(bins.where(holds).drop("_in_bin"), "rank-bins")
+        inside = _meet(left, bins, [*keys, "_before", "_b"])
+        most = bins.agg(F.max("_distinct")).first()[0]
+        if most is None or most <= MOST:
+            break
+        # Halves keep the differences of very large values finite.
+        share = F.try_divide(F.col("_v") / 2 - F.col("_low") / 2, F.col("_high") / 2 - F.col("_low") / 2)
+        place = F.floor(F.coalesce(share, F.lit(0.0)) * SPLITS)
+        split = F.when(F.col("_distinct") > MOST, F.least(place, F.lit(SPLITS - 1))).otherwise(0)
+        left = stored(
+            inside.select(*keys, "_v", "_n", split.cast("long").alias("_b"), F.col("_start").alias("_before")), "split-values"
+        )
+    order = Window.partitionBy(*keys, "_start").orderBy("_v")
+    inside = inside.withColumn("_last", F.col("_start") + F.sum("_n").over(order)).withColumn(
         "_first", F.col("_last") - F.col("_n")
     )
     picks = []
@@ -109,3 +124,12 @@ def quantiles(
             for name, spec in specs.items()
         ],
     )
+
+
+def _meet(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join where null keys meet null keys."""
+    named = right.select(*[F.col(c).alias(f"_r{c}") if c in keys else F.col(c) for c in right.columns])
+    condition = F.lit(True)
+    for key in keys:
+        condition = condition & F.col(key).eqNullSafe(F.col(f"_r{key}"))
+    return left.join(named, condition).drop(*[f"_r{key}" for key in keys])

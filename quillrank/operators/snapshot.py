@@ -43,6 +43,8 @@ FIELDS = {
     "problem.user_goal": "string",
     **{n: "array<string>" for n in LIST_FIELDS},
 }
+# Levels of nested answers that are opened.
+NESTING = 8
 
 
 def _prefixed(keys: Column, section: str) -> Column:
@@ -248,6 +250,47 @@ def clean_answers(answers: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.concat(own, implied)).alias("r")).select("r.*")
 
 
+def flatten_answers(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(answers business, seq, field, raw; errors business, seq, field, value, error) from nested answers.
+
+    records: business, seq, answers (JSON text). Objects are opened to dotted fields, level by level; texts,
+    numbers, truth values and lists (as JSON) are raw values. Nulls and empty objects give no row.
+    Records that hold no object, and objects below NESTING levels, come back as errors.
+    """
+    def is_object(value: str) -> str:
+        return f"schema_of_variant({value}) LIKE 'OBJECT%'"
+
+    def members(value: str, name: str) -> str:
+        return f"transform(map_entries(cast({value} AS map<string, variant>)), m -> struct({name} AS field, m.value AS value))"
+
+    opened = members("v", "m.key")
+    for _ in range(NESTING - 1):
+        inner = members("e.value", "concat(e.field, '.', m.key)")
+        opened = f"flatten(transform({opened}, e -> if({is_object('e.value')}, {inner}, array(e))))"
+    parsed = records.select("business", "seq", "answers", F.try_parse_json("answers").alias("v"))
+    known = F.expr(f"coalesce({is_object('v')}, false)")
+    found = parsed.where(known).select("business", "seq", F.expr(f"inline({opened})"))
+    deep = F.expr(is_object("value"))
+    raw = F.expr("cast(value AS string)")
+    answers = found.where(~deep & raw.isNotNull()).select("business", "seq", "field", raw.alias("raw"))
+    kind = F.lit(None).cast("string")
+    errors = parsed.where(~known).select(
+        "business", "seq", kind.alias("field"), kind.alias("value"),
+        F.concat(F.lit("answers are no JSON object: "), F.coalesce("answers", F.lit("null"))).alias("error"),
+    ).unionByName(
+        found.where(deep & (raw != "{}")).select(
+            "business", "seq", "field", kind.alias("value"), F.concat(F.lit("nested too deep: "), raw).alias("error")
+        )
+    )
+    return answers, errors
+
+
+def clean_records(records: DataFrame) -> DataFrame:
+    """`clean_answers` of nested answers (business, seq, answers), with the records that cannot be read."""
+    answers, errors = flatten_answers(records)
+    return clean_answers(answers).unionByName(errors)
+
+
 def known_facts(snapshots: DataFrame) -> DataFrame:
     """Add facts (map of non-empty fields), symptom_count and the last three symptoms."""
     entries: list[Column] = []

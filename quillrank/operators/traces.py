@@ -181,9 +181,10 @@ def session_path_error(category: Column) -> Column:
 # --- cases and runs --------------------------------------------------------
 
 def duplicates(rows: DataFrame, key: str, position: str) -> DataFrame:
-    """Flag every row of a key after the first by position (pre-aggregated, no key gathered)."""
-    first = rows.groupBy(key).agg(F.min(position).alias("_first"))
-    return rows.join(first, key, "left").withColumn("is_duplicate", F.col(position) > F.col("_first")).drop("_first")
+    """Flag every row of a key after the first by position (pre-aggregated, no key gathered); null is a key."""
+    first = rows.groupBy(F.col(key).alias("_key")).agg(F.min(position).alias("_first"))
+    joined = rows.join(first, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return joined.withColumn("is_duplicate", F.col(position) > F.col("_first")).drop("_first", "_key")
 
 
 def missing_fields(fields: Column, required: Sequence[str]) -> Column:
@@ -230,11 +231,21 @@ def validate_action_cases(cases: DataFrame) -> DataFrame:
     return duplicates(cases, "case_id", "line").withColumn("errors", _problems(*checks)).drop("is_duplicate")
 
 
-def validate_gate_cases(cases: DataFrame) -> DataFrame:
-    """cases: case_id, line, search_allowed, ambiguity, required_actions, forbidden_actions."""
+def validate_gate_cases(cases: DataFrame, fixtures: DataFrame | None = None) -> DataFrame:
+    """cases: case_id, line, search_allowed, ambiguity, required_actions, forbidden_actions, snapshot_fixture_path.
+
+    `fixtures` (path) lists the files that are there, as `sources.files.list_files` does; without it
+    paths are not checked.
+    """
     allowed = F.col("search_allowed")
     needs = F.array_contains("required_actions", K.SEARCH_ACTION)
-    return duplicates(cases, "case_id", "line").withColumn(
+    found = duplicates(cases, "case_id", "line")
+    lost = F.lit(False)
+    if fixtures is not None:
+        there = fixtures.select(F.col("path").alias("_path")).distinct().withColumn("_there", F.lit(True))
+        found = found.join(there, F.col("snapshot_fixture_path") == F.col("_path"), "left").drop("_path")
+        lost = F.col("_there").isNull()
+    done = found.withColumn(
         "errors",
         _problems(
             (F.col("is_duplicate"), "duplicate case_id"),
@@ -243,8 +254,10 @@ def validate_gate_cases(cases: DataFrame) -> DataFrame:
             (needs != F.coalesce(allowed, F.lit(False)), "required_actions disagrees with search_allowed"),
             (~F.coalesce(allowed, F.lit(False)) & ~F.array_contains("forbidden_actions", K.SEARCH_ACTION),
              "no-search case must forbid search_source_material"),
+            (lost, "missing snapshot_fixture_path"),
         ),
-    ).drop("is_duplicate")
+    )
+    return done.drop("is_duplicate", "_there")
 
 
 def validate_source_cases(cases: DataFrame) -> DataFrame:

@@ -334,6 +334,50 @@ def x6(spark, sf):
     )
 
 
+@query("X6_nested_answers", """
+    WITH r AS (SELECT o_custkey AS business, o_orderkey AS seq, o_orderkey % 7 AS k, * FROM orders WHERE o_orderkey % 11 > 0),
+    v AS (
+      SELECT business, seq, 'economics.cac' AS field, CASE WHEN k <> 3 THEN round(o_totalprice, 2) END AS num, NULL AS txt, k = 3 AS failed FROM r
+      UNION ALL SELECT business, seq, 'money_model.upsell.price', o_custkey + 0.5::DOUBLE, NULL, FALSE FROM r WHERE k <> 4
+      UNION ALL SELECT business, seq, 'money_model.upsell.description', NULL, 'item "' || o_orderkey || '"', FALSE FROM r WHERE k <> 5
+      UNION ALL SELECT business, seq, 'money_model.upsell.exists', NULL, 'true', FALSE FROM r WHERE k <> 5
+      UNION ALL SELECT business, seq, 'money_model.continuity.exists', NULL, CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END, FALSE FROM r
+      UNION ALL SELECT business, seq, 'business.icp', NULL, '["' || o_orderstatus || '",' || k || ']', FALSE FROM r
+      UNION ALL SELECT business, seq, 'problem.user_goal', NULL, o_orderpriority, FALSE FROM r)
+    SELECT business, seq, field, round(num, 4) AS num, txt, failed FROM v
+    UNION ALL SELECT o_custkey, o_orderkey, NULL, NULL, NULL, TRUE FROM orders WHERE o_orderkey % 11 = 0""")
+def x6_nested(spark, sf):
+    """Answers two levels deep with a list, nulls, blanks, an empty object, and records that are no object."""
+    k = F.col("o_orderkey") % 7
+    price = F.concat(F.lit("$"), F.format_number("o_totalprice", 2))
+    answers = F.struct(
+        F.struct(F.when(k == 3, "a lot").otherwise(price).alias("cac")).alias("economics"),
+        F.struct(
+            F.struct(
+                F.when(k != 4, F.col("o_custkey") + F.lit(0.5)).alias("price"),
+                F.when(k == 5, " ").otherwise(F.concat(F.lit('item "'), F.col("o_orderkey").cast("string"), F.lit('"'))).alias("description"),
+            ).alias("upsell"),
+            F.struct((k % 2 == 0).alias("exists")).alias("continuity"),
+            F.create_map().cast("map<string,string>").alias("attraction"),
+        ).alias("money_model"),
+        F.col("o_orderpriority").alias("problem.user_goal"),
+        F.struct(F.lit(None).cast("string").alias("business_type"), F.lit("@").alias("icp")).alias("business"),
+    )
+    text = F.to_json(answers, {"ignoreNullFields": "false"})
+    listed = F.concat(F.lit('["'), F.col("o_orderstatus"), F.lit('", '), k.cast("string"), F.lit("]"))
+    records = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("business"), F.col("o_orderkey").alias("seq"),
+        F.when(F.col("o_orderkey") % 22 == 0, "[1]").when(F.col("o_orderkey") % 11 == 0, "{not")
+        .otherwise(F.replace(text, F.lit('"@"'), listed)).alias("answers"),
+    )
+    clean = S.clean_records(records)
+    numeric = F.coalesce(F.col("field").rlike(r"^economics\.|price$"), F.lit(False))
+    return clean.select(
+        "business", "seq", "field", F.when(numeric, F.round(F.expr("try_cast(value AS double)"), 4)).alias("num"),
+        F.when(~numeric, F.col("value")).alias("txt"), F.col("error").isNotNull().alias("failed"),
+    )
+
+
 @query("B2_field_projection", f"""
     WITH {SNAP} SELECT k AS id, bt AS business_type, cac, NOT bare AS has_model, goal AS user_goal FROM s""")
 def b2(spark, sf):

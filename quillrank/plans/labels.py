@@ -45,6 +45,12 @@ ALT = sql_bm25(5, k1=0.4, b=0.3, name="alt")
 
 # --- joins -----------------------------------------------------------------
 
+def corrected(labels):
+    """Each label as its second line, after a contrary first one, in no order."""
+    lines = labels.withColumn("line_number", F.explode(F.array(F.lit(2), F.lit(1))))
+    return lines.withColumn("useful", F.col("useful") == (F.col("line_number") == 2)).repartition(7)
+
+
 @query("J1_label_override", f"""
     WITH {sql_bm25(5)}
     SELECT query_id AS case_id, chunk_id, CASE WHEN toxic = 1 THEN FALSE WHEN quality IS NOT NULL THEN quality = 1 ELSE lang = 'en' END AS useful,
@@ -57,8 +63,8 @@ def j1(spark, sf):
     judged = pairs.join(labels(spark, sf), "chunk_id")
     moved = pairs.join(docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), (F.col("lang") == "en").alias("useful")), "chunk_id")
     done = J.adjudicate(
-        pairs.where(F.col("rank") <= 5), moved, judged.withColumn("useful", F.col("quality") == 1),
-        judged.where(F.col("toxic") == 1).withColumn("useful", F.lit(False)),
+        pairs.where(F.col("rank") <= 5), corrected(moved), corrected(judged.withColumn("useful", F.col("quality") == 1)),
+        corrected(judged.where(F.col("toxic") == 1).withColumn("useful", F.lit(False))),
     )
     return done.select("case_id", "chunk_id", "useful", "label_source")
 
@@ -163,7 +169,7 @@ def j5(spark, sf):
     other = stored(pairs(alt(spark, sf)), "pairs")
     reviewed = other.join(labels(spark, sf), "chunk_id").withColumn("useful", F.col("quality") == 1)
     old = other.join(docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), (F.col("lang") == "en").alias("useful")), "chunk_id")
-    return J.audit_novel(J.novel_pairs(pairs(bm25(spark, sf)), other, reviewed, old))
+    return J.audit_novel(J.novel_pairs(pairs(bm25(spark, sf)), other, corrected(reviewed), corrected(old)))
 
 
 SIDES = f"""
@@ -393,6 +399,15 @@ def m6(spark, sf):
     return rounded(quantiles(table(spark, sf, "events"), ["event_type"], "value", specs))
 
 
+@query("M6_narrow_times", """
+    SELECT user_id % 3 AS g, quantile_cont(t, 0.95) AS p95, quantile_cont(t, 0.5) AS p50 FROM (
+        SELECT user_id, 1.7e9 + event_id / 8.0::DOUBLE AS t FROM events) GROUP BY 1""")
+def m6_narrow(spark, sf):
+    """Times of a narrow range: thousands of values in one bin, which is split by value."""
+    rows = table(spark, sf, "events").select((F.col("user_id") % 3).alias("g"), (F.lit(1.7e9) + F.col("event_id") / 8.0).alias("t"))
+    return quantiles(rows, ["g"], "t", {"p95": ("linear", 0.95), "p50": ("linear", 0.5)})
+
+
 @query("M9_provenance_counts", """
     SELECT quality AS relevance, coalesce(nullif(CASE lang WHEN 'en' THEN 'ai' WHEN 'fr' THEN '' END, ''), 'manual') AS source, lang AS provider,
            coalesce(CASE WHEN toxic = 1 THEN 'm1' END, 'none') AS model, 'manual_unspecified' AS reviewer, count(*)::BIGINT AS "rows"

@@ -166,7 +166,7 @@ def b4(spark, sf):
 
 
 @query("R1_turn_stream", f"""
-    WITH {CHECKED} SELECT ({TURN_ERRORS}) = 0 AS valid, count(*)::BIGINT AS turns, sum({TURN_ERRORS})::BIGINT AS errors FROM c GROUP BY 1""")
+    WITH {CHECKED} SELECT event_id::VARCHAR AS turn_id, ({TURN_ERRORS}) = 0 AS valid, ({TURN_ERRORS})::INTEGER AS errors FROM c""")
 def r1(spark, sf):
     """Turns as a stream of files: validated, split, and read back from both sinks."""
     base = scratch(spark, "stream")
@@ -175,19 +175,22 @@ def r1(spark, sf):
     run.awaitTermination()
     schema = "turn_id string, errors array<string>, valid boolean"
     both = spark.read.schema(schema).json(f"{base}/valid").unionByName(spark.read.schema(schema).json(f"{base}/rejected"))
-    return both.groupBy("valid").agg(F.count("*").alias("turns"), F.sum(F.coalesce(F.size("errors"), F.lit(0))).alias("errors"))
+    return both.select("turn_id", "valid", F.coalesce(F.size("errors"), F.lit(0)).alias("errors"))
 
 
 @query("R2_snapshot_stream", f"""
     WITH {ASSIGNED} SELECT business, field, seq, value, source_type FROM l""")
 def r2(spark, sf):
-    """Field assignments as a stream: the last value per field, from several triggers."""
+    """Field assignments as a stream that starts three times: late rows, repeated rows, compactions."""
     base = scratch(spark, "stream")
-    assignments(spark, sf).repartition(4, "seq").write.json(f"{base}/in")
-    stream = ST.read_assignments(spark, f"{base}/in", files_per_trigger=2)
-    ST.snapshot_state(stream, f"{base}/out", f"{base}/state").awaitTermination()
-    return ST.current_state(spark.read.parquet(f"{base}/out")).select(
+    rows = assignments(spark, sf)
+    parts = (F.col("seq") % 3 > 0, F.col("seq") % 3 == 0, F.col("seq") % 4 == 0)
+    for number, part in enumerate(parts):
+        rows.where(part).repartition(3, "seq").write.mode("append").json(f"{base}/in")
+        stream = ST.read_assignments(spark, f"{base}/in", files_per_trigger=2)
+        ST.snapshot_state(stream, f"{base}/out", f"{base}/state", compact_every=2).awaitTermination()
+        if number == 1:
+            ST.expire(spark, f"{base}/out")
+    return ST.read_state(spark, f"{base}/out").select(
         F.col("business").cast("long").alias("business"), "field", "seq", "value", "source_type"
     )
-
-

@@ -14,6 +14,8 @@ from quillrank.operators import traces as T
 from quillrank.plans.registry import query, table
 
 EV = "(SELECT *, json_extract(props, '$.k')::INT AS k FROM events)"
+# Every second event repeats the case_id of the one before; some have none, which is one key.
+CASE_EV = f"(SELECT *, row_number() OVER (PARTITION BY CASE WHEN k % 31 <> 0 THEN event_id // 2 END ORDER BY event_id) > 1 AS dup FROM {EV})"
 STRINGS = "array<string>"
 
 
@@ -125,11 +127,23 @@ def t4(spark, sf):
     return sums.select("turn_id", T.calculation_error(F.col("e")).alias("error"))
 
 
+def case_key():
+    return F.when(F.col("k") % 31 != 0, F.floor(F.col("event_id") / 2)).alias("case_id")
+
+
+def fixture_path():
+    return F.when(F.col("k") % 5 != 0, F.concat(F.lit("f"), (F.col("k") % 7).cast("string"))).alias("snapshot_fixture_path")
+
+
+def fixture_files(spark, sf):
+    return table(spark, sf, "nation").where("n_nationkey < 4").select(F.concat(F.lit("f"), F.col("n_nationkey").cast("string")).alias("path"))
+
+
 def cases(spark, sf):
     """Action cases: two events share a case_id, so every second one is a duplicate."""
     k = F.col("k")
     return events(spark, sf).select(
-        F.floor(F.col("event_id") / 2).alias("case_id"), F.col("event_id").alias("line"),
+        case_key(), F.col("event_id").alias("line"), fixture_path(),
         F.when(k % 5 == 0, strings("search_source_material", "calculate")).when(k % 5 == 1, strings("clarify", "dance")).otherwise(strings("calculate")).alias("required_actions"),
         F.when(k % 11 == 0, F.lit(None)).otherwise(strings("answer_without_tool", "calculate")).alias("allowed_actions"),
         F.when(k % 3 == 0, strings("search_source_material")).when(k % 3 == 1, strings("diagnose", "calculate")).otherwise(none()).alias("forbidden_actions"),
@@ -148,47 +162,47 @@ def exploded(df):
 
 
 @query("T5_action_case_rules", f"""
-    SELECT event_id AS line, unnest(list_filter([CASE WHEN k % 8 = 0 THEN 'missing fields: ambiguity, user_turn' END, CASE WHEN event_id % 2 = 1 THEN 'duplicate case_id' END, CASE WHEN k % 5 = 1 THEN 'unknown required_actions: dance' END, CASE WHEN k % 11 = 0 THEN 'allowed_actions must be a list' END,
+    SELECT event_id AS line, unnest(list_filter([CASE WHEN k % 8 = 0 THEN 'missing fields: ambiguity, user_turn' END, CASE WHEN dup THEN 'duplicate case_id' END, CASE WHEN k % 5 = 1 THEN 'unknown required_actions: dance' END, CASE WHEN k % 11 = 0 THEN 'allowed_actions must be a list' END,
       CASE WHEN k % 13 = 0 THEN 'unknown expected_first_action' END,
       CASE WHEN k % 5 = 0 AND k % 3 = 0 THEN 'both required and forbidden: search_source_material' WHEN k % 5 <> 1 AND k % 3 = 1 THEN 'both required and forbidden: calculate' END,
       CASE WHEN k % 11 <> 0 AND k % 3 = 1 THEN 'both allowed and forbidden: calculate' END, CASE WHEN k % 4 <> 0 AND k % 5 = 0 THEN 'search is required but not allowed' END,
-      CASE WHEN k % 4 = 1 AND k % 3 <> 0 THEN 'search is not allowed but not forbidden' END], lambda r: r IS NOT NULL)) AS error FROM {EV}""")
+      CASE WHEN k % 4 = 1 AND k % 3 <> 0 THEN 'search is not allowed but not forbidden' END], lambda r: r IS NOT NULL)) AS error FROM {CASE_EV}""")
 def t5(spark, sf):
     return exploded(T.validate_action_cases(cases(spark, sf)))
 
 
 @query("T5_gate_case_rules", f"""
-    SELECT event_id AS line, unnest(list_filter([CASE WHEN event_id % 2 = 1 THEN 'duplicate case_id' END, CASE WHEN k % 4 >= 2 THEN 'search_allowed must be boolean' END, CASE WHEN k % 6 = 0 THEN 'only low-ambiguity cases may be scored' END,
-      CASE WHEN (k % 5 = 0) <> (k % 4 = 0) THEN 'required_actions disagrees with search_allowed' END, CASE WHEN k % 4 <> 0 AND k % 3 <> 0 THEN 'no-search case must forbid search_source_material' END], lambda r: r IS NOT NULL)) AS error FROM {EV}""")
+    SELECT event_id AS line, unnest(list_filter([CASE WHEN dup THEN 'duplicate case_id' END, CASE WHEN k % 4 >= 2 THEN 'search_allowed must be boolean' END, CASE WHEN k % 6 = 0 THEN 'only low-ambiguity cases may be scored' END,
+      CASE WHEN (k % 5 = 0) <> (k % 4 = 0) THEN 'required_actions disagrees with search_allowed' END, CASE WHEN k % 4 <> 0 AND k % 3 <> 0 THEN 'no-search case must forbid search_source_material' END,
+      CASE WHEN k % 5 = 0 OR k % 7 NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey < 4) THEN 'missing snapshot_fixture_path' END], lambda r: r IS NOT NULL)) AS error FROM {CASE_EV}""")
 def t5_gate(spark, sf):
-    return exploded(T.validate_gate_cases(cases(spark, sf)))
+    return exploded(T.validate_gate_cases(cases(spark, sf), fixture_files(spark, sf)))
 
 
 @query("T5_source_case_rules", f"""
-    SELECT event_id AS line, unnest(list_filter([CASE WHEN k % 8 = 0 THEN 'missing fields: ambiguity, user_turn' END, CASE WHEN event_id % 2 = 1 THEN 'duplicate case_id' END, CASE WHEN k % 17 = 0 THEN 'expected_source_events must be a list' END,
+    SELECT event_id AS line, unnest(list_filter([CASE WHEN k % 8 = 0 THEN 'missing fields: ambiguity, user_turn' END, CASE WHEN dup THEN 'duplicate case_id' END, CASE WHEN k % 17 = 0 THEN 'expected_source_events must be a list' END,
       CASE WHEN k % 17 <> 0 AND k % 19 = 0 THEN 'expected_source_events[1]: job must be a non-empty string' END, CASE WHEN k % 17 <> 0 AND k % 23 = 0 THEN 'expected_source_events[1]: required_query_concepts must be a non-empty list' END,
-      CASE WHEN k % 17 <> 0 AND k % 23 <> 0 AND k % 29 = 0 THEN 'expected_source_events[1]: required_query_concepts must contain non-empty alternatives' END], lambda r: r IS NOT NULL)) AS error FROM {EV}""")
+      CASE WHEN k % 17 <> 0 AND k % 23 <> 0 AND k % 29 = 0 THEN 'expected_source_events[1]: required_query_concepts must contain non-empty alternatives' END], lambda r: r IS NOT NULL)) AS error FROM {CASE_EV}""")
 def t5_source(spark, sf):
     return exploded(T.validate_source_cases(cases(spark, sf)))
 
 
 @query("T5_answer_case_rules", f"""
-    SELECT event_id AS line, unnest(list_filter([CASE WHEN event_id % 2 = 1 THEN 'case_id values must be unique' END, CASE WHEN k % 4 = 0 THEN 'invalid answer_category' END, CASE WHEN k % 6 = 0 THEN 'missing user_turn' END,
-      CASE WHEN k % 5 = 0 OR k % 7 NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey < 4) THEN 'missing snapshot fixture' END, CASE WHEN k % 9 = 0 THEN 'missing local_docs_fixture_path' END], lambda r: r IS NOT NULL)) AS error FROM {EV}""")
+    SELECT event_id AS line, unnest(list_filter([CASE WHEN dup THEN 'case_id values must be unique' END, CASE WHEN k % 4 = 0 THEN 'invalid answer_category' END, CASE WHEN k % 6 = 0 THEN 'missing user_turn' END,
+      CASE WHEN k % 5 = 0 OR k % 7 NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey < 4) THEN 'missing snapshot fixture' END, CASE WHEN k % 9 = 0 THEN 'missing local_docs_fixture_path' END], lambda r: r IS NOT NULL)) AS error FROM {CASE_EV}""")
 def t5_answer(spark, sf):
     k = F.col("k")
     rows = events(spark, sf).select(
-        F.floor(F.col("event_id") / 2).alias("case_id"), F.col("event_id").alias("line"),
+        case_key(), F.col("event_id").alias("line"),
         F.when(k % 4 == 0, "other").otherwise("calculation").alias("answer_category"), F.when(k % 6 == 0, "").otherwise("what now").alias("user_turn"),
-        F.when(k % 5 != 0, F.concat(F.lit("f"), (k % 7).cast("string"))).alias("snapshot_fixture_path"),
+        fixture_path(),
         F.when(k % 9 == 0, "nowhere").when(k % 2 == 0, "").alias("local_docs_fixture_path"), F.lit("f1").alias("prior_sessions_fixture_path"),
     )
-    files = table(spark, sf, "nation").where("n_nationkey < 4").select(F.concat(F.lit("f"), F.col("n_nationkey").cast("string")).alias("path"))
-    return exploded(T.validate_answer_cases(rows, files))
+    return exploded(T.validate_answer_cases(rows, fixture_files(spark, sf)))
 
 
 @query("T5_need_case_rules", f"""
-    SELECT event_id AS line, unnest(list_filter([CASE WHEN k % 8 = 0 THEN 'missing fields: ambiguity, split' END, CASE WHEN event_id % 2 = 1 THEN 'duplicate case_id' END, CASE WHEN k % 4 = 3 THEN 'expected_search must be boolean' END,
+    SELECT event_id AS line, unnest(list_filter([CASE WHEN k % 8 = 0 THEN 'missing fields: ambiguity, split' END, CASE WHEN dup THEN 'duplicate case_id' END, CASE WHEN k % 4 = 3 THEN 'expected_search must be boolean' END,
       CASE WHEN k % 4 = 0 AND k % 5 = 0 THEN 'expected_source_need must be an object or null' END,
       CASE WHEN k % 4 = 0 AND k % 5 <> 0 AND k % 3 = 0 THEN 'expected_source_need.intent is invalid: guess' END,
       CASE WHEN k % 4 = 0 AND k % 5 <> 0 AND k % 7 = 0 THEN 'expected_source_need.subjects unknown values: cooking, sailing' END,
@@ -198,7 +212,7 @@ def t5_answer(spark, sf):
       CASE WHEN k % 4 = 0 AND (k % 5 = 0 OR k % 6 = 0) THEN 'focus_aliases keys must be expected focus terms: cac' END,
       CASE WHEN k % 4 = 0 AND k % 10 = 0 THEN 'focus_aliases.cac must contain non-empty strings' END,
       CASE WHEN k % 4 <> 0 AND k % 5 <> 0 THEN 'expected_source_need must be null when expected_search is false'
-           WHEN k % 4 <> 0 THEN 'acceptable_intents must be omitted when expected_search is false' END], lambda r: r IS NOT NULL)) AS error FROM {EV}""")
+           WHEN k % 4 <> 0 THEN 'acceptable_intents must be omitted when expected_search is false' END], lambda r: r IS NOT NULL)) AS error FROM {CASE_EV}""")
 def t5_need(spark, sf):
     k = F.col("k")
     fields = strings(*T.K.NEED_CASE_FIELDS)
@@ -208,7 +222,7 @@ def t5_need(spark, sf):
         F.when(k % 6 == 0, none()).otherwise(strings("cac")).alias("focus_terms"),
     )
     rows = events(spark, sf).select(
-        F.floor(F.col("event_id") / 2).alias("case_id"), F.col("event_id").alias("line"),
+        case_key(), F.col("event_id").alias("line"),
         F.when(k % 8 == 0, F.array_except(fields, strings("split", "ambiguity"))).otherwise(fields).alias("fields"),
         F.when(k % 4 == 0, True).when(k % 4 != 3, False).alias("expected_search"), F.when(k % 5 != 0, need).alias("need"),
         F.when(k % 9 == 0, strings("diagnostic_evidence", "guess")).otherwise(strings("diagnostic_evidence")).alias("acceptable_intents"),

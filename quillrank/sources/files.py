@@ -87,6 +87,12 @@ def read_local_documents(spark: SparkSession, root: str, skip: str | None = None
     return kept
 
 
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path) of every file under root, relative to it; nothing is read but names."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return files.select(F.substring_index(F.col("path"), root.rstrip("/") + "/", -1).alias("path"))
+
+
 def explode_sessions(sessions: DataFrame, turns: str = "turns") -> DataFrame:
     """One row per turn of each session, numbered from 1."""
     rest = [c for c in sessions.columns if c != turns]

@@ -29,7 +29,8 @@ def upsert_vectors(table: DataFrame, records: DataFrame, order: str = "seq") ->
     new = last_records(records, order)
     if order not in table.columns:
         new = new.drop(order)
-    return upsert(table, new.select(*table.columns), ["namespace", "id"])
+    # Either side has one row per key by now.
+    return upsert(table, new.select(*table.columns), ["namespace", "id"], F.lit(0))
 
 
 def _folder(namespace: Column) -> Column:

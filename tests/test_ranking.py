@@ -292,6 +292,49 @@ def test_percentiles_match_their_definitions(spark):
     assert (got["b"].lin, got["b"].exc) == (4.0, 4.0)
 
 
+def test_percentiles_split_large_bins(spark, monkeypatch):
+    from quillrank.operators import quantiles as module
+
+    monkeypatch.setattr(module, "MOST", 16)
+    monkeypatch.setattr(module, "SPLITS", 8)
+    rng = random.Random(4)
+    values = {
+        "times": [1.7e9 + rng.randrange(20_000) / 8 for _ in range(3000)], "wide": [rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300) for _ in range(500)],
+        "close": [1 + i * 2**-52 for i in range(700)], "huge": [(-1) ** i * (1.7e308 - i * 1e292) for i in range(100)], None: [5.0] * 50 + [5.5],
+    }
+    df = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs], "g string, v double").repartition(5)
+    found = {r.g: r for r in quantiles(df, ["g"], "v", {"mid": ("rounded", 0.5), "low": ("rounded", 0.01), "top": ("rounded", 0.97)}).collect()}
+    assert set(found) == set(values)
+    for g, vs in values.items():
+        vs = sorted(vs)
+        for name, q in (("mid", 0.5), ("low", 0.01), ("top", 0.97)):
+            assert found[g][name] == vs[round((len(vs) - 1) * q)]
+    assert quantiles(df.where("false"), ["g"], "v", {"mid": ("rounded", 0.5)}).count() == 0
+
+
+def test_cluster_bounds_skip_and_lose_nothing():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16))
+    rows = np.concatenate([c + 0.05 * rng.normal(size=(50, 16)) for c in centres] + [np.zeros((3, 16))])
+    rows[7] = rows[8]
+    unit = V._unit(V.pa.array(rows.tolist()))
+    order, sizes, middle, reach = V.clustered(unit)
+    assert sorted(order.tolist()) == list(range(len(rows))) and sizes.sum() == len(rows)
+    queries = V._unit(V.pa.array(np.concatenate([centres[:10], -centres[:2], rows[7:9], np.zeros((1, 16))]).tolist()))
+    search = V._Search(5)
+    pair = {
+        "v_dim": 16, "q_dim": 16, "v_space": None, "q_at": 0, "v_block": unit[order].tobytes(), "q_block": queries.tobytes(),
+        "v_centres": middle.tobytes(), "v_sizes": sizes.tolist(), "v_reach": reach.tolist(),
+    }
+    q, v, score = search.take(pair)
+    assert search.scored < 0.3 * search.clusters
+    exact = queries @ unit.T
+    for i in range(len(queries)):
+        want = sorted((-round(s, 9), j) for j, s in enumerate(exact[i]) if s > 0)[:5]
+        got = sorted((-round(s, 9), int(order[j])) for j, s in zip(v[q == i], score[q == i], strict=True))[:5]
+        assert got == want
+
+
 def test_embedding_cache_counts(spark, tmp_path):
     provider, path = Indicator(), str(tmp_path / "cache")
     schema = "key string, model string, embedding array<double>"
@@ -314,16 +357,26 @@ def test_embedding_cache_counts(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
-def test_repeated_keys_take_the_last_row(spark):
-    base = spark.createDataFrame([(1, "x"), (1, "y"), (3, "k"), (None, "n")], "k int, v string").coalesce(1)
-    newer = spark.createDataFrame([(2, "p"), (2, "q"), (None, "m")], "k int, v string").coalesce(1)
-    assert {(r.k, r.v) for r in J.upsert(base, newer, ["k"]).collect()} == {(1, "y"), (2, "q"), (3, "k"), (None, "m")}
-    results = spark.createDataFrame([("s", 1, 1)], "strategy string, case_id int, chunk_id int")
-    labels = spark.createDataFrame([("s", 1, 1, True), ("s", 1, 1, False)], "strategy string, case_id int, chunk_id int, useful boolean").coalesce(1)
-    done = J.adjudicate(results, labels, labels, labels.where("false").drop("strategy")).collect()
-    assert [(r.useful, r.label_source) for r in done] == [(False, "semantic_adjudication")]
-    novel = J.novel_pairs(results.where("false"), results, labels, labels).collect()
-    assert [(r.reviewed, r.false_negative_fixed, r.false_positive_fixed) for r in novel] == [(True, False, False)]
+@pytest.mark.parametrize("parts", [1, 7])
+def test_repeated_and_null_keys_take_the_last_line(spark, parts):
+    def lines(rows, schema):
+        """Rows with their line numbers, dealt out so that no partition keeps their order."""
+        made = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], schema + ", line_number int")
+        return made.repartition(parts, F.col("line_number") * 7919 % 13)
+
+    base = lines([(1, "x"), (1, "y"), (3, "k"), (None, "n")], "k int, v string")
+    newer = lines([(2, "p"), (2, "q"), (None, "m")] + [(5, str(i)) for i in range(100)], "k int, v string")
+    found = J.upsert(base, newer, ["k"], "line_number").collect()
+    assert {(r.k, r.v) for r in found} == {(1, "y"), (2, "q"), (3, "k"), (None, "m"), (5, "99")}
+    results = spark.createDataFrame([("s", 1, 1), ("s", None, 2), (None, 1, 3)], "strategy string, case_id int, chunk_id int")
+    placed = [("s", 1, 1, i % 2 == 1) for i in range(101)] + [("s", None, 2, False), ("s", None, 2, True), (None, 1, 3, True)]
+    labels = lines(placed, "strategy string, case_id int, chunk_id int, useful boolean")
+    none = labels.where("false")
+    done = {r.chunk_id: (r.useful, r.label_source) for r in J.adjudicate(results, labels, labels, none.drop("strategy")).collect()}
+    assert done == {1: (False, "semantic_adjudication"), 2: (True, "semantic_adjudication"), 3: (True, "semantic_adjudication")}
+    assert {r.useful for r in J.adjudicate(results, labels, none, none).collect()} == {False, True}
+    novel = J.novel_pairs(results.where("false"), results, labels, none).collect()
+    assert {(r.chunk_id, r.reviewed, r.false_negative_fixed) for r in novel} == {(1, True, False), (2, True, True), (3, True, True)}
 
 
 def test_cache_with_a_repeated_key(spark):

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -388,6 +389,83 @@ def test_state_stream_ignores_arrival_order_and_replays(spark):
     assert (r.economics.cac, r.business_info.icp, bad.count()) == (20.0, "shops", 0)
 
 
+def state_of(spark, out):
+    return {(r.field, r.value, r.seq) for r in ST.read_state(spark, out).collect()}
+
+
+def test_state_is_compacted_and_survives_replays(spark):
+    base = scratch(spark, "compacted")
+    assert state_of(spark, f"{base}/out") == set()
+    want = {}
+    for number in range(6):
+        rows = [("b", 10 * number + i, f"f{i % 3}", f"v{number}-{i}", "file", None, None) for i in range(4)]
+        spark.createDataFrame(rows, ST.ASSIGNMENT_SCHEMA).coalesce(1).write.mode("append").json(f"{base}/in")
+        stream = ST.read_assignments(spark, f"{base}/in", 1)
+        ST.snapshot_state(stream, f"{base}/out", f"{base}/state", compact_every=2).awaitTermination()
+        want.update({r[2]: (r[2], r[3], r[1]) for r in rows})
+        assert state_of(spark, f"{base}/out") == set(want.values())
+    upto, path = ST._generation(spark, f"{base}/out")
+    assert upto == 5
+    # Batches of the compacted table are pruned, and may be deleted with older tables.
+    plan = ST.read_state(spark, f"{base}/out")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(batch" in plan
+    assert ST.expire(spark, f"{base}/out") == 6 + 2
+    assert state_of(spark, f"{base}/out") == set(want.values())
+    # The last batch once more, as after a lost commit; then a compaction whose pointer was never written.
+    commits = Path(f"{base}/state/commits".removeprefix("file:"))
+    for name in ("5", ".5.crc"):
+        (commits / name).unlink()
+    ST.snapshot_state(ST.read_assignments(spark, f"{base}/in", 1), f"{base}/out", f"{base}/state", compact_every=2).awaitTermination()
+    spark.createDataFrame([("b", 999, "f0", "orphan", "file", None, None)], ST.ASSIGNMENT_SCHEMA).write.parquet(f"{base}/out/generations/9-lost")
+    ST.compact(spark, f"{base}/out", 3)
+    assert state_of(spark, f"{base}/out") == set(want.values())
+
+
+def test_nested_answers_open_to_dotted_fields(spark):
+    texts = [
+        '{"economics": {"cac": "$1,200", "gross_margin": 0.5}, "money_model": {"upsell": {"description": " more ", "exists": true, "x": {}}}}',
+        '{"business": {"icp": ["a", {"b": 1}], "business_type": null}, "problem": {"user_goal": "{not opened"}, "a": {"": 3}}',
+        "[1]", "{broken", None, '"text"', "{}", '{"d":' * 9 + "1" + "}" * 9, '{"d":' * 8 + "2" + "}" * 8,
+    ]
+    records = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "business int, seq int, answers string")
+    answers, errors = S.flatten_answers(records)
+    assert {(r.seq, r.field, r.raw) for r in answers.collect()} == {
+        (0, "economics.cac", "$1,200"), (0, "economics.gross_margin", "0.5"), (0, "money_model.upsell.description", " more "),
+        (0, "money_model.upsell.exists", "true"), (1, "business.icp", '["a",{"b":1}]'), (1, "problem.user_goal", "{not opened"),
+        (1, "a.", "3"), (8, ".".join("d" * 8), "2"),
+    }
+    assert sorted((r.seq, r.error.split(":")[0]) for r in errors.collect()) == [
+        *((i, "answers are no JSON object") for i in (2, 3, 4, 5)), (7, "nested too deep"),
+    ]
+    clean = {(r.seq, r.field): (r.value, r.error) for r in S.clean_records(records).collect()}
+    assert clean[0, "economics.cac"] == ("1200.0", None)
+    assert clean[0, "money_model.upsell.description"] == ("more", None)
+    assert clean[7, ".".join("d" * 8)][1].startswith("nested too deep")
+
+
+def test_null_ids_are_one_key_and_fixtures_must_be_there(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "one.json").write_text("{}")
+    files = SF.list_files(spark, str(tmp_path))
+    assert [r.path for r in files.collect()] == ["a/one.json"]
+    rows = [(None, 1, "a/one.json"), (None, 2, "a/two.json"), ("x", 3, None), ("x", 4, "a/one.json"), ("y", 5, "")]
+    cases = spark.createDataFrame(
+        [(*r, True, "low", ["search_source_material"], []) for r in rows],
+        "case_id string, line int, snapshot_fixture_path string, search_allowed boolean, ambiguity string, required_actions array<string>, forbidden_actions array<string>",
+    ).repartition(5)
+    got = {r.line: r.errors for r in T.validate_gate_cases(cases, files).collect()}
+    lost = "missing snapshot_fixture_path"
+    assert got == {1: [], 2: ["duplicate case_id", lost], 3: [lost], 4: ["duplicate case_id"], 5: [lost]}
+    assert {r.line: r.errors for r in T.validate_gate_cases(cases).collect()}[5] == []
+    audits = spark.createDataFrame(
+        [(None, i, "h", "auditor", [True], True) for i in range(3)],
+        "case_id string, line int, answer_sha256 string, reviewer string, claims array<boolean>, overall_pass boolean",
+    ).repartition(3)
+    packets = spark.createDataFrame([], "case_id string, answer string, packet_sha256 string, run_valid boolean")
+    bound = {r.line: "duplicate audit" in r.errors for r in T.bind_audits(audits, packets, "auditor").collect()}
+    assert bound == {0: False, 1: True, 2: True}
+
+
 def test_snapshot_queries_parse_every_row(spark):
     import os
 
