@@ -7,8 +7,8 @@ so a segmentation is drawn by its weight among all. Random numbers come from a h
 key, the segment's number in the text and the step: a row gets the same pieces in any partition,
 batch or order of rows.
 
-No piece holds a space after its first character or a line end, so the lattice falls apart
-there without loss; equal segments of a slice share their sums, and all segments of one length
+Pieces with a space after their first character (14 of the default vocabulary) are left out of the
+lattice, and no piece holds a line end, so the lattice falls apart there; equal segments of a slice share their sums, and all segments of one length
 are summed and sampled as arrays. Characters without a piece become their bytes, so decoding
 gives every text back byte by byte, also the space symbol itself. Texts start with one space
 that decoding takes away; null and empty texts have no pieces.
@@ -20,6 +20,7 @@ is one pass without a shuffle, whatever repeats. A null key draws like any other
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -36,7 +37,7 @@ ALPHA = 0.7
 SEED = 17
 SPACE = "▁"
 SEGMENT = re.compile(f" ?[^ \n{SPACE}]+| |\n|{SPACE}")
-LONG = 48  # characters; longer segments are summed one by one, in memory that grows with their length
+LONG = 48  # characters; longer segments are looked up as arrays and summed one by one
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 GOLDEN = 0x9E3779B97F4A7C15
 SLOTS = 20
@@ -82,7 +83,12 @@ class Pieces:
 
     def _tables(self, pieces: list[tuple[str, int]]) -> None:
         """Two open tables: the second holds what collides in the first."""
-        keys = np.array([self._hash(np.array([list(map(ord, s))], np.uint64))[0, -1] for s, _ in pieces], np.uint64)
+        lengths = np.array([len(s) for s, _ in pieces], np.int64)
+        keys = np.zeros(len(pieces), np.uint64)
+        for n in np.unique(lengths):
+            own = np.flatnonzero(lengths == n)
+            codes = np.frombuffer("".join(pieces[i][0] for i in own).encode("utf-32-le"), "<u4").reshape(-1, n)
+            keys[own] = self._hash(codes.astype(np.uint64))[:, -1]
         ids = np.array([i for _, i in pieces], np.int32)
         self.tables, shift, rest = [], 64 - SLOTS, np.arange(len(keys))
         while len(rest):
@@ -122,31 +128,57 @@ def uniforms(base: np.ndarray, step: int) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
+@functools.lru_cache(maxsize=2)
+def vocabulary_of(path: str, alpha: float) -> Pieces:
+    """One instance per worker process, which runs many tasks."""
+    return Pieces(path, alpha)
+
+
+@functools.lru_cache(maxsize=2)
+def raw_pieces(path: str) -> list[bytes]:
+    """The bytes of each id, all that decoding needs."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    raw = []
+    for i in range(model.get_piece_size()):
+        name = model.id_to_piece(i)
+        special = model.is_control(i) or model.is_unknown(i) or model.is_unused(i)
+        raw.append(bytes([int(name[3:5], 16)]) if model.is_byte(i) else b"" if special else name.replace(SPACE, " ").encode())
+    return raw
+
+
 def sample_one(pieces: Pieces, segment: str, base: int) -> list[int]:
-    """Ids of one segment: the same draw as sample_many, place by place."""
-
-    def arcs(j: int) -> Iterator[tuple[int, int, float]]:
-        """Beginning, id (or -1: the bytes of one character) and log weight of what may end at j."""
-        for i in range(max(0, j - pieces.longest), j):
-            at = pieces.ids.get(segment[i:j] if segment != SPACE else "", -1)
-            if at >= 0:
-                yield i, at, pieces.log[at]
-            elif i == j - 1:
-                yield i, -1, pieces.byte_log * len(segment[i].encode())
-
-    sums = np.full(len(segment) + 1, -np.inf)
-    sums[0] = 0.0
-    for j in range(1, len(segment) + 1):
-        sums[j] = np.logaddexp.reduce([sums[i] + w for i, _, w in arcs(j)])
+    """Ids of one segment: the same draw as sample_many, with all its pieces looked up as arrays."""
+    n, width = len(segment), min(pieces.longest, len(segment))
+    codes = np.frombuffer(segment.encode("utf-32-le"), "<u4").astype(np.uint64)
+    ends = Pieces._hash(codes[None, :])[0]
+    # Row j - 1, column w: what may end at j and begin at j - width + w.
+    at = np.full((n, width), -1, np.int64)
+    for w in range(width if segment != SPACE else 0):
+        long = width - w
+        power = np.uint64(pow(int(BASE), long, 1 << 64))
+        at[long - 1 :, w] = pieces.find(ends[long:] - ends[: n + 1 - long] * power)
+    weights = np.where(at >= 0, pieces.log[at], -np.inf)
+    lone = at[:, -1] < 0
+    sizes = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+    weights[lone, -1] = pieces.byte_log * sizes[lone]
+    sums = np.full(width + n + 1, -np.inf)  # sums[width + j] of the first j characters
+    sums[width] = 0.0
+    for j in range(1, n + 1):
+        own = weights[j - 1] + sums[j : j + width]
+        top = own.max()
+        sums[width + j] = top + np.log(np.exp(own - top).sum())
     out: list[int] = []
-    j, step = len(segment), 0
+    j, step = n, 0
     while j:
-        own = list(arcs(j))
-        shares = np.cumsum([np.exp(sums[i] + w - sums[j]) for i, _, w in own])
+        own = weights[j - 1] + sums[j : j + width]
+        shares = np.cumsum(np.exp(own - own.max()))
         u = uniforms(np.array([base], np.uint64), step)[0] * shares[-1]
-        i, at, _ = own[min(int((shares <= u).sum()), len(own) - 1)]
-        out += [at] if at >= 0 else pieces.byte_ids(segment[i])[::-1]
-        j, step = i, step + 1
+        pick = min(int((shares <= u).sum()), width - 1)
+        found = int(at[j - 1, pick])
+        out += [found] if found >= 0 else pieces.byte_ids(segment[j - 1])[::-1]
+        j, step = j - width + pick, step + 1
     return out[::-1]
 
 
@@ -252,7 +284,7 @@ def encode(
     at, key = docs.columns.index(text_col), len(docs.columns) - 1
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path, alpha)
+        pieces = vocabulary_of(path, alpha)
         for part in batches.slices(parts, at, SLICE):
             found = [SEGMENT.findall(" " + t) if t else [] for t in part.column(at).to_pylist()]
             sizes = np.array([len(f) for f in found])
@@ -277,7 +309,7 @@ def decode(rows: DataFrame, *, vocabulary: str | None = None) -> DataFrame:
     at = rows.columns.index("piece_ids")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = Pieces(path).raw
+        raw = raw_pieces(path)
         for part in batches.slices(parts, at, SLICE):
             texts = [
                 b"".join(map(raw.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))[1:]
