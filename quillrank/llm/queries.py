@@ -80,6 +80,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         toxicity.held_out(F.col("doc_id")).alias("held_out"),
         F.col("toxicity").alias("score"),
         (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        "evidence",
     )
 
 

@@ -38,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,6 +53,7 @@ FREQUENT, FREQUENT_SHARE = 512, 1 / 32  # terms with a row of weights, and the s
 MARGIN = 1e-4  # of single precision
 BATCH = 64
 GROUP_HASHES = 3
+CLUSTERS, CLUSTER_TERMS, CLUSTER_ROUNDS = 24, 256, 4
 BUILT = {"blocks", "starts", "terms", "values", "row", "rows", "largest", "list_ids", "list_values", "list_sizes", "list_starts"}
 MIN_Z, MIN_RATIO, MIN_GROUPS, MIN_SHARE = 3.0, 8.0, 4, 0.01  # evidence that a beginning needs
 PREFIXES = range(4, 9)  # bytes of a word's beginning
@@ -102,12 +104,19 @@ class Terms:
         return self.memo[word]
 
     def of(self, text: bytes) -> dict[bytes, int]:
-        words, begins = Counter(batches.plain_words(text)), Counter()
-        known, heads = self.known, self.heads
+        words, known = Counter(batches.plain_words(text)), self.known
         found = dict(words) if known is None else {w: n for w, n in words.items() if w in known}
+        found.update(self.begun(words))
+        return found
+
+    def begun(self, words: Counter[bytes]) -> dict[bytes, int]:
+        """The beginnings only."""
+        begins: Counter[bytes] = Counter()
+        known, heads = self.known, self.heads
         for word in words if heads is None else [w for w in words if w[: PREFIXES[0]] in heads]:
             for b in self._parts(word):
                 begins[b] += words[word]
+        found: dict[bytes, int] = {}
         for b, n in begins.items():
             own = [(b"^" + b, n), *((b"%d^%s" % (level, b), 1) for level in LEVELS if n >= level)]
             found.update((t, m) for t, m in own if known is None or t in known)
@@ -123,16 +132,17 @@ def _group(words: set[bytes]) -> int:
 
 
 def _evidence(rows: DataFrame, known: frozenset[bytes] | None = None) -> DataFrame:
-    """Distinct (term, group) of the examples; the empty term stands for the group itself."""
+    """Distinct (beginning, group) of the examples; the empty term stands for the group itself."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Terms(known).of
+        begun = Terms(known).begun
         # A text has some thousand terms, so few texts at a time.
         for part in batches.slices(parts, 1, 512 << 10):
             terms, groups = [], []
             for text in batches.byte_texts(part.column(1)):
-                own = [b"", *of(text)]
-                group = _group(set(batches.plain_words(text)))
+                words = Counter(batches.plain_words(text))
+                own = [b"", *begun(words)]
+                group = _group(set(words))
                 terms += own
                 groups += [group] * len(own)
             yield pa.record_batch([pa.array(terms, pa.binary()), pa.array(groups, pa.int64())], names=["term", "group"])
@@ -162,7 +172,6 @@ def beginnings(sample: DataFrame) -> set[bytes]:
     least = F.greatest(F.lit(MIN_GROUPS), MIN_SHARE * F.col("all"))
     toxic = _groups_with(sample.where("toxic = 1"), None, least)
     n1 = toxic.pop(b"", 0)
-    toxic = {t: n for t, n in toxic.items() if b"^" in t}
     if not toxic:
         return set()
     other = _groups_with(sample.where("toxic = 0"), frozenset(toxic), None)
@@ -214,6 +223,7 @@ def document_counts(docs: DataFrame, words: list[bytes]) -> tuple[int, list[int]
 
     rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term binary, n long")
     sums = rows.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
     found = dict(zip(sums["term"].to_pylist(), sums["n"].to_pylist(), strict=True))
     return found.get(b"", 0), [found.get(w, 0) for w in words]
 
@@ -228,12 +238,15 @@ class Index:
 
     def __init__(self, words: list[bytes], idf: np.ndarray) -> None:
         self.number = {w: i for i, w in enumerate(words)}
+        self.asked = self.read = 0  # pairs of a text and a block, and those that no bound ruled out
         self.idf = idf  # times the factor of the evidence
 
     def vector(self, text: bytes, terms: Terms) -> np.ndarray:
         """Rows of term number and count, by number."""
-        found = sorted((self.number[t], n) for t, n in terms.of(text).items())
-        return np.array(found, np.int32).reshape(-1, 2)
+        found = terms.of(text)
+        ids = np.fromiter(map(self.number.__getitem__, found), np.int32, len(found))
+        order = np.argsort(ids)
+        return np.stack([ids, np.fromiter(found.values(), np.int32, len(found))], axis=1)[order]
 
     def weights(self, vector: np.ndarray | tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
         terms, counts = np.asarray(vector, np.int64).reshape(-1, 2).T
@@ -248,8 +261,6 @@ class Index:
     def __setstate__(self, state: bytes) -> None:
         self.__dict__ = pickle.loads(zlib.decompress(state))
         self.number = {w: i for i, w in enumerate(self.number)}
-        if hasattr(self, "pairs"):
-            self._build()
 
     def fill(self, vectors: list, toxic: list[int]) -> None:
         kept = [(np.asarray(v, np.int32).reshape(-1, 2), y) for v, y in zip(vectors, toxic, strict=True) if len(v)]
@@ -259,10 +270,15 @@ class Index:
         self.toxic = np.array([y for _, y in kept], np.float64)
         self.sizes = np.array([len(v) for v, _ in kept], np.int64)
         self.pairs = np.concatenate([np.zeros((0, 2), np.int32), *(v for v, _ in kept)])
-        self._build()
+        self.__dict__ = {k: v for k, v in self.__dict__.items() if k not in BUILT}
+
+    def vectors(self, first: int, last: int) -> list[np.ndarray]:
+        """The examples' own vectors."""
+        ends = np.cumsum(self.sizes)
+        return [self.pairs[e - n : e] for e, n in zip(ends[first:last], self.sizes[first:last], strict=True)]
 
     def _build(self) -> None:
-        """Block-max lists of the examples' vectors."""
+        """Block-max lists of the examples' vectors, made where they are first used."""
         n, n_terms = len(self.sizes), len(self.number)
         self.blocks = -(-n // BLOCK)
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -287,6 +303,8 @@ class Index:
 
     def nearest_of(self, vectors: list, k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each vector all examples at or above the k-th largest cosine (and above 0), and their cosines."""
+        if "rows" not in self.__dict__:
+            self._build()
         weighted, width = [self.weights(v) for v in vectors], self.blocks * BLOCK
         apart = np.full(len(vectors), -1) if without is None else np.asarray(without)
         frequent = np.zeros((len(vectors), len(self.rows)), np.float32)
@@ -302,6 +320,7 @@ class Index:
         scores = np.zeros((len(vectors), width), np.float32)
         for b in np.argsort(-bounds.sum(axis=0), kind="stable"):
             who = np.flatnonzero((bounds[:, b] > 0) & (bounds[:, b] >= best.min(axis=1) - MARGIN))
+            self.asked, self.read = self.asked + len(vectors), self.read + len(who)
             if not len(who):
                 continue
             block = slice(b * BLOCK, (b + 1) * BLOCK)
@@ -332,16 +351,18 @@ class Index:
         weight = 1 / (np.sqrt(np.maximum(2 - 2 * cosines, 0)) + 0.1)
         return float((weight @ self.toxic[ids] + self.rate) / (weight.sum() + 1))
 
-    def calibrate(self, vectors: list, k: int) -> None:
+    def left_out(self, first: int, last: int, k: int) -> list[float]:
+        """Votes on examples, each left out of its own."""
+        return [
+            self.vote(*near) for i in range(first, last, BATCH)
+            for near in self.nearest_of(self.vectors(i, min(i + BATCH, last)), k, list(range(i, min(i + BATCH, last))))
+        ]
+
+    def calibrate(self, votes: np.ndarray, names: list[int]) -> None:
         """Rising steps from votes to observed rates, by pooling bins of left-out examples."""
-        kept = [v for v in vectors if len(v)]
-        votes = np.array([
-            self.vote(*near) for i in range(0, len(kept), BATCH)
-            for near in self.nearest_of(kept[i : i + BATCH], k, list(range(i, min(i + BATCH, len(kept)))))
-        ])
-        order = np.argsort(votes, kind="stable")
+        order = np.lexsort((names, votes))
         pools: list[list[float]] = []  # sum of votes, toxic, rows
-        for part in np.array_split(order, min(BINS, max(1, len(kept) // 6))) if len(kept) else []:
+        for part in np.array_split(order, min(BINS, max(1, len(votes) // 6))) if len(votes) else []:
             pools.append([votes[part].sum(), self.toxic[part].sum(), len(part)])
             while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
                 last = pools.pop()
@@ -360,15 +381,43 @@ class Index:
         return found
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, limit: int = MAX_EXAMPLES, k: int = NEIGHBOURS) -> tuple[Index, list[int]]:
-    """Index and the doc_ids of its examples. At most `limit` sparse vectors reach the driver."""
+def likeness_order(vectors: list[np.ndarray], idf: np.ndarray) -> list[int]:
+    """An order in which like examples stand together, so that a block's bounds are tight.
+
+    A few rounds of k-means on the most frequent terms tell languages and sources apart; the order has no
+    effect on any result.
+    """
+    lengths = np.bincount(np.concatenate([np.zeros(0, np.int64), *(v[:, 0] for v in vectors)]), minlength=len(idf))
+    frequent = np.argsort(-lengths, kind="stable")[:CLUSTER_TERMS]
+    column = np.full(len(idf), -1)
+    column[frequent] = np.arange(len(frequent))
+    dense = np.zeros((len(vectors), len(frequent)), np.float32)
+    for i, v in enumerate(vectors):
+        own = v[column[v[:, 0]] >= 0]
+        dense[i, column[own[:, 0]]] = (1 + np.log(own[:, 1])) * idf[own[:, 0]]
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
+    centres = dense[:: max(1, len(dense) // CLUSTERS)][:CLUSTERS]
+    for _ in range(CLUSTER_ROUNDS):
+        near = (dense @ centres.T).argmax(axis=1)
+        sums = np.stack([dense[near == c].sum(axis=0) for c in range(len(centres))])
+        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    cosines = dense @ centres.T
+    return np.lexsort((-cosines.max(axis=1), cosines.argmax(axis=1))).tolist()
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, limit: int = MAX_EXAMPLES, k: int = NEIGHBOURS) -> tuple[Broadcast, Index]:
+    """Broadcast (index, doc_ids of its examples), and the calibrated scale of votes.
+
+    At most `limit` sparse vectors and votes reach the driver; they are found in tasks.
+    """
+    spark = docs.sparkSession
     # The sort leaves the sample in one partition; deal it out, so that its terms are found in parallel.
-    cores = docs.sparkSession.sparkContext.defaultParallelism
+    cores = spark.sparkContext.defaultParallelism
     sample = stored(examples(docs, labels, limit).repartition(cores), "toxicity-examples")
     words = vocabulary(sample)
     n, held = document_counts(docs, words)
     index = Index(words, (np.log((n + 1) / (np.array(held, np.float64) + 1)) + 1))
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = spark.sparkContext.broadcast(index)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -382,12 +431,31 @@ def fit(docs: DataFrame, labels: DataFrame, *, limit: int = MAX_EXAMPLES, k: int
             )
 
     rows = sample.mapInArrow(run, "doc_id long, vector binary, toxic int, group long").collect()
+    shared.destroy()
     rows.sort(key=lambda r: (r.doc_id, r.vector))
     vectors = [np.frombuffer(r.vector, "<i4").reshape(-1, 2) for r in rows]
     index.idf = index.idf * factors(vectors, [r.toxic for r in rows], [r.group for r in rows], len(words))
+    order = likeness_order(vectors, index.idf) if rows else []
+    vectors, rows = [vectors[i] for i in order], [rows[i] for i in order]
     index.fill(vectors, [r.toxic for r in rows])
-    index.calibrate(vectors, k)
-    return index, [r.doc_id for r, v in zip(rows, vectors, strict=True) if len(v)]
+    names = [r.doc_id for r, v in zip(rows, vectors, strict=True) if len(v)]
+    del rows, vectors
+    shared = spark.sparkContext.broadcast((index, names))
+
+    def votes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value[0]
+        for part in parts:
+            at = part.column(0).to_pylist()
+            if at:
+                found = index.left_out(at[0], at[-1] + 1, k)
+                yield pa.record_batch([pa.array(at, pa.int64()), pa.array(found, pa.float64())], names=["at", "vote"])
+
+    found = spark.range(0, len(names), 1, cores).mapInArrow(votes, "at long, vote double").collect()
+    scale = Index([], np.zeros(0))
+    scale.rate, scale.empty_score = index.rate, index.empty_score
+    scale.toxic = index.toxic[[r["at"] for r in found]] if found else np.zeros(0)
+    scale.calibrate(np.array([r.vote for r in found]), [names[r["at"]] for r in found])
+    return shared, scale
 
 
 def score(
@@ -395,15 +463,16 @@ def score(
 ) -> DataFrame:
     """`docs` with toxicity (0 to 1) and evidence (the nearest examples) in place of columns of these names."""
     docs = docs.drop("toxicity", "evidence")
-    index, names = fit(docs, labels, limit=limit, k=k)
+    shared, scale = fit(docs, labels, limit=limit, k=k)
+    steps = scale.at, scale.rates
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
     at = docs.columns.index("text")
 
-    shared = docs.sparkSession.sparkContext.broadcast((index, names))
-
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, tuple] = {}
         index, names = shared.value
+        index.at, index.rates = steps
+        doc_ids = np.array(names, np.int64)
         terms = Terms(frozenset(index.number))
         for part in batches.slices(parts, at):
             vectors = [index.vector(text, terms) for text in batches.byte_texts(part.column(at))]
@@ -412,7 +481,7 @@ def score(
                 memo.clear()
             new = {key: v for key, v in zip(keys, vectors, strict=True) if key not in memo}
             for key, (value, ids, cosines) in zip(new, index.score(list(new.values()), k), strict=True):
-                best = np.lexsort((ids, -cosines))[:evidence]
+                best = np.lexsort((doc_ids[ids], -cosines))[:evidence]
                 memo[key] = value, [
                     {"doc_id": names[ids[i]], "cosine": float(cosines[i]), "toxic": int(index.toxic[ids[i]])} for i in best
                 ]
