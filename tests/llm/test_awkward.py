@@ -1,7 +1,9 @@
 """Every operator on nulls, empty and long texts, ties, repeated rows, clashing names, and empty tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quillrank.llm import (
     covertree,
     fingerprints,
@@ -71,3 +73,22 @@ def test_vectors(spark):
     assert links[0] == links[1] == links[2] == (3, 0)
     assert all(links[i] == (0, i) for i in (3, 4, 5, 6, 7, 8, 9, 10, 11, 12, None))
     assert covertree.near_duplicate_vectors(vectors.where("false")).count() == 0
+
+
+def test_pipeline_stages_keep_columns_and_values(awkward, nothing, labels, spark, tmp_path):
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    decided = {
+        "quality classifier": {r[:2] for r in quality.classify(awkward.select("doc_id", "text")).where(
+            F.col("quality_score") >= quality.THRESHOLD).select("doc_id", "text").collect()},
+        "toxicity": {r[:2] for r in toxicity.score(awkward.select("doc_id", "text"), labels).where(
+            F.col("toxicity") < toxicity.THRESHOLD).select("doc_id", "text").collect()},
+    }
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, awkward, str(tmp_path))
+        assert kept.columns == awkward.columns
+        assert kept.join(awkward.distinct(), [kept[c].eqNullSafe(awkward[c]) for c in awkward.columns], "left_anti").count() == 0
+        if name in decided:
+            assert {(r.doc_id, r.text) for r in kept.collect()} == decided[name]
+        assert stage(spark, nothing, str(tmp_path)).columns == awkward.columns
+        assert stage(spark, nothing, str(tmp_path)).count() == 0
+    assert corpus_pipeline.packed(spark, nothing, str(tmp_path)).count() == 0
