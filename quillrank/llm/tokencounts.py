@@ -178,6 +178,8 @@ def count_tokens(
     known = read_cache(docs.sparkSession, cache, path)
     if known is None:  # nothing was asked and nothing is stored
         known = docs.sparkSession.createDataFrame([], CACHED)
+    # Written, so that the join reads plain exchanges and adaptive execution can split a hot digest.
+    known = stored(known, "token-counts")
     sized = keyed.select("doc_id", F.octet_length("content").cast("long").alias("n_bytes"), "digest")
     return sized.join(known, "digest").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
