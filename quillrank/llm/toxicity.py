@@ -29,15 +29,17 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import pickle
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,7 +56,7 @@ MARGIN = 1e-4  # of single precision
 BATCH = 64
 GROUP_HASHES = 3
 CLUSTERS, CLUSTER_TERMS, CLUSTER_ROUNDS = 24, 256, 4
-BUILT = {"blocks", "starts", "terms", "values", "row", "rows", "largest", "list_ids", "list_values", "list_sizes", "list_starts"}
+BUILT = {"number", "blocks", "starts", "values", "row", "rows", "largest", "list_ids", "list_values", "list_sizes", "list_starts"}
 MIN_Z, MIN_RATIO, MIN_GROUPS, MIN_SHARE = 3.0, 8.0, 4, 0.01  # evidence that a beginning needs
 PREFIXES = range(4, 9)  # bytes of a word's beginning
 LEVELS = (2, 4)  # counts of a beginning that are terms of their own
@@ -89,7 +91,7 @@ class Terms:
     before that.
     """
 
-    def __init__(self, known: frozenset[bytes] | None = None) -> None:
+    def __init__(self, known: Collection[bytes] | None = None) -> None:
         self.known = known
         self.begins = None if known is None else {t[t.index(b"^") + 1 :] for t in known if b"^" in t}
         self.heads = None if known is None else {b[: PREFIXES[0]] for b in self.begins}
@@ -180,8 +182,8 @@ def beginnings(sample: DataFrame) -> set[bytes]:
     return {t for t, (z, odds) in found.items() if z >= MIN_Z and odds >= math.log(MIN_RATIO)}
 
 
-def vocabulary(sample: DataFrame) -> list[bytes]:
-    """All words of the examples, and their strong beginnings."""
+def vocabulary(sample: DataFrame) -> pa.Array:
+    """All words of the examples, and their strong beginnings, sorted; packed, as the driver makes nothing of them."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[bytes] = set()
@@ -189,30 +191,31 @@ def vocabulary(sample: DataFrame) -> list[bytes]:
             found.update(*map(batches.plain_words, batches.byte_texts(part.column(1))))
         yield pa.record_batch([pa.array(list(found), pa.binary())], names=["term"])
 
-    words = sample.mapInArrow(run, "term binary").distinct().toArrow()["term"].to_pylist()
-    return sorted({*words, *beginnings(sample)})
+    words = sample.mapInArrow(run, "term binary").distinct().toArrow()["term"].cast(pa.binary())
+    whole = pa.chunked_array([*words.chunks, pa.array(sorted(beginnings(sample)), pa.binary())], pa.binary()).combine_chunks()
+    return whole.take(pc.array_sort_indices(whole))
 
 
 def factors(vectors: list[np.ndarray], toxic: list[int], groups: list[int], n_terms: int) -> np.ndarray:
     """Of each term at least one, and more the more its groups of examples are toxic rather than others."""
     held, n = [np.zeros(n_terms), np.zeros(n_terms)], [0, 0]
-    for y in (0, 1):
-        own = [i for i, t in enumerate(toxic) if t == y]
-        names, group = np.unique(np.array([groups[i] for i in own], np.int64), return_inverse=True)
-        n[y] = len(names)
-        terms = np.concatenate([np.zeros(0, np.int64), *(vectors[i][:, 0] for i in own)])
-        pairs = np.unique(terms * max(1, n[y]) + np.repeat(group, [len(vectors[i]) for i in own]))
-        held[y] += np.bincount(pairs // max(1, n[y]), minlength=n_terms)
+    members: dict[tuple[int, int], list[np.ndarray]] = {}
+    for vector, y, group in zip(vectors, toxic, groups, strict=True):
+        members.setdefault((y, group), []).append(vector[:, 0])
+    for (y, _), own in members.items():
+        n[y] += 1
+        # A vector has each of its terms once, a group may have copies.
+        held[y][own[0] if len(own) == 1 else np.unique(np.concatenate(own))] += 1
     return (1 + np.maximum(0, _z(held[1], n[1], held[0], n[0])[0] - 1)) ** 2
 
 
-def document_counts(docs: DataFrame, words: list[bytes]) -> tuple[int, list[int]]:
+def document_counts(docs: DataFrame, words: pa.Array) -> tuple[int, np.ndarray]:
     """Documents, and documents with each of the words, over the whole table."""
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(words))
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
-        of = Terms(shared.value).of
+        of = Terms(frozenset(shared.value.to_pylist())).of
         for part in batches.slices(parts):
             for text in batches.byte_texts(part.column(0)):
                 held[b""] += 1
@@ -224,8 +227,10 @@ def document_counts(docs: DataFrame, words: list[bytes]) -> tuple[int, list[int]
     rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term binary, n long")
     sums = rows.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     shared.destroy()
-    found = dict(zip(sums["term"].to_pylist(), sums["n"].to_pylist(), strict=True))
-    return found.get(b"", 0), [found.get(w, 0) for w in words]
+    asked = pa.chunked_array([words, pa.array([b""], pa.binary())])
+    at = pc.index_in(asked, value_set=sums["term"].cast(pa.binary()).combine_chunks())
+    counts = pc.fill_null(pc.take(sums["n"], at), 0).to_numpy()
+    return int(counts[-1]), counts[:-1]
 
 
 def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -236,11 +241,15 @@ def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Index:
     """Block-max inverted index of unit vectors, with the labels of the examples."""
 
-    def __init__(self, words: list[bytes], idf: np.ndarray) -> None:
-        self.number = {w: i for i, w in enumerate(words)}
+    def __init__(self, words: list[bytes] | pa.Array, idf: np.ndarray) -> None:
+        self.words = words if isinstance(words, pa.Array) else pa.array(words, pa.binary())
         self.asked = self.read = 0  # pairs of a text and a block, and those that no bound ruled out
         self.idf = idf  # times the factor of the evidence
 
+    @functools.cached_property
+    def number(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(self.words.to_pylist())}
+
     def vector(self, text: bytes, terms: Terms) -> np.ndarray:
         """Rows of term number and count, by number."""
         found = terms.of(text)
@@ -256,11 +265,10 @@ class Index:
     def __getstate__(self) -> bytes:
         """What the rest is built from, packed, so that little travels and is written."""
         own = {k: v for k, v in self.__dict__.items() if k not in BUILT}
-        return zlib.compress(pickle.dumps(own | {"number": list(self.number)}), 1)
+        return zlib.compress(pickle.dumps(own), 1)
 
     def __setstate__(self, state: bytes) -> None:
         self.__dict__ = pickle.loads(zlib.decompress(state))
-        self.number = {w: i for i, w in enumerate(self.number)}
 
     def fill(self, vectors: list, toxic: list[int]) -> None:
         kept = [(np.asarray(v, np.int32).reshape(-1, 2), y) for v, y in zip(vectors, toxic, strict=True) if len(v)]
@@ -269,23 +277,25 @@ class Index:
         self.empty_score = (sum(empty) + self.rate) / (len(empty) + 1)
         self.toxic = np.array([y for _, y in kept], np.float64)
         self.sizes = np.array([len(v) for v, _ in kept], np.int64)
-        self.pairs = np.concatenate([np.zeros((0, 2), np.int32), *(v for v, _ in kept)])
+        self.terms, self.counts = (
+            np.concatenate([np.zeros(0, np.int32), *(v[:, column] for v, _ in kept)]) for column in (0, 1)
+        )
         self.__dict__ = {k: v for k, v in self.__dict__.items() if k not in BUILT}
 
     def vectors(self, first: int, last: int) -> list[np.ndarray]:
         """The examples' own vectors."""
         ends = np.cumsum(self.sizes)
-        return [self.pairs[e - n : e] for e, n in zip(ends[first:last], self.sizes[first:last], strict=True)]
+        return [np.stack([self.terms[e - n : e], self.counts[e - n : e]], axis=1) for e, n in zip(ends[first:last], self.sizes[first:last], strict=True)]
 
     def _build(self) -> None:
         """Block-max lists of the examples' vectors, made where they are first used."""
-        n, n_terms = len(self.sizes), len(self.number)
+        n, n_terms = len(self.sizes), len(self.words)
         self.blocks = -(-n // BLOCK)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.terms = np.ascontiguousarray(self.pairs[:, 0])
-        self.values = np.concatenate([
-            np.zeros(0), *(self.weights(self.pairs[a : a + m])[1] for a, m in zip(self.starts, self.sizes, strict=True))
-        ])
+        self.values = np.zeros(len(self.terms))
+        for a, m in zip(self.starts.tolist(), self.sizes.tolist(), strict=True):
+            w = (1 + np.log(self.counts[a : a + m])) * self.idf[self.terms[a : a + m]]
+            self.values[a : a + m] = w / math.sqrt(w @ w)
         of = np.repeat(np.arange(n, dtype=np.int32), self.sizes)
         lengths = np.bincount(self.terms, minlength=n_terms)
         frequent = np.argsort(-lengths, kind="stable")[:FREQUENT]
@@ -329,7 +339,7 @@ class Index:
             part[out, apart[who[out]] % BLOCK] = 0
             scores[who, block] = part
             best[who] = -np.partition(-np.concatenate([best[who], part], axis=1), k - 1, axis=1)[:, :k]
-        found, query = [], np.zeros(len(self.number))
+        found, query = [], np.zeros(len(self.words))
         for i, (terms, w) in enumerate(weighted):
             ids = np.flatnonzero((scores[i] > 0) & (scores[i] >= best[i].min() - MARGIN))
             query[terms] = w
@@ -416,12 +426,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, limit: int = MAX_EXAMPLES, k: int
     sample = stored(examples(docs, labels, limit).repartition(cores), "toxicity-examples")
     words = vocabulary(sample)
     n, held = document_counts(docs, words)
-    index = Index(words, (np.log((n + 1) / (np.array(held, np.float64) + 1)) + 1))
+    index = Index(words, (np.log((n + 1) / (held.astype(np.float64) + 1)) + 1))
     shared = spark.sparkContext.broadcast(index)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        terms = Terms(frozenset(index.number))
+        terms = Terms(index.number)
         for part in batches.slices(parts, 1):
             vectors = [index.vector(t, terms) for t in batches.byte_texts(part.column(1))]
             yield pa.record_batch(
@@ -430,16 +440,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, limit: int = MAX_EXAMPLES, k: int
                 names=["doc_id", "vector", "toxic", "group"],
             )
 
-    rows = sample.mapInArrow(run, "doc_id long, vector binary, toxic int, group long").collect()
+    rows = sample.mapInArrow(run, "doc_id long, vector binary, toxic int, group long").toArrow()
     shared.destroy()
-    rows.sort(key=lambda r: (r.doc_id, r.vector))
-    vectors = [np.frombuffer(r.vector, "<i4").reshape(-1, 2) for r in rows]
-    index.idf = index.idf * factors(vectors, [r.toxic for r in rows], [r.group for r in rows], len(words))
-    order = likeness_order(vectors, index.idf) if rows else []
-    vectors, rows = [vectors[i] for i in order], [rows[i] for i in order]
-    index.fill(vectors, [r.toxic for r in rows])
-    names = [r.doc_id for r, v in zip(rows, vectors, strict=True) if len(v)]
-    del rows, vectors
+    rows = rows.sort_by([("doc_id", "ascending"), ("vector", "ascending")])
+    vectors = [np.frombuffer(v, "<i4").reshape(-1, 2) for v in rows["vector"].to_pylist()]
+    names, toxic = rows["doc_id"].to_pylist(), rows["toxic"].to_pylist()
+    index.idf = index.idf * factors(vectors, toxic, rows["group"].to_pylist(), len(words))
+    del rows
+    order = likeness_order(vectors, index.idf) if vectors else []
+    index.fill([vectors[i] for i in order], [toxic[i] for i in order])
+    names = [names[i] for i in order if len(vectors[i])]
+    del vectors
     shared = spark.sparkContext.broadcast((index, names))
 
     def votes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -473,7 +484,7 @@ def score(
         index, names = shared.value
         index.at, index.rates = steps
         doc_ids = np.array(names, np.int64)
-        terms = Terms(frozenset(index.number))
+        terms = Terms(index.number)
         for part in batches.slices(parts, at):
             vectors = [index.vector(text, terms) for text in batches.byte_texts(part.column(at))]
             keys = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in vectors]
