@@ -56,7 +56,7 @@ MARGIN = 1e-4  # of single precision
 BATCH = 64
 GROUP_HASHES = 3
 CLUSTERS, CLUSTER_TERMS, CLUSTER_ROUNDS = 24, 256, 4
-BUILT = {"number", "blocks", "starts", "values", "row", "rows", "largest", "list_ids", "list_values", "list_sizes", "list_starts"}
+BUILT = {"number", "blocks", "starts", "norms", "row", "rows", "largest", "list_ids", "list_values", "list_sizes", "list_starts"}
 MIN_Z, MIN_RATIO, MIN_GROUPS, MIN_SHARE = 3.0, 8.0, 4, 0.01  # evidence that a beginning needs
 PREFIXES = range(4, 9)  # bytes of a word's beginning
 LEVELS = (2, 4)  # counts of a beginning that are terms of their own
@@ -214,22 +214,23 @@ def document_counts(docs: DataFrame, words: pa.Array) -> tuple[int, np.ndarray]:
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
-        of = Terms(frozenset(shared.value.to_pylist())).of
+        number = {word: i for i, word in enumerate(shared.value.to_pylist())}
+        of = Terms(number).of
+        # The last place counts the documents themselves.
+        held = np.zeros(len(number) + 1, np.int64)
         for part in batches.slices(parts):
             for text in batches.byte_texts(part.column(0)):
-                held[b""] += 1
-                held.update(of(text).keys())
-        yield pa.record_batch(
-            [pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["term", "n"]
-        )
-
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term binary, n long")
-    sums = rows.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+                found = of(text)
+                held[np.fromiter(map(number.__getitem__, found), np.int64, len(found))] += 1
+                held[-1] += 1
+        some = np.flatnonzero(held)
+        yield pa.record_batch([pa.array(some, pa.int32()), pa.array(held[some], pa.int64())], names=["place", "n"])
+
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "place int, n long")
+    sums = rows.groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     shared.destroy()
-    asked = pa.chunked_array([words, pa.array([b""], pa.binary())])
-    at = pc.index_in(asked, value_set=sums["term"].cast(pa.binary()).combine_chunks())
-    counts = pc.fill_null(pc.take(sums["n"], at), 0).to_numpy()
+    counts = np.zeros(len(words) + 1, np.int64)
+    counts[sums["place"].to_numpy()] = sums["n"].to_numpy()
     return int(counts[-1]), counts[:-1]
 
 
@@ -288,28 +289,45 @@ class Index:
         return [np.stack([self.terms[e - n : e], self.counts[e - n : e]], axis=1) for e, n in zip(ends[first:last], self.sizes[first:last], strict=True)]
 
     def _build(self) -> None:
-        """Block-max lists of the examples' vectors, made where they are first used."""
+        """Block-max lists of the examples' vectors, made where they are first used, one block of examples at a time."""
         n, n_terms = len(self.sizes), len(self.words)
         self.blocks = -(-n // BLOCK)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.values = np.zeros(len(self.terms))
-        for a, m in zip(self.starts.tolist(), self.sizes.tolist(), strict=True):
-            w = (1 + np.log(self.counts[a : a + m])) * self.idf[self.terms[a : a + m]]
-            self.values[a : a + m] = w / math.sqrt(w @ w)
-        of = np.repeat(np.arange(n, dtype=np.int32), self.sizes)
+        self.norms = np.zeros(n)
         lengths = np.bincount(self.terms, minlength=n_terms)
         frequent = np.argsort(-lengths, kind="stable")[:FREQUENT]
         frequent = frequent[lengths[frequent] >= max(1, FREQUENT_SHARE * n)]
         self.row = np.full(n_terms, -1, np.int32)
         self.row[frequent] = np.arange(len(frequent))
         self.rows = np.zeros((len(frequent), self.blocks * BLOCK), np.float32)
-        often = self.row[self.terms] >= 0
-        self.rows[self.row[self.terms[often]], of[often]] = self.values[often]
-        self.largest = self.rows.reshape(len(frequent), self.blocks, BLOCK).max(axis=2, initial=0)
-        order = np.flatnonzero(~often)[np.argsort(self.terms[~often], kind="stable")]
-        self.list_ids, self.list_values = of[order], self.values[order].astype(np.float32)
         self.list_sizes = np.where(self.row >= 0, 0, lengths)
         self.list_starts = np.cumsum(self.list_sizes) - self.list_sizes
+        self.list_ids = np.zeros(self.list_sizes.sum(), np.int32)
+        self.list_values = np.zeros(len(self.list_ids), np.float32)
+        ends = self.list_starts.copy()  # of what the lists hold so far
+        for first in range(0, n, BLOCK):
+            ids = np.arange(first, min(first + BLOCK, n))
+            for i in ids:
+                w = self._raw(self._places(i))
+                self.norms[i] = math.sqrt(w @ w)
+            span = slice(self.starts[first], self.starts[ids[-1]] + self.sizes[ids[-1]])
+            of, terms = np.repeat(ids, self.sizes[ids]), self.terms[span]
+            values = self._raw(span) / self.norms[of]
+            often = self.row[terms] >= 0
+            self.rows[self.row[terms[often]], of[often]] = values[often]
+            order = np.flatnonzero(~often)[np.argsort(terms[~often], kind="stable")]
+            held, counts = np.unique(terms[order], return_counts=True)
+            at = _spans(ends[held], counts)
+            self.list_ids[at], self.list_values[at] = of[order], values[order]
+            ends[held] += counts
+        self.largest = self.rows.reshape(len(frequent), self.blocks, BLOCK).max(axis=2, initial=0)
+
+    def _places(self, example: int) -> slice:
+        return slice(self.starts[example], self.starts[example] + self.sizes[example])
+
+    def _raw(self, at) -> np.ndarray:
+        """Weights of places of the examples' vectors before these are made of length one."""
+        return (1 + np.log(self.counts[at])) * self.idf[self.terms[at]]
 
     def nearest_of(self, vectors: list, k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each vector all examples at or above the k-th largest cosine (and above 0), and their cosines."""
@@ -345,7 +363,8 @@ class Index:
             query[terms] = w
             sizes = self.sizes[ids]
             at = _spans(self.starts[ids], sizes)
-            cosines = np.bincount(np.repeat(np.arange(len(ids)), sizes), query[self.terms[at]] * self.values[at], len(ids))
+            of = np.repeat(np.arange(len(ids)), sizes)
+            cosines = np.bincount(of, query[self.terms[at]] * (self._raw(at) / self.norms[ids][of]), len(ids))
             query[terms] = 0
             if len(ids) > k:
                 top = cosines >= -np.partition(-cosines, k - 1)[k - 1] - 1e-9
