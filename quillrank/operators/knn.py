@@ -6,21 +6,18 @@ out, and only the best k rows per query leave a block pair, so no table of query
 
 from __future__ import annotations
 
-import hashlib
-import re
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from quillrank import constants as K
 from quillrank import scale
+from quillrank.functions.text import bind, tokens
 
 BLOCK_ROWS = 4096
 # Vectors around one centre, inside a block.
@@ -240,9 +237,6 @@ def best_per_chunk(
 
 # --- embedding -------------------------------------------------------------
 
-TOKEN = re.compile(K.TOKEN_PATTERN)
-
-
 class HashingProvider:
     """Deterministic stand-in for an embedding model: token counts in hashed buckets."""
 
@@ -250,16 +244,24 @@ class HashingProvider:
         self.dimensions = dimensions
         self.embedding_id = f"hashing:{dimensions}"
 
-    def embed_texts(self, texts: list[str]) -> list[list[float]]:
-        out = np.zeros((len(texts), self.dimensions))
-        buckets: dict[str, int] = {}
-        for row, text in enumerate(texts):
-            for token, times in Counter(TOKEN.findall(text.lower())).items():
-                if token not in buckets:
-                    digest = hashlib.md5(token.encode()).hexdigest()
-                    buckets[token] = int(digest[:8], 16) % self.dimensions
-                out[row, buckets[token]] += times
-        return out.tolist()
+    def embed_column(self, text: Column) -> Column:
+        """Counts per bucket as an expression of the row; a null text is an empty one."""
+        size = self.dimensions
+        found = F.transform(
+            tokens(F.coalesce(text, F.lit(""))),
+            lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % size).cast("int"),
+        )
+        # Every bucket is put in once more, so in the sorted list bucket b ends where b + 1 starts.
+        every = F.sequence(F.lit(0), F.lit(size))
+        return bind(
+            F.array_sort(F.concat(found, every)),
+            lambda buckets: bind(
+                F.transform(every, lambda b: F.array_position(buckets, b)),
+                lambda starts: F.transform(
+                    F.sequence(F.lit(0), F.lit(size - 1)), lambda b: (starts[b + 1] - starts[b] - 1).cast("double")
+                ),
+            ),
+        )
 
 
 def embed(
@@ -269,7 +271,12 @@ def embed(
     out: str = "values",
     batch: int = 64,
 ) -> DataFrame:
-    """Add a vector column by calling provider.embed_texts on batches of at most `batch`."""
+    """Add a vector column by calling provider.embed_texts on batches of at most `batch`.
+
+    A provider with `embed_column` gives an expression instead, and no row leaves the JVM.
+    """
+    if hasattr(provider, "embed_column"):
+        return df.withColumn(out, provider.embed_column(F.col(text)))
     schema = ", ".join(
         f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields
     ) + f", `{out}` array<double>"

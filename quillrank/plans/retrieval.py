@@ -365,7 +365,8 @@ def s6(spark, sf):
     )
     stored = SV.last_records(SV.fan_out(base))
     path = scratch(spark, "vectors")
-    SV.write_vectors(SV.upsert_vectors(stored, SV.fan_out(newer)), path)
+    SV.write_vectors(stored, path)
+    SV.merge_vectors(spark, path, SV.fan_out(newer))
     return SV.read_vectors(spark, path).groupBy(F.coalesce("namespace", F.lit("default")).alias("namespace")).agg(
         F.count("*").alias("records"), F.round(F.sum(F.col("values")[0]), 6).alias("total")
     )

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quillrank import scale
 from quillrank.operators.labels import upsert
+from quillrank.session import stored as stored_once
+
 
 def subject_namespaces(subjects: Column, prefix: str) -> Column:
     return F.array_distinct(F.transform(subjects, lambda s: F.concat(F.lit(prefix + "-"), s)))
@@ -39,19 +43,82 @@ def _folder(namespace: Column) -> Column:
 
 
 def write_vectors(vectors: DataFrame, path: str) -> None:
-    """One folder per namespace, so that a query reads only the namespaces it names.
+    """A new table: one folder per namespace, so that a query reads only the namespaces it names.
 
     Rows are gathered by namespace into files of even size; a large namespace has several.
     """
-    placed = vectors.withColumn("space", _folder(F.col("namespace"))).drop("namespace")
-    placed.hint("rebalance", "space").write.mode("overwrite").partitionBy("space").parquet(path)
+    _write_generation(vectors, path, 1, "overwrite", None)
+
+
+def _write_generation(vectors: DataFrame, path: str, generation: int, mode: str, spaces: DataFrame | None) -> None:
+    """Write the rows, then name their folders (`spaces`, or all) as the newest ones of their namespaces.
+
+    Readers see the new folders by the second step only, which is one small write. Folders of a
+    writer that was lost before it are never named; its number is used again.
+    """
+    spark = vectors.sparkSession
+    placed = vectors.withColumn("space", _folder(F.col("namespace"))).withColumn("generation", F.lit(generation)).drop("namespace")
+    rows = placed.hint("rebalance", "space").write.partitionBy("generation", "space")
+    if mode == "append":
+        rows = rows.option("partitionOverwriteMode", "dynamic")
+    rows.mode("overwrite").parquet(f"{path}/rows")
+    if spaces is None:
+        spaces = _folders(spark, path).where(F.col("generation") == generation).select("space").distinct()
+    spaces.select("space", F.lit(generation).alias("generation")).coalesce(1).write.mode(mode).parquet(f"{path}/named")
+
+
+def _folders(spark, path: str) -> DataFrame:
+    """Rows of all generations. Names of namespaces stay texts."""
+    stored = spark.read.parquet(f"{path}/rows")
+    kept = [f for f in stored.schema.fields if f.name not in ("space", "generation")]
+    schema = T.StructType([*kept, T.StructField("generation", T.IntegerType()), T.StructField("space", T.StringType())])
+    return spark.read.schema(schema).parquet(f"{path}/rows")
+
+
+def _newest(spark, path: str) -> DataFrame:
+    """(space, generation) as readers should see them: one row per namespace."""
+    named = spark.read.schema("space string, generation int").parquet(f"{path}/named")
+    # The comparison holds always; with it the optimizer prunes folders by this table while a query runs.
+    return named.groupBy("space").agg(F.max("generation").alias("generation")).where(F.col("generation") > 0)
+
+
+def merge_vectors(spark, path: str, records: DataFrame, order: str = "seq") -> None:
+    """Upsert a batch into the stored table, reading and writing the namespaces it touches only.
+
+    Other namespaces keep their files. Old folders of a namespace stay for readers that have
+    begun with them. One writer at a time.
+    """
+    new = stored_once(last_records(records, order), "vector-batch")
+    touched = new.select(_folder(F.col("namespace")).alias("space")).distinct()
+    newest = _newest(spark, path)
+    last = newest.agg(F.max("generation")).first()[0] or 0
+    if new.isEmpty():
+        return
+    old = _named(_current(spark, path, newest.join(touched, "space", "left_semi")))
+    if order not in old.columns:
+        new = new.drop(order)
+    after = upsert(old, new.select(*old.columns), ["namespace", "id"], F.lit(0))
+    _write_generation(after, path, last + 1, "append", touched)
+
+
+def _current(spark, path: str, newest: DataFrame) -> DataFrame:
+    return _folders(spark, path).join(F.broadcast(newest) if _few(newest) else newest, ["space", "generation"]).drop("generation")
+
+
+def _few(names: DataFrame) -> bool:
+    return scale.estimated_bytes(names) <= scale.broadcast_bytes(names)
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("namespace", F.when(F.col("space") != "default", F.substring("space", 2, 1 << 20))).drop("space")
 
 
 def read_vectors(spark, path: str, namespaces: list[str | None] | None = None) -> DataFrame:
-    rows = spark.read.parquet(path)
+    """The newest rows, of the named namespaces if any are named."""
+    newest = _newest(spark, path)
     if namespaces is not None:
-        rows = rows.where(F.col("space").isin(["default" if n is None else f"n{n}" for n in namespaces]))
-    return rows.withColumn("namespace", F.when(F.col("space") != "default", F.substring("space", 2, 1 << 20))).drop("space")
+        newest = newest.where(F.col("space").isin(["default" if n is None else f"n{n}" for n in namespaces]))
+    return _named(_current(spark, path, newest))
 
 
 def cache_key(embedding_id: Column, text: Column) -> Column:

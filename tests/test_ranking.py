@@ -399,3 +399,39 @@ def test_upsert_last_write_wins(spark):
     new = spark.createDataFrame([("a", [2.0], None, 1), ("a", [3.0], None, 2), ("b", [4.0], None, 1)], old.schema)
     got = {(r.namespace, r.id): r["values"] for r in SV.upsert_vectors(old, new).collect()}
     assert got == {(None, "a"): [3.0], ("n", "a"): [1.0], (None, "b"): [4.0]}
+
+
+def test_merge_leaves_other_namespaces_alone(spark, tmp_path):
+    path, kind = str(tmp_path / "v"), "id string, values array<double>, namespace string, seq int"
+    SV.write_vectors(spark.createDataFrame([("a", [1.0], None, 0), ("a", [1.0], "n", 0), ("c", [9.0], "n", 0), ("a", [7.0], "01", 0)], kind), path)
+    files = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "v" / "rows").rglob("*.parquet")}
+    for batch in ([("a", [2.0], "n", 1), ("a", [3.0], "n", 2), ("b", [4.0], "new", 1)], [("b", [5.0], "new", 2)], []):
+        SV.merge_vectors(spark, path, spark.createDataFrame(batch, kind))
+    got = {(r.namespace, r.id): r["values"] for r in SV.read_vectors(spark, path).collect()}
+    assert got == {(None, "a"): [1.0], ("n", "a"): [3.0], ("n", "c"): [9.0], ("01", "a"): [7.0], ("new", "b"): [5.0]}
+    now = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "v" / "rows").rglob("*.parquet")}
+    assert files.items() <= now.items()
+    made = {f.split("/rows/")[1].rsplit("/", 1)[0] for f in now.keys() - files.keys()}
+    assert made == {"generation=2/space=nn", "generation=2/space=nnew", "generation=3/space=nnew"}
+    # Rows of a writer that was lost before it named them are not read, also when its number is used again.
+    lost = spark.createDataFrame([("z", [0.0], "01", 9)], kind).withColumn("space", F.lit("n01")).withColumn("generation", F.lit(4)).drop("namespace")
+    lost.write.mode("append").partitionBy("generation", "space").parquet(f"{path}/rows")
+    SV.merge_vectors(spark, path, spark.createDataFrame([("d", [6.0], None, 1)], kind))
+    assert [(r.id, r["values"]) for r in SV.read_vectors(spark, path, ["01"]).collect()] == [("a", [7.0])]
+    assert sorted(r.id for r in SV.read_vectors(spark, path, [None]).collect()) == ["a", "d"]
+
+
+def test_hashing_provider_in_the_row(spark):
+    import hashlib
+    import re
+    from collections import Counter
+
+    texts = ["", None, "One one two-three, 4!", "x " * 5000 + "end"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    made = V.embed(rows, V.HashingProvider(7))
+    assert "Python" not in made._jdf.queryExecution().executedPlan().toString()
+    for r in made.collect():
+        want = [0.0] * 7
+        for token, times in Counter(re.findall("[a-z0-9][a-z0-9-]*", (r.text or "").lower())).items():
+            want[int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % 7] += times
+        assert r["values"] == want
