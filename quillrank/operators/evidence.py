@@ -105,6 +105,7 @@ def chapters_with_all_tokens(terms: DataFrame, documents: DataFrame) -> DataFram
 
 
 GRAM = 4
+GRAM_SLOTS = 1 << 16
 
 
 def _grams(chars: Column, size: Column) -> Column:
@@ -115,25 +116,59 @@ def _grams(chars: Column, size: Column) -> Column:
     return F.array_distinct(runs)
 
 
+def _key_grams(phrases: DataFrame, phrase: str) -> DataFrame:
+    """(_phrase, _g, _gram): of each phrase the gram that the fewest phrases hold; GRAM characters, or the whole phrase."""
+    text = F.col("_phrase")
+    own = phrases.where(F.length(phrase) > 0).select(F.col(phrase).alias("_phrase")).distinct()
+    held = own.select("_phrase", F.least(F.length(text), F.lit(GRAM)).cast("int").alias("_g")).select(
+        "_phrase", "_g", F.explode(bind(F.split(text, ""), lambda chars: _grams(chars, F.col("_g")))).alias("_gram")
+    )
+    shared = held.groupBy("_g", "_gram").agg(F.count("*").alias("_n"))
+    return scale.join_sized(held, shared, ["_g", "_gram"], bound=phrases).groupBy("_phrase", "_g").agg(
+        F.min(F.struct("_n", "_gram")).alias("_m")
+    ).select("_phrase", "_g", F.col("_m._gram").alias("_gram"))
+
+
+def _gram_slot(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(GRAM_SLOTS)).cast("int")
+
+
+def _gram_bits(grams: DataFrame) -> DataFrame:
+    """One row: the grams' slots as bits of GRAM_SLOTS / 64 numbers, of the same size for any number of grams."""
+    slot = _gram_slot(F.col("_gram"))
+    bits = grams.select(F.shiftright(slot, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63)).alias("b"))
+    entries = F.map_from_entries(F.collect_list(F.struct("w", "v")))
+    return bits.groupBy("w").agg(F.bit_or("b").alias("v")).agg(entries.alias("m")).select(
+        F.transform(
+            F.sequence(F.lit(0), F.lit(GRAM_SLOTS // 64 - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))
+        ).alias("bits")
+    )
+
+
 def phrases_in(texts: DataFrame, phrases: DataFrame, key: str, text: str, phrase: str) -> DataFrame:
     """Pairs (key, phrase) where the phrase occurs anywhere in the text, also inside words.
 
-    Texts and phrases meet on the phrase's first characters, then the whole phrase is
-    checked, so no text is compared with every phrase.
+    Texts and phrases meet on one gram of the phrase, the one that the fewest phrases hold, then the
+    whole phrase is checked. A text's grams are tested in the row against the bits of all those
+    grams, so that only candidates become rows.
     """
-    lengths = F.least(F.length(phrase), F.lit(GRAM)).cast("int")
-    heads = phrases.where(F.length(phrase) > 0).select(
-        F.col(phrase).alias("_phrase"), lengths.alias("_g"), F.substring(F.col(phrase), F.lit(1), lengths).alias("_gram")
-    ).distinct()
-    # Texts are cut only to the lengths that some phrase starts with, at most GRAM of them.
-    lengths_used = heads.agg(F.collect_set("_g").alias("g")).scalar()
-    grams = texts.select(key, F.col(text).alias("_text"), F.explode(F.concat(lengths_used, F.array().cast("array<int>"))).alias("_g"))
+    keys = _key_grams(phrases, phrase)
+    # Texts are cut only to the lengths that some phrase's gram has, at most GRAM of them.
+    lengths_used = keys.agg(F.collect_set("_g").alias("g")).scalar()
+    cut = texts.select(
+        key, F.col(text).alias("_text"), _gram_bits(keys).scalar().alias("_bits"),
+        F.explode(F.concat(lengths_used, F.array().cast("array<int>"))).alias("_g"),
+    ).where(F.length("_text") >= F.col("_g"))
+
+    def known(gram: Column) -> Column:
+        return bind(_gram_slot(gram), lambda slot: F.getbit(F.get("_bits", F.shiftright(slot, 6)), slot.bitwiseAND(63)) == 1)
+
     # A gram carries the key only; the text is fetched again for candidates.
-    grams = grams.where(F.length("_text") >= F.col("_g")).select(
+    grams = cut.select(
         key, "_g",
-        F.explode(bind(F.split("_text", ""), lambda chars: _grams(chars, F.col("_g")))).alias("_gram"),
+        F.explode(F.filter(bind(F.split("_text", ""), lambda chars: _grams(chars, F.col("_g"))), known)).alias("_gram"),
     )
-    met = scale.join_sized(grams, heads, ["_g", "_gram"]).select(key, "_phrase").distinct()
+    met = scale.join_sized(grams, keys, ["_g", "_gram"], bound=phrases).select(key, "_phrase").distinct()
     checked = met.join(texts.select(key, F.col(text).alias("_text")), key)
     return checked.where(F.contains("_text", F.col("_phrase"))).select(key, F.col("_phrase").alias("phrase")).distinct()
 

@@ -52,14 +52,14 @@ def fuse_with_anchor(lists: DataFrame, k: int = 5, anchors: int = 1, rrf_k: int
 
     One fused row is always taken, even when anchors leave no room for any.
     """
-    head = fuse_by_rank(lists, max(1, k - anchors), rrf_k).select("query_id", "chunk_id", "rank")
+    head = fuse_by_rank(lists, max(1, k - anchors), rrf_k).select("query_id", "chunk_id", F.lit(0).alias("_list"), "rank")
     rest = (
         lists.where(F.col("source") == 0)
         .join(head, ["query_id", "chunk_id"], "left_anti")
-        .select("query_id", "chunk_id", (F.col("rank") + F.lit(1_000_000)).alias("rank"))
+        .select("query_id", "chunk_id", F.lit(1).alias("_list"), "rank")
     )
     both = head.unionByName(rest).withColumnRenamed("rank", "_at")
-    return scale.top_k(both, ["query_id"], [F.col("_at").asc()], k).drop("_at")
+    return scale.top_k(both, ["query_id"], [F.col("_list").asc(), F.col("_at").asc()], k).drop("_list", "_at")
 
 
 def hybrid_search(lexical: DataFrame, vector: DataFrame, k: int = 5) -> DataFrame:

@@ -16,6 +16,7 @@ from quillrank import constants as K
 from quillrank import scale
 from quillrank.functions import economics
 from quillrank.functions.text import bind, normalize_query, normalize_text, strip
+from quillrank.session import stored
 
 TURN_SCHEMA = """
     turn_id string, created_at string, user_message string, assistant_message string,
@@ -669,7 +670,35 @@ def _greedy(group: pd.DataFrame) -> pd.DataFrame:
     return head.assign(expected=n, actual=len(group) - n, matched=matched)
 
 
-def match_calculations(expected: DataFrame, actual: DataFrame) -> DataFrame:
+def _pieces(counted: DataFrame, keys: Sequence[str], parts: int | None) -> DataFrame:
+    """Counted values with `_piece`: the values of a key, cut at gaps above the tolerance.
+
+    Values are dealt to ranges of (key, value), so that one key may be in many tasks. Each
+    range cuts its own values; then a key's ranges, one row each, tell where a piece goes on
+    from one range into the next.
+    """
+    ranges = [parts] if parts else []
+    dealt = stored(counted.repartitionByRange(*ranges, *keys, "value").withColumn("_part", F.spark_partition_id()), "values")
+    by_value = Window.partitionBy("_part", *keys).orderBy("value")
+    close = economics.is_close(F.col("value"), F.lag("value").over(by_value), REL_TOL, ABS_TOL)
+    cut = dealt.withColumn("_new", F.when(close, 0).otherwise(1)).withColumn(
+        "_piece", F.sum("_new").over(by_value.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    edges = cut.groupBy("_part", *keys).agg(
+        F.min(F.struct("_piece", "value")).alias("_first"), F.max("value").alias("_last"), F.max("_piece").alias("_n")
+    )
+    in_order = Window.partitionBy(*keys).orderBy("_part")
+    goes_on = economics.is_close(F.col("_first.value"), F.lag("_last").over(in_order), REL_TOL, ABS_TOL)
+    # The first piece of a range that goes on has the number of the last piece before.
+    before = F.sum(F.col("_n") - F.col("_same")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    edges = edges.withColumn("_same", F.when(goes_on, 1).otherwise(0)).select(
+        *[F.col(k).alias(f"_{k}") for k in ("_part", *keys)], before.alias("_before")
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in ("_part", *keys)]
+    return cut.join(edges, same).select(*counted.columns, (F.col("_piece") + F.col("_before")).alias("_piece"))
+
+
+def match_calculations(expected: DataFrame, actual: DataFrame, parts: int | None = None) -> DataFrame:
     """(case_id, metric, inputs, expected, actual, matched): one-to-one within tolerance.
 
     expected/actual: case_id, position, metric, inputs map<string,double>, value. Inputs
@@ -691,22 +720,20 @@ def match_calculations(expected: DataFrame, actual: DataFrame) -> DataFrame:
     counted = rows.groupBy(*keys, "value").agg(
         F.count(F.when(own, 1)).alias("e"), F.count(F.when(~own, 1)).alias("a")
     )
-    by_value = Window.partitionBy(*keys).orderBy("value")
-    close = economics.is_close(F.col("value"), F.lag("value").over(by_value), REL_TOL, ABS_TOL)
-    cut = counted.withColumn("_new", F.when(close, 0).otherwise(1)).withColumn(
-        "_piece", F.sum("_new").over(by_value.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    whole = Window.partitionBy(*keys, "_piece")
-    tight = economics.is_close(F.min("value").over(whole), F.max("value").over(whole), REL_TOL, ABS_TOL)
+    cut = stored(_pieces(counted, keys, parts), "pieces")
     # A null value matches nothing and forms a piece of its own.
-    cut = cut.withColumn("_tight", F.coalesce(tight, F.lit(True)))
     known = F.col("value").isNotNull()
-    pieces = cut.where(F.col("_tight")).groupBy(*keys, "_piece").agg(
+    tight = economics.is_close(F.min("value"), F.max("value"), REL_TOL, ABS_TOL)
+    every = cut.groupBy(*keys, "_piece").agg(
         F.sum("e").alias("expected"), F.sum("a").alias("actual"),
         F.least(F.sum(F.when(known, F.col("e")).otherwise(0)), F.sum(F.when(known, F.col("a")).otherwise(0))).alias("matched"),
+        F.coalesce(tight, F.lit(True)).alias("_tight"),
     )
+    pieces = every.where("_tight").drop("_tight")
     kinds = {f.name: f.dataType.simpleString() for f in counted.schema.fields}
-    chains = cut.where(~F.col("_tight")).select(*[F.col(k).alias(f"_{k}") for k in (*keys, "value")], "_piece")
+    long = every.where(~F.col("_tight")).select(*[F.col(k).alias(f"_{k}") for k in (*keys, "_piece")])
+    in_long = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*keys, "_piece")]
+    chains = cut.join(long, in_long, "left_semi").select(*[F.col(k).alias(f"_{k}") for k in (*keys, "value")], "_piece")
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*keys, "value")]
     loose = rows.join(chains, same).groupBy(*keys, "_piece").applyInPandas(
         lambda g: _greedy(g),

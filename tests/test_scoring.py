@@ -222,7 +222,8 @@ def test_event_matching_against_a_direct_walk(spark):
     assert {r.case_id: (r.matched, r.extra) for r in got} == want
 
 
-def test_calculation_matching_against_a_direct_walk(spark):
+@pytest.mark.parametrize("parts", [None, 9])
+def test_calculation_matching_against_a_direct_walk(spark, parts):
     rng = random.Random(9)
     kind = "case_id int, position int, metric string, inputs map<string,double>, value double"
     expected, actual, want = [], [], {}
@@ -238,7 +239,15 @@ def test_calculation_matching_against_a_direct_walk(spark):
                 hits += 1
         expected, actual = expected + e, actual + a
         want[c] = (len(e), len(a), hits)
-    got = T.match_calculations(spark.createDataFrame(expected, kind), spark.createDataFrame(actual, kind))
+    # One case has most values, in several ranges; a piece may go on from range to range.
+    long = [(99, i, "cac", {"a": 1.0}, 1.0 + i // 2 * 3e-6 + i % 2 * 8e-7) for i in range(300)]
+    run = [(98, i, "cac", {"a": 1.0}, 1.0 + i * 9e-7) for i in range(60)]
+    for part in (long, run):
+        expected, actual = expected + part[::2], actual + part[1::2]
+        want[part[0][0]] = (len(part[::2]), len(part[1::2]), len(part) // 2)
+    expected, actual = [*expected, (97, 0, "cac", {}, None)], [*actual, (97, 0, "cac", {}, None)]
+    want[97] = (1, 1, 0)
+    got = T.match_calculations(spark.createDataFrame(expected, kind), spark.createDataFrame(actual, kind), parts)
     rows = got.groupBy("case_id").agg(F.sum("expected").alias("e"), F.sum("actual").alias("a"), F.sum("matched").alias("m")).collect()
     seen = {r.case_id: (r.e, r.a, r.m) for r in rows}
     assert seen == {c: v for c, v in want.items() if v[0] + v[1]}
@@ -336,6 +345,16 @@ def test_phrases_match_inside_words(spark):
     assert got == {(1, "cac"), (1, "upsell offers"), (1, "a"), (2, "cac"), (2, "a")}
 
 
+def test_many_phrases_against_a_direct_search(spark):
+    rng = random.Random(4)
+    texts = [(i, "".join(rng.choice("abc d") for _ in range(rng.randint(0, 60)))) for i in range(200)]
+    phrases = sorted({"".join(rng.choice("abc d") for _ in range(rng.randint(0, 7))) for _ in range(150)} | {"zzzz"})
+    frames = spark.createDataFrame(texts, "q int, t string"), spark.createDataFrame([(p,) for p in phrases], "p string")
+    got = [(r.q, r.phrase) for r in E.phrases_in(*frames, "q", "t", "p").collect()]
+    assert sorted(got) == sorted((i, p) for i, t in texts for p in phrases if p and p in t)
+    assert E.phrases_in(frames[0], frames[1].where("p = ''"), "q", "t", "p").count() == 0
+
+
 # --- files and streams -----------------------------------------------------
 
 def test_jsonl_line_numbers_count_blank_lines(spark, tmp_path):
