@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import math
 import pickle
 import zlib
@@ -53,10 +54,11 @@ NEIGHBOURS = 15
 BLOCK = 512
 FREQUENT, FREQUENT_SHARE = 512, 1 / 32  # terms with a row of weights, and the share of examples they have at least
 MARGIN = 1e-4  # of single precision
-BATCH = 64
+BATCH = 256
 GROUP_HASHES = 3
 CLUSTERS, CLUSTER_TERMS, CLUSTER_ROUNDS = 24, 256, 4
-BUILT = {"number", "blocks", "starts", "norms", "row", "rows", "largest", "list_ids", "list_values", "list_sizes", "list_starts"}
+BUILT = {"number", "reader", "logs", "blocks", "starts", "norms", "row", "rows", "largest", "postings", "list_sizes", "list_starts"}
+POSTING = np.dtype([("id", "<i4"), ("value", "<f4")])
 MIN_Z, MIN_RATIO, MIN_GROUPS, MIN_SHARE = 3.0, 8.0, 4, 0.01  # evidence that a beginning needs
 PREFIXES = range(4, 9)  # bytes of a word's beginning
 LEVELS = (2, 4)  # counts of a beginning that are terms of their own
@@ -105,11 +107,15 @@ class Terms:
             self.memo[word] = tuple(b for b in begins if self.begins is None or b in self.begins)
         return self.memo[word]
 
-    def of(self, text: bytes) -> dict[bytes, int]:
-        words, known = Counter(batches.plain_words(text)), self.known
-        found = dict(words) if known is None else {w: n for w, n in words.items() if w in known}
-        found.update(self.begun(words))
-        return found
+    def numbered(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and counts of the known terms, where `known` gives each its number."""
+        words = Counter(batches.plain_words(text))
+        begun = self.begun(words)
+        size = len(words) + len(begun)
+        numbers = map(self.known.get, itertools.chain(words, begun), itertools.repeat(-1))
+        ids = np.fromiter(numbers, np.int32, size)
+        counts = np.fromiter(itertools.chain(words.values(), begun.values()), np.int32, size)
+        return ids[ids >= 0], counts[ids >= 0]
 
     def begun(self, words: Counter[bytes]) -> dict[bytes, int]:
         """The beginnings only."""
@@ -211,17 +217,15 @@ def factors(vectors: list[np.ndarray], toxic: list[int], groups: list[int], n_te
 
 def document_counts(docs: DataFrame, words: pa.Array) -> tuple[int, np.ndarray]:
     """Documents, and documents with each of the words, over the whole table."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    shared = docs.sparkSession.sparkContext.broadcast(Index(words, np.zeros(0)))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {word: i for i, word in enumerate(shared.value.to_pylist())}
-        of = Terms(number).of
+        reader = shared.value.reader
         # The last place counts the documents themselves.
-        held = np.zeros(len(number) + 1, np.int64)
+        held = np.zeros(len(shared.value.words) + 1, np.int64)
         for part in batches.slices(parts):
             for text in batches.byte_texts(part.column(0)):
-                found = of(text)
-                held[np.fromiter(map(number.__getitem__, found), np.int64, len(found))] += 1
+                held[reader.numbered(text)[0]] += 1
                 held[-1] += 1
         some = np.flatnonzero(held)
         yield pa.record_batch([pa.array(some, pa.int32()), pa.array(held[some], pa.int64())], names=["place", "n"])
@@ -251,12 +255,16 @@ class Index:
     def number(self) -> dict[bytes, int]:
         return {w: i for i, w in enumerate(self.words.to_pylist())}
 
-    def vector(self, text: bytes, terms: Terms) -> np.ndarray:
+    @functools.cached_property
+    def reader(self) -> Terms:
+        """One per worker, as its sets take time to make."""
+        return Terms(self.number)
+
+    def vector(self, text: bytes) -> np.ndarray:
         """Rows of term number and count, by number."""
-        found = terms.of(text)
-        ids = np.fromiter(map(self.number.__getitem__, found), np.int32, len(found))
+        ids, counts = self.reader.numbered(text)
         order = np.argsort(ids)
-        return np.stack([ids, np.fromiter(found.values(), np.int32, len(found))], axis=1)[order]
+        return np.stack([ids[order], counts[order]], axis=1)
 
     def weights(self, vector: np.ndarray | tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
         terms, counts = np.asarray(vector, np.int64).reshape(-1, 2).T
@@ -299,11 +307,11 @@ class Index:
         frequent = frequent[lengths[frequent] >= max(1, FREQUENT_SHARE * n)]
         self.row = np.full(n_terms, -1, np.int32)
         self.row[frequent] = np.arange(len(frequent))
-        self.rows = np.zeros((len(frequent), self.blocks * BLOCK), np.float32)
+        self.rows = np.zeros((self.blocks, len(frequent), BLOCK), np.float32)
         self.list_sizes = np.where(self.row >= 0, 0, lengths)
         self.list_starts = np.cumsum(self.list_sizes) - self.list_sizes
-        self.list_ids = np.zeros(self.list_sizes.sum(), np.int32)
-        self.list_values = np.zeros(len(self.list_ids), np.float32)
+        self.postings = np.zeros(self.list_sizes.sum(), POSTING)
+        self.logs = 1 + np.log(np.arange(1, self.counts.max(initial=1) + 1))
         ends = self.list_starts.copy()  # of what the lists hold so far
         for first in range(0, n, BLOCK):
             ids = np.arange(first, min(first + BLOCK, n))
@@ -314,20 +322,20 @@ class Index:
             of, terms = np.repeat(ids, self.sizes[ids]), self.terms[span]
             values = self._raw(span) / self.norms[of]
             often = self.row[terms] >= 0
-            self.rows[self.row[terms[often]], of[often]] = values[often]
+            self.rows[first // BLOCK][self.row[terms[often]], of[often] - first] = values[often]
             order = np.flatnonzero(~often)[np.argsort(terms[~often], kind="stable")]
             held, counts = np.unique(terms[order], return_counts=True)
             at = _spans(ends[held], counts)
-            self.list_ids[at], self.list_values[at] = of[order], values[order]
+            self.postings["id"][at], self.postings["value"][at] = of[order], values[order]
             ends[held] += counts
-        self.largest = self.rows.reshape(len(frequent), self.blocks, BLOCK).max(axis=2, initial=0)
+        self.largest = self.rows.max(axis=2, initial=0).T
 
     def _places(self, example: int) -> slice:
         return slice(self.starts[example], self.starts[example] + self.sizes[example])
 
     def _raw(self, at) -> np.ndarray:
         """Weights of places of the examples' vectors before these are made of length one."""
-        return (1 + np.log(self.counts[at])) * self.idf[self.terms[at]]
+        return self.logs[self.counts[at] - 1] * self.idf[self.terms[at]]
 
     def nearest_of(self, vectors: list, k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each vector all examples at or above the k-th largest cosine (and above 0), and their cosines."""
@@ -335,36 +343,42 @@ class Index:
             self._build()
         weighted, width = [self.weights(v) for v in vectors], self.blocks * BLOCK
         apart = np.full(len(vectors), -1) if without is None else np.asarray(without)
-        frequent = np.zeros((len(vectors), len(self.rows)), np.float32)
+        frequent = np.zeros((len(vectors), self.rows.shape[1]), np.float32)
         rest = np.zeros((len(vectors), width), np.float32)
+        whole = self.postings.view(np.int64)  # slices of plain numbers are copied faster
         for i, (terms, w) in enumerate(weighted):
             row = self.row[terms]
             frequent[i, row[row >= 0]] = w[row >= 0]
-            sizes = self.list_sizes[terms]
-            at = _spans(self.list_starts[terms], sizes)
-            rest[i] = np.bincount(self.list_ids[at], np.repeat(w, sizes) * self.list_values[at], width)
+            terms, w = terms[row < 0], w[row < 0]
+            starts, sizes = self.list_starts[terms], self.list_sizes[terms]
+            lists = [whole[a:z] for a, z in zip(starts.tolist(), (starts + sizes).tolist(), strict=True)]
+            found = np.concatenate([whole[:0], *lists]).view(POSTING)
+            np.add.at(rest[i], found["id"], np.repeat(w.astype(np.float32), sizes) * found["value"])
         bounds = frequent @ self.largest + rest.reshape(len(vectors), self.blocks, BLOCK).max(axis=2, initial=0)
         best = np.zeros((len(vectors), k), np.float32)
-        scores = np.zeros((len(vectors), width), np.float32)
         for b in np.argsort(-bounds.sum(axis=0), kind="stable"):
             who = np.flatnonzero((bounds[:, b] > 0) & (bounds[:, b] >= best.min(axis=1) - MARGIN))
             self.asked, self.read = self.asked + len(vectors), self.read + len(who)
+            block = slice(b * BLOCK, (b + 1) * BLOCK)
             if not len(who):
+                rest[:, block] = 0
                 continue
-            block = slice(b * BLOCK, (b + 1) * BLOCK)
-            part = frequent[who] @ self.rows[:, block] + rest[who, block]
+            part = frequent[who] @ self.rows[b] + rest[who, block]
             out = np.flatnonzero((apart[who] >= 0) & (apart[who] // BLOCK == b))
             part[out, apart[who[out]] % BLOCK] = 0
-            scores[who, block] = part
+            rest[:, block] = 0  # from here on the whole scores, of those that were read
+            rest[who, block] = part
             best[who] = -np.partition(-np.concatenate([best[who], part], axis=1), k - 1, axis=1)[:, :k]
         found, query = [], np.zeros(len(self.words))
         for i, (terms, w) in enumerate(weighted):
-            ids = np.flatnonzero((scores[i] > 0) & (scores[i] >= best[i].min() - MARGIN))
+            ids = np.flatnonzero((rest[i] > 0) & (rest[i] >= best[i].min() - MARGIN))
             query[terms] = w
             sizes = self.sizes[ids]
             at = _spans(self.starts[ids], sizes)
             of = np.repeat(np.arange(len(ids)), sizes)
-            cosines = np.bincount(of, query[self.terms[at]] * (self._raw(at) / self.norms[ids][of]), len(ids))
+            own = query[self.terms[at]]
+            shared = np.flatnonzero(own)
+            cosines = np.bincount(of[shared], own[shared] * self._raw(at[shared]), len(ids)) / self.norms[ids]
             query[terms] = 0
             if len(ids) > k:
                 top = cosines >= -np.partition(-cosines, k - 1)[k - 1] - 1e-9
@@ -450,9 +464,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, limit: int = MAX_EXAMPLES, k: int
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        terms = Terms(index.number)
         for part in batches.slices(parts, 1):
-            vectors = [index.vector(t, terms) for t in batches.byte_texts(part.column(1))]
+            vectors = [index.vector(t) for t in batches.byte_texts(part.column(1))]
             yield pa.record_batch(
                 [part.column(0), pa.array([v.astype("<i4").tobytes() for v in vectors], pa.binary()), part.column(2),
                  pa.array([_group(set(batches.plain_words(t))) for t in batches.byte_texts(part.column(1))], pa.int64())],
@@ -503,9 +516,8 @@ def score(
         index, names = shared.value
         index.at, index.rates = steps
         doc_ids = np.array(names, np.int64)
-        terms = Terms(index.number)
         for part in batches.slices(parts, at):
-            vectors = [index.vector(text, terms) for text in batches.byte_texts(part.column(at))]
+            vectors = [index.vector(text) for text in batches.byte_texts(part.column(at))]
             keys = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in vectors]
             if len(memo) >= MEMO_VECTORS:
                 memo.clear()
