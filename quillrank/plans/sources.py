@@ -87,6 +87,39 @@ def s5(spark, sf):
     )
 
 
+def day_log(spark, sf):
+    """A turn log whose times are whole days, so that names collide; odd ids come with a second append."""
+    path, n = scratch(spark, "days"), F.col("event_id")
+    log = table(spark, sf, "events").select(
+        F.col("user_id").alias("business"), F.date_format("ts", "yyyy-MM-dd'T00:00:00Z'").alias("created_at"),
+        F.lpad(n.cast("string"), 12, "0").alias("turn_id"), (n % 2).alias("odd"),
+    )
+    for odd in (0, 1):
+        SF.append_turns(log.where(F.col("odd") == odd).drop("odd"), path)
+    return path
+
+
+DAY_LOG = """
+    WITH t AS (SELECT user_id, event_id, strftime(ts, '%Y%m%d') AS day, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y%m%d') ORDER BY event_id % 2, event_id) AS i FROM events),
+    named AS (SELECT user_id AS business, event_id AS turn_id, day || 'T000000' || CASE WHEN i > 1 THEN '_' || CASE WHEN i < 10 THEN '0' ELSE '' END || i ELSE '' END AS name, day FROM t)"""
+TURN = "business long, created_at string, turn_id string"
+
+
+@query("S5_turn_log_names", f"{DAY_LOG} SELECT business, turn_id, name FROM named")
+def s5_names(spark, sf):
+    log = spark.read.schema(f"{TURN}, name string").json(day_log(spark, sf))
+    return log.select("business", F.col("turn_id").cast("long").alias("turn_id"), "name")
+
+
+@query("S5_newest_of_business", f"""{DAY_LOG}
+    SELECT business, turn_id, name, row_number() OVER (ORDER BY day DESC, turn_id DESC)::INTEGER AS newest
+    FROM named WHERE business = (SELECT max(user_id) FROM events) QUALIFY newest <= 20""")
+def s5_business(spark, sf):
+    last = table(spark, sf, "events").agg(F.max("user_id")).first()[0]
+    found = SF.read_newest_turns(spark, day_log(spark, sf), TURN, last, 20)
+    return found.select("business", F.col("turn_id").cast("long").alias("turn_id"), "name", "newest")
+
+
 @query("S8_local_documents", """
     SELECT source, (sum(octet_length(encode(text))) + count(*))::BIGINT AS bytes FROM documents WHERE source <> 'src0' GROUP BY 1""")
 def s8(spark, sf):

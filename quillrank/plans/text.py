@@ -238,6 +238,40 @@ def c10(spark, sf):
     )
 
 
+def _sql_sizes(name: str, docs: str, target: int, overlap: int) -> str:
+    """CTEs ending in `name`(n), the tokens of each window."""
+    windows = sql_windows(docs, target, overlap).replace("wl AS", f"{name}_w AS").replace("FROM wl", f"FROM {name}_w")
+    return f"{windows.replace('win AS', f'{name}_c AS')}, {name} AS (SELECT len({sql_tokens('body')}) AS n FROM {name}_c)"
+
+
+WHOLE = f"SELECT doc_id AS id, {HEADED} AS text FROM documents"
+ALONE = f"{WHOLE} JOIN np USING (doc_id) WHERE pieces = 1"
+LARGE = f"len({sql_tokens('part')}) > 845"
+
+
+@query("C10_statistics_of_all_strategies", f"""
+    WITH {HEAD_PARTS}, np AS (SELECT doc_id, count(*) AS pieces FROM parts GROUP BY 1),
+    {_sql_sizes('f300', WHOLE, 300, 50)}, {_sql_sizes('f512', WHOLE, 512, 80)}, {_sql_sizes('f800', WHOLE, 800, 120)},
+    {_sql_sizes('ha', ALONE, 450, 70)}, {_sql_sizes('fa', ALONE, 650, 90)},
+    {_sql_sizes('fp', f"SELECT doc_id * 100000 + n AS id, part AS text FROM parts JOIN np USING (doc_id) WHERE pieces > 1 AND {LARGE}", 650, 90)},
+    sized AS (
+      SELECT 'fixed-300' AS strategy, n FROM f300 UNION ALL SELECT 'fixed-512', n FROM f512 UNION ALL SELECT 'fixed-800', n FROM f800 UNION ALL
+      SELECT 'heading-aware', n FROM ha UNION ALL
+      SELECT 'heading-aware', len({sql_tokens('part')}) FROM parts JOIN np USING (doc_id) WHERE pieces > 1 UNION ALL
+      SELECT 'framework-aware', n FROM fa UNION ALL SELECT 'framework-aware', n FROM fp UNION ALL
+      SELECT 'framework-aware', len({sql_tokens('part')}) FROM parts JOIN np USING (doc_id) WHERE pieces > 1 AND NOT {LARGE})
+    SELECT strategy, count(*)::BIGINT AS chunks, round(avg(n), 6) AS mean_tokens, max(n)::BIGINT AS max_tokens,
+           count(*) FILTER (n > 1000)::BIGINT AS over_1000, round(quantile_cont(n::DOUBLE, 0.95), 6) AS p95_tokens
+    FROM sized GROUP BY strategy""")
+def c10_all(spark, sf):
+    from quillrank import constants as K
+
+    return C.chunk_statistics(C.chunk_documents(headed(spark, sf), list(K.STRATEGIES))).select(
+        "strategy", "chunks", F.round("mean_tokens", 6).alias("mean_tokens"), "max_tokens", "over_1000",
+        F.round("p95_tokens", 6).alias("p95_tokens"),
+    )
+
+
 @query("X1_normalize_text", """
     SELECT doc_id, md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS out_md5 FROM documents""")
 def x1(spark, sf):

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillrank import scale
 
+TURN_BUCKETS = 64
+NO_DAY = "date=__HIVE_DEFAULT_PARTITION__"
+
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(chapter, text): one row per .txt file, named by its stem. Names give the order.
@@ -64,9 +68,76 @@ def last_by_path(runs: DataFrame, key: str = "case_id", path: str = "run_path")
     return runs.groupBy(key).agg(F.max_by(F.struct(*columns), path).alias("_r")).select(key, "_r.*")
 
 
-def append_turns(turns: DataFrame, path: str) -> None:
-    """Append turn records as JSON, by business and by day of created_at."""
-    turns.withColumn("date", F.substring("created_at", 1, 10)).write.mode("append").partitionBy("date").json(path)
+def _bucket(business: Column, buckets: Column) -> Column:
+    """Folder of a business; it states the count of buckets, so that a log may hold several counts."""
+    number = F.pmod(F.xxhash64(business.cast("string")), buckets)
+    return F.concat_ws("-of-", number.cast("string"), buckets.cast("string"))
+
+
+def append_turns(
+    turns: DataFrame, path: str, key: str = "business", order: Sequence[str] = ("turn_id",), buckets: int = TURN_BUCKETS
+) -> None:
+    """Append turn records as JSON, by day of created_at and, below that, by buckets of businesses.
+
+    `name` is the time without its signs; further records of a business at the same time get _02, _03, ...
+    Of what is stored, only the days and buckets of the new records are read for that. Records of one
+    business and one time are numbered in one task. One writer at a time.
+    """
+    new = turns.withColumn("date", F.substring("created_at", 1, 10)).withColumn("bucket", _bucket(F.col(key), F.lit(buckets)))
+    at = Window.partitionBy(key, "created_at").orderBy(*order)
+    place = F.row_number().over(at)
+    rows = new.withColumn("_place", place)
+    stored = _turn_log(turns.sparkSession, path, f"{key} string, created_at string")
+    if stored is not None:
+        touched = new.select("date", "bucket").distinct()
+        earlier = stored.join(touched, ["date", "bucket"], "left_semi").groupBy(
+            F.col(key).alias("_key"), F.col("created_at").alias("_at")
+        ).agg(F.count("*").alias("_before"))
+        same = F.col(key).cast("string").eqNullSafe(F.col("_key")) & F.col("created_at").eqNullSafe(F.col("_at"))
+        rows = rows.join(earlier, same, "left").withColumn("_place", F.col("_place") + F.coalesce("_before", F.lit(0)))
+    suffix = F.when(F.col("_place") > 1, F.format_string("_%02d", F.col("_place").cast("long"))).otherwise("")
+    named = rows.withColumn("name", F.concat(F.regexp_replace("created_at", "[-:Z]", ""), suffix))
+    named.select(*turns.columns, "name", "date", "bucket").write.mode("append").partitionBy("date", "bucket").json(path)
+
+
+def _turn_log(spark: SparkSession, path: str, schema: str, days: Sequence[str] = ()) -> DataFrame | None:
+    """The stored records, of the given day folders if any are given; None where no log is."""
+    paths = [f"{path}/{day}" for day in days] or path
+    try:
+        return spark.read.option("basePath", path).schema(f"{schema}, date string, bucket string").json(paths)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _day_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the day folders, newest first, that of records without a day last."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(root)] if files.exists(root) else []
+    return sorted((n for n in names if n.startswith("date=")), key=lambda n: (n != NO_DAY, n), reverse=True)
+
+
+def read_newest_turns(
+    spark: SparkSession, path: str, schema: str, business: object, limit: int, key: str = "business",
+    order: Sequence[str] = ("created_at", "turn_id"),
+) -> DataFrame:
+    """The newest records of one business with their `name` and `newest`, 1 for the last one.
+
+    Reads its bucket only, of the last day, then of four times as many days until there are enough records.
+    """
+    days, take = _day_folders(spark, path), 1
+    full = f"{schema}, name string"
+    if not days:
+        return newest_turns(spark.createDataFrame([], full), limit, key, order)
+    while True:
+        log = _turn_log(spark, path, full, days[:take])
+        counts = F.substring_index("bucket", "-of-", -1).cast("int")
+        own = log.where((F.col("bucket") == _bucket(F.lit(business), counts)) & (F.col(key).cast("string") == str(business)))
+        if take >= len(days) or own.limit(limit).count() >= limit:
+            return newest_turns(own.drop("date", "bucket"), limit, key, order)
+        take *= 4
 
 
 def newest_turns(turns: DataFrame, limit: int, key: str = "business", order: Sequence[str] = ("created_at", "turn_id")) -> DataFrame:
