@@ -57,6 +57,20 @@ def useful_rank_summary(rows: DataFrame, k: int, by: Sequence[str] = ()) -> Data
     return main.join(words, by, "left").join(latency, by, "left")
 
 
+def compare_variants(rows: DataFrame, by: str = "variant") -> DataFrame:
+    """Retrievers or query writers side by side: hit metrics, queries without a hit, and latency.
+
+    rows: one per variant and query with first_rank (nullable) and latency_ms; a query without results
+    has a row with neither rank nor hit, so it counts as a miss.
+    """
+    main = hit_metrics(rows, [by])
+    missed = rows.groupBy(by).agg(_count(F.col("first_rank").isNull()).alias("missed"))
+    latency = quantiles(
+        rows, [by], "latency_ms", {"p50_latency_ms": ("linear", 0.5), "p95_latency_ms": ("linear", 0.95)}
+    )
+    return main.join(missed, by).join(latency, by, "left")
+
+
 def misses(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("first_rank").isNull())
 

@@ -19,7 +19,7 @@ from quillrank.operators import lexical as L
 from quillrank.operators import metrics as M
 from quillrank.operators.quantiles import quantiles
 from quillrank.plans.registry import query, sql_tokens, sql_words, table
-from quillrank.plans.retrieval import bench, bm25, dense, docs, sql_bm25, sql_dense
+from quillrank.plans.retrieval import VARIANTS_SQL, bench, bm25, dense, docs, sql_bm25, sql_dense, variants
 from quillrank.plans.text import _sql_numbers
 from quillrank.session import stored
 
@@ -693,6 +693,72 @@ def m22(spark, sf):
     return hits(M.hit_metrics(ranks, ["variant"]), "variant")
 
 
+def variant_ranks(spark, sf, results, names):
+    """First hit and latency of every (variant, query); results: variant, query_id, chunk_id, rank.
+
+    The latency of a query is its event's value, times the length of the variant's name.
+    """
+    sources = docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), "source")
+    ranked = results.join(sources, "chunk_id").withColumn("hit", F.col("source") == expected_source(F.col("query_id")))
+    first = M.first_hit_rank(ranked, F.col("hit"), ["variant", "query_id"])
+    asked = bench(spark, sf).select("query_id").join(
+        table(spark, sf, "events").select(F.col("event_id").alias("query_id"), "value"), "query_id", "left"
+    )
+    # Every query has a row for each variant, also where nothing was found.
+    each = asked.withColumn("variant", F.explode(F.array(*map(F.lit, names))))
+    return each.join(first, ["variant", "query_id"], "left").withColumn("latency_ms", F.col("value") * F.length("variant"))
+
+
+SIDE_BY_SIDE = f"""
+    fr AS (SELECT variant, query_id, min(rank) FILTER (source = 'src' || (query_id % 20)) AS first_rank FROM every JOIN documents ON doc_id = chunk_id GROUP BY ALL),
+    side AS (SELECT v.variant, item_id AS query_id, first_rank, value * length(v.variant) AS latency
+             FROM benchmark, (SELECT DISTINCT variant FROM every) v LEFT JOIN fr ON fr.variant = v.variant AND fr.query_id = item_id LEFT JOIN events ON event_id = item_id)"""
+COMPARED = f"""SELECT variant, {HITS}, count(*) FILTER (first_rank IS NULL)::BIGINT AS missed,
+    round(quantile_cont(latency, 0.5), 6) AS p50_latency_ms, round(quantile_cont(latency, 0.95), 6) AS p95_latency_ms FROM side GROUP BY variant"""
+RETRIEVERS = f"""{sql_bm25(20)}, {sql_dense(20)},
+    li AS (SELECT query_id, chunk_id, rank, 0 AS source FROM lex UNION ALL SELECT query_id, chunk_id, rank, 1 FROM den),
+    fu AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60.0::DOUBLE + rank)) AS score, min(source) AS s, arg_min(rank, source) AS r FROM li GROUP BY ALL),
+    hy AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, r, s, chunk_id) AS rank FROM fu QUALIFY rank <= 5),
+    ah AS (SELECT query_id, chunk_id, 0 AS l, rank AS o FROM hy WHERE rank <= 4 UNION ALL
+           SELECT query_id, chunk_id, 1, rank FROM lex WHERE NOT EXISTS (SELECT 1 FROM hy WHERE hy.rank <= 4 AND hy.query_id = lex.query_id AND hy.chunk_id = lex.chunk_id)),
+    an AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY l, o) AS rank FROM ah QUALIFY rank <= 5),
+    every AS (SELECT 'bm25' AS variant, query_id, chunk_id, rank FROM lex WHERE rank <= 5 UNION ALL SELECT 'dense', query_id, chunk_id, rank FROM den WHERE rank <= 5
+              UNION ALL SELECT 'hybrid', * FROM hy UNION ALL SELECT 'anchored', * FROM an), {SIDE_BY_SIDE}"""
+
+
+def retrievers(spark, sf):
+    lex, den = stored(bm25(spark, sf, 20), "lexical"), stored(dense(spark, sf, 20), "dense")
+    both, top = R.stack(lex, den), F.col("rank") <= 5
+    parts = {"bm25": lex.where(top), "dense": den.where(top), "hybrid": R.fuse_by_rank(both, 5), "anchored": R.fuse_with_anchor(both, 5)}
+    named = [p.select(F.lit(name).alias("variant"), "query_id", "chunk_id", "rank") for name, p in parts.items()]
+    return stored(variant_ranks(spark, sf, J.concat_cases(*named), list(parts)), "retrievers")
+
+
+@query("M22_retrievers", f"WITH {RETRIEVERS} {COMPARED}")
+def m22_retrievers(spark, sf):
+    return rounded(M.compare_variants(retrievers(spark, sf)))
+
+
+@query("M22_misses", f"WITH {RETRIEVERS} SELECT variant, query_id FROM side WHERE first_rank IS NULL")
+def m22_misses(spark, sf):
+    return M.misses(retrievers(spark, sf)).select("variant", "query_id")
+
+
+WRITER = "CASE query_id % 10 WHEN 0 THEN 'whole' WHEN 1 THEN 'first' ELSE 'second' END"
+
+
+@query("M22_query_writers", f"""
+    WITH {sql_bm25(5, VARIANTS_SQL, name='var')}, every AS (SELECT {WRITER} AS variant, query_id // 10 AS query_id, chunk_id, rank FROM var), {SIDE_BY_SIDE}
+    {COMPARED}""")
+def m22_writers(spark, sf):
+    """Three writers of one case: the whole text, its first half, its second half."""
+    found = L.search(docs(spark, sf), variants(spark, sf), 5, chunk_id="doc_id")
+    place = F.col("query_id") % 10
+    writer = F.when(place == 0, "whole").when(place == 1, "first").otherwise("second")
+    results = stored(found.select(writer.alias("variant"), F.floor(F.col("query_id") / 10).alias("query_id"), "chunk_id", "rank"), "writers")
+    return rounded(M.compare_variants(variant_ranks(spark, sf, results, ["whole", "first", "second"])))
+
+
 @query("M23_query_quality", f"""
     WITH {sql_bm25(10)},
     cs AS (SELECT item_id AS case_id, text, 'src' || (item_id % 20) AS src, list_distinct(list_filter({sql_tokens('text')}, lambda t: length(t) > 8)) || ['zzz'] AS terms FROM benchmark),
