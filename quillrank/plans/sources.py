@@ -16,6 +16,8 @@ from quillrank.session import scratch
 from quillrank.sources import files as SF
 from quillrank.streaming import turns as ST
 
+SUPPLIERS_PER_TASK = 250
+
 
 def text_files(spark, sf, name):
     """Documents as text files of at most 100 lines-of-record each, one folder per source."""
@@ -61,13 +63,16 @@ def s3(spark, sf):
     WITH r AS (SELECT s_suppkey AS case_id, n, s_acctbal + n AS score FROM supplier, (VALUES (1), (2)) v(n) WHERE (s_suppkey + n) % 7 <> 0)
     SELECT case_id, arg_max(score, n) AS score FROM r GROUP BY 1""")
 def s3_files(spark, sf):
-    """Two runs per supplier, each a file in a folder of its own; one in seven is cut off."""
+    """Two runs per supplier, each a file of its own in the folder of its run; one in seven is cut off."""
     path, k, n = scratch(spark, "runs"), F.col("s_suppkey"), F.col("n")
-    runs = table(spark, sf, "supplier").withColumn("n", F.explode(F.array(F.lit(1), F.lit(2))))
+    suppliers = table(spark, sf, "supplier")
+    runs = suppliers.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2))))
     body = F.to_json(F.struct(k.alias("case_id"), (F.col("s_acctbal") + n).alias("score")))
-    runs.select(
-        n.alias("run"), k.alias("case"), F.when((k + n) % 7 == 0, F.substring(body, 1, 12)).otherwise(body).alias("value")
-    ).write.partitionBy("run", "case").text(path)
+    files = runs.select(n.alias("run"), F.when((k + n) % 7 == 0, F.substring(body, 1, 12)).otherwise(body).alias("value"))
+    # Many small files: tasks write and commit them side by side, and no file needs a folder.
+    files.repartition(-(-suppliers.count() // SUPPLIERS_PER_TASK) or 1).write.partitionBy("run").option("maxRecordsPerFile", 1).option(
+        "mapreduce.fileoutputcommitter.algorithm.version", 2
+    ).text(path)
     schema = spark.createDataFrame([], "case_id long, score double").schema
     return SF.read_runs(spark, path, schema, name="*.txt").select("case_id", "score")
 

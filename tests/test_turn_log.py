@@ -38,3 +38,16 @@ def test_newest_of_one_business_reads_the_last_days(spark, tmp_path):
     assert SF.read_newest_turns(spark, path, SCHEMA, "7", 100).count() == 30
     assert SF.read_newest_turns(spark, path, SCHEMA, "absent", 3).count() == 0
     assert SF.read_newest_turns(spark, str(tmp_path / "none"), SCHEMA, "7", 3).count() == 0
+
+
+def test_run_artifacts_need_no_folder_each(spark, tmp_path):
+    from quillrank.plans import sources as P
+
+    rows = [(n, 10.0 * n) for n in (1, 5, 6, 8, 600)] + [(n, 1.0) for n in range(1000, 1400)]
+    spark.createDataFrame(rows, "s_suppkey long, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    found = P.s3_files(spark, str(tmp_path))
+    # The last run that is whole: run 2, or run 1 where (key + 2) % 7 is 0.
+    assert {r.case_id: r.score for r in found.collect()} == {k: b + (1 if (k + 2) % 7 == 0 else 2) for k, b in rows}
+    files = found.inputFiles()
+    assert len(files) == 2 * len(rows)
+    assert len({f.rsplit("/", 1)[0] for f in files}) == 2
