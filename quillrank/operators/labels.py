@@ -113,24 +113,29 @@ def exact_labels(candidates: DataFrame, useful: DataFrame, keys: Sequence[str] =
     )
 
 
-SPAN_REACH = 2000
+SPAN_NEAR, SPAN_REACH = 48, 2000
 
 
 def token_span(source: Column, needle: Column, estimated: Column) -> Column:
     """struct(start, end) of the needle's token run nearest the estimate, null if absent.
 
-    A run that starts within SPAN_REACH tokens of the estimate is nearer than any other, so the
-    whole source is searched only where there is none.
+    A run that starts within some reach of the estimate is nearer than any beyond it. Most runs start close
+    by, so few tokens are searched first; the whole source only where there is none within the last reach.
     """
-    def shifted(first: Column) -> Column:
-        part = F.slice(source, first + 1, F.lit(2 * SPAN_REACH) + F.size(needle) + 1)
-        return bind(
-            _span_in(part, needle, F.greatest(estimated, F.lit(0)) - first),
-            lambda s: F.when(s.isNotNull(), F.struct((s["start"] + first).alias("start"), (s["end"] + first).alias("end"))),
-        )
+    def within(reach: int) -> Column:
+        def shifted(first: Column) -> Column:
+            part = F.slice(source, first + 1, F.lit(2 * reach) + F.size(needle))
+            return bind(
+                _span_in(part, needle, F.greatest(estimated, F.lit(0)) - first),
+                lambda s: F.when(s.isNotNull(), F.struct((s["start"] + first).alias("start"), (s["end"] + first).alias("end"))),
+            )
+
+        return bind(F.greatest(F.least(estimated, F.size(source)) - reach, F.lit(0)), shifted)
+
+    def else_(found: Column, wider: Column) -> Column:
+        return bind(found, lambda s: F.when(s.isNotNull(), s).otherwise(wider))
 
-    near = bind(F.greatest(F.least(estimated, F.size(source)) - SPAN_REACH, F.lit(0)), shifted)
-    return bind(near, lambda s: F.when(s.isNotNull(), s).otherwise(_span_in(source, needle, estimated)))
+    return else_(within(SPAN_NEAR), else_(within(SPAN_REACH), _span_in(source, needle, estimated)))
 
 
 def _span_in(source: Column, needle: Column, estimated: Column) -> Column:

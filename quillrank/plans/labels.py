@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillrank import constants as K
 from quillrank import scale
-from quillrank.functions.text import token_text, tokens
+from quillrank.functions.text import bind, token_text, tokens
 from quillrank.operators import chunking as C
 from quillrank.operators import evidence as E
 from quillrank.operators import fusion as R
@@ -116,18 +116,24 @@ def j2_exact(spark, sf):
     t AS (SELECT doc_id, i, len({sql_tokens("array_to_string(w[i*250+1 : i*250+300], ' ')")}) AS n FROM x)
     SELECT doc_id, i::INTEGER AS chunk_index, n::INTEGER AS span_tokens, TRUE AS run_matches FROM t WHERE n > 0""")
 def j3(spark, sf):
-    """Spans of every window; the oracle checks that each span holds the window's tokens."""
+    """Spans of every window; the oracle checks that each span holds the window's tokens.
+
+    Windows are compared inside the row, so that no text is copied for each of its windows.
+    """
     text = F.col("text")
-    base = docs(spark, sf).select("doc_id", "text", C.chunk_array(text, "fixed-300").alias("pieces"))
-    found = base.select(
-        "doc_id", tokens(text).alias("src"), F.arrays_zip("pieces", J.chunk_spans(text, F.col("pieces")).alias("span")).alias("z")
-    )
-    rows = found.select("doc_id", "src", F.posexplode("z").alias("chunk_index", "p"))
-    needle = tokens(F.col("p.pieces.text"))
-    return rows.where(F.size(needle) > 0).select(
-        "doc_id", "chunk_index", (F.col("p.span.end") - F.col("p.span.start")).alias("span_tokens"),
-        (F.slice("src", F.col("p.span.start") + 1, F.size(needle)) == needle).alias("run_matches"),
-    )
+
+    def compared(pieces, source):
+        def one(piece, span):
+            return bind(tokens(piece["text"]), lambda needle: F.struct(
+                F.size(needle).alias("n"), (span["end"] - span["start"]).alias("span_tokens"),
+                (F.slice(source, span["start"] + 1, F.size(needle)) == needle).alias("run_matches"),
+            ))
+
+        return F.zip_with(pieces, J.chunk_spans(text, pieces), one)
+
+    found = bind(C.chunk_array(text, "fixed-300"), lambda pieces: bind(tokens(text), lambda source: compared(pieces, source)))
+    rows = docs(spark, sf).select("doc_id", F.posexplode(found).alias("chunk_index", "p"))
+    return rows.where(F.col("p.n") > 0).select("doc_id", "chunk_index", "p.span_tokens", "p.run_matches")
 
 
 def claims(spark, sf):

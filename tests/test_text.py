@@ -162,3 +162,30 @@ def test_blocks_and_reach_change_no_result(spark, monkeypatch):
     monkeypatch.setattr(C, "BLOCK", 16)
     monkeypatch.setattr(J, "SPAN_REACH", 3)
     assert found() == wide
+
+
+def test_windows_of_a_text_are_found_once(spark, tmp_path):
+    from quillrank.plans import labels as P
+
+    text = " ".join(f"w{i % 7} x{i}" for i in range(900))
+    spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "one two")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = P.j3(spark, str(tmp_path))
+    assert [(r.doc_id, r.chunk_index, r.span_tokens, r.run_matches) for r in found.orderBy("doc_id", "chunk_index").collect()] == [
+        *[(1, i, 300, True) for i in range(7)], (4, 0, 2, True),
+    ]
+    # Rows of windows carry no text, and no filter looks for the windows another time.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1
+    assert plan[: plan.index("Generate")].count("regexp_extract_all") == 0
+
+
+def test_spans_near_and_far_from_the_estimate(spark, monkeypatch):
+    source = ["b"] * 700
+    for at in (10, 60, 340, 341, 650):
+        source[at] = "a"
+    rows = spark.createDataFrame([(source, ["a"], e) for e in range(-3, 705, 3)], "s array<string>, n array<string>, e int")
+    for near, reach in ((48, 2000), (48, 100), (1, 2), (0, 0)):
+        monkeypatch.setattr(J, "SPAN_NEAR", near)
+        monkeypatch.setattr(J, "SPAN_REACH", reach)
+        got = rows.select("s", "n", "e", J.token_span(F.col("s"), F.col("n"), F.col("e")).alias("span")).collect()
+        assert [r.span.start for r in got] == [nearest_run(source, ["a"], r.e) for r in got]
