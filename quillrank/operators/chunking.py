@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillrank import constants as K
 from quillrank.functions.text import bind, strip, tokens, words
+from quillrank.session import stored
 
 PIECE = "array<struct<text:string,start:int,end:int>>"
 
@@ -292,8 +293,9 @@ def chunk_statistics(chunks: DataFrame, text: str = "text") -> DataFrame:
     sized = chunks.select("strategy", F.size(tokens(F.col(text))).alias("n_tokens")).where(
         F.col("n_tokens").isNotNull()
     )
-    # Token counts repeat, so everything below works on the counts of each distinct size.
-    sizes = sized.groupBy("strategy", "n_tokens").agg(F.count("*").alias("_times"))
+    # Token counts repeat, so everything below works on the counts of each distinct size, and
+    # texts are cut once for all of it.
+    sizes = stored(sized.groupBy("strategy", "n_tokens").agg(F.count("*").alias("_times")), "sizes")
     summary = sizes.groupBy("strategy").agg(
         F.sum("_times").alias("chunks"),
         (F.sum(F.col("n_tokens") * F.col("_times")) / F.sum("_times")).alias("mean_tokens"),
