@@ -22,6 +22,9 @@ from quillrank.session import stored
 MARKER = ""
 # Postings per part of a stored index.
 PART_POSTINGS = 200_000
+# Bytes of chunks, as estimated, per part of the rows that are scored.
+INDEX_BYTES = 8 << 20
+MOST_PARTS = 20_000
 
 
 def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "query") -> DataFrame:
@@ -91,7 +94,11 @@ def index_rows(
         marker = vocabulary.sparkSession.range(1).select(F.lit(MARKER).alias("term"))
         marked = vocabulary.select("term").distinct().unionByName(marker)
         rows = scale.join_sized(rows, marked, ["term"], how="left_semi", bound=vocabulary)
-    return rows.repartition("chunk_id")
+    # Parts by the size of the input, not by that of the postings: a part's scores are many times its postings.
+    parts = -(-scale.estimated_bytes(chunks) // INDEX_BYTES)
+    if parts > MOST_PARTS:  # no estimate, or one that multiplies the sides of a join
+        return rows.repartition("chunk_id")
+    return rows.repartition(max(parts, chunks.sparkSession.sparkContext.defaultParallelism), "chunk_id")
 
 
 def term_statistics(index: DataFrame) -> DataFrame:
