@@ -97,7 +97,10 @@ def append_turns(
         rows = rows.join(earlier, same, "left").withColumn("_place", F.col("_place") + F.coalesce("_before", F.lit(0)))
     suffix = F.when(F.col("_place") > 1, F.format_string("_%02d", F.col("_place").cast("long"))).otherwise("")
     named = rows.withColumn("name", F.concat(F.regexp_replace("created_at", "[-:Z]", ""), suffix))
-    named.select(*turns.columns, "name", "date", "bucket").write.mode("append").partitionBy("date", "bucket").json(path)
+    # One task writes a folder, so an append adds one file to each folder that it touches.
+    tasks = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = named.select(*turns.columns, "name", "date", "bucket").repartition(tasks, "date", "bucket")
+    dealt.write.mode("append").partitionBy("date", "bucket").json(path)
 
 
 def _turn_log(spark: SparkSession, path: str, schema: str, days: Sequence[str] = ()) -> DataFrame | None:
