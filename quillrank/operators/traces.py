@@ -181,11 +181,21 @@ def session_path_error(category: Column) -> Column:
 
 # --- cases and runs --------------------------------------------------------
 
+NULL_PARTS = 256
+
+
 def duplicates(rows: DataFrame, key: str, position: str) -> DataFrame:
-    """Flag every row of a key after the first by position (pre-aggregated, no key gathered); null is a key."""
+    """Flag every row of a key after the first by position (pre-aggregated, no key gathered); null is a key.
+
+    Rows without a key are many, so they meet their first position in NULL_PARTS parts.
+    """
     first = rows.groupBy(F.col(key).alias("_key")).agg(F.min(position).alias("_first"))
-    joined = rows.join(first, F.col(key).eqNullSafe(F.col("_key")), "left")
-    return joined.withColumn("is_duplicate", F.col(position) > F.col("_first")).drop("_first", "_key")
+    every = F.when(F.col("_key").isNull(), F.sequence(F.lit(0), F.lit(NULL_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    first = first.withColumn("_at", F.explode(every))
+    part = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(position), F.lit(NULL_PARTS)).cast("int")).otherwise(0)
+    met = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_at"))
+    joined = rows.withColumn("_part", part).join(first, met, "left")
+    return joined.withColumn("is_duplicate", F.col(position) > F.col("_first")).drop("_first", "_key", "_part", "_at")
 
 
 def missing_fields(fields: Column, required: Sequence[str]) -> Column:
