@@ -243,6 +243,25 @@ def test_context_mixing(spark):
     assert sum(r.score for r in found if r.held_out) > sum(r.base_score for r in found if r.held_out)
 
 
+def test_mixing_weights_are_fitted_on_all_training_rows(spark):
+    texts = [prose(i % 60, 20 + i % 17) for i in range(500)]
+    rows = table(spark, texts).select("text")
+    words = sorted({w for t in texts for w in mixing.tokens(t.encode())})
+    number, at = {w: i for i, w in enumerate(words)}, [[*map(words.index, mixing.tokens(t.encode()))] for t in texts]
+    code = mixing.Code([sum(x.count(i) for x in at) for i in range(len(words))] + [0])
+    hashed, nodes = mixing.bit_counts(rows, number, code)
+    bits = [code.spell(np.array(x))[2] for x in at]
+    assert [nodes.sum(), *hashed.sum(axis=(1, 2))] == [sum(map(len, bits))] * 4
+    cells = mixing.Cells(hashed, nodes)
+    found = mixing.cell_counts(rows.repartition(7), number, code, cells)
+    assert (found == mixing.cell_counts(rows.coalesce(1), number, code, cells)).all()
+    assert found[:, 1:3].sum(axis=0).tolist() == [sum(int((b == v).sum()) for b in bits) for v in (0, 1)]
+    model = mixing.Model(code, hashed, nodes)
+    before = model.score([np.array(x) for x in at]).sum()
+    model.fit(found)
+    assert model.score([np.array(x) for x in at]).sum() > before
+
+
 def test_code_and_mixing_are_distributions():
     code = mixing.Code([50, 30, 10, 5, 3, 1, 1])
     assert sum(2.0**-n for n in code.lengths.tolist()) == 1
