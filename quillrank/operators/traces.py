@@ -662,6 +662,7 @@ def match_events(cases: DataFrame, events: DataFrame) -> DataFrame:
 
 
 REL_TOL, ABS_TOL = 1e-6, 1e-9
+GIANT_KEY = 1 << 17
 
 
 def _greedy(group: pd.DataFrame) -> pd.DataFrame:
@@ -708,14 +709,26 @@ def _pieces(counted: DataFrame, keys: Sequence[str], parts: int | None) -> DataF
     return cut.join(edges, same).select(*counted.columns, (F.col("_piece") + F.col("_before")).alias("_piece"))
 
 
-def match_calculations(expected: DataFrame, actual: DataFrame, parts: int | None = None) -> DataFrame:
+def _pieces_by_key(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Counted values with `_piece`, each key in one task, which suits keys of a bounded number of values."""
+    by_value = Window.partitionBy(*keys).orderBy("value")
+    close = economics.is_close(F.col("value"), F.lag("value").over(by_value), REL_TOL, ABS_TOL)
+    return counted.withColumn("_new", F.when(close, 0).otherwise(1)).withColumn(
+        "_piece", F.sum("_new").over(by_value.rowsBetween(Window.unboundedPreceding, 0))
+    ).drop("_new")
+
+
+def match_calculations(
+    expected: DataFrame, actual: DataFrame, parts: int | None = None, giant: int = GIANT_KEY
+) -> DataFrame:
     """(case_id, metric, inputs, expected, actual, matched): one-to-one within tolerance.
 
     expected/actual: case_id, position, metric, inputs map<string,double>, value. Inputs
     come back as entries sorted by name. Rows are counted by value first. The values of a
     key are then cut at gaps above the tolerance; a piece within the tolerance matches by
     counts alone. Only the rows of a longer chain of close values, in which the order decides,
-    are brought together and matched in order.
+    are brought together and matched in order. Keys of more than `giant` values are cut by ranges
+    of their values (all keys, in `parts` ranges, if these are given).
     """
     def tagged(df: DataFrame, side: str) -> DataFrame:
         return df.select(
@@ -726,11 +739,29 @@ def match_calculations(expected: DataFrame, actual: DataFrame, parts: int | None
 
     keys = ["case_id", "metric", "inputs"]
     own = F.col("is_e")
+    sums = [F.sum(c).alias(c) for c in ("expected", "actual", "matched")]
+
+    def renamed(df: DataFrame, *more: str) -> DataFrame:
+        return df.select(*[F.col(k).alias(f"_{k}") for k in (*keys, *more)])
+
+    def equal(*more: str) -> list[Column]:
+        return [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*keys, *more)]
+
     rows = tagged(expected, "e").unionByName(tagged(actual, "a"))
     counted = rows.groupBy(*keys, "value").agg(
         F.count(F.when(own, 1)).alias("e"), F.count(F.when(~own, 1)).alias("a")
     )
-    cut = stored(_pieces(counted, keys, parts), "pieces")
+    if parts:
+        cut = _pieces(counted, keys, parts)
+    else:
+        counted = stored(counted, "counted")
+        wide = stored(renamed(counted.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > giant)), "giants")
+        if wide.isEmpty():
+            cut = _pieces_by_key(counted, keys)
+        else:
+            cut = _pieces_by_key(counted.join(wide, equal(), "left_anti"), keys).unionByName(
+                _pieces(counted.join(wide, equal(), "left_semi"), keys, None)
+            )
     # A null value matches nothing and forms a piece of its own.
     known = F.col("value").isNotNull()
     tight = economics.is_close(F.min("value"), F.max("value"), REL_TOL, ABS_TOL)
@@ -739,19 +770,31 @@ def match_calculations(expected: DataFrame, actual: DataFrame, parts: int | None
         F.least(F.sum(F.when(known, F.col("e")).otherwise(0)), F.sum(F.when(known, F.col("a")).otherwise(0))).alias("matched"),
         F.coalesce(tight, F.lit(True)).alias("_tight"),
     )
-    pieces = every.where("_tight").drop("_tight")
+    # Per key, what its tight pieces give, and whether it has others; each key's rows are together.
+    by_key = stored(
+        every.groupBy(*keys).agg(
+            *[F.coalesce(F.sum(F.when(F.col("_tight"), F.col(c))), F.lit(0)).alias(c) for c in ("expected", "actual", "matched")],
+            F.bool_or(~F.col("_tight")).alias("_loose"),
+        ), "keys",
+    )
+    done = by_key.drop("_loose")
+    loose_keys = renamed(by_key.where("_loose"))
+    if loose_keys.isEmpty():
+        return done
     kinds = {f.name: f.dataType.simpleString() for f in counted.schema.fields}
-    long = every.where(~F.col("_tight")).select(*[F.col(k).alias(f"_{k}") for k in (*keys, "_piece")])
-    in_long = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*keys, "_piece")]
-    chains = cut.join(long, in_long, "left_semi").select(*[F.col(k).alias(f"_{k}") for k in (*keys, "value")], "_piece")
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*keys, "value")]
-    loose = rows.join(chains, same).groupBy(*keys, "_piece").applyInPandas(
+    cut = stored(cut.join(loose_keys, equal(), "left_semi"), "pieces")
+    low, high = F.min("value"), F.max("value")
+    long = cut.groupBy(*keys, "_piece").agg(low.alias("_low"), high.alias("_high")).where(
+        ~F.coalesce(economics.is_close(F.col("_low"), F.col("_high"), REL_TOL, ABS_TOL), F.lit(True))
+    )
+    chains = cut.join(renamed(long, "_piece"), equal("_piece"), "left_semi").select(
+        *[F.col(k).alias(f"_{k}") for k in (*keys, "value")], "_piece"
+    )
+    loose = rows.join(chains, equal("value")).groupBy(*keys, "_piece").applyInPandas(
         lambda g: _greedy(g),
         ", ".join(f"{k} {kinds[k]}" for k in keys) + ", expected long, actual long, matched long",
     )
-    return pieces.drop("_piece").unionByName(loose).groupBy(*keys).agg(
-        *[F.sum(c).alias(c) for c in ("expected", "actual", "matched")]
-    )
+    return done.unionByName(loose).groupBy(*keys).agg(*sums)
 
 
 def score_calculations(cases: DataFrame, runs: DataFrame, expected: DataFrame, actual: DataFrame) -> DataFrame:

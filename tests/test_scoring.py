@@ -253,6 +253,18 @@ def test_calculation_matching_against_a_direct_walk(spark, parts):
     assert seen == {c: v for c, v in want.items() if v[0] + v[1]}
 
 
+def test_only_keys_of_many_values_are_cut_by_ranges(spark):
+    kind = "case_id int, position int, metric string, inputs map<string,double>, value double"
+    # Pairs within the tolerance, a chain that as a whole is not, and single values; one key has 400 values.
+    values = {1: [1.0 + i // 2 * 3e-6 + i % 2 * 8e-7 for i in range(400)], 2: [1.0 + i * 9e-7 for i in range(20)], 3: [1.0, 2.0, 3.0, 3.0]}
+    rows = [(c, i, "cac", {"a": 1.0}, v) for c, own in values.items() for i, v in enumerate(own)]
+    frames = [spark.createDataFrame(x, kind) for x in (rows[::2], rows[1::2])]
+    want = {1: (200, 200, 200), 2: (10, 10, 10), 3: (2, 2, 1)}
+    for giant in (10, 100, 1000):
+        got = T.match_calculations(*frames, giant=giant).collect()
+        assert {r.case_id: (r.expected, r.actual, r.matched) for r in got} == want
+
+
 def test_interleaved_repeats_are_matched_in_order(spark):
     kind = "case_id int, position int, metric string, inputs map<string,double>, value double"
     expected = [(1, i, "cac", {"a": 1.0}, v) for i, v in enumerate([1.0000004, 1.0000004, 1.0000016])]
