@@ -6,9 +6,12 @@ are rows of an `errors` array in the order in which they are checked.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
+from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -839,22 +842,72 @@ def score_calculations(cases: DataFrame, runs: DataFrame, expected: DataFrame, a
     )
 
 
+PACKET_TURNS = 512
+
+
+def _packets(turns: pa.Table, texts: pa.Table) -> pa.Table:
+    """Packets of the turns of one part from the texts that the part names."""
+    where: dict = {}
+    for row, chunk in enumerate(texts["chunk_id"].to_pylist()):
+        where.setdefault(chunk, []).append(row)
+    body = texts["text"].combine_chunks()
+    for rows in where.values():
+        if len(rows) > 1:  # repeated passages come in the order of their texts
+            rows.sort(key=lambda r: (body[r].is_valid, body[r].as_py() or ""))
+    turn_ids = turns["turn_id"].to_pylist()
+    named: dict = {}
+    for turn, ids in zip(turn_ids, turns["ids"].to_pylist(), strict=True):
+        if turn is not None:
+            named.setdefault(turn, Counter()).update(enumerate(ids))
+    packets: dict = {None: ([], [], [], [])}
+    for turn, entries in named.items():
+        at, ids, rows, missing = packets[turn] = ([], [], [], [])
+        for (place, chunk), n in sorted(entries.items(), key=lambda x: (x[0][0], x[0][1] is not None, x[0][1])):
+            found = where.get(chunk, []) if chunk is not None else []
+            if not found:
+                missing += [chunk] * n
+            for row in found:
+                at += [place] * n
+                ids += [chunk] * n
+                rows += [row] * n
+    each = [packets[turn] for turn in turn_ids]
+    kind = turns.schema.field("ids").type.value_type
+
+    def flat(k: int, kind: pa.DataType) -> pa.Array:
+        return pa.array([x for packet in each for x in packet[k]], kind)
+
+    def ends(k: int) -> pa.Array:
+        return pa.array([0, *accumulate(len(packet[k]) for packet in each)], pa.int32())
+
+    passages = pa.StructArray.from_arrays(
+        [flat(0, pa.int32()), flat(1, kind), body.take(flat(2, pa.int64()))], names=["at", "chunk_id", "text"]
+    )
+    return pa.table({
+        "turn_id": turns["turn_id"], "passages": pa.ListArray.from_arrays(ends(0), passages),
+        "missing_ids": pa.ListArray.from_arrays(ends(3), flat(3, kind)),
+    })
+
+
 def evidence_packets(turns: DataFrame, passages: DataFrame) -> DataFrame:
     """Passages behind each turn in order (inspected, then cited) and the ids without one.
 
-    turns: turn_id, inspected (array), cited (array). passages: chunk_id, text.
+    turns: turn_id, inspected (array), cited (array). passages: chunk_id, text. Turns are dealt to parts
+    of about PACKET_TURNS; a text travels once to each part that names it, not once for each turn.
     """
     ids = F.array_distinct(F.concat(F.coalesce("inspected", _empty()), F.coalesce("cited", _empty())))
-    listed = turns.select("turn_id", F.posexplode(ids).alias("at", "chunk_id"))
-    # A turn names a handful of passages; the passage table is never gathered.
-    found = listed.join(passages.select("chunk_id", "text", F.lit(True).alias("_f")), "chunk_id", "left")
-    grouped = found.groupBy("turn_id").agg(
-        F.sort_array(F.collect_list(F.when(F.col("_f"), F.struct("at", "chunk_id", "text")))).alias("passages"),
-        F.sort_array(F.collect_list(F.when(F.col("_f").isNull(), F.struct("at", "chunk_id")))).alias("_m"),
-    )
-    return turns.select("turn_id").join(grouped, "turn_id", "left").select(
-        "turn_id", F.coalesce("passages", F.array()).alias("passages"),
-        F.coalesce(F.transform("_m", lambda m: m["chunk_id"]), F.array()).alias("missing_ids"),
+    parts = F.lit(turns.count() // PACKET_TURNS + 1)
+    # Turns without an id have empty packets and need not meet.
+    part = F.when(F.col("turn_id").isNull(), F.pmod(F.monotonically_increasing_id(), parts)).otherwise(
+        F.pmod(F.xxhash64("turn_id"), parts)
+    )
+    named = turns.select("turn_id", ids.alias("ids"), part.alias("_part"))
+    wanted = named.where(F.col("turn_id").isNotNull()).select("_part", F.explode("ids").alias("chunk_id")).distinct()
+    texts = wanted.join(passages.select("chunk_id", "text"), "chunk_id").select(F.col("_part").alias("_of"), "chunk_id", "text")
+    kind = {c.name: c.dataType.simpleString() for c in [*named.schema, *texts.schema]}
+    chunk = kind["chunk_id"]
+    return named.groupBy("_part").cogroup(texts.groupBy("_of")).applyInArrow(
+        lambda own, found: _packets(own, found),
+        f"turn_id {kind['turn_id']}, passages array<struct<at:int,chunk_id:{chunk},text:{kind['text']}>>, missing_ids array<{chunk}>",
     )
 
 

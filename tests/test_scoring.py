@@ -265,6 +265,20 @@ def test_only_keys_of_many_values_are_cut_by_ranges(spark):
         assert {r.case_id: (r.expected, r.actual, r.matched) for r in got} == want
 
 
+def test_packets_carry_a_text_once_to_each_part(spark, monkeypatch):
+    monkeypatch.setattr(T, "PACKET_TURNS", 3)
+    asked = [(t, [1, 2, 1], [t, None]) for t in range(10)] + [(4, [7], None), (None, [1], [2])]
+    turns = spark.createDataFrame(asked, "turn_id long, inspected array<long>, cited array<long>")
+    passages = spark.createDataFrame([(1, "one"), (2, None), (5, "b"), (5, "a"), (None, "no")], "chunk_id long, text string")
+    packets = T.evidence_packets(turns, passages)
+    assert "CoGroup" in packets._jdf.queryExecution().optimizedPlan().toString()
+    got = [(r.turn_id, [tuple(p) for p in r.passages], r.missing_ids) for r in packets.collect()]
+    both = [(0, 1, "one"), (1, 2, None)]
+    want = [(t, both, [t, None]) for t in (0, 3, 6, 7, 8, 9)] + [(t, both, [None]) for t in (1, 2)]
+    want += [(5, [*both, (2, 5, "a"), (2, 5, "b")], [None]), *[(4, both, [7, 4, None])] * 2, (None, [], [])]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_interleaved_repeats_are_matched_in_order(spark):
     kind = "case_id int, position int, metric string, inputs map<string,double>, value double"
     expected = [(1, i, "cac", {"a": 1.0}, v) for i, v in enumerate([1.0000004, 1.0000004, 1.0000016])]
