@@ -111,10 +111,16 @@ class Pieces:
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Piece id of each hash, or -1."""
         found = np.full(len(hashes), -1, np.int64)
+        rows, left = slice(None), hashes
         for n, table in enumerate(self.tables):
-            at = table[(mixed(hashes + np.uint64(n)) >> np.uint64(64 - SLOTS)).astype(np.int64)]
-            hit = (at >= 0) & (self.keys[at] == hashes)
-            found[hit] = self.key_ids[at[hit]]
+            at = table[(mixed(left + np.uint64(n)) >> np.uint64(64 - SLOTS)).astype(np.int64)]
+            # What is not in this table and meets no key here is in no later one.
+            there = np.flatnonzero(at >= 0)
+            at, own = at[there], left[there]
+            rows = there if n == 0 else rows[there]
+            hit = self.keys[at] == own
+            found[rows[hit]] = self.key_ids[at[hit]]
+            rows, left = rows[~hit], own[~hit]
         return found
 
     def byte_ids(self, char: str) -> list[int]:
@@ -192,13 +198,13 @@ def _sample_length(
     n, width = len(segments[0]), pieces.longest
     codes = np.frombuffer("".join(segments).encode("utf-32-le"), "<u4").reshape(-1, n).astype(np.uint64)
     ends = Pieces._hash(codes)
-    powers = [np.uint64(pow(int(BASE), i, 1 << 64)) for i in range(n + 1)]
+    powers = np.array([pow(int(BASE), i, 1 << 64) for i in range(n + 1)], np.uint64)
     sums = np.full((len(segments), n + 1), -np.inf)
     sums[:, 0] = 0.0
     ids, shares = [], []
     for j in range(1, n + 1):
         first = max(0, j - width)
-        at = np.stack([pieces.find(ends[:, j] - ends[:, i] * powers[j - i]) for i in range(first, j)], axis=1)
+        at = pieces.find((ends[:, j, None] - ends[:, first:j] * powers[j - first : 0 : -1]).ravel()).reshape(len(segments), -1)
         w = np.where(at >= 0, pieces.log[at], -np.inf)
         lone = at[:, -1] < 0
         if lone.any():
@@ -229,9 +235,9 @@ def _sample_length(
 
 def sample_many(pieces: Pieces, segments: list[str], bases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all segments one after the other, and where each segment's ids end."""
-    numbers: dict[str, int] = {}
-    of = np.fromiter((numbers.setdefault(s, len(numbers)) for s in segments), np.int64, len(segments))
-    distinct = list(numbers)
+    distinct = list(dict.fromkeys(segments))
+    numbers = dict(zip(distinct, range(len(distinct)), strict=True))
+    of = np.fromiter(map(numbers.__getitem__, segments), np.int64, len(segments))
     lengths = np.fromiter(map(len, distinct), np.int64, len(distinct))
     lengths[[i for i, s in enumerate(distinct) if s == SPACE]] = LONG + 1
     each = lengths[of]

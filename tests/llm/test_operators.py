@@ -401,6 +401,16 @@ def test_segmentation_round_trip(spark):
     assert [r.piece_ids for r in other] != [r.piece_ids for r in found]
 
 
+def test_only_hashes_that_meet_a_piece_are_looked_up_again(monkeypatch):
+    pieces = segmentation.Pieces(segmentation.default_vocabulary())
+    assert len(pieces.tables) > 1
+    assert (pieces.find(pieces.keys) == pieces.key_ids).all()
+    asked, mixed = [], segmentation.mixed
+    monkeypatch.setattr(segmentation, "mixed", lambda x: asked.append(len(x)) or mixed(x))
+    assert (pieces.find(np.arange(100_000, dtype=np.uint64) * np.uint64(977)) == -1).all()
+    assert asked[0] == 100_000 and sum(asked[1:]) < 10_000
+
+
 def test_segmentation_law():
     pieces = segmentation.Pieces(segmentation.default_vocabulary())
     word, n = " there", 60_000
