@@ -249,14 +249,14 @@ class HashingProvider:
         size = self.dimensions
         found = F.transform(
             tokens(F.coalesce(text, F.lit(""))),
-            lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % size).cast("int"),
+            lambda t: ((F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % size) * 2 + 1).cast("int"),
         )
-        # Every bucket is put in once more, so in the sorted list bucket b ends where b + 1 starts.
-        every = F.sequence(F.lit(0), F.lit(size))
+        # Tokens of bucket b are 2b + 1. Among them the even 2b marks where, once sorted, bucket b starts.
+        marks = F.sequence(F.lit(0), F.lit(2 * size), F.lit(2))
         return bind(
-            F.array_sort(F.concat(found, every)),
+            F.sort_array(F.concat(found, marks)),
             lambda buckets: bind(
-                F.transform(every, lambda b: F.array_position(buckets, b)),
+                F.filter(F.sequence(F.lit(0), F.size(buckets) - 1), lambda i: F.get(buckets, i) % 2 == 0),
                 lambda starts: F.transform(
                     F.sequence(F.lit(0), F.lit(size - 1)), lambda b: (starts[b + 1] - starts[b] - 1).cast("double")
                 ),

@@ -1,21 +1,25 @@
 """BM25 search for whole tables of queries.
 
-Every text row is scanned once and counts its own terms. Each chunk also emits one marker row with an empty term,
-so that the number of chunks and their mean length come from the same rows as the term
-statistics.
+Every text row is scanned once and counts its own terms, by whole Arrow batches. A search keeps one row per chunk;
+an index has postings, and there each chunk also emits one marker row with an empty term, so that the
+number of chunks and their mean length come from the same rows as the term statistics.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank import constants as K
 from quillrank import scale
-from quillrank.functions.text import bind, tokens
+from quillrank.functions.text import tokens
 from quillrank.operators import maxscore
 from quillrank.session import stored
 
@@ -36,25 +40,85 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "que
     )
 
 
-def term_counts(text: Column) -> Column:
-    """Distinct terms of a text with their counts, from runs of equal neighbours in the sorted tokens."""
-    def runs(s: Column) -> Column:
-        starts = F.filter(
-            F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, F.greatest(i - 1, F.lit(0))))
-        )
-        counted = bind(
-            starts,
-            lambda at: F.zip_with(
-                at, F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(s))),
-                lambda a, b: F.struct(F.get(s, a).alias("term"), (b - a).cast("long").alias("tf")),
-            ),
-        )
-        return F.when(F.size(s) > 0, counted).otherwise(F.array().cast(COUNTED))
-
-    return bind(F.sort_array(tokens(text)), runs)
+COUNTED = "array<struct<term:string,tf:bigint>>"
+# Bytes of texts whose tokens are cut and counted at once.
+SLICE_BYTES = 4 << 20
+HYPHEN = ord("-")
+TOKEN_BYTES = np.array([re.fullmatch("[a-z0-9-]", chr(c)) is not None for c in range(256)])
+
+
+def cut_tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(row, token) for every token of an array of lower-case texts, as K.TOKEN_PATTERN finds them."""
+    texts = texts.cast(pa.binary()).fill_null(b"")
+    rows = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[rows[0] : rows[-1]]
+    rows, inside = rows - rows[0], TOKEN_BYTES[data]
+    # Runs of token bytes; a run ends with its text.
+    edges = np.zeros(len(data) + 1, bool)
+    edges[1:-1] = inside[1:] != inside[:-1]
+    edges[rows] = True
+    edges = np.flatnonzero(edges)
+    starts, ends = edges[:-1], edges[1:]
+    own = inside[starts]
+    starts, ends = starts[own], ends[own]
+    # A token does not begin with a hyphen.
+    late = np.flatnonzero(data[starts] == HYPHEN)
+    if len(late):
+        first = np.append(np.flatnonzero(inside & (data != HYPHEN)), len(data))
+        starts[late] = first[np.searchsorted(first, starts[late])]
+        own = starts < ends
+        starts, ends = starts[own], ends[own]
+    # Tokens and what lies between them in turn.
+    offsets = np.append(np.stack([starts, ends], axis=1).ravel(), ends[-1:]).astype(np.int32)
+    parts = pa.Array.from_buffers(pa.string(), max(0, len(offsets) - 1), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return np.searchsorted(rows, starts, side="right") - 1, parts.take(pa.array(np.arange(0, 2 * len(starts), 2)))
+
+
+def _counted(texts: pa.Array, known: pa.Array | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]]:
+    """(tokens per text, terms per text, terms, tf) of slices of the texts; with known terms only these, by their places."""
+    ends = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).cumsum()
+    start = 0
+    while start < len(texts):
+        below = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, below + SLICE_BYTES, side="right")))
+        row, found = cut_tokens(texts.slice(start, stop - start))
+        lengths = np.bincount(row, minlength=stop - start)
+        coded = found.dictionary_encode()
+        terms, codes = coded.dictionary, coded.indices.to_numpy()
+        if known is not None:
+            codes = pc.index_in(terms, value_set=known).fill_null(-1).to_numpy()[codes]
+            row, codes, terms = row[codes >= 0], codes[codes >= 0], pa.array(np.arange(len(known)))
+        width = max(1, len(terms))
+        pairs, tf = np.unique(row * width + codes, return_counts=True)
+        yield lengths, np.bincount(pairs // width, minlength=stop - start), terms.take(pa.array(pairs % width)), tf
+        start = stop
+
+
+def _joined(slices: list[tuple], kind: pa.DataType) -> tuple[np.ndarray, pa.Array, pa.Array, pa.Array]:
+    """Tokens per text, then offsets of the texts' lists, terms and tf, of all slices."""
+    lengths, sizes, terms, tfs = map(list, zip(*slices, strict=True) if slices else [[]] * 4)
+    none = np.zeros(0, np.int64)
+    return (
+        np.concatenate([none, *lengths]), pa.array(np.concatenate([[0], *sizes]).cumsum().astype(np.int32)),
+        pa.concat_arrays([pa.array([], kind), *terms]), pa.array(np.concatenate([none, *tfs])),
+    )
 
 
-COUNTED = "array<struct<term:string,tf:bigint>>"
+def _term_counts(texts: pa.Array) -> pa.Array:
+    _, offsets, terms, tfs = _joined([*_counted(texts)], pa.string())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([terms, tfs], ["term", "tf"]))
+
+
+def _lowered(text: Column) -> Column:
+    return F.lower(text).cast("binary")
+
+
+def term_counts(text: Column) -> Column:
+    """Distinct terms of a text with their counts, without a shuffle; none for a null text.
+
+    Tokens are cut and counted by whole Arrow batches, not one by one.
+    """
+    return F.arrow_udf(_term_counts, COUNTED)(_lowered(text))
 
 
 def _term_rows(chunks: DataFrame, chunk_id: str, text: str, marker: bool, keep: Sequence[str]) -> DataFrame:
@@ -207,17 +271,35 @@ def profiles(
 ) -> DataFrame:
     """One row per chunk: row, chunk_id, keep, chunk_len, tids, tfs; written once, for several uses.
 
-    tids are the numbers of the vocabulary's terms that the chunk holds. Terms are counted in the
-    row, and only those of the vocabulary are shuffled.
+    tids are the numbers of the vocabulary's terms that the chunk holds. A vocabulary within the
+    limit of broadcasts travels with the tasks, and no term of a text leaves its row; with a larger
+    one terms are counted in the row, and only those of the vocabulary are shuffled.
     """
     spark = chunks.sparkSession
-    marked = vocabulary.unionByName(spark.range(1).select(F.lit(MARKER).alias("term"), F.lit(-1).cast("long").alias("tid")))
     whole = chunks.select("*", F.monotonically_increasing_id().alias("row"))
+    if scale.estimated_bytes(vocabulary) <= scale.broadcast_bytes(vocabulary):
+        made = _known_counts(vocabulary)(_lowered(F.col(text)))
+        found = whole.select("row", F.col(chunk_id).alias("chunk_id"), *keep, made.alias("found"))
+        return stored(found.select("row", "chunk_id", *keep, "found.*"), "profiles")
+    marked = vocabulary.unionByName(spark.range(1).select(F.lit(MARKER).alias("term"), F.lit(-1).cast("long").alias("tid")))
     rows = _term_rows(whole, chunk_id, text, True, ["row", *keep])
     rows = scale.join_sized(rows, marked, ["term"], bound=vocabulary)
     return gathered(rows, keep)
 
 
+def _known_counts(vocabulary: DataFrame) -> Callable[[Column], Column]:
+    """struct(chunk_len, tids, tfs) of a text for the terms of (term, tid)."""
+    numbers = vocabulary.select("term", "tid").orderBy("tid").collect()
+    known, tids = pa.array([r.term for r in numbers], pa.string()), np.array([r.tid for r in numbers], np.int64)
+
+    def run(texts: pa.Array) -> pa.Array:
+        lengths, offsets, places, tfs = _joined([*_counted(texts, known)], pa.int64())
+        lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(tids[places.to_numpy()]), tfs)]
+        return pa.StructArray.from_arrays([pa.array(lengths.astype(np.int32)), *lists], ["chunk_len", "tids", "tfs"])
+
+    return F.arrow_udf(run, "chunk_len int, tids array<bigint>, tfs array<bigint>")
+
+
 def gathered(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Profiles from (row, chunk_id, keep, chunk_len, tid, tf); a tid of -1 only keeps its chunk in the table."""
     found = rows.groupBy("row", "chunk_id", *keep, "chunk_len").agg(

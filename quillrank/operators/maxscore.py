@@ -67,6 +67,8 @@ class Best:
         at = np.minimum(np.searchsorted(self.tids, tid), len(self.tids) - 1)
         known = self.tids[at] == tid
         columns, place = np.unique(at[known], return_inverse=True)
+        if not len(columns):
+            return
         dense = np.zeros((-(-n // BLOCK_ROWS) * BLOCK_ROWS, len(columns)))
         dense[row[known], place] = worth[known]
         weights = self.weights[columns]
@@ -80,7 +82,9 @@ class Best:
                 continue
             self.scored += len(reached)
             span = slice(block * BLOCK_ROWS, min((block + 1) * BLOCK_ROWS, n))
-            scores = dense[span] @ weights[:, reached]
+            # A block holds few of the slice's terms.
+            held = np.flatnonzero(tops[block])
+            scores = dense[span, held] @ weights[np.ix_(held, reached)]
             if free is not None:
                 scores *= free[span][:, reached]
             for r, c in zip(*np.nonzero(scores >= self.least[reached]), strict=True):

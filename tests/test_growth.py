@@ -1,11 +1,15 @@
 """Work that must not grow faster than the input: reuse, spreading and files."""
 
+import hashlib
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quillrank.operators import chunking as C
+from quillrank.operators import knn as V
 from quillrank.operators import lexical as L
+from quillrank.operators import maxscore
 from quillrank.operators import traces as T
 from quillrank.plans import labels as P
 from quillrank.sources import files as SF
@@ -88,3 +92,48 @@ def test_two_searches_read_texts_once(spark, tmp_path, monkeypatch):
     # Labelled documents found: 1, 2 and 6 by the first query, 6 by the second; all support themselves.
     assert (row.claims, row.supported, row.coverage) == (4, 4, 1.0)
     assert len(calls) == 1
+
+
+def test_texts_with_a_small_vocabulary_are_counted_where_they_are(spark, monkeypatch):
+    texts = ["Red fox red", "--red-hen- HEN-", "", None, "-", "blue", "x " * 3000 + "hen-", "é redK-1"]
+    chunks = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "chunk_id long, text string, subject string")
+    terms = [("red", 7), ("hen-", 4), ("x", 9), ("none", 1), ("redk-1", 12)]
+    vocabulary = L.stored(spark.createDataFrame(terms, "term string, tid long"), "vocabulary")
+    plans, stored = [], L.stored
+    monkeypatch.setattr(L, "stored", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df, name))
+    monkeypatch.setattr(L, "SLICE_BYTES", 20)
+
+    def rows():
+        made = L.profiles(chunks, vocabulary, keep=["subject"])
+        return sorted((r.row, r.chunk_id, r.subject, r.chunk_len, r.tids, r.tfs) for r in made.collect())
+
+    got = rows()
+    assert "Exchange" not in plans[0] and "Generate" not in plans[0] and plans[0].count("ArrowEvalPython") == 1
+    want = [(3, [7], [2]), (2, [4], [1]), (0, [], []), (0, [], []), (0, [], []), (1, [], []), (3001, [4, 9], [1, 3000]), (1, [12], [1])]
+    assert [(r[1], *r[3:]) for r in got] == [(i, *w) for i, w in enumerate(want)]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        # A vocabulary too large for the tasks is joined.
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert rows() == got
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_rows_without_asked_terms_are_no_block():
+    best = maxscore.Best([[(3, 1.0)]], [None], 2)
+    best.take(np.zeros(0, int), np.zeros(0, int), np.zeros(0), [1, 2], [1, 2], None)
+    best.take(np.array([1]), np.array([3]), np.array([0.5]), [3, 4], [3, 4], None)
+    assert [(e[3], e[4]) for e in best.best[0]] == [(4, 0.5)]
+
+
+def test_buckets_are_counted_without_a_search_for_each(spark):
+    rows = spark.createDataFrame([(1, "a b a"), (2, None), (3, "- c")], "id int, text string")
+    made = V.embed(rows, V.HashingProvider(300))
+    assert "array_position" not in plan(made) and "array_sort" not in plan(made)
+    bucket = {t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 300 for t in "abc"}
+    for r in made.collect():
+        want = [0.0] * 300
+        for t in {1: "aba", 2: "", 3: "c"}[r.id]:
+            want[bucket[t]] += 1
+        assert r["values"] == want
