@@ -262,6 +262,72 @@ def test_mixing_weights_are_fitted_on_all_training_rows(spark):
     assert model.score([np.array(x) for x in at]).sum() > before
 
 
+def test_mixing_is_fitted_on_every_training_bit_by_itself(spark, monkeypatch):
+    texts = [prose(i % 90, 20 + i % 17) for i in range(400)]
+    kept, fit = [], mixing.Model.fit
+    monkeypatch.setattr(mixing.Model, "fit", lambda model, *a: (fit(model, *a), kept.append(model))[0])
+    mixing.score(table(spark, texts)).collect()
+    [model] = kept
+    train = [mixing.tokens(t.encode()) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
+    counts = Counter(w for t in train for w in t)
+    number = {w: i for i, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0])))}
+    # Every bit, one by one, with the counts of all others in its contexts.
+    bits, seen = [], Counter()
+    for words in train:
+        past = (1, 1)
+        for w in words:
+            s = np.array([number[w]])
+            _, node, bit, depth = model.code.spell(s)
+            hashes = mixing.contexts(np.array([past[0] << 42 | past[1] << 21]))
+            for a, b, d in zip(node, bit.tolist(), depth.tolist(), strict=True):
+                at = [int(a), *(int(x[0]) for x in mixing.slots(hashes, np.array([0]), np.array([a])))]
+                bits.append((at, b, d))
+                seen.update((k, x, b) for k, x in enumerate(at))
+            past = (past[1], number[w] + 2)
+    ones, depth = np.array([b for _, b, _ in bits]), np.minimum([d for _, _, d in bits], 15)
+    n = np.array([[[seen[k, x, v] - (k > 0 and v == b) for v in (0, 1)] for k, x in enumerate(at)] for at, b, _ in bits])
+    x = mixing._logit(n[:, :, 0], n[:, :, 1])
+    gate = mixing._gate(depth, n[:, 2].sum(axis=1), n[:, 1].sum(axis=1))
+    z = np.clip((x * model.weights[gate]).sum(axis=1), -20, 20)
+    p = 1 / (1 + np.exp(-z))
+    slope = np.zeros((mixing.GATES, 4))
+    np.add.at(slope, gate, (ones - p)[:, None] * x)
+    slope -= mixing.RIDGE * (model.weights - 0.35)
+    bend = np.zeros((mixing.GATES, 4, 4)) + mixing.RIDGE * np.eye(4)
+    np.add.at(bend, gate, (p * (1 - p))[:, None, None] * x[:, :, None] * x[:, None, :])
+    # No step is left that gains anything, and the last stage has every bit at its own mixed logit.
+    loss = np.logaddexp(0, np.where(ones == 1, -z, z)).sum()
+    assert np.einsum("gi,gij,gj->", slope, np.linalg.inv(bend), slope) <= 1e-6 * loss
+    at = depth * (mixing.STEPS + 1) + np.rint((np.clip(z, -7.99, 7.99) + 8) * (mixing.STEPS / 16)).astype(int)
+    prior = 1 / (1 + np.exp(-np.tile(np.linspace(-8, 8, mixing.STEPS + 1), 16)))
+    size = 16 * (mixing.STEPS + 1)
+    rate = (np.bincount(at, ones, size) + 20 * prior) / (np.bincount(at, minlength=size) + 20)
+    # A logit on the edge of two steps may be rounded to either.
+    assert (np.abs(1 / (1 + np.exp(-model.stage.ravel())) - rate) < 1e-9).mean() > 0.98
+
+
+def test_mixing_sums_do_not_depend_on_the_order_of_rows(spark):
+    texts = [prose(i % 30, 20 + i % 17) for i in range(200)]
+    rows = table(spark, texts).select("text")
+    words = sorted({w for t in texts for w in mixing.tokens(t.encode())})
+    number, code = {w: i for i, w in enumerate(words)}, mixing.Code([*range(1, len(words) + 1), 0])
+    cells = mixing.Cells(*mixing.bit_counts(rows, number, code))
+    weights = np.random.default_rng(2).normal(0.35, 0.3, (mixing.GATES, mixing.ORDERS + 1))
+    one, seven = (mixing.bit_sums(r, number, code, cells)(weights) for r in (rows.coalesce(1), rows.repartition(7)))
+    assert (one == seven).all()
+    twice = mixing.bit_sums(rows.union(rows), number, code, cells)(weights)
+    assert twice == pytest.approx(2 * one, abs=len(words) * 100)
+
+
+def test_mixing_counts_beyond_32_bits(spark):
+    code, often = mixing.Code([3, 2, 1]), 3 << 30
+    triple = mixing.triples(np.array([0, 1, 1]), np.array([0]))
+    rows = spark.createDataFrame([(int(t), often) for t in triple] * 2, "triple long, n long").coalesce(1)
+    hashed, nodes = mixing.bit_counts(rows, {}, code)
+    total = 2 * often * int(code.lengths[[0, 1, 1]].sum())
+    assert [nodes.sum(), *hashed.sum(axis=(1, 2))] == [total] * 4
+
+
 def test_code_and_mixing_are_distributions():
     code = mixing.Code([50, 30, 10, 5, 3, 1, 1])
     assert sum(2.0**-n for n in code.lengths.tolist()) == 1
